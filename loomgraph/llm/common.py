@@ -62,12 +62,12 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def spans(offsets: np.ndarray, limit: int = CHUNK_BYTES):
-    """(first row, last row + 1) of consecutive chunks of at most limit bytes; a longer row is a chunk of its own."""
+def spans(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 50_000):
+    """(first row, last row + 1) of consecutive chunks of at most so many bytes and rows; a longer row is a chunk of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield lo, hi
         lo = hi
 
@@ -122,3 +122,46 @@ class Fingerprints:
         """Those of all ranges of k bytes."""
         n = len(prefix) - k
         return mix((prefix[k:] - prefix[:n]) * self.back[:n]) if n > 0 else np.zeros(0, np.uint64)
+
+
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w neighbours."""
+    size = 1
+    while 2 * size <= w:
+        x, size = np.minimum(x[:-size], x[size:]), 2 * size
+    return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
+
+
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """bucket_col() in numpy."""
+    return (ids ^ (ids >> 17)) % buckets
+
+
+def bucket_col(name: str, buckets: int):
+    """A bucket for an integer id; null counts as 0."""
+    c = F.coalesce(F.col(name).cast("long"), F.lit(0))
+    return F.pmod(c.bitwiseXOR(F.shiftright(c, 17)), F.lit(buckets)).cast("int")
+
+
+def pack_columns(*cols: np.ndarray, widths: tuple[int, ...]) -> bytes:
+    """Integers as so many bytes each, byte planes apart, compressed."""
+    import zstandard
+
+    out = [np.int64(len(cols[0])).tobytes()]
+    for c, w in zip(cols, widths, strict=True):
+        out.append(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack_columns(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """What pack_columns() was given, as unsigned integers."""
+    import zstandard
+
+    text = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(text, np.int64, 1)[0]), 8, []
+    for w in widths:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :w] = np.frombuffer(text, np.uint8, n * w, at).reshape(w, n).T
+        out.append(wide.view("<u8").ravel())
+        at += n * w
+    return out

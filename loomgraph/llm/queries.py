@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing
+from . import byte_bpe, packing, repeats
 from .common import table
 
 
+def op5_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -14,5 +18,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op5_repeats, op7_byte_bpe, op10_packing)}
 ORACLES: dict[str, str] = {}
