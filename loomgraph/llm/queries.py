@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, ngram_join, packing, repeats
+from . import byte_bpe, language_id, ngram_join, packing, repeats
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op7_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_repeats, op7_byte_bpe, op9_ngram_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op5_repeats, op7_byte_bpe, op8_language_id, op9_ngram_join, op10_packing)}
 ORACLES: dict[str, str] = {}
