@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, ngram_join, packing, repeats
+from . import byte_bpe, html_text, language_id, ngram_join, packing, repeats
 from .common import table
 
 
+def op2_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_repeats(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_repeats, op7_byte_bpe, op8_language_id, op9_ngram_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_html_text, op5_repeats, op7_byte_bpe, op8_language_id, op9_ngram_join, op10_packing)}
 ORACLES: dict[str, str] = {}
