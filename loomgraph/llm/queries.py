@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, language_id, ngram_join, packing, repeats
+from . import byte_bpe, html_text, language_id, licences, ngram_join, packing, repeats, url_filter
 from .common import table
 
 
+def op1_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_repeats(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op5_repeats, op7_byte_bpe, op8_language_id, op9_ngram_join, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_licences, op2_html_text, op4_url_filter, op5_repeats, op7_byte_bpe, op8_language_id, op9_ngram_join, op10_packing)}
+ORACLES = {"op1_licences": licences.ORACLE, "op4_url_filter": url_filter.ORACLE}
