@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, language_id, licences, ngram_join, packing, repeats, url_filter
+from . import byte_bpe, html_text, language_id, licences, motion_jpeg, ngram_join, packing, repeats, top_k, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_motion_jpeg(spark, sf_dir):
+    return motion_jpeg.features(motion_jpeg.to_media(table(spark, sf_dir, "documents")))
+
+
 def op4_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -22,6 +26,10 @@ def op5_repeats(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_top_k(spark, sf_dir):
+    return top_k.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -38,5 +46,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op2_html_text, op4_url_filter, op5_repeats, op7_byte_bpe, op8_language_id, op9_ngram_join, op10_packing)}
-ORACLES = {"op1_licences": licences.ORACLE, "op4_url_filter": url_filter.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_licences, op2_html_text, op3_motion_jpeg, op4_url_filter, op5_repeats, op6_top_k, op7_byte_bpe, op8_language_id, op9_ngram_join, op10_packing)}
+ORACLES = {"op1_licences": licences.ORACLE, "op4_url_filter": url_filter.ORACLE, "op6_top_k": top_k.ORACLE}
