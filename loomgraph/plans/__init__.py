@@ -1,0 +1,6 @@
+"""The library's queries; importing this registers them."""
+
+from . import filters_and_joins  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
