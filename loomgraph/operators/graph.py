@@ -21,9 +21,10 @@ def edges_of(relations: DataFrame, direction: str = "out", kinds=None) -> DataFr
 def reach(roots: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node, hop): what roots (root, node) reach over edges (a, b) in `depth` steps, by the least number of them.
 
-    Each level is written to the checkpoint folder, so that no level is computed twice and lost executors cost only
-    their own tasks. Without a depth it ends when a level finds nothing new.
+    The edges and each level are written to the checkpoint folder, so that nothing is computed twice and lost executors
+    cost only their own tasks. Without a depth it ends when a level finds nothing new.
     """
+    edges = cut(edges) if depth is None or depth > 1 else edges
     frontier = cut(roots.select("root", "node", F.lit(0).alias("hop")).distinct())
     levels, hop = [frontier], 0
     while depth is None or hop < depth:
@@ -190,8 +191,9 @@ def ahead_behind(got: DataFrame, left: str, right: str) -> DataFrame:
 
 def closed(rows: DataFrame, need: str) -> DataFrame:
     """Rows (id, need, ...) whose needed row survives as well, until nothing changes; a null need is met."""
+    n = rows.count()
     while True:
         kept = cut(rows.join(rows.select(F.col("id").alias(need)), need, "left_semi").unionByName(rows.where(F.col(need).isNull()).select(need, *[c for c in rows.columns if c != need])))
-        if kept.count() == rows.count():
+        if (m := kept.count()) == n:
             return kept
-        rows = kept
+        rows, n = kept, m

@@ -1,6 +1,6 @@
 """The library's queries; importing this registers them."""
 
-from . import aggregates, filters_and_joins  # noqa: F401
+from . import aggregates, filters_and_joins, retrieval, traversal  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
