@@ -34,7 +34,7 @@ from .common import Fingerprints, bucket_col, bucket_of, mix, pack_columns, ragg
 WINDOW, ANCHOR = 50, 24
 LOW32, TOP48 = np.uint64(0xFFFFFFFF), np.uint64(16)
 RECORD, FINDING = {"runs": (6, 6, 8), "windows": (6, 4, 8)}, (6, 8)  # bytes of digits and document
-HELD = 1_500_000  # records that a task gathers before it deals them out
+HELD = 700_000  # records that a task gathers before it deals them out
 COVERED, OPEN, WINDOWS, DEAL = 0, 1, 2, 3  # kinds of rows: findings on their way to their documents, and records to deal out
 NO_ID = np.iinfo(np.int64).min
 ONE, TWO = Fingerprints(1), Fingerprints(2)
@@ -114,7 +114,7 @@ def own_ids(column) -> np.ndarray:
     return pc.fill_null(column, NO_ID).to_numpy(zero_copy_only=False) if not isinstance(column, pa.ChunkedArray) else pc.fill_null(column, NO_ID).to_numpy()
 
 
-def flush(parts, buckets, what, found_kind):
+def flush(parts, buckets, doc_buckets, what, found_kind):
     """Settles what a task holds: findings about later documents, and the rest to deal out."""
     if not parts:
         return []
@@ -122,10 +122,10 @@ def flush(parts, buckets, what, found_kind):
     order, head, later = settle(a, b, doc)
     a, b, doc = a[order], b[order], doc[order]
     digit = b if found_kind == COVERED else a
-    return [*dealt(a[head], b[head], doc[head], buckets, what), *told(doc[later], digit[later], buckets, found_kind)]
+    return [*dealt(a[head], b[head], doc[head], buckets, what), *told(doc[later], digit[later], doc_buckets, found_kind)]
 
 
-def first_pass(docs: DataFrame, buckets: int, window: int, anchor: int) -> DataFrame:
+def first_pass(docs: DataFrame, buckets: int, doc_buckets: int, window: int, anchor: int) -> DataFrame:
     def emit(batches):
         parts, held = [], 0
         for b in batches:
@@ -138,9 +138,9 @@ def first_pass(docs: DataFrame, buckets: int, window: int, anchor: int) -> DataF
                 parts.append((gram[ok], span[ok], doc[ok]))
                 held += int(ok.sum())
                 if held >= HELD:
-                    yield as_batch(flush(parts, buckets, "runs", COVERED))
+                    yield as_batch(flush(parts, buckets, doc_buckets, "runs", COVERED))
                     parts, held = [], 0
-        yield as_batch(flush(parts, buckets, "runs", COVERED))
+        yield as_batch(flush(parts, buckets, doc_buckets, "runs", COVERED))
 
     def settle_anchors(key, t):
         if key[0].as_py() != DEAL:
@@ -156,7 +156,7 @@ def first_pass(docs: DataFrame, buckets: int, window: int, anchor: int) -> DataF
         np.minimum.at(low, group, hd)
         np.maximum.at(high, group, hd)
         many &= (low < high)[group] if len(ha) else many
-        return pa.Table.from_batches([as_batch([*told(doc[later], b[later], buckets, COVERED), *told(hd[many], hb[many], buckets, OPEN)])])
+        return pa.Table.from_batches([as_batch([*told(doc[later], b[later], doc_buckets, COVERED), *told(hd[many], hb[many], doc_buckets, OPEN)])])
 
     rows = docs.select("doc_id", "text").mapInArrow(emit, ROW)
     return rows.groupBy("kind", "bucket").applyInArrow(settle_anchors, ROW)
@@ -192,7 +192,7 @@ def findings(right: pa.Table) -> dict[int, list[np.ndarray]]:
     return {k: opened([x for i, x in zip(kinds, blobs, strict=True) if i == k], FINDING) for k in (COVERED, OPEN, WINDOWS)}
 
 
-def second_pass(docs: DataFrame, found: DataFrame, buckets: int, window: int, anchor: int) -> DataFrame:
+def second_pass(docs: DataFrame, found: DataFrame, buckets: int, doc_buckets: int, window: int, anchor: int) -> DataFrame:
     def emit(left, right):
         known, parts = findings(right), []
         if not len(known[OPEN][0]) or not left.num_rows:
@@ -205,14 +205,14 @@ def second_pass(docs: DataFrame, found: DataFrame, buckets: int, window: int, an
             pick = lookup(own, known[OPEN])(row, span)
             row, _, one, two = open_windows(text, row[pick], start[pick], end[pick], window)
             parts.append((one, two, own[row]))
-        return pa.Table.from_batches([as_batch(flush(parts, buckets, "windows", WINDOWS))])
+        return pa.Table.from_batches([as_batch(flush(parts, buckets, doc_buckets, "windows", WINDOWS))])
 
     def settle_windows(key, t):
         if key[0].as_py() != DEAL:
             return t.select(["kind", "bucket", "blob"])
         a, b, doc = opened(t["blob"].to_pylist(), RECORD["windows"])
         order, _, later = settle(a, b, doc)
-        return pa.Table.from_batches([as_batch(told(doc[order][later], a[order][later], buckets, WINDOWS))])
+        return pa.Table.from_batches([as_batch(told(doc[order][later], a[order][later], doc_buckets, WINDOWS))])
 
     rows = docs.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(emit, ROW)
     return rows.groupBy("kind", "bucket").applyInArrow(settle_windows, ROW)
@@ -234,12 +234,15 @@ def covered(text, off, own, known, window, anchor) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, rest: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256, and rest: a struct of the columns named."""
-    buckets = 8 * width(docs.sparkSession) | 1
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col(docs).alias("text"), *([F.struct(*[docs[c] for c in rest]).alias("rest")] if rest else [])).withColumn("bucket", bucket_col("doc_id", buckets))
-    found = written(first_pass(held, buckets, window, anchor), "runs")
-    windows = second_pass(held, found.where(F.col("kind") == OPEN), buckets, window, anchor)
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, rest=None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes); with rest, names of columns, also kept and a struct rest.
+
+    kept is the remaining text without the characters that a cut has split.
+    """
+    doc_buckets, buckets = width(docs.sparkSession) | 1, 4 * width(docs.sparkSession) | 1  # findings are up to one row for each pair of them
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col(docs).alias("text"), *([F.struct(F.lit(None).cast("int").alias("_"), *[docs[c] for c in rest]).alias("rest")] if rest is not None else [])).withColumn("bucket", bucket_col("doc_id", doc_buckets))
+    found = written(first_pass(held, buckets, doc_buckets, window, anchor), "runs")
+    windows = second_pass(held, found.where(F.col("kind") == OPEN), buckets, doc_buckets, window, anchor)
 
     def finish(left, right):
         known = findings(right)
@@ -253,14 +256,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 out = text[o[i] : o[i + 1]][~mask].tobytes()
                 counts.append((len(mask), int(mask.sum()), int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())))
                 hashes.append(hashlib.sha256(out).hexdigest())
-                if rest:
-                    kept.append(out)
+                if rest is not None:
+                    kept.append(out.decode("utf-8", "ignore"))
         cols = {"doc_id": left["doc_id"], **{n: pa.array([c[k] for c in counts], pa.int64()) for k, n in enumerate(("n_bytes", "n_removed", "n_spans"))}, "kept_sha256": pa.array(hashes, pa.string())}
-        if rest:
-            cols |= {"kept": pa.array(kept, pa.binary()), "rest": left["rest"]}
+        if rest is not None:
+            cols |= {"kept": pa.array(kept, pa.string()), "rest": left["rest"]}
         return pa.table(cols)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    if rest:
-        schema += f", kept binary, rest {held.schema['rest'].dataType.simpleString()}"
+    if rest is not None:
+        schema += f", kept string, rest {held.schema['rest'].dataType.simpleString()}"
     return held.groupBy("bucket").cogroup(found.unionByName(windows).groupBy("bucket")).applyInArrow(finish, schema)
