@@ -60,11 +60,11 @@ def ways(pages: DataFrame) -> DataFrame:
 
 def spread(seeds: DataFrame, ways: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
     """kind, host, score after so many rounds."""
-    ranks = seeds.select("kind", "host", "score")
+    ranks, ways = seeds.select("kind", "host", "score"), ways.withColumnRenamed("at", "host")
     if ways.isEmpty():
         return ranks  # every round gives the seeds again
     for step in range(1, steps + 1):
-        moved = ranks.join(ways, (ranks.kind == ways.kind) & (ranks.host == ways["at"])).select(ways.kind, F.col("to").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+        moved = ranks.join(ways, ["kind", "host"]).select("kind", F.col("to").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
         ranks = moved.unionByName(seeds.select("kind", "host", "score")).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if step % EACH == 0 or step == steps:
             ranks = written(ranks, "ranks")
