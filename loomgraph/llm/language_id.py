@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import raw, spans, text_col
 from .pretoken import LETTER, classes
@@ -198,7 +199,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([b.column("row"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array((best < 0) | (score < m.floor[size]))], ["row", "lang_pred", "score", "rejected"])
 
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_col(docs).alias("text"))
-    return held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return held.mapInArrow(run, StructType([held.schema["row"], *StructType.fromDDL("lang_pred string, score double, rejected boolean").fields]))
 
 
 def held_out(name: str = "doc_id"):

@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Fingerprints, bucket_col, bucket_of, mix, pack_columns, ragged, raw, sliding_min, spans, text_col, unpack_columns, width, written
 
@@ -263,7 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             cols |= {"kept": pa.array(kept, pa.string()), "rest": left["rest"]}
         return pa.table(cols)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if rest is not None:
-        schema += f", kept string, rest {held.schema['rest'].dataType.simpleString()}"
+        schema = schema.add("kept", "string").add("rest", held.schema["rest"].dataType)
     return held.groupBy("bucket").cogroup(found.unionByName(windows).groupBy("bucket")).applyInArrow(finish, schema)
