@@ -47,3 +47,20 @@ def preview(text: Column, most: int = 120) -> Column:
     """The beginning of a text in one line; null for what isn't text."""
     line = F.trim(F.regexp_replace(F.substring(text, 1, most), r"\s+", " "))
     return F.when(F.substring(text, 1, most).contains("\x00") | (line == ""), None).otherwise(line)
+
+
+def entry_points(files: DataFrame) -> DataFrame:
+    """(path, script, module, symbol) that manifests (path, text) declare: Python scripts, npm binaries, Cargo binaries."""
+    name = F.substring_index("path", "/", -1)
+    section = F.regexp_extract("text", r"(?s)\[(?:project\.(?:gui-)?scripts|tool\.poetry\.scripts)\]\n(.*?)(?:\n\[|$)", 1)
+    line = r'(?m)^([A-Za-z0-9_.-]+)\s*=\s*"([^":]*):?([^"]*)"'
+    py = files.where(name == "pyproject.toml").select("path", F.explode(F.regexp_extract_all(section, F.lit(line), F.lit(0))).alias("l"))
+    blank = lambda c: F.when(c == "", None).otherwise(c)
+    py = py.select("path", F.regexp_extract("l", line, 1).alias("script"), blank(F.regexp_extract("l", line, 2)).alias("module"), blank(F.regexp_extract("l", line, 3)).alias("symbol"))
+    bins = F.from_json(F.get_json_object("text", "$.bin"), "map<string,string>")
+    npm = files.where(name == "package.json").select("path", F.explode(bins).alias("script", "module")).withColumn("symbol", F.lit(None).cast("string"))
+    pair = r'(?s)\[\[bin\]\]\s*name\s*=\s*"([^"]+)"(?:\s*path\s*=\s*"([^"]+)")?'
+    cargo = files.where(name == "Cargo.toml").select("path", F.explode(F.regexp_extract_all("text", F.lit(pair), F.lit(0))).alias("l"))
+    script = F.regexp_extract("l", pair, 1)
+    cargo = cargo.select("path", script.alias("script"), F.coalesce(blank(F.regexp_extract("l", pair, 2)), F.concat(F.lit("src/bin/"), script, F.lit(".rs"))).alias("module"), F.lit("main").alias("symbol"))
+    return py.unionByName(npm).unionByName(cargo)

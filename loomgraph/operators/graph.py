@@ -197,3 +197,13 @@ def closed(rows: DataFrame, need: str) -> DataFrame:
         if (m := kept.count()) == n:
             return kept
         rows, n = kept, m
+
+
+def water_fill(needs: DataFrame, budget: int) -> DataFrame:
+    """needs (id, need) of a bounded set of focal nodes: grants that share a budget, none above its need, the rest level."""
+    w = Window.orderBy("need", "id")
+    rows = needs.withColumn("k", F.row_number().over(w)).withColumn("before", F.coalesce(F.sum("need").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("m", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    level = F.floor((F.lit(budget) - F.col("before")) / (F.col("m") - F.col("k") + 1))
+    rows = rows.withColumn("level", F.when(level <= F.col("need"), level))
+    line = F.first("level", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select("id", "need", F.least("need", F.coalesce(line, "need")).alias("granted"))

@@ -134,3 +134,18 @@ def reversions(log: DataFrame, window: int = 250) -> DataFrame:
     rows = log.where("op <> 'removed'").withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("value").over(w)).withColumn("seen", F.max("n").over(Window.partitionBy("entity", "value").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)))
     hit = rows.where((F.col("before") != F.col("value")) & F.col("seen").isNotNull() & (F.col("n") - F.col("seen") <= window))
     return hit.select("entity", "ord", (F.col("seen") + 1).cast("int").alias("undone"), (F.col("n") - F.col("seen")).cast("int").alias("distance"))
+
+
+def change_shape(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, shape, guards, removed) of bodies as statements (id, n, hash, guard): what was added to or taken from each.
+
+    Only early-exit guards added: added_narrowing_guard. Only statements gone: removed_guard_or_widened. The same
+    statements in the same order: equivalent. Anything else: other.
+    """
+    sides = old.withColumn("side", F.lit(-1)).unionByName(new.withColumn("side", F.lit(1)))
+    moved = sides.groupBy("id", "hash", "guard").agg(F.sum("side").alias("d")).groupBy("id").agg(
+        F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.when(F.col("guard"), F.greatest("d", F.lit(0))).otherwise(0)).alias("guards"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed")
+    )
+    order = sides.groupBy("id", "n").agg(F.sum(F.col("side") * F.xxhash64("hash", "guard").cast("decimal(38,0)")).alias("d")).groupBy("id").agg(F.max(F.col("d") != 0).alias("reordered"))
+    shape = F.when(~F.col("reordered"), "equivalent").when((F.col("removed") == 0) & (F.col("added") > 0) & (F.col("added") == F.col("guards")), "added_narrowing_guard").when((F.col("added") == 0) & (F.col("removed") > 0), "removed_guard_or_widened").otherwise("other")
+    return moved.join(order, "id").select("id", shape.alias("shape"), F.col("guards").cast("long").alias("guards"), F.col("removed").cast("long").alias("removed"))

@@ -198,6 +198,26 @@ def c7_interface_satisfaction(spark, d):
     return need.join(offer, "member").groupBy("interface", "class").agg(F.count("*").alias("members")).join(n, "interface").where("members = n").select("interface", "class", "members")
 
 
+@query("""WITH need AS (SELECT s_suppkey AS interface, p AS member FROM supplier, (VALUES (0), (1)) v(k), LATERAL (SELECT (s_suppkey * 7 + k * 13) % 100 AS p) WHERE s_suppkey < 40),
+offer AS (SELECT DISTINCT l_orderkey AS class, l_partkey % 100 AS member FROM lineitem WHERE l_orderkey % 10 = 0),
+ok AS (SELECT interface, class FROM need JOIN offer USING (member) GROUP BY interface, class HAVING count(*) = (SELECT count(*) FROM need n WHERE n.interface = need.interface))
+SELECT interface, o_custkey AS caller, count(*) AS classes FROM ok JOIN orders ON o_orderkey = class GROUP BY ALL""")
+def i20_dispatch_callers(spark, d):
+    """Who calls a class through an interface that it satisfies."""
+    calls = table(spark, d, "orders").select(F.col("o_orderkey").alias("class"), F.col("o_custkey").alias("caller"))
+    return c7_interface_satisfaction(spark, d).join(calls, "class").groupBy("interface", "caller").agg(F.count("*").alias("classes"))
+
+
+@query(G + """, ext AS (SELECT id, name FROM entities WHERE role = 'Test'), proof AS (SELECT 'p:' || l_partkey AS id, min(l_orderkey) AS context FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1)
+SELECT r.id, r.src AS entity, r.dst AS target, ext.name, proof.context FROM relations r JOIN ext ON ext.id = r.dst LEFT JOIN proof ON proof.id = r.dst WHERE r.kind = 'Calls'""")
+def c18_external_edges(spark, d):
+    """Relations into symbols owned elsewhere, with what is known of the symbol and its proof; what is unknown stays null."""
+    ext = entities(spark, d).where("role = 'Test'").select(F.col("id").alias("target"), "name")
+    proof = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").groupBy(F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("target")).agg(F.min("l_orderkey").alias("context"))
+    r = relations(spark, d).where("kind = 'Calls'").select("id", F.col("src").alias("entity"), F.col("dst").alias("target"))
+    return r.join(ext, "target").join(proof, "target", "left").select("id", "entity", "target", "name", "context")
+
+
 OLD_NEW = "old AS (SELECT id, visibility, signature, line % 7 AS body FROM entities WHERE line % 11 > 0), new AS (SELECT id, CASE WHEN line % 13 = 0 THEN 'Private' ELSE visibility END AS visibility, CASE WHEN line % 17 = 0 THEN signature || '?' ELSE signature END AS signature, CASE WHEN line % 5 = 0 THEN line ELSE line % 7 END AS body FROM entities WHERE line % 12 > 0)"
 
 

@@ -229,3 +229,25 @@ def a22_graph_export_json(spark, d):
     return entities(spark, d).where("kind in ('Module', 'Interface')").select(F.to_json(F.struct("id", "kind", "file"), {"ignoreNullFields": "false"}).alias("node"))
 
 
+
+
+@query(f"WITH {MANIFEST.replace('requirements.txt', 'pyproject.toml')} SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'run' || page_id % 7 WHEN 1 THEN 'cli' ELSE 'tool' || page_id % 4 END AS script, CASE page_id % 3 WHEN 0 THEN 'src/bin/run' || page_id % 7 || '.rs' WHEN 1 THEN './bin/cli.js' ELSE 'pkg.main' END AS module, CASE page_id % 3 WHEN 0 THEN 'main' WHEN 2 THEN 'go' END AS symbol FROM manifests", name="a19_entry_points")
+def a19_entry_points(spark, d):
+    p = F.col("page_id")
+    s = lambda n: (p % n).cast("string")
+    path = F.when(p % 3 == 0, "a/Cargo.toml").when(p % 3 == 1, "b/package.json").otherwise("c/pyproject.toml")
+    text = F.when(p % 3 == 0, F.concat(F.lit('[[bin]]\nname = "run'), s(7), F.lit('"\n\n[dependencies]\nserde = "1"\n'))).when(p % 3 == 1, F.lit('{"name": "x", "bin": {"cli": "./bin/cli.js"}}')).otherwise(F.concat(F.lit("[project.scripts]\ntool"), s(4), F.lit(' = "pkg.main:go"\n[tool.x]\ny = "a:b"\n')))
+    files = table(spark, d, "pages").select(F.concat_ws("/", p.cast("string"), path).alias("path"), text.alias("text"))
+    return art.entry_points(files).select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("page_id"), "script", "module", "symbol")
+
+
+BODIES = "old AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey % 50 AS hash, l_partkey % 5 = 0 AS guard FROM lineitem WHERE l_orderkey % 4 < 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1), new AS (SELECT id, n, hash, guard FROM old WHERE NOT (id % 4 = 1 AND n = 2) UNION ALL SELECT id, 100, 55, id % 3 = 0 FROM old WHERE id % 2 = 0 AND id % 5 > 0 GROUP BY id)"
+
+
+@query(f"WITH {BODIES}, c AS (SELECT id, hash, guard, sum(side) AS d FROM (SELECT id, hash, guard, -1 AS side FROM old UNION ALL SELECT id, hash, guard, 1 FROM new) GROUP BY ALL), m AS (SELECT id, sum(greatest(d, 0)) AS added, sum(CASE WHEN guard THEN greatest(d, 0) ELSE 0 END) AS guards, sum(greatest(-d, 0)) AS removed FROM c GROUP BY id), o AS (SELECT coalesce(old.id, new.id) AS id, bool_or(old.hash IS DISTINCT FROM new.hash OR old.guard IS DISTINCT FROM new.guard) AS reordered FROM old FULL JOIN new ON old.id = new.id AND old.n = new.n GROUP BY 1) SELECT id, CASE WHEN NOT reordered THEN 'equivalent' WHEN removed = 0 AND added > 0 AND added = guards THEN 'added_narrowing_guard' WHEN added = 0 AND removed > 0 THEN 'removed_guard_or_widened' ELSE 'other' END AS shape, guards::BIGINT AS guards, removed::BIGINT AS removed FROM m JOIN o USING (id)", name="k15_change_shape")
+def k15_change_shape(spark, d):
+    line = table(spark, d, "lineitem").where("l_orderkey % 4 < 2")
+    first = line.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("n")).agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("m"))
+    old = first.select("id", "n", (F.col("m.l_partkey") % 50).alias("hash"), (F.col("m.l_partkey") % 5 == 0).alias("guard"))
+    more = old.where("id % 2 = 0 and id % 5 > 0").select("id").distinct().select("id", F.lit(100).cast("long").alias("n"), F.lit(55).cast("long").alias("hash"), (F.col("id") % 3 == 0).alias("guard"))
+    return h.change_shape(old, old.where("not (id % 4 = 1 and n = 2)").unionByName(more))

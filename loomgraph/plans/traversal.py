@@ -173,3 +173,12 @@ def i19_closed_records(spark, d):
     return g.closed(rows, "parent").select("id")
 
 
+
+
+@query(RG + f", {bfs('SELECT id FROM entities WHERE id IN ($$o:30$$, $$o:44$$, $$c:5$$)', OUT, 2)}, needs AS (SELECT root AS id, sum(n + n // 7)::BIGINT AS need FROM (SELECT root, len(regexp_extract_all(signature, '(\\w+|[^\\w\\s])', 1)) AS n FROM reached JOIN entities ON id = node) GROUP BY root), k AS (SELECT id, need, row_number() OVER (ORDER BY need, id) AS k, coalesce(sum(need) OVER (ORDER BY need, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, count(*) OVER () AS m FROM needs), l AS (SELECT *, floor((150 - before) / (m - k + 1))::BIGINT AS level FROM k) SELECT id, need, least(need, coalesce((SELECT level FROM l x WHERE x.level <= x.need ORDER BY k LIMIT 1), need)) AS granted FROM l", name="i16_water_fill")
+def i16_water_fill(spark, d):
+    """A token budget shared between several focal entities by what their neighbourhoods need."""
+    e = entities(spark, d)
+    got = g.reach(g.rooted(e.where("id in ('o:30', 'o:44', 'c:5')").select("id")), g.edges_of(relations(spark, d)), 2)
+    needs = got.join(e.select(F.col("id").alias("node"), "signature"), "node").groupBy(F.col("root").alias("id")).agg(F.sum(token_estimate(F.col("signature"))).alias("need"))
+    return g.water_fill(needs, 150)
