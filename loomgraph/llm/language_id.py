@@ -3,8 +3,9 @@
 A text's letters, lower-cased, with every other character as a boundary, give its 1- to 3-grams, hashed to DIMS places.
 Their TF-IDF vector ((1 + ln tf) * idf, length 1) is compared by cosine with the centroids that spherical k-means finds
 for each language; the nearest one's language is the prediction and its cosine the score. A text too far from every
-centroid is rejected: its cosine is below a quarter of what 95 % of the sample's texts of like length (in powers of two of
-their number of n-grams) reach. Rejection is a column of its own; the prediction stays.
+centroid is rejected: its cosine is 0 or, with 2^SHORT n-grams or more, below a quarter of what 95 % of the sample's texts
+of like length (in powers of two of their number of n-grams) reach; lengths with fewer than ENOUGH texts in the sample
+take the least of the others. Rejection is a column of its own; the prediction stays.
 
 Learning reads a sample: of each language some `per_language` rows, picked by a hash of doc_id over all rows, never more
 than that in expectation. Document frequencies and centroids come from that sample; every row is predicted, from its
@@ -29,7 +30,7 @@ from .pretoken import LETTER, classes
 
 DIMS, ROWS = 8192, 256  # places of n-grams; documents in one matrix
 PER_LANGUAGE, CENTROIDS, STEPS = 1500, 4, 8
-BINS = 24
+BINS, SHORT, ENOUGH = 24, 6, 30
 
 
 @cache
@@ -181,9 +182,12 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS)
                 n = dense(b.column("grams").slice(lo, ROWS))
                 yield pa.record_batch([pa.array(length_bin(n.sum(1))), pa.array((weighed(n, idf) @ centres.T).max(1).astype(float) if len(names) else np.zeros(len(n)))], ["bin", "cosine"])
 
-    floor = np.zeros(BINS)
-    for r in grams.mapInArrow(cosines, "bin long, cosine double").groupBy("bin").agg(F.percentile_approx("cosine", 0.05).alias("low")).collect():  # BINS rows
-        floor[r.bin] = 0.25 * r.low
+    floor = np.full(BINS, np.nan)
+    for r in grams.mapInArrow(cosines, "bin long, cosine double").groupBy("bin").agg(F.percentile_approx("cosine", 0.05).alias("low"), F.count("*").alias("n")).collect():  # BINS rows
+        if r.bin >= SHORT and r.n >= ENOUGH:
+            floor[r.bin] = 0.25 * r.low
+    floor = np.where(np.isnan(floor), np.nanmin(floor) if not np.isnan(floor).all() else 0, floor)
+    floor[:SHORT] = 0
     return Model(idf, names, centres, floor)
 
 
@@ -196,7 +200,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             best, score, size = m.predict(b.column("text"))
             names = np.array([*m.names, "und"], object)
-            yield pa.record_batch([b.column("row"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array((best < 0) | (score < m.floor[size]))], ["row", "lang_pred", "score", "rejected"])
+            yield pa.record_batch([b.column("row"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array((best < 0) | (score <= m.floor[size]))], ["row", "lang_pred", "score", "rejected"])
 
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_col(docs).alias("text"))
     return held.mapInArrow(run, StructType([held.schema["row"], *StructType.fromDDL("lang_pred string, score double, rejected boolean").fields]))
