@@ -40,7 +40,7 @@ def import_root(path: Column) -> Column:
     return F.regexp_extract(path, r"^@?([^/.:]+)", 1)
 
 
-#: Directories that hold modules rather than being one.
+# Directories that hold modules rather than being one.
 CONTAINERS = ("src", "lib", "app", "crates", "packages", "tests")
 
 

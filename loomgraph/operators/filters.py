@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 IMPACT_KINDS = ("Extends", "Implements", "Overrides", "Calls", "Spawns", "Instantiates", "References", "UsesMacro", "UsesType", "Imports", "Includes", "DependsOn", "ConsumesContract", "SubscribesTo", "SendsMessage", "Tests", "Covers", "DerivedFrom")
 # Entity kinds that can be unreferenced code.
 CODE_KINDS = ("Function", "Method", "Class", "Interface", "TraitDef", "TypeAlias", "EnumDef", "Constant", "StaticVar")
-#: Files of tests, examples and benchmarks, by the lower-cased path with forward slashes.
+# Fixed value: a pattern for files of tests, examples and benchmarks, by the lower-cased path with forward slashes.
 NONPRODUCTION = r"(^|/)(tests?|testing|examples?|bench|benches|benchmarks?)/|(^|/)conftest\.py$|(^|/)test_[^/]*$|_test\.(py|rs|go)$|\.spec\.(ts|tsx|js|jsx)$"
-#: Fields in which a literal is looked for, the first that has it counts.
+# Fields in which a literal is looked for; the first that has it counts.
 LEXICAL_FIELDS = ("name", "signature", "file", "language", "role")
-#: Confidence of each way in which a relation was resolved.
+# The confidence of each way in which a relation was resolved.
 LADDER = ((1.0, "exact"), (0.95, "type_inferred"), (0.9, "import_scoped"), (0.8, "receiver_guess"), (0.5, "name_only"), (0.3, "derived"))
 
 

@@ -76,6 +76,7 @@ def downstream(start: DataFrame, entities: DataFrame, relations: DataFrame, dept
     return got.where("hop > 0").join(entities.select(F.col("id").alias("node")), "node", "left_semi")
 
 
+# Points of an impact by what it makes of its source, and by the kind of relation.
 BUCKET_POINTS = {"contract_consumer": 500, "runtime_caller": 450, "type_dependent": 400, "dependent": 350, "test": 250, "derived": 100}
 RELATION_POINTS = ((120, ("ConsumesContract",)), (110, ("Calls", "Spawns")), (105, ("Extends", "Implements", "Overrides")), (90, ("Instantiates", "References", "UsesType")), (80, ("SubscribesTo", "SendsMessage")), (70, ("Imports", "Includes", "DependsOn")), (50, ("Tests", "Covers")), (40, ("UsesMacro", "DerivedFrom")))
 
