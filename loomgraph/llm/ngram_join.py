@@ -5,6 +5,8 @@ least; a shared counter only changes the order). Each document orders its tokens
 A document of s tokens can have at most e = s - ceil(s * share) that a partner lacks. Rare tokens index alone. Tokens
 well above the mean count form CLASSES classes and index in pairs within a class, and the prefix grows until no e
 tokens can be taken from it without a rare token or a pair of one class being left; so partners share a signature.
+That takes more than CLASSES sure tokens (s - e), so smaller documents use fewer classes, in bands of size, and the
+smallest none: there all tokens index alone. Bands overlap so far that partners always have one in common.
 
 Signatures meet by bucket. The documents of one signature, cut where sizes are too far apart, form a star around the
 smallest doc_id. Documents keep a sketch, the counts of their tokens in BINS bins; two differ in as many tokens at least
@@ -34,6 +36,7 @@ from .shingles import shingles
 
 COUNTERS, SLICES = 1 << 22, 64  # 2^22 counters: 4 MB broadcast, whatever the input
 CLASSES = 64
+FEWER = (0, 1, 4, 16, CLASSES)  # classes by size: the prefix of a small document reaches errors + 1 as well
 BLOCK, BINS = 4096, 64
 HELD = 700_000
 SIGNATURE, STAR = (6, 3, 8), (8, 8)  # bytes of: signature, size, document; member, centre
@@ -119,16 +122,37 @@ def token_levels(first: DataFrame) -> tuple[np.ndarray, int]:
     return levels.ravel(), int(level(np.array([64 + 8 * sum(p.total for p in parts) / COUNTERS]))[0])
 
 
+def bands(tenths: int) -> list[tuple[int, int, int]]:
+    """(classes, least size, greatest size); partners have a band in common, where each has more sure tokens than classes."""
+    low = [max(1, 100 * c // tenths + 1) for c in FEWER]
+    return list(zip(FEWER, low, [100 * (m - 1) // tenths for m in low[1:]] + [np.iinfo(np.int64).max], strict=True))
+
+
 def signatures(tokens: np.ndarray, o: np.ndarray, levels: np.ndarray, frequent: int, tenths: int):
     """(row, signature) of all documents in a chunk."""
     size = np.diff(o)
     row = np.repeat(np.arange(len(size)), size)
     lev = levels[counter(tokens)]
     order = np.lexsort((tokens, lev, row))
-    tok, lev = tokens[order], lev[order]
+    tok, often = tokens[order], lev[order] > frequent
+    rows, sigs = [], []
+    for classes, low, high in bands(tenths):
+        docs = np.flatnonzero((size >= low) & (size <= high))
+        if len(docs):
+            own = ((size >= low) & (size <= high))[row]
+            r, s = _prefixes(tok[own], often[own], size[docs], classes, tenths)
+            rows.append(docs[r])
+            sigs.append(s)
+    return np.concatenate(rows), np.concatenate(sigs)
+
+
+def _prefixes(tok: np.ndarray, often: np.ndarray, size: np.ndarray, classes: int, tenths: int):
+    """(row, signature) of documents in one band, their tokens in order; without classes all tokens index alone."""
+    row = np.repeat(np.arange(len(size)), size)
+    o = np.append(0, np.cumsum(size))
     errors = size - (size * tenths + 99) // 100
     # what a token adds: nothing if it is the first of its class in the document, else one
-    klass = np.where(lev > frequent, 1 + (tok >> np.uint64(40)) % np.uint64(CLASSES), 0).astype(np.int64)
+    klass = np.where(often, 1 + (tok >> np.uint64(40)) % np.uint64(max(classes, 1)), 0).astype(np.int64) * (classes > 0)
     often = np.flatnonzero(klass)
     adds = np.ones(len(tok), np.int64)
     if len(often):

@@ -308,6 +308,36 @@ def test_frequent_tokens_index_in_pairs():
     assert set(sig[row == 0]) & set(sig[row == 1])
 
 
+@pytest.mark.parametrize("tenths", [50, 80, 90, 100])
+def test_small_documents_of_frequent_tokens_share_a_signature(tenths):
+    levels = np.full(ngram_join.COUNTERS, 200, np.uint8)  # all are frequent
+    rng = np.random.default_rng(4)
+    for size in range(1, 131):
+        for _ in range(4):
+            x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            lost = size - -(-size * tenths // 100)
+            y = np.sort(rng.choice(x, size - lost, replace=False))  # the fewest that a partner can have
+            row, sig = ngram_join.signatures(np.append(x, y), np.array([0, len(x), len(x) + len(y)]), levels, 100, tenths)
+            assert set(sig[row == 0]) & set(sig[row == 1]), size
+
+
+@pytest.mark.parametrize("n,tenths", [(3, 90), (5, 80)])
+def test_join_of_many_small_copies(spark, n, tenths):
+    rng = random.Random(n)
+    docs = []
+    for size in (1, 2, 3, 4, 5, 8, 12, 18, 20, 40, 71, 80, 100):
+        base = [f"{size}w{i}" for i in range(size + n - 1)]
+        near = [base[:-1] if size > 1 else base, [*base, "more"]]
+        docs += [" ".join(base)] * 110 + [" ".join(x) for x in near for _ in range(3)] + [" ".join([*base[: len(base) // 2], f"other{size}"])]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)  # several chunks in a task
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df, n, tenths).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute.components(docs, n, tenths)
+
+
 # pipeline
 
 
