@@ -1,7 +1,10 @@
 """Operator 2: the main text of HTML pages by composite text density.
 
 A page is read to a tree with the usual implied end tags. Elements that say what they are by name, role or class
-(menus, forms, notices, adverts, reader comments, ...) leave it first. For every other element, with C characters and
+(menus, forms, notices, adverts, reader comments, ...) leave it first. A class or id says so by a whole token, all of
+whose words are listed. What such a token, a form or its role leaves out stays, for the density to decide, if it holds
+a main or the articles that fewest such elements enclose, reader comments aside; or, on a page with neither, more than
+half of the text outside links. For every other element, with C characters and
 T tags below it, LC characters and LT tags of links, N = C - LC, and CB, LB for the body's C and LC, the density is
 
     C / T * ln(C / LC * T / LT) / ln(ln(C / N * LC + LB / CB * C + e))
@@ -36,11 +39,15 @@ WALLS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 OUT = frozenset("nav aside footer form head button label input dialog menu".split())
 OUT_ROLES = frozenset("navigation complementary banner contentinfo search form dialog alert alertdialog menu menubar".split())
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar masthead comment comments discussion respond replies disqus".split())
+PLACES = frozenset("area bar block body bottom box center col column container content global header inner item items js left links list main outer page panel primary right secondary section site top wrap wrapper".split())
 COMMENTS = frozenset("comment comments discussion respond replies disqus".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>|<[a-zA-Z/][^>]*(?:>|\Z)", re.S)
+HEADER = frozenset(["header"])
+HIDDEN = re.compile(r"\bhidden(?=[\s/>=]|$)", re.I)
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=[\s/>]|$))", re.I)
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[a-z]{2,}")
+SOFT, REMARKS, HARD = 1, 2, 3  # how an element is left out: unless it holds the article; as reader comments; always
 
 
 class Node:
@@ -52,25 +59,62 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; inside: below an article or main."""
+def says(value: str, listed: frozenset) -> bool:
+    """Whether a class or id has a token of listed words and, at most, places."""
+    return any(listed.intersection(w) and all(x in listed or x in PLACES for x in w) for w in map(WORDS.findall, value.split()))
+
+
+def left_out(name: str, attributes: str, inside: bool) -> int:
+    """How an element is left out of an article, or 0; inside: below an article or main."""
     if name in OUT or name == "header" and not inside:
-        return True
+        return SOFT if name == "form" and not HIDDEN.search(attributes) else HARD
     if not attributes or name in ("html", "body"):
-        return False
+        return 0
+    how = 0
     for key, a, b, c in NAMED.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.strip() in OUT_ROLES:
-            return True
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.strip() in OUT_ROLES - {"form"}:
+            return HARD
+        if key == "role" and value.strip() == "form":
+            how = how or SOFT
         if key in ("class", "id"):
-            words = set(WORDS.findall(value))
-            if words & (COMMENTS if name in ("article", "main") else OUT_WORDS) or "header" in words and not inside and name in ("div", "section"):
-                return True
-    return False
+            if says(value, COMMENTS):
+                how = HARD if name in ("article", "main") else REMARKS
+            elif name not in ("article", "main") and (says(value, OUT_WORDS) or not inside and name in ("div", "section") and says(value, HEADER)):
+                how = how or SOFT
+    return how
+
+
+def spare(root: Node) -> None:
+    """Takes back what is left out softly but holds the article."""
+    order, stack = [], [(root, 0, False)]  # element, how many are left out around it, whether within comments
+    found = []
+    while stack:
+        node, around, remarks = stack.pop()
+        order.append(node)
+        if node.out:
+            around, remarks = around + 1, remarks or node.out == REMARKS
+        if node.name in ("article", "main") and not remarks:
+            found.append((node, around))
+        stack += [(k, around, remarks) for k in node.kids if type(k) is Node and k.out != HARD]
+    if not any(n.out for n in order):
+        return
+    plain = {}  # characters outside links
+    for node in reversed(order):
+        plain[id(node)] = 0 if node.name == "a" else sum(len("".join((unescape(k) if "&" in k else k).split())) if type(k) is str else plain.get(id(k), 0) for k in node.kids)
+    found = [(n, around) for n, around in found if plain[id(n)]]
+    least = min((around for _, around in found), default=0)
+    for n, around in found:
+        up = n if n.name == "main" or around == least else None
+        while around and up is not None:
+            up.out, up = 0, up.parent
+    for n in order if not found else ():
+        if n.out and 2 * plain[id(n)] > plain[id(root)]:
+            n.out = 0
 
 
 def parse(html: str) -> Node:
-    root = Node("#root", None, False)
+    root = Node("#root", None, 0)
     here, at, end = root, 0, len(html)
     open_tags: dict[str, int] = {}
 
@@ -123,7 +167,7 @@ def parse(html: str) -> Node:
                 close(last.name)
         if name in ("html", "body") and open_tags.get(name):
             continue
-        out = here.out or left_out(name, m[3], bool(open_tags.get("article") or open_tags.get("main")))
+        out = left_out(name, m[3], bool(open_tags.get("article") or open_tags.get("main")))
         node = Node(name, here, out)
         here.kids.append(node)
         if name not in VOID and not m[3].endswith("/") or name in ("p", "div", "span", "a", "b", "i"):
@@ -205,6 +249,7 @@ def main_text(html: str) -> str:
     if not html:
         return ""
     root = parse(html)
+    spare(root)
     order = size_up(root)
     if not root.chars:
         return ""

@@ -73,6 +73,22 @@ def test_html_main_text():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+@pytest.mark.parametrize("tag", ['div class="layout has-sidebar"', 'div class="page no-sidebar"', 'div id="page-with-nav"', 'section class="related-work"', "form action=/x", 'form role="form"', 'div class="sidebar"', 'div id="main-nav-wrapper"', 'div class="page header"'])
+def test_html_wrappers_keep_the_article(tag):
+    end = f"</{tag.split()[0]}>"
+    text = "<p>First paragraph of the article, which is long enough to count.</p><p>Second paragraph of it, as long as the first one or so.</p>"
+    menu, side = "<nav><a href=a>one</a><a href=b>two</a></nav>", '<div class="sidebar-left"><p>Beside it.</p></div><form><p>Sign up</p></form>'
+    want = "First paragraph of the article, which is long enough to count.\nSecond paragraph of it, as long as the first one or so."
+    for article in (f"<article>{text}</article>", f"<main>{text}</main>", f"<div>{text}</div>"):
+        assert html_text.main_text(f"<body>{menu}<{tag}>{article}{side}{end}<footer>me</footer></body>") == want
+        assert html_text.main_text(f"<body><form><{tag}>{article}{end}{side}</form></body>") == want
+
+
+def test_html_comments_and_teasers_stay_out():
+    say = "<p>I liked this really a lot and even more than that, friend.</p>" * 5
+    assert html_text.main_text(f'<article><p>Short but all there is.</p></article><div id="comments" class="comments-area"><article class="comment-body">{say}</article>{say}</div><div class="related"><article><p>Another one</p></article></div>') == "Short but all there is."
+
+
 def test_html_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
