@@ -1,6 +1,6 @@
 """Operator 1 [native]: licence scan by canonical digests.
 
-A text is made canonical: lower case; copyright lines leave; every run of other characters than letters and digits is
+A text is made canonical: lower case; copyright lines leave (with a year, or short ones without); every run of other characters than letters and digits is
 one space; equivalent spellings become one (licence/license, authorise/authorize, favour/favor, labelling/labeling,
 acknowledgement/acknowledgment, owner/holder, whilst/while, sub-license, non-commercial). Spelling rules work on word
 ends of any word; both sides of the comparison pass through them. Entire texts are hash-joined by their SHA-256 to the
@@ -68,8 +68,30 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
     ("all-rights-reserved", "All rights reserved."),
 )
+# Digests of the canonical form of longer texts.
+DIGESTS = (
+    ("Apache-2.0", "b2eb4bb4eb8c24c863faf8a793591d133aa83c30827cb7a8e3ea5da99596624a"),
+    ("GPL-1.0", "ebbc279de33932ad9a3a205e38d89804c806aaf63bbcf6e848812db90f1329f0"),
+    ("GPL-2.0", "a01369c0d31c7a25fb260692b0ec795b4ce818346c69a5a3f35fd678e4694b50"),
+    ("GPL-3.0", "2e8b2e9465815a2d4eb284964a350ac4e532adbf2bfe6dd2b6ca2b37a2e275fb"),
+    ("LGPL-2.0", "b5e116396a7acd0088e3358f1570ae40e5531b030b8a35578901fc22d89cf094"),
+    ("LGPL-2.1", "5dce766b4e29f335e7549b88187a3f569e1fa746581b37e75541bf59e1e3b258"),
+    ("LGPL-3.0", "35e5d974a8212b3f9c8443711419341c089421e7e83036e3a03c620d52388172"),
+    ("MPL-1.1", "8a2fadd8b0f8200dfb8f823e50bbd61857e6b4eda80652df9f45fc4b2855d2be"),
+    ("MPL-2.0", "d3929ffce090e16529f985f979bcf99bd663dd66ac7683124314b7ccc7093a64"),
+    ("CC0-1.0", "9a96d4de22d3909633285aaded7417e629b1f4701bb15e0d94c49dda91e5cac5"),
+    ("Unlicense", "3ea79017bacc7f6cea976a19e7bacdea54beda4c271299d4ac63f3127e8df094"),
+)
 # Patterns (of both Java and RE2) and what takes their place, in this order.
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|spdx filecopyrighttext)[^\n]*(19|20)[0-9][0-9][^\n]*"
+DATED_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|spdx filecopyrighttext)[^\n]*(19|20)[0-9][0-9][^\n]*"
+# Lines without a year, of Java only: short ones that no prose goes on with; "(c)" alone also marks items of a list.
+PROSE = r"(?:holders?|owners?|ownership|notices?|licen[cs]e[sd]?|laws?|and|or|in|is|of|to|on|as|for|under|that|which|may|shall|are|was|has|from|over|with|treaty|treaties|protections?|infringements?|interests?|act|statements?|claims?|information|permissions?|status|terms?|rights?|works?|materials?|disclaimers?)(?![\p{L}\p{N}])"
+COPYRIGHT_LINE = (
+    r"(?:^|\n)[^\p{L}\p{N}\n(©]*(?:"
+    r"(?:copyright[ \t]*(?:\(c\)|©)|©|\(c\)[ \t]*copyright|spdx-filecopyrighttext)[^\n]{0,200}(?![^\n])"
+    r"|copyright(?:[ \t]*:)?[ \t]+(?:by[ \t]+)?(?!" + PROSE + r")[^ \t\n][^\n]{0,100}(?![^\n])"
+    r"|\(c\)[ \t]+[^\n]{0,80}[^;:,\n](?=\n[ \t\r]*(?:\n|$)|\s*$))"
+)
 RULES = (
     ("&", " and "),
     (r"[^\p{L}\p{N}\n]+", " "),
@@ -88,7 +110,7 @@ RULES = (
 
 def lines_of(text: Column) -> Column:
     """The text in canonical spelling, its line feeds kept."""
-    text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    text = F.regexp_replace(F.regexp_replace(F.lower(text), DATED_LINE, "\n"), COPYRIGHT_LINE, "\n")
     for pattern, by in RULES:
         text = F.regexp_replace(text, pattern, by)
     return text
@@ -104,11 +126,14 @@ def known(spark: SparkSession) -> DataFrame:
     return rows.select("license", F.sha2(canonical(lines_of(F.col("text"))), 256).alias("digest")).distinct()
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, digest, license (of the entire text; null if unknown), notices (of single lines, sorted, joined by commas)."""
+def scan(docs: DataFrame, more=DIGESTS) -> DataFrame:
+    """doc_id, n_chars, digest, license (of the entire text; null if unknown), notices (of single lines, sorted, joined by commas).
+
+    more: (license, digest) of further entire texts.
+    """
     # one row for each known text: a broadcast of a fixed size
-    table = known(docs.sparkSession).alias("known")
-    by_digest = {r.digest: r.license for r in table.collect()}
+    by_digest = {r.digest: r.license for r in known(docs.sparkSession).collect()}
+    table = docs.sparkSession.createDataFrame([(i, d) for d, i in ({d: i for i, d in more} | by_digest).items()], "license string, digest string")
     lookup = F.create_map(*[F.lit(x) for pair in sorted(by_digest.items()) for x in pair])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.length("text").cast("long").alias("n_chars"), lines_of(F.col("text")).alias("lines"))
@@ -118,7 +143,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', chr(10), 'g')".replace("\\n", "\\n")
+    out = f"regexp_replace(lower({text}), '{DATED_LINE}', chr(10), 'g')".replace("\\n", "\\n")
     for pattern, by in RULES:
         out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
     return out

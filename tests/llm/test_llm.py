@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,30 @@ def test_licences_of_entire_texts_and_lines(spark):
     assert licences.scan(odd(spark)).count() == len(ODD) and licences.scan(empty(spark)).count() == 0
 
 
+def test_licences_of_copyright_lines_without_a_year(spark):
+    heads = ["Copyright (c) Meta Platforms, Inc. and affiliates.", "Copyright (c) The Authors", "MIT License\n\nCopyright Some Body <a@b.org>", "© The Authors", "(c) Some Body", "SPDX-FileCopyrightText: Some Body", "Copyright: Some Body"]
+    wrapped = licences.BSD_HEAD.replace("above copyright", "above\ncopyright") + licences.BSD_END.replace("THE COPYRIGHT", "THE\nCOPYRIGHT")
+    cases = {i: (h + "\n\n" + licences.MIT_TERMS, "MIT") for i, h in enumerate(heads)}
+    cases |= {50: ("Copyright The Authors\n" + wrapped, "BSD-2-Clause"), 51: ("Copyright (c) The Authors. " + " ".join(licences.MIT_TERMS.split()), None), 52: (licences.MIT_TERMS + "\n(c) you pay us;\n", None)}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(df).collect()}
+    assert {i: r.license for i, r in got.items()} == {i: want for i, (_, want) in cases.items()}
+    assert got[51].digest != hashlib.sha256(b"").hexdigest()
+
+
+def test_licences_of_longer_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(i, (folder / f).read_text().upper().replace("\n", " \r\n")) for i, f in enumerate(files) if (folder / f).exists()]
+    if not rows:
+        pytest.skip("no licence texts here")
+    got = {r.doc_id: r.license for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: list(files.values())[i] for i, _ in rows}
+    own = spark.createDataFrame([(1, "Own terms")], "doc_id long, text string")
+    digest = licences.scan(own).first().digest
+    assert licences.scan(own, [("Own", digest)]).first().license == "Own"
+
+
 # 2 HTML
 
 PAGE = """<html><head><title>No</title><style>p {{}}</style></head><body><header><h1>Site</h1><a href=/>home</a></header><nav><ul><li><a href=x>one</a><li><a href=y>two</a></ul></nav>
