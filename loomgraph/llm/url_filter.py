@@ -4,7 +4,7 @@ A host is what follows the first `://` of a url up to `/`, `?`, `#` or the end,
 `?`, `#` or the end. A rule fits its host and all subdomains where the path starts with the rule's; the longest wins.
 
 Pages without a rule take their host's verdict. A host is a trusted seed by the share of its pages that allow-rules
-fit, and a blocked one by that of block-rules. Over the distinct links between hosts (absolute links in the html)
+fit, and a blocked one by that of block-rules. Over the links between hosts (absolute ones in the html, by their number)
 personalised PageRank carries trust forward from the trusted seeds, and distrust backward, against the links, from the
 blocked ones: STEPS rounds with damping DAMPING; what reaches a host without a way on is lost. Scores are scaled so that
 a seed with all of its pages and no links has 1. A host is blocked if its distrust is at least THRESHOLD and more than
