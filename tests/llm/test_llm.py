@@ -223,6 +223,47 @@ def test_repeats_of_null_and_repeated_ids(spark):
     assert sorted(((r.doc_id or 0), r.n_removed) for r in repeats.remove_repeats(df).collect()) == [(0, 0), (7, 0), (7, 0), (9, len(t))]
 
 
+def compare_repeats(df, docs):
+    want = brute.repeats(docs)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()}
+    assert got == {i: w[:4] for i, w in want.items()}
+
+
+def test_repeats_around_a_frequent_line(spark):
+    rng = random.Random(8)
+    line, lines = "-- a line of forty bytes, in most texts --", []
+    for _ in range(900):  # more runs of one anchor than MANY: they are dealt out window by window
+        side = "".join(rng.choice("abc") for _ in range(40))
+        lines.append(side + line + "".join(rng.choice("abc") for _ in range(rng.choice([0, 5, 60]))))
+        lines.append(rng.choice(lines)[rng.randint(0, 45) :] + rng.choice(["", "!", side]))
+    docs = list(enumerate(lines))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    held = df.withColumn("bucket", F.lit(0))
+    assert len(repeats.hot_anchors(repeats.first_pass(held, 5, 5, repeats.WINDOW, repeats.ANCHOR))) > 0
+    compare_repeats(df, docs)
+
+
+def test_repeats_in_texts_longer_than_a_chunk(spark):
+    rng = random.Random(9)
+    size = repeats.CHUNK_BYTES
+    long = "".join(rng.choices("abcdefgh", k=2 * size + 300))
+    other = "é" + long[size - 40 : size + 90] + "zzz" + long[-120:] + long[: size // 4] + "x" * 500
+    docs = [(3, long), (1, other), (7, long[size - 10 : size + 400]), (5, "x" * 400), (9, "ab" * 40 + "".join(rng.choices("abcdefgh", k=200)) + "ab" * 40), (2, "ba" * 45)]
+    compare_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), docs)
+
+
+def test_repeats_by_bytes_not_by_digits(spark, monkeypatch):
+    """Spans with equal fingerprints but other bytes stay apart."""
+    text = np.frombuffer(b"a" * 60 + b"b" * 60 + b"a" * 60, np.uint8)
+    n = np.array([60, 60, 60])
+    zero = np.zeros(3, np.uint64)
+    s = repeats.Spans(zero, zero, np.array([1, 2, 3]), np.zeros(3, np.int64), np.zeros(3, np.int64), n - 49, text, np.array([0, 60, 120]), n)
+    kept, later, own, _ = s.settle()
+    assert kept.doc.tolist() == [1, 2, 3] and not len(later.doc) and not len(own.doc)
+    span, at = repeats.repeated_windows(kept, 50)
+    assert set(zip(kept.doc[span].tolist(), at.tolist(), strict=True)) == {(3, k) for k in range(11)}
+
+
 # 6 top-k
 
 
