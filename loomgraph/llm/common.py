@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass works on; temporaries take some 100 bytes for each.
 CHUNK_BYTES = 1 << 20
 #: Bytes of text in a bucket of documents, which one task holds at once.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

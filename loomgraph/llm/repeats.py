@@ -38,7 +38,7 @@ from .common import CHUNK_BYTES, Fingerprints, bucket_col, bucket_of, buckets_fo
 
 WINDOW, ANCHOR, DIGIT = 50, 24, 4
 LOW32, TOP48 = np.uint64(0xFFFFFFFF), np.uint64(16)
-HELD = 700_000  # records that a task gathers before it deals them out
+HELD, WINDOWS = 500_000, 500_000  # records that a task gathers before it deals them out, and windows that it sorts at once
 MANY, HOT_PARTS = 256, 22
 # kinds of rows: what documents are told, what is dealt out, and what the driver sums up
 COVERED, OPEN, SAME, DEAL, HOT, COUNT = range(6)
@@ -284,14 +284,25 @@ def open_spans(text, o, ids, ordinal, base, known, hot, window, anchor) -> Spans
 
 
 def repeated_windows(s: Spans, window: int):
-    """(span, window in it) of all windows that a smaller document has too; spans differ from each other. One radix pass for each DIGIT bytes."""
-    order = np.argsort(s.key, kind="stable")
-    first = np.append(True, np.diff(s.key[order]) != 0)[: len(order)]
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(first) - 1
-    span = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else order  # an anchor of one range has no other windows
+    """(span, window in it) of all windows that a smaller document has too; spans differ from each other and are in the order of their keys."""
+    first = np.flatnonzero(np.append(True, s.key[1:] != s.key[:-1])[: len(s.key)])
+    size = np.diff(np.append(first, len(s.key)))
+    group = np.repeat(np.arange(len(first)), size)
+    several = np.flatnonzero((size > 1)[group])  # an anchor of one range has no other windows
+    ends = np.append(0, np.cumsum(s.n[several]))
+    out, lo = [(np.zeros(0, np.int64),) * 2], 0
+    while lo < len(several):  # whole anchors, of some WINDOWS windows at once
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + WINDOWS, "right")) - 1)
+        hi = int(np.searchsorted(group[several], group[several[hi - 1]], "right"))
+        out.append(_repeated(s, several[lo:hi], group[several[lo:hi]], window))
+        lo = hi
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(2))
+
+
+def _repeated(s: Spans, span: np.ndarray, group: np.ndarray, window: int):
+    """One radix pass for each DIGIT bytes."""
     n = s.n[span]
-    group, at, span = np.repeat(group[span], n), ragged(s.start[span], n), np.repeat(span, n)
+    group, at, span = np.repeat(group - group[0], n), ragged(s.start[span], n), np.repeat(span, n)
     for depth in range(0, window, DIGIT):
         if not len(at):
             break
