@@ -1,22 +1,32 @@
 """Operator 2: the main text of HTML pages by composite text density.
 
-A page is read to a tree with the usual implied end tags. Elements that say what they are by name, role or class
-(menus, forms, notices, adverts, reader comments, ...) leave it first. A class or id says so by a whole token, all of
-whose words are listed. What such a token, a form or its role leaves out stays, for the density to decide, if it holds
-a main or the articles that fewest such elements enclose, reader comments aside; or, on a page with neither, more than
-half of the text outside links. For every other element, with C characters and
-T tags below it, LC characters and LT tags of links, N = C - LC, and CB, LB for the body's C and LC, the density is
+A page is read to a tree with the usual implied end tags. For every element, with C characters and T tags below it, LC
+characters and LT tags of links, N = C - LC, and CB, LB for the body's C and LC, the density is
 
     C / T * ln(C / LC * T / LT) / ln(ln(C / N * LC + LB / CB * C + e))
 
-with 1 for zero counts. An element's sum is that of its children's densities; the element of the largest sum, the
-first of equals, is the core of the article. The least density on the path from the core to the body is the threshold:
-beside that path every element counts as well whose density reaches it, and all of an `article` or `main` on it.
-A page without any text outside the left-out elements gives an empty text.
+with 1 for zero counts. An element's sum is that of its children's densities. The element of the largest sum, the first
+of equals, is the core of the article.
+
+What an element is called is evidence for or against it. Menus, asides, footers, headers of the page, hidden elements,
+dialogs and buttons are no article by name or role and never count. A form, and an element whose class or id has a whole
+token of listed words, is doubtful. Of these, those stay that are around the page's main or its articles that fewest
+such elements enclose, reader comments aside. On a page with neither, those stay that are around the element of the
+largest sum in them, if half of it (of reader comments a tenth) is more than any sum outside them. All others go, and
+the core is searched in what is left. There, what is around an article or main is no core, and sums in them count 16
+times, unless an element beside them has a larger sum.
+
+The text is that of the outermost article or main around the core, or else of the core. Without an article or main,
+elements beside the path from the core to the body count as well if their density reaches the threshold: the least
+density on that path, but no less than half and no more than three quarters of the mean density of the core's children
+(large elements are denser than single paragraphs). So do headings before the core. Lists of links alone, three at
+least, below that threshold count nowhere but in an article or main. A page without any text
+outside the left-out elements gives an empty text.
 
 Character references are decoded, white space inside a block becomes one space (a `br` is white space), blocks are
 trimmed and joined in page order by one line feed. Null html gives an empty text, other columns may be null; repeated
-rows are each extracted; empty tables give no rows.
+rows are each extracted; empty tables give no rows; other columns of any name are not read. A page of any length is
+read whole, by one task, with some hundred bytes for each tag.
 """
 
 from __future__ import annotations
@@ -31,7 +41,8 @@ from pyspark.sql import functions as F
 
 # Names of HTML elements, and words by which pages name what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select".split())
+RAW = frozenset("script style textarea title template iframe canvas audio video select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body caption dd dt html legend li optgroup option tbody td tfoot th thead tr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody",), "tfoot": ("tbody", "thead", "tr", "td", "th")}
@@ -42,12 +53,14 @@ OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor s
 PLACES = frozenset("area bar block body bottom box center col column container content global header inner item items js left links list main outer page panel primary right secondary section site top wrap wrapper".split())
 COMMENTS = frozenset("comment comments discussion respond replies disqus".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>|<[a-zA-Z/][^>]*(?:>|\Z)", re.S)
+VALUE = r"(?>\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)"  # quotes count at a value's start only
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*+{VALUE}?+)*+)>|<[a-zA-Z/][^>]*(?:>|\Z)", re.S)
 HEADER = frozenset(["header"])
-HIDDEN = re.compile(r"\bhidden(?=[\s/>=]|$)", re.I)
-NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=[\s/>]|$))", re.I)
+TELLING = re.compile(r"class|id|role", re.I)
+ATTRIBUTE = re.compile(rf"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*({VALUE}))?")
 WORDS = re.compile(r"[a-z]{2,}")
 SOFT, REMARKS, HARD = 1, 2, 3  # how an element is left out: unless it holds the article; as reader comments; always
+WEIGHT = {0: 0.0, SOFT: 0.5, REMARKS: 0.1}  # of sums inside them, against those outside
 
 
 class Node:
@@ -66,13 +79,15 @@ def says(value: str, listed: frozenset) -> bool:
 
 def left_out(name: str, attributes: str, inside: bool) -> int:
     """How an element is left out of an article, or 0; inside: below an article or main."""
-    if name in OUT or name == "header" and not inside:
-        return SOFT if name == "form" and not HIDDEN.search(attributes) else HARD
-    if not attributes or name in ("html", "body"):
-        return 0
     how = 0
-    for key, a, b, c in NAMED.findall(attributes):
-        key, value = key.lower(), (a or b or c).lower()
+    if name in OUT or name == "header" and not inside:
+        if name != "form":
+            return HARD
+        how = SOFT
+    if not attributes or name in ("html", "body") or not TELLING.search(attributes):
+        return how
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.strip() in OUT_ROLES - {"form"}:
             return HARD
         if key == "role" and value.strip() == "form":
@@ -85,32 +100,50 @@ def left_out(name: str, attributes: str, inside: bool) -> int:
     return how
 
 
+def around(node: Node):
+    """The element and what is around it, from the inside."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def spare(root: Node) -> None:
     """Takes back what is left out softly but holds the article."""
-    order, stack = [], [(root, 0, False)]  # element, how many are left out around it, whether within comments
-    found = []
-    while stack:
-        node, around, remarks = stack.pop()
-        order.append(node)
-        if node.out:
-            around, remarks = around + 1, remarks or node.out == REMARKS
-        if node.name in ("article", "main") and not remarks:
-            found.append((node, around))
-        stack += [(k, around, remarks) for k in node.kids if type(k) is Node and k.out != HARD]
+    order = size_up(root, HARD)
     if not any(n.out for n in order):
         return
-    plain = {}  # characters outside links
-    for node in reversed(order):
-        plain[id(node)] = 0 if node.name == "a" else sum(len("".join((unescape(k) if "&" in k else k).split())) if type(k) is str else plain.get(id(k), 0) for k in node.kids)
-    found = [(n, around) for n, around in found if plain[id(n)]]
-    least = min((around for _, around in found), default=0)
-    for n, around in found:
-        up = n if n.name == "main" or around == least else None
-        while around and up is not None:
-            up.out, up = 0, up.parent
-    for n in order if not found else ():
-        if n.out and 2 * plain[id(n)] > plain[id(root)]:
-            n.out = 0
+    found = []  # the articles, with how many doubtful elements are around them
+    for n in order:
+        if n.name in ("article", "main") and n.chars > n.link_chars:
+            up = [u.out for u in around(n) if u.out]
+            if REMARKS not in up:
+                found.append((n, len(up)))
+    least = min((k for _, k in found), default=0)
+    keep = [n for n, k in found if n.name == "main" or k == least]
+    if not keep:
+        densities(order, body_of(order))
+        doubtful = {id(n): WEIGHT[max(u.out for u in around(n))] * n.sum for n in order}
+        inside = max(order, key=lambda n: doubtful[id(n)])
+        best = doubtful[id(inside)]
+        reset(order)
+        order = size_up(root)
+        densities(order, body_of(order))
+        if best > max(n.sum for n in order):
+            keep = [inside]
+    for n in keep:
+        for up in around(n):
+            up.out = 0
+    reset(order)
+
+
+def body_of(order: list[Node]) -> Node:
+    return next((n for n in order if n.name == "body"), order[0])
+
+
+def reset(order: list[Node]) -> None:
+    for n in order:
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
+        n.density = n.sum = 0.0
 
 
 def parse(html: str) -> Node:
@@ -177,13 +210,13 @@ def parse(html: str) -> Node:
     return root
 
 
-def size_up(root: Node) -> list[Node]:
-    """The elements that count, in page order, with their counts."""
+def size_up(root: Node, out: int = SOFT) -> list[Node]:
+    """The elements that count, in page order, with their counts; those left out so much or more don't."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack += [k for k in reversed(node.kids) if type(k) is Node and not k.out]
+        stack += [k for k in reversed(node.kids) if type(k) is Node and k.out < out]
     for node in reversed(order):
         own = 0
         for k in node.kids:
@@ -253,20 +286,37 @@ def main_text(html: str) -> str:
     order = size_up(root)
     if not root.chars:
         return ""
-    body = next((n for n in order if n.name == "body"), root)
+    body = body_of(order)
     densities(order, body)
     core = max(order, key=lambda n: n.sum)  # the first of equals
+    holders = {id(u) for n in order if n.name in ("article", "main") and n.chars > n.link_chars for u in around(n.parent)}
+    if holders:
+        best = max((n for n in order if id(n) not in holders), key=lambda n: n.sum * (16 if any(u.name in ("article", "main") for u in around(n)) else 1))
+        core = best if any(u.name in ("article", "main") for u in around(best)) else core
     if not core.sum:
         core = body
-    line = [core]
-    while line[-1].parent is not None:
-        line.append(line[-1].parent)
-    path = {id(n) for n in line}
-    whole = {id(n) for n in line if n is core or n.name in ("article", "main")}
-    least = min((n.density for n in line if n.name not in ("html", "#root")), default=0.0)
+    path = list(around(core))
+    marked = [n for n in path if n.name in ("article", "main")]
     out: list[str] = []
-    # below the core, below an article on the path, or below an element that counts, everything counts
-    blocks(root, lambda n: id(n) in path or id(n.parent) not in path or id(n.parent) in whole or n.density >= least, out)
+    if marked:  # the page says where its article is
+        blocks(marked[-1], lambda n: True, out)
+        return "\n".join(out)
+    on_path = {id(n) for n in path}
+    kids = [k.density for k in core.kids if type(k) is Node and k.density]
+    mean, least = sum(kids) / len(kids) if kids else 0.0, min((n.density for n in path if n.name not in ("html", "#root")), default=0.0)
+    least = min(max(least, mean / 2), mean * 3 / 4)
+    after = False  # whether the core has begun: nothing behind it is its heading
+
+    def keep(n):
+        nonlocal after
+        if id(n) in on_path:
+            after = after or n is core
+            return True
+        if n.density < least and n.link_tags > 2 and n.chars == n.link_chars and n.name in BLOCK:
+            return False
+        return id(n.parent) not in on_path or n.parent is core or n.density >= least or not after and n.name in HEADINGS
+
+    blocks(root, keep, out)
     return "\n".join(out)
 
 

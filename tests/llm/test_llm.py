@@ -109,6 +109,32 @@ def test_html_wrappers_keep_the_article(tag):
         assert html_text.main_text(f"<body><form><{tag}>{article}{end}{side}</form></body>") == want
 
 
+def paragraphs(n):
+    return [f"Paragraph number {i} of the article, which is long enough to be one of the real ones, and then a bit longer still." for i in range(n)]
+
+
+def test_html_density_decides():
+    text = "".join(f"<p>{x}</p>" for x in paragraphs(4))
+    want = "\n".join(paragraphs(4))
+    side, cookies = "<div><p>Beside it all stands a box.</p></div>", "<p>We use cookies here.</p>"
+    links = "<ul><li><a href=a>one</a><li><a href=b>two</a><li><a href=c>three</a></ul>"
+    assert html_text.main_text(f"<body>{side}<div>{text}</div>{cookies}</body>") == want  # without density all text counts
+    assert html_text.main_text(f"<body><div>{side}<div>{text}</div></div>{cookies}{links}</body>") == want
+    assert html_text.main_text(f"<body><h1>A title</h1><div>{text}{links}</div><h3>More</h3>{links}</body>") == "A title\n" + want
+    assert html_text.main_text(f"<body>{side}<article><p>Short.</p></article>{cookies}</body>") == "Short."
+    assert html_text.main_text(f"<body><p>{paragraphs(1)[0]}</p><div>{text}</div></body>") == paragraphs(1)[0] + "\n" + want  # as dense as the core
+    # a doubtful element that holds the core stays, one that doesn't goes
+    assert html_text.main_text(f'<body><p>Skip it</p><div class="sidebar">{text}</div></body>') == want
+    assert html_text.main_text(f'<body><div class="sidebar"><p>{paragraphs(1)[0]}</p></div><div>{text}</div></body>') == want
+
+
+def test_html_attributes_and_inline_elements():
+    assert html_text.main_text("<p data-x=it's>two don't three</p><p a='b>'c=d\"e>four</p>") == "two don't three\nfour"
+    assert html_text.main_text("<article><p title=\"class='nav'\">a <math><mi>x</mi></math> <svg><title>no</title><text>b</text></svg> <noscript>c</noscript></p></article>") == "a x b c"
+    assert html_text.main_text("<p class=nav>no</p><p " + "a=b " * 50_000 + ">yes</p>") == "yes"
+    assert html_text.main_text("<a x='" * 20_000) == html_text.main_text("<p a=b" * 20_000) == ""
+
+
 def test_html_comments_and_teasers_stay_out():
     say = "<p>I liked this really a lot and even more than that, friend.</p>" * 5
     assert html_text.main_text(f'<article><p>Short but all there is.</p></article><div id="comments" class="comments-area"><article class="comment-body">{say}</article>{say}</div><div class="related"><article><p>Another one</p></article></div>') == "Short but all there is."
@@ -123,6 +149,7 @@ def test_html_pages(spark, sf_dir):
         assert got[r.page_id] == "\n".join(html_text.unescape(" ".join(x.split())) for x in lines if x.strip())
     df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>x</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).orderBy("page_id").collect()] == [(None, "x", 1), (1, "", 0), (1, "", 0)]
+    assert html_text.extract(df.limit(0)).count() == 0
 
 
 # 3 motion JPEG
