@@ -1,12 +1,14 @@
 """Operator 7: byte-level BPE encoding and decoding by length-bucketed padded numpy matrices.
 
 Texts are split by the tokenizer's pattern (pretoken.py); distinct pieces are encoded once for each worker. Pieces
-of like length share a padded matrix of ids. In each round every row looks up the ranks of its adjacent pairs in an
-open-addressing hash table, merges its leftmost pair of the least rank, and closes the gap; rows without a pair that
-merges leave the matrix. Rows of over LONG bytes merge all places of their least pair in a round: a merged token only
-forms pairs of higher rank, so the order of merges stays the same.
-
-Null and empty texts give no ids; repeated rows give equal values; other columns are not read.
+of like length share a padded matrix of ids, whatever their length. In each round every row looks up the ranks of its
+adjacent pairs in an open-addressing hash table, merges its leftmost pair of the least rank, and closes the gap; rows
+without a pair that merges leave the matrix. The rounds that would merge the same pair further right in the row are
+taken along in one, unless a merge makes a pair of lower rank, which then comes first: that row merges its leftmost
+place alone. So a piece takes as many rounds as it merges distinct pairs, not as it has bytes.
+
+Null and empty texts give no ids; a null doc_id stays null; repeated rows give equal values; empty tables give no rows;
+other columns of any name are not read. Texts are read whole, some CHUNK_BYTES or one text at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import ragged, raw, spans, text_col
 from .pretoken import Pieces
 
-NONE, LONG = np.int32(2**31 - 1), 256
+NONE = np.int32(2**31 - 1)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -86,57 +88,58 @@ class BPE:
         """Encodes padded rows of byte ids (-1 behind the end) into out[index[i]]."""
         rank = self.pairs.ranks(rows[:, :-1], rows[:, 1:])
         while len(rows):
-            if not rank.shape[1]:
-                rank = np.full((len(rows), 1), NONE)
-            at = rank.argmin(1)
-            best = rank[np.arange(len(rows)), at]
+            best = rank.min(1) if rank.shape[1] else np.full(len(rows), NONE)
             done = best == NONE
             if done.any():
                 for i, row in zip(index[done].tolist(), rows[done], strict=True):
                     out[i] = row[row >= 0]
                 keep = ~done
-                rows, rank, index, at, best = rows[keep], rank[keep], index[keep], at[keep], best[keep]
+                rows, rank, index, best = rows[keep], rank[keep], index[keep], best[keep]
                 if not len(rows):
                     return
-            i, n = np.arange(len(rows)), rows.shape[1]
-            cols = np.arange(n - 1)
-            take = cols + (cols > at[:, None])  # close the gap at + 1
-            rows[i, at] = best
-            rows = np.take_along_axis(rows, take, 1)
-            if n == 2:
-                rank = np.zeros((len(rows), 0), np.int32)
-                continue
-            rank = np.take_along_axis(rank, take[:, : n - 2], 1)
-            for side in (at - 1, at):  # only the pairs beside the merge change
-                ok = (side >= 0) & (side < n - 2)
+            i, j = self.places(rows, rank, best)
+            rows[i, j] = best[i]
+            left = rows >= 0
+            left[i, j + 1] = False
+            to = np.cumsum(left, 1, dtype=np.int32) - 1  # close the gaps
+            used = int(to[:, -1].max()) + 1
+            r, c = np.nonzero(left)
+            moved, ranks = np.full((len(rows), used), -1, np.int32), np.full((len(rows), used), NONE, np.int32)
+            moved[r, to[r, c]] = rows[r, c]
+            inner = c < rank.shape[1]
+            ranks[r[inner], to[r[inner], c[inner]]] = rank[r[inner], c[inner]]
+            rows, rank, at = moved, ranks[:, : used - 1], to[i, j]
+            for side in (at - 1, at):  # only the pairs beside a merge change
+                ok = (side >= 0) & (side < used - 1)
                 rank[i[ok], side[ok]] = self.pairs.ranks(rows[i[ok], side[ok]], rows[i[ok], side[ok] + 1])
-            used = int((rows >= 0).sum(1).max())
-            rows, rank = rows[:, :used], rank[:, : max(used - 1, 0)]
-
-    def long(self, row: np.ndarray) -> np.ndarray:
-        while len(row) > 1:
-            rank = self.pairs.ranks(row[:-1], row[1:])
-            best = rank.min()
-            if best == NONE:
-                break
-            hits = np.flatnonzero(rank == best)
-            run = np.flatnonzero(np.append(True, np.diff(hits) > 1))  # of overlapping pairs every other one merges
-            hits = hits[(hits - hits[run][np.repeat(np.arange(len(run)), np.diff(np.append(run, len(hits))))]) % 2 == 0]
-            row = row.copy()
-            row[hits] = best
-            row = np.delete(row, hits + 1)
-        return row
+
+    def places(self, rows: np.ndarray, rank: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the least pairs that merge now: of overlapping ones every other, and one alone where it makes a lower pair."""
+        i, j = np.nonzero(rank == best[:, None])
+        if len(i) == len(best):
+            return i, j  # one in each row
+        begin = np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1] + 1))
+        run = np.flatnonzero(begin)[np.cumsum(begin) - 1]
+        pick = (np.arange(len(i)) - run) % 2 == 0
+        i, j = i[pick], j[pick]
+        first = np.append(True, i[1:] != i[:-1])
+        made = best[i]
+        beside = np.append(False, (i[1:] == i[:-1]) & (j[1:] == j[:-1] + 2))
+        before = np.where(beside, made, rows[i, np.maximum(j - 1, 0)])
+        after = rows[i, np.minimum(j + 2, rows.shape[1] - 1)]
+        low = np.where(j > 0, self.pairs.ranks(before, made), NONE)
+        low = np.minimum(low, np.where(j + 2 < rows.shape[1], self.pairs.ranks(made, after), NONE))
+        alone = np.zeros(len(best), bool)
+        alone[i[low < made]] = True
+        pick = first | ~alone[i]
+        return i[pick], j[pick]
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, number of ids of each)."""
         out: list = [None] * len(pieces)
         size = np.array([len(p) for p in pieces], np.int64)
         flat, begin = self.byte[np.frombuffer(b"".join(pieces), np.uint8)], np.cumsum(size) - size
-        for i in np.flatnonzero(size > LONG).tolist():
-            out[i] = self.long(flat[begin[i] : begin[i] + size[i]])
-        order = np.argsort(size, kind="stable")
-        order = order[size[order] <= LONG]
-        lo = 0
+        order, lo = np.argsort(size, kind="stable"), 0
         while lo < len(order):  # buckets: lengths that differ by an eighth at most, up to 2^20 cells
             top = max(int(size[order[lo]] * 1.125), int(size[order[lo]]))
             hi = int(np.searchsorted(size[order], top, "right"))

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import regex
 
-from .common import Fingerprints
+from .common import Fingerprints, ragged
 
 LETTER, NUMBER, SPACE = 1, 2, 3
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -75,7 +75,10 @@ def starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Numbers for distinct pieces of text, kept for the life of a worker up to `limit` pieces; encode(pieces) gives each one's ids."""
+    """Ids of distinct pieces of text, kept for the life of a worker up to `limit` pieces; encode(pieces) gives each one's ids.
+
+    Pieces are found by fingerprints and compared by their bytes.
+    """
 
     def __init__(self, encode, limit: int = 1_000_000):
         self.encode, self.limit, self.prints = encode, limit, Fingerprints(11)
@@ -84,12 +87,11 @@ class Pieces:
     def clear(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.pool, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.place, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents in order, number of ids up to each document's end, from 0)."""
-        from .common import ragged
-
         begin = starts(data, offsets)
         stop = np.append(begin[1:], len(data))
         prefix = self.prints.prefix(data)
@@ -106,11 +108,18 @@ class Pieces:
             slot = len(self.start) + np.arange(len(sizes))
             self.start = np.append(self.start, len(self.pool) + np.cumsum(sizes) - sizes)
             self.size, self.pool = np.append(self.size, sizes), np.append(self.pool, flat.astype(np.uint32))
+            self.place, self.length = np.append(self.place, len(self.text) + np.cumsum(hi - lo) - (hi - lo)), np.append(self.length, hi - lo)
+            self.text = np.append(self.text, data[ragged(lo, hi - lo)])
             merged = np.append(self.known, got[fresh])
             order = np.argsort(merged, kind="stable")
             self.known, self.slot = merged[order], np.append(self.slot, slot)[order]
             where = np.searchsorted(self.known, got)
         slot = self.slot[where][back] if len(got) else np.zeros(0, np.int64)
+        length = stop - begin
+        if (length != self.length[slot]).any() or not np.array_equal(data, self.text[ragged(self.place[slot], length)]):
+            text = data.tobytes()  # two pieces of one fingerprint: this chunk without the table
+            flat, size = self.encode([text[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
+            return flat.astype(np.uint32), np.append(0, np.cumsum(size))[np.searchsorted(begin, offsets)]
         size = self.size[slot]
         ends = np.append(0, np.cumsum(size))
         return self.pool[ragged(self.start[slot], size)], ends[np.searchsorted(begin, offsets)]

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import byte_bpe, html_text, language_id, licences, motion_jpeg, ngram_join, packing, queries, repeats, top_k, url_filter
+from loomgraph.llm import byte_bpe, html_text, language_id, licences, motion_jpeg, ngram_join, packing, pretoken, queries, repeats, top_k, url_filter
 from tests.oracle import same
 
 from . import brute
@@ -320,6 +320,9 @@ def test_bpe_equals_the_library(spark, sf_dir):
     ids, ends = byte_bpe.pieces(path).ids(data, off)
     assert [ids[ends[i] : ends[i + 1]].tolist() for i in range(len(texts))] == [enc.encode_ordinary(t) for t in texts]
     assert byte_bpe.load(path).decode(ids.astype(np.int64)).tobytes() == data.tobytes()
+    long = ["".join(rng.choice(letters) for _ in range(n)) for n in (100, 255, 256, 257, 258, 700, 5000) for letters in ("ab", "theraion", "aé日x", "lowerandhigher") for _ in range(8)] + ["a" * 50_001, "tion" * 3000]
+    flat, sizes = byte_bpe.load(path).encode([t.encode() for t in long])
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [enc.encode_ordinary(t) for t in long]
     got = {r.doc_id: r for r in byte_bpe.encode_decode(odd(spark)).collect()}
     for i, t in enumerate(ODD):
         want = np.array(enc.encode_ordinary(t or ""), "<u4")
@@ -327,6 +330,30 @@ def test_bpe_equals_the_library(spark, sf_dir):
     assert byte_bpe.token_ids(odd(spark)).count() == len(ODD) and byte_bpe.encode_decode(empty(spark)).count() == 0
 
 
+def test_bpe_of_the_table_and_of_null_ids(spark, sf_dir):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(byte_bpe.ranks_path(), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in queries.op7_byte_bpe(spark, sf_dir).collect()}
+    for i, t in documents(spark, sf_dir):
+        want = np.array(enc.encode_ordinary(t or ""), "<u4")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(want), hashlib.sha256(want).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b")], "doc_id long, text string")
+    rows = byte_bpe.encode_decode(df).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["3", "None", "None"] and len({r.ids_sha256 for r in rows}) == 1
+
+
+def test_pieces_of_one_fingerprint_stay_apart():
+    path = byte_bpe.ranks_path()
+    own = pretoken.Pieces(byte_bpe.load(path).encode)
+    own.prints.of = lambda prefix, start, end: np.zeros(len(start), np.uint64)  # all pieces of a length collide
+    data, off = byte_bpe.raw(pa.array(["one two six", "ten"]))
+    got, want = own.ids(data, off), byte_bpe.pieces(path).ids(data, off)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
 @pytest.mark.parametrize("length", [7, 2048])
 def test_packing(spark, length):
     from tokenizers import Tokenizer
