@@ -1,23 +1,26 @@
 """Operator 6: exact top-k by inner product, branch and bound over a ball tree in each shard.
 
-Every row belongs to a shard by a hash of its id. A shard builds a ball tree: nodes split at the median along their
-widest component down to LEAF rows, and keep their mean and radius. A query's score in a node is at most
-query . mean + |query| * radius. Queries go down the tree together, level by level; what cannot reach a query's current
-k-th score leaves. Leaves are visited best bound first in waves of 1, 2, 4, ... for each query, and each wave raises the
-k-th score for the next. The k-th score is shared between shards too: first every query searches its own shard, and the
-others start from what that found.
-
-Queries are a stated set (ids divisible by `every`); they meet shards in blocks of QUERIES. Components are
-floor(scale * x) as doubles; inner products are exact as long as they stay below 2^53, beyond that in 64-bit integers.
-Ties go to the smaller id. A query leaves out the rows that have its own id.
+Every row belongs to a shard by a hash of its id. A shard builds its ball tree once and stores it: nodes split at the
+median along their widest component down to LEAF rows, and keep their mean and radius. A query's score in a node is at
+most query . mean + |query| * radius. Queries go down the tree together, level by level; what cannot reach a query's
+current k-th score leaves. Leaves are visited best bound first in waves of 1, 2, 4, ... for each query, and each wave
+raises the k-th score for the next. The k-th score is shared between shards too: first every query searches its own
+shard, and the others start from what that found.
+
+Queries are a stated set (ids divisible by `every`); they travel in blocks of QUERIES and stream past a shard's tree in
+a join, so a task holds one tree and one block. Components are floor(scale * x) as doubles. Floating-point products, with
+their error allowed for, only tell what cannot be among the k best; scores are 64-bit integers, and those beyond their
+range count as its end. Ties go to the smaller id. A query leaves out its own row; other rows of its id are candidates.
 
 Rows take no part whose id is null, or whose vector is null or holds a null or a value that isn't finite; vectors of
-other lengths than the query's don't meet it. Repeated rows are candidates each. Empty tables give no rows; other
-columns are not read.
+other lengths than the query's don't meet it. Repeated rows are candidates and queries each. Empty tables give no rows;
+other columns of any name are not read.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import width, written
 
-LEAF, QUERIES, SHARD_ROWS = 64, 8192, 20_000
+LEAF, QUERIES, SHARD_ROWS = 64, 1024, 20_000
+LOW, HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 FOUND = "row long, query_id long, vec_id long, score long"
 
 
@@ -58,7 +62,7 @@ class Best:
     """The k best (score, id) of each query so far."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
-        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.k, self.score, self.id = k, np.full((n, k), LOW), np.full((n, k), HIGH)
         self.floor = floor
 
     def least(self) -> np.ndarray:
@@ -70,103 +74,130 @@ class Best:
         touched = np.unique(query)
         query = np.concatenate([query, np.repeat(touched, self.k)])
         score, ids = np.concatenate([score, self.score[touched].ravel()]), np.concatenate([ids, self.id[touched].ravel()])
-        order = np.lexsort((ids, -score, query))
+        order = np.lexsort((ids, ~score, query))  # ~score falls as score grows, in all of its range
         query, score, ids = query[order], score[order], ids[order]
         first = np.searchsorted(query, touched)
         take = first[:, None] + np.arange(self.k)
         self.score[touched], self.id[touched] = score[take], ids[take]
 
 
-def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, best: Best) -> None:
+def products(a: np.ndarray, b: np.ndarray, small: bool) -> np.ndarray:
+    """The inner products of rows of integers held as doubles, cut to 64 bits; small: nothing comes near that."""
+    if small:
+        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+    return np.array([min(max(sum(int(x) * int(y) for x, y in zip(u, v, strict=True)), LOW + 1), HIGH) for u, v in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+
+
+def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, best: Best) -> None:
     """Raises best by the rows x of a tree."""
     norm = np.sqrt((q * q).sum(1))
+    far = np.sqrt((x * x).sum(1)).max(initial=0.0)
+    slack = 1 + 1e-15 * (x.shape[1] + 4) * norm * far  # error of a product, and of the rounding of a k-th score
+    small = x.shape[1] * max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) < 2**62
 
     def bound(query, node, level):
         mean, radius = level
         b = np.einsum("ij,ij->i", q[query], mean[node]) if len(query) < 4 * len(q) else (q @ mean.T)[query, node]
         b = b + norm[query] * np.where(np.isfinite(radius[node]), radius[node], 0)
-        return np.where(np.isfinite(radius[node]), b + 1e-9 * np.abs(b) + 1e-6, -np.inf)
+        return np.where(np.isfinite(radius[node]), b + 1e-9 * np.abs(b) + 2 * slack[query], -np.inf)
 
     query, node = np.arange(len(q)), np.zeros(len(q), np.int64)
     for depth, level in enumerate(tree.levels):
         if depth:
             query, node = np.repeat(query, 2), np.stack([2 * node, 2 * node + 1], 1).ravel()
         upper = bound(query, node, level)
-        keep = upper >= best.least()[query]
-        keep &= np.isfinite(upper)
+        keep = (upper >= best.least()[query]) & np.isfinite(upper)
         query, node, upper = query[keep], node[keep], upper[keep]
     order = np.lexsort((-upper, query))
     query, node, upper = query[order], node[order], upper[order]
-    exact = x.shape[1] * max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) < 2**53
     wave = 1
     while len(query):
         place = np.arange(len(query)) - np.searchsorted(query, query)
         now = place < wave
-        got = [[], [], []]
+        got = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         least = best.least()
         by_leaf = np.argsort(node[now], kind="stable")
         some, leaf = query[now][by_leaf], node[now][by_leaf]
-        cut = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf)) if len(leaf) else np.zeros(1, np.int64)
+        cut = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             own, asked = tree.order[tree.edges[leaf[a]] : tree.edges[leaf[a] + 1]], some[a:b]
-            score = q[asked] @ x[own].T if exact else (q[asked].astype(np.int64) @ x[own].astype(np.int64).T).astype(object)
-            i, j = np.nonzero((score >= least[asked, None]) & (ids[own][None] != q_ids[asked, None]))
+            i, j = np.nonzero((q[asked] @ x[own].T >= least[asked, None] - slack[asked, None]) & (rows[own][None] != q_rows[asked, None]))
             got[0].append(asked[i])
-            got[1].append(score[i, j].astype(float) if exact else score[i, j].astype(float))
-            got[2].append(ids[own[j]])
-        best.add(*[np.concatenate(g) for g in got])
+            got[1].append(own[j])
+        of, at = (np.concatenate(g) for g in got)
+        score = products(q[of], x[at], small)
+        pick = score >= least[of]
+        best.add(of[pick], score[pick], ids[at[pick]])
         query, node, upper = query[~now], node[~now], upper[~now]
         keep = upper >= best.least()[query]
         query, node, upper, wave = query[keep], node[keep], upper[keep], 2 * wave
 
 
-def answer(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    """The best rows of a shard for its queries: those that can be among their k best of all shards."""
-    out = [[], [], [], []]
-    if left.num_rows and right.num_rows:
-        n_x, n_q = (t["vector"].combine_chunks().value_lengths().to_numpy() for t in (left, right))
-        for size in np.intersect1d(n_x, n_q):
-            a, b = left.filter(pa.array(n_x == size)), right.filter(pa.array(n_q == size))
-            x, q = (t["vector"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, int(size)) for t in (a, b))
-            ids, q_ids = a["vec_id"].to_numpy(), b["query_id"].to_numpy()
-            tree = BallTree(x)
-            for lo in range(0, len(q), 1024):
-                best = Best(min(1024, len(q) - lo), k, b["least"].to_numpy()[lo : lo + 1024])
-                search(tree, x, ids, q[lo : lo + 1024], q_ids[lo : lo + 1024], best)
-                i, j = np.nonzero(np.isfinite(best.score))
-                for o, v in zip(out, (b["row"].to_numpy()[lo + i], q_ids[lo + i], best.id[i, j], best.score[i, j].astype(np.int64)), strict=True):
-                    o.append(v)
-    return pa.table({n: pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for n, o in zip(("row", "query_id", "vec_id", "score"), out, strict=True)})
+def matrix(t: pa.Table) -> np.ndarray:
+    return t["vector"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
+
+def plant(key, t):
+    """shard, size, tree: the rows of one shard and length of vectors, with their tree."""
+    x = matrix(t)
+    held = pickle.dumps((BallTree(x), x, t["vec_id"].to_numpy(), t["row"].to_numpy()), 5)
+    return pa.table({"shard": t["shard"].slice(0, 1), "size": t["size"].slice(0, 1), "tree": pa.array([held], pa.binary())})
+
+
+def gather(key, t):
+    """shard, block, size, asked: queries of one length as one row."""
+    t = t.sort_by("row")
+    held = pickle.dumps((matrix(t), *(t[n].to_numpy() for n in ("row", "vec_id", "shard", "least"))), 5)
+    return pa.table({"shard": t["shard"].slice(0, 1), "block": t["block"].slice(0, 1), "size": t["size"].slice(0, 1), "asked": pa.array([held], pa.binary())})
+
+
+def answers(k: int, own: bool):
+    """Searches each row's tree for each row's queries: own, those of the tree's shard; else all others."""
+
+    def run(batches):
+        last, held = None, None
+        for b in batches:
+            for i in range(b.num_rows):
+                key = (b.column("shard")[i].as_py(), b.column("size")[i].as_py())
+                if key != last:
+                    last, held = key, pickle.loads(b.column("tree")[i].as_buffer())
+                tree, x, ids, rows = held
+                q, q_rows, q_ids, shard, least = pickle.loads(b.column("asked")[i].as_buffer())
+                pick = np.flatnonzero((shard == key[0]) == own)
+                best = Best(len(pick), k, least[pick])
+                search(tree, x, ids, rows, q[pick], q_rows[pick], best)
+                n, j = np.nonzero(best.id != HIGH)
+                cols = (q_rows[pick[n]], q_ids[pick[n]], best.id[n, j], best.score[n, j])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["row", "query_id", "vec_id", "score"])
 
+    return run
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of every row whose id is divisible by `every`."""
-    spark = vectors.sparkSession
-    x = F.col("x")
+    spark, x = vectors.sparkSession, F.col("x")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     rows = rows.where("vec_id is not null and x is not null").where(~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    rows = rows.select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("vector"))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("vector")), "vectors")
     n = rows.count()
     shards = max(1, min(width(spark), -(-n // LEAF)), -(-n // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    rows = rows.withColumn("shard", shard)
-    asked = written(rows.where(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").alias("query_id"), "vector", F.col("shard").alias("own")), "queries")
-    blocks = max(1, -(-(-(-n // every)) // QUERIES))
-    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    asked = asked.withColumn("block", block)
-    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def ask(queries):
-        return spread.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(lambda a, b: answer(a, b, k), FOUND)
-
-    columns = ("row", "query_id", "vector", "shard", "block", "least")
-    first = written(ask(asked.withColumn("shard", F.col("own")).withColumn("least", F.lit(float("-inf"))).select(*columns)), "own")
-    least = first.groupBy("row").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-    least = least.select("row", F.when(F.col("n") == k, F.col("low").cast("double")).otherwise(float("-inf")).alias("least"))
-    others = asked.join(least, "row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> own")
-    every_one = first.unionByName(ask(others.select(*columns)))
-    ranked = every_one.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
+    rows = rows.withColumn("size", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    trees = written(rows.groupBy("shard", "size").applyInArrow(plant, "shard int, size int, tree binary"), "trees")
+    asked = rows.where(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-asked.count() // QUERIES))
+
+    def ask(queries, block, own):
+        queries = queries.withColumn("block", block)
+        packed = queries.groupBy("size", "block", *(["shard"] if own else [])).applyInArrow(gather, "shard int, block int, size int, asked binary")
+        if not own:
+            packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        return trees.join(packed, ["shard", "size"]).select("shard", "size", "tree", "asked").mapInArrow(answers(k, own), FOUND)
+
+    first = written(ask(asked.withColumn("least", F.lit(int(LOW))), F.pmod(F.xxhash64("row"), F.lit(-(-blocks // shards))).cast("int"), True), "own")
+    least = first.groupBy("row").agg(F.min("score").alias("low"), F.count("*").alias("n")).select("row", F.when(F.col("n") == k, F.col("low")).alias("low"))
+    others = asked.join(least, "row", "left").withColumn("least", F.coalesce("low", F.lit(int(LOW))))
+    found = first.unionByName(ask(others, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), False))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

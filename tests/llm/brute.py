@@ -49,12 +49,13 @@ def components(docs, n=3, tenths=90):
 
 
 def top_k(rows, every=50, k=5):
+    """The answers of each query's row, as a sorted list: rows of one id are apart."""
     from math import floor, isfinite
 
-    v = {i: [floor(256 * x) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and isfinite(x) for x in e)}
-    out = set()
-    for q, a in v.items():
+    v = [(i, [floor(256 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and isfinite(x) for x in e)]
+    out = []
+    for at, (q, a) in enumerate(v):
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in v.items() if i != q and len(b) == len(a))[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
-    return out
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for other, (i, b) in enumerate(v) if other != at and len(b) == len(a))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    return sorted(out)

@@ -300,10 +300,22 @@ def test_top_k(spark):
     rows += [(700 + i, rows[50][1]) for i in range(300)]  # ties in one place
     rows += [(1050, None), (1100, [1.0, None] * 4), (1150, [float("nan")] * 8), (1200, [float("inf")] * 8), (None, rows[0][1]), (1250, [1.0, 2.0]), (1251, [3.0, 4.0]), (1300, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("shard", F.lit("clash")).repartition(4)
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.nearest(df).collect()} == {t for t in brute.top_k(rows) if t[0] != 1300}
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.nearest(df).collect()) == brute.top_k(rows)
     assert top_k.nearest(df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_large_scores(spark):
+    rng = random.Random(3)
+    rows = [(50 * (i % 4), [float(rng.randint(-3, 3)) for _ in range(6)]) for i in range(40)] + [(1, [0.0] * 6)]
+    big = [(50, [2.0**21, 0.0]), (1, [1.2e5, 1.0]), (2, [1.2e5 + 2**-8, 0.0]), (3, [1.2e5, 5.0]), (4, [-1.2e5, 0.0]), (100, [1.0, 2.0**21])]
+    for some in (rows, [*big, (50, big[0][1])]):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>").repartition(3)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.nearest(df).collect()) == brute.top_k(some)
+    assert max(abs(t[3]) for t in brute.top_k(big)) > 2**53
+    huge = spark.createDataFrame([(50, [1e15]), (1, [1e14]), (2, [1e15]), (3, [-1e15]), (4, [0.0])], "vec_id long, embedding array<double>")  # beyond 64 bits: their ends
+    assert [(r.vec_id, r.score) for r in top_k.nearest(huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, 2**63 - 1), (4, 0), (3, -(2**63) + 1)]
+
+
 # 7 BPE, 10 packing
 
 
