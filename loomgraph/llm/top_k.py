@@ -12,7 +12,7 @@ a join, so a task holds one tree and one block. Components are floor(scale * x)
 their error allowed for, only tell what cannot be among the k best; scores are 64-bit integers, and those beyond their
 range count as its end. Ties go to the smaller id. A query leaves out its own row; other rows of its id are candidates.
 
-Rows take no part whose id is null, or whose vector is null or holds a null or a value that isn't finite; vectors of
+Rows take no part whose id is null, or whose vector is null or holds a null or a value that isn't finite when scaled; vectors of
 other lengths than the query's don't meet it. Repeated rows are candidates and queries each. Empty tables give no rows;
 other columns of any name are not read.
 """
@@ -99,7 +99,7 @@ def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q:
         mean, radius = level
         b = np.einsum("ij,ij->i", q[query], mean[node]) if len(query) < 4 * len(q) else (q @ mean.T)[query, node]
         b = b + norm[query] * np.where(np.isfinite(radius[node]), radius[node], 0)
-        return np.where(np.isfinite(radius[node]), b + 1e-9 * np.abs(b) + 2 * slack[query], -np.inf)
+        return np.where(np.isfinite(radius[node]), np.maximum(b + 1e-9 * np.abs(b) + 2 * slack[query], LOW), -np.inf)
 
     query, node = np.arange(len(q)), np.zeros(len(q), np.int64)
     for depth, level in enumerate(tree.levels):
@@ -121,7 +121,7 @@ def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q:
         cut = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             own, asked = tree.order[tree.edges[leaf[a]] : tree.edges[leaf[a] + 1]], some[a:b]
-            i, j = np.nonzero((q[asked] @ x[own].T >= least[asked, None] - slack[asked, None]) & (rows[own][None] != q_rows[asked, None]))
+            i, j = np.nonzero((np.maximum(q[asked] @ x[own].T, LOW) >= least[asked, None] - slack[asked, None]) & (rows[own][None] != q_rows[asked, None]))
             got[0].append(asked[i])
             got[1].append(own[j])
         of, at = (np.concatenate(g) for g in got)
@@ -177,8 +177,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -
     """query_id, rank, vec_id, score: the k best rows of every row whose id is divisible by `every`."""
     spark, x = vectors.sparkSession, F.col("x")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    rows = rows.where("vec_id is not null and x is not null").where(~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("vector")), "vectors")
+    rows = rows.where("vec_id is not null and x is not null").where(~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v * scale) == float("inf"))))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(x, lambda v: F.when(F.abs(v * scale) < 2.0**53, F.floor(v * scale).cast("double")).otherwise(v * scale)).alias("vector")), "vectors")
     n = rows.count()
     shards = max(1, min(width(spark), -(-n // LEAF)), -(-n // SHARD_ROWS))
     rows = rows.withColumn("size", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))

@@ -312,7 +312,7 @@ def test_top_k_of_repeated_ids_and_large_scores(spark):
         df = spark.createDataFrame(some, "vec_id long, embedding array<double>").repartition(3)
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.nearest(df).collect()) == brute.top_k(some)
     assert max(abs(t[3]) for t in brute.top_k(big)) > 2**53
-    huge = spark.createDataFrame([(50, [1e15]), (1, [1e14]), (2, [1e15]), (3, [-1e15]), (4, [0.0])], "vec_id long, embedding array<double>")  # beyond 64 bits: their ends
+    huge = spark.createDataFrame([(50, [1e15]), (1, [1e14]), (2, [1e15]), (3, [-1e15]), (4, [0.0]), (5, [1e307])], "vec_id long, embedding array<double>")  # beyond 64 bits: their ends
     assert [(r.vec_id, r.score) for r in top_k.nearest(huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, 2**63 - 1), (4, 0), (3, -(2**63) + 1)]
 
 
