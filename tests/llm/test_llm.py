@@ -436,36 +436,39 @@ def test_join(spark, n, tenths, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     docs = near_groups(n)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("bucket", F.lit("clash")).repartition(3)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df, n, tenths).collect()} == brute.components(docs, n, tenths)
+    want = brute.components(docs, n, tenths)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df, n, tenths).collect()} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df, n, tenths, salt_rows=8).collect()} == want  # signatures of over 8 are split
 
 
 def test_join_of_odd_rows(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.join(odd(spark)).collect()} == {i: c for i, (_, c) in brute.components(list(enumerate(ODD))).items()}
     assert ngram_join.join(empty(spark)).count() == 0
     df = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (6, "A b c")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.component_id) for r in ngram_join.join(df).collect() if r.doc_id) == [(5, 5), (5, 5), (6, 5)]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.join(df).collect()) == [(0, 0), (5, 5), (5, 5), (6, 5)]
 
 
 def test_frequent_tokens_index_in_pairs():
-    levels = np.zeros(ngram_join.COUNTERS, np.uint8)
+    levels = np.zeros(ngram_join.COUNTERS, np.uint16)
     rng = np.random.default_rng(3)
     x = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
     levels[ngram_join.counter(x[:300])] = 200  # frequent
     y = np.unique(np.append(x[: len(x) - 20], rng.integers(0, 1 << 63, 20, dtype=np.uint64)))  # at the bound of e
-    row, sig = ngram_join.signatures(np.append(x, y), np.array([0, len(x), len(x) + len(y)]), levels, 100, 90)
+    row, sig, _ = ngram_join.signatures(np.append(x, y), np.array([0, len(x), len(x) + len(y)]), levels, 100, 90)
     assert set(sig[row == 0]) & set(sig[row == 1])
 
 
 @pytest.mark.parametrize("tenths", [50, 80, 90, 100])
 def test_small_documents_of_frequent_tokens_share_a_signature(tenths):
-    levels = np.full(ngram_join.COUNTERS, 200, np.uint8)  # all are frequent
+    levels = np.full(ngram_join.COUNTERS, 200, np.uint16)  # all are frequent
     rng = np.random.default_rng(4)
-    for size in range(1, 131):
+    for size in [*range(1, 131), *range(250, 310, 6), *range(1000, 1400, 40), 5000]:
         for _ in range(4):
             x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
             lost = size - -(-size * tenths // 100)
             y = np.sort(rng.choice(x, size - lost, replace=False))  # the fewest that a partner can have
-            row, sig = ngram_join.signatures(np.append(x, y), np.array([0, len(x), len(x) + len(y)]), levels, 100, tenths)
+            row, sig, _ = ngram_join.signatures(np.append(x, y), np.array([0, len(x), len(x) + len(y)]), levels, 100, tenths)
+            assert tenths < 80 or len(sig) < 8 * size + 64
             assert set(sig[row == 0]) & set(sig[row == 1]), size
 
 
