@@ -287,15 +287,14 @@ def alike(pairs: DataFrame, sketches: DataFrame, tenths: int) -> DataFrame:
     return rows.mapInArrow(keep, "centre long, member long")
 
 
-def in_blocks(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def in_blocks(rows: DataFrame, buckets: int) -> DataFrame:
     """Deals the rows of each group out so that every loose one meets all: by blocks of loose ones and blocks of all.
 
-    Columns bucket, i, j, side (whether as a loose one) are added; groups without loose rows go.
+    rows have the group's counts `loose_rows` and `all_rows`; columns bucket, i, j, side (whether as a loose one) are added.
     """
-    n = rows.groupBy(keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("wide"), F.ceil(F.count(F.when(F.col("loose"), 1)) / BLOCK).cast("int").alias("high")).where("high > 0")
+    rows = rows.withColumn("wide", F.ceil(F.col("all_rows") / BLOCK).cast("int")).withColumn("high", F.ceil(F.col("loose_rows") / BLOCK).cast("int")).drop("all_rows", "loose_rows")
     own = lambda blocks: F.pmod(F.xxhash64("member"), F.col(blocks)).cast("int")
     upto = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    rows = rows.join(n, keys)
     one = rows.where("loose").withColumn("i", own("high")).withColumn("j", upto("wide")).withColumn("side", F.lit(True))
     other = rows.withColumn("j", own("wide")).withColumn("i", upto("high")).withColumn("side", F.lit(False))
     return one.unionByName(other).withColumn("bucket", bucket_col("centre", buckets)).drop("wide", "high")
@@ -305,8 +304,9 @@ def left_over(pairs: DataFrame, roots: DataFrame, sketches: DataFrame, buckets:
     """Smaller stars (centre, member) of what is left: members of one star in different components that their sketches can't tell apart."""
     all_ = pairs.unionByName(pairs.select("centre", F.col("centre").alias("member")).distinct())
     all_ = written(all_.join(roots, all_.member == roots.node, "left").select("centre", "member", F.coalesce("root", "member").alias("root")), "members")
-    largest = all_.groupBy("centre", "root").count().groupBy("centre").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("n")).where("n > 1")
-    rows = all_.join(largest.drop("n"), "centre").select("centre", "member", "root", (F.col("root") != F.col("largest")).alias("loose"))
+    n = all_.groupBy("centre", "root").count().groupBy("centre").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.sum("count").alias("all_rows"), (F.sum("count") - F.max("count")).alias("loose_rows"))
+    n = written(n.where("loose_rows > 0"), "counts")  # on its own, so that the join can split a large star
+    rows = all_.join(n, "centre").withColumn("loose", F.col("root") != F.col("largest")).drop("largest")
 
     def part(key, t):
         t = t.sort_by([("centre", "ascending"), ("member", "ascending"), ("side", "descending")])
@@ -329,7 +329,7 @@ def left_over(pairs: DataFrame, roots: DataFrame, sketches: DataFrame, buckets:
         both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
         return pa.table({"centre": both[0], "member": both[1]})
 
-    rows = in_blocks(rows, ["centre"], buckets).join(sketches.withColumnRenamed("doc_id", "member"), "member")
+    rows = in_blocks(rows, buckets).join(sketches.withColumnRenamed("doc_id", "member"), "member")
     return rows.groupBy("bucket", "i", "j").applyInArrow(part, "centre long, member long").distinct()
 
 
@@ -446,7 +446,9 @@ def verify(docs: DataFrame, pairs: DataFrame, buckets: int, n: int, tenths: int,
     links = answers.where("not loose").select(F.col("member").alias("a"), F.col("centre").alias("b"))
     if direct:
         return links.distinct()
-    return links.unionByName(in_blocks(answers, ["centre", "print"], buckets).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long"))
+    n = answers.groupBy("centre", "print").agg(F.count("*").alias("all_rows"), F.count(F.when(F.col("loose"), 1)).alias("loose_rows"))
+    answers = answers.join(written(n.where("loose_rows > 0"), "counts"), ["centre", "print"])
+    return links.unionByName(in_blocks(answers, buckets).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def join(docs: DataFrame, n: int = 3, tenths: int = 90, salt_rows: int = SALT_ROWS) -> DataFrame:
