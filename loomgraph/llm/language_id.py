@@ -7,9 +7,10 @@ centroid is rejected: its cosine is 0 or, with 2^SHORT n-grams or more, below a
 of like length (in powers of two of their number of n-grams) reach; lengths with fewer than ENOUGH texts in the sample
 take the least of the others. Rejection is a column of its own; the prediction stays.
 
-Learning reads a sample: of each language some `per_language` rows, picked by a hash of doc_id over all rows, never more
-than that in expectation. Document frequencies and centroids come from that sample; every row is predicted, from its
-whole text alone.
+Learning reads a sample: of each language some `per_language` rows, picked by a hash of doc_id and text over all rows,
+never more than that in expectation, repeated rows once. Document frequencies and centroids come from that sample; every
+row is predicted, from its whole text alone, some ROWS texts or CHUNK_BYTES at a time. Of equally near centroids the
+first in the order of the languages' names wins.
 
 Null texts and those without a letter: `und`, score 0, rejected. Without labelled rows every text is `und`. Rows of a
 null doc_id are predicted, not learned from. Empty tables give no rows; other columns are not read.
@@ -130,7 +131,7 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS)
     if not cut:
         return Model(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros(BINS))
     limits = spark.createDataFrame(list(cut.items()), "lang string, most long")
-    sample = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.col("most")).select("lang", "doc_id", "text")
+    sample = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < F.col("most")).select("lang", "doc_id", "text").distinct()
 
     def sparse(batches):
         for b in batches:

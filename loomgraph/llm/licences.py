@@ -1,18 +1,20 @@
 """Operator 1 [native]: licence scan by canonical digests.
 
-A text is made canonical: lower case; copyright lines leave (with a year, or short ones without); every run of other characters than letters and digits is
-one space; equivalent spellings become one (licence/license, authorise/authorize, favour/favor, labelling/labeling,
+A text is made canonical: lower case; copyright lines leave (with a year, or short ones without), and so does a line that
+reserves all rights, if there is more; every run of other characters than letters and digits is one space; equivalent spellings become one (licence/license, authorise/authorize, favour/favor, labelling/labeling,
 acknowledgement/acknowledgment, owner/holder, whilst/while, sub-license, non-commercial). Spelling rules work on word
 ends of any word; both sides of the comparison pass through them. Entire texts are hash-joined by their SHA-256 to the
 digests of known licences; that side is a fixed list and is broadcast. So that short notices inside a document are
 found too, each line is digested as an entire text of its own and looked up in the same list.
 
-Null texts count as empty. An empty canonical text has no licence. Repeated rows are judged each; empty tables give no
+Texts of any length are read whole, by some twenty passes of expressions. Null texts count as empty. An empty canonical text has no licence. Repeated rows are judged each; empty tables give no
 rows; other columns are not read. Only SQL functions work on the rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +57,12 @@ APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
 """
+NUMBERS = re.compile(r"(?m)^[0-9]\. ")  # some copies have bullets
 KNOWN = (
     ("MIT", MIT_TERMS), ("MIT", "MIT License\n" + MIT_TERMS), ("MIT", "The MIT License (MIT)\n" + MIT_TERMS), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", ISC_TERMS), ("ISC", "ISC License\n" + ISC_TERMS), ("ISC", "SPDX-License-Identifier: ISC"),
     ("BSD-2-Clause", BSD_HEAD + BSD_END), ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_HEAD + BSD_END), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", NUMBERS.sub("* ", BSD_HEAD + BSD_END)), ("BSD-2-Clause", "BSD 2-Clause License\n" + NUMBERS.sub("* ", BSD_HEAD + BSD_END)), ("BSD-3-Clause", NUMBERS.sub("* ", BSD_HEAD + BSD_THIRD + BSD_END)), ("BSD-3-Clause", "BSD 3-Clause License\n" + NUMBERS.sub("* ", BSD_HEAD + BSD_THIRD + BSD_END)),
     ("BSD-3-Clause", BSD_HEAD + BSD_THIRD + BSD_END), ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_HEAD + BSD_THIRD + BSD_END), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("Zlib", ZLIB_TERMS), ("Zlib", "zlib License\n" + ZLIB_TERMS),
     ("Apache-2.0", APACHE_NOTICE), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -83,7 +87,7 @@ DIGESTS = (
     ("Unlicense", "3ea79017bacc7f6cea976a19e7bacdea54beda4c271299d4ac63f3127e8df094"),
 )
 # Patterns (of both Java and RE2) and what takes their place, in this order.
-DATED_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|spdx filecopyrighttext)[^\n]*(19|20)[0-9][0-9][^\n]*"
+DATED_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|spdx-filecopyrighttext)[^\n]*(19|20)[0-9][0-9][^\n]*"
 # Lines without a year, of Java only: short ones that no prose goes on with; "(c)" alone also marks items of a list.
 PROSE = r"(?:holders?|owners?|ownership|notices?|licen[cs]e[sd]?|laws?|and|or|in|is|of|to|on|as|for|under|that|which|may|shall|are|was|has|from|over|with|treaty|treaties|protections?|infringements?|interests?|act|statements?|claims?|information|permissions?|status|terms?|rights?|works?|materials?|disclaimers?)(?![\p{L}\p{N}])"
 COPYRIGHT_LINE = (
@@ -116,8 +120,13 @@ def lines_of(text: Column) -> Column:
     return text
 
 
-def canonical(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
+RESERVED = r"(^|\n) ?all rights reserved ?(\n|$)"
+
+
+def canonical(lines: Column) -> Column:
+    """One line of an entire text, without the line that reserves all rights if there is more."""
+    short = F.trim(F.regexp_replace(F.regexp_replace(lines, RESERVED, "\n"), r"[ \n]+", " "))
+    return F.when(short == "", F.trim(F.regexp_replace(lines, r"[ \n]+", " "))).otherwise(short)
 
 
 def known(spark: SparkSession) -> DataFrame:
@@ -150,7 +159,8 @@ def _sql(text: str) -> str:
 
 
 def _canonical_sql(lines: str) -> str:
-    return rf"trim(regexp_replace({lines}, '[ \n]+', ' ', 'g'), ' ')"
+    short = rf"trim(regexp_replace(regexp_replace({lines}, '{RESERVED}', chr(10), 'g'), '[ \n]+', ' ', 'g'), ' ')"
+    return rf"(CASE WHEN {short} = '' THEN trim(regexp_replace({lines}, '[ \n]+', ' ', 'g'), ' ') ELSE {short} END)"
 
 
 _VALUES = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)

@@ -14,8 +14,9 @@ Shots. The grey histograms (BINS bins) of neighbouring frames differ by half the
 above the mean plus SIGMA standard deviations of the differences up to WINDOW frames around it and above LEAST, at least
 SHORTEST frames after the cut before. Clips are rows: index, start and end in seconds, frames, largest difference.
 
-Null and empty texts become one frame of padding. Repeated texts give equal values. Empty tables give no rows; other
-columns are not read. A file holds its 32-bit sizes: texts up to 1.5 GB.
+Null and empty texts become one frame of padding. Repeated texts give equal values; a null doc_id stays null. Empty
+tables give no rows; other columns of any name are not read. A file has some 2.1 times its text's bytes and must fit
+into 2^31: texts up to 1 GB, each held whole by one task.
 """
 
 from __future__ import annotations
@@ -289,13 +290,20 @@ def cuts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(found, np.int64), d
 
 
+CLIP_NAMES, CLIP_KINDS = ("clip", "start_s", "end_s", "frames", "largest"), (pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+
+
+def timed(first: np.ndarray, d: np.ndarray, n: int, rate: float) -> list[tuple[int, float, float, int, float]]:
+    """(clip, start and end in seconds, frames, largest difference inside) of n frames."""
+    edges = [0, *first.tolist(), n]
+    return [(k, a / rate, b / rate, b - a, float(d[a : b - 1].max(initial=0.0))) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+
+
 def clips(data: bytes) -> list[tuple[int, float, float, int, float]]:
-    """(clip, start and end in seconds, frames, largest difference inside) of an AVI file."""
+    """The timed clips of an AVI file."""
     places, rate = index(data)
     x = samples(data, places)
-    first, d = cuts(x)
-    edges = [0, *first.tolist(), len(x)]
-    return [(k, a / rate, b / rate, b - a, float(d[a : b - 1].max(initial=0.0))) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    return timed(*cuts(x), len(x), rate)
 
 
 def padded(text: bytes) -> bytes:
@@ -324,32 +332,27 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored files hold: digests of payload and file, and frames, shots, mean and cut places as a string."""
+    """What the stored files hold: digests of payload and file; frames, shots, mean and cut places as a string; and the timed clips."""
 
     def run(batches):
         for b in batches:
-            cols = [[] for _ in range(6)]
+            cols, shots = [[] for _ in range(6)], []
             for m in b.column("media"):
                 file = m.as_py()
-                x = samples(file, index(file)[0])
+                places, rate = index(file)
+                x = samples(file, places)
                 payload = x.tobytes()
-                first, _ = cuts(x)
+                first, d = cuts(x)
+                shots.append([dict(zip(CLIP_NAMES, c, strict=True)) for c in timed(first, d, len(x), rate)])
                 feature = f"frames={len(x)};shots={len(first) + 1};mean={int(x.sum(dtype=np.int64)) * 1000 // max(x.size, 1)};cuts={','.join(map(str, first.tolist()))}"
                 for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
+            yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array(shots, pa.list_(pa.struct(list(zip(CLIP_NAMES, CLIP_KINDS, strict=True)))))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"])
 
-def clip_rows(media: DataFrame) -> DataFrame:
-    """doc_id, clip, start_s, end_s, frames, largest: the timed clips of every file."""
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<clip: int, start_s: double, end_s: double, frames: long, largest: double>>")
 
-    def run(batches):
-        for b in batches:
-            rows = [(i.as_py(), *c) for i, m in zip(b.column("doc_id"), b.column("media"), strict=True) for c in clips(m.as_py())]
-            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "clip", "start_s", "end_s", "frames", "largest"])
 
-    return media.mapInArrow(run, "doc_id long, clip int, start_s double, end_s double, frames long, largest double")
+def clip_rows(features: DataFrame) -> DataFrame:
+    """doc_id, clip, start_s, end_s, frames, largest: the timed clips of every file, a row each."""
+    return features.select("doc_id", F.explode("clips").alias("c")).select("doc_id", "c.*")
