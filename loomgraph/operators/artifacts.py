@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Languages by extension, and files with a structure of their own.
-LANGUAGES = {"py": "Python", "rs": "Rust", "go": "Go", "java": "Java", "ts": "TypeScript", "js": "JavaScript", "c": "C", "cpp": "Cpp", "rb": "Ruby", "php": "Php", "swift": "Swift", "kt": "Kotlin", "cs": "CSharp", "tf": "Hcl"}
-STRUCTURED = ("Cargo.toml", "package.json", "go.mod", "Dockerfile", "Makefile", "pyproject.toml", "requirements.txt")
-SHALLOW = ("md", "html", "txt", "yaml", "yml", "json", "toml", "xml", "css", "sql")
+# Extensions of source that is parsed, package manifests, and other files with a structure of their own.
+SOURCES = "ts tsx js jsx mjs cjs py pyi go java rs c h cpp hpp cc cxx cs rb kt kts swift php tf tfvars".split()
+MANIFESTS = ("Cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", "Gemfile", "requirements.txt", "composer.json")
+COMPOSE = ("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
+MAKEFILES = ("Makefile", "makefile", "GNUmakefile")
+CI_FILES = (".gitlab-ci.yml", "Jenkinsfile")
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
+
+
+def artifact_kind(path: Column) -> Column:
+    """What a file with a structure of its own is, or null."""
+    name, end = F.substring_index(path, "/", -1), extension(path)
+    ci = end.isin("yml", "yaml") & path.contains(".github/workflows/") | name.isin(*CI_FILES) | (name == "config.yml") & path.contains(".circleci")
+    kind = F.when((name == "Dockerfile") | name.startswith("Dockerfile."), "dockerfile").when(name.isin(*MANIFESTS), "package_manifest").when(ci, "ci_config").when(name.isin(*COMPOSE), "compose_file").when(name.isin(*MAKEFILES), "makefile")
+    return kind.when((end == "sql") & F.lower(path).contains("migration"), "sql_migration")
 
 
 def tier(path: Column) -> Column:
-    """semantic, structured, shallow or opaque, by name and extension."""
-    name = F.substring_index(path, "/", -1)
-    return F.when(name.isin(*STRUCTURED), "structured").when(extension(path).isin(*LANGUAGES), "semantic").when(extension(path).isin(*SHALLOW), "shallow").otherwise("opaque")
+    """semantic, structured or opaque, by extension and name; no language is parsed in a shallow way only."""
+    return F.when(extension(path).isin(*SOURCES), "semantic").when(artifact_kind(path).isNotNull(), "structured").otherwise("opaque")
 
 
 def coverage(paths: DataFrame, column: str = "path") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Relation kinds along which a change can break something.
@@ -58,7 +58,9 @@ def by_name_tiers(entities: DataFrame, pattern: str, most: int = 32) -> DataFram
     """Exact names (tier 1) and entities with all tokens if those are `most` at most (tier 2); only without either, substrings (tier 3)."""
     exact = entities.where(F.lower("name") == pattern.lower()).withColumn("tier", F.lit(1))
     word = by_all_tokens(entities, pattern).where(F.lower("name") != pattern.lower())
-    word = word.withColumn("hits", F.count("*").over(Window.partitionBy(F.lit(1)))).where(F.col("hits") <= most).drop("hits").withColumn("tier", F.lit(2)) if most else word
+    if most:
+        few = word.agg(F.count("*").alias("hits")).where(F.col("hits") <= most).select(F.lit(2).alias("tier"))
+        word = word.join(F.broadcast(few))  # one row or none
     part = entities.where(F.lower("name").contains(pattern.lower())).withColumn("tier", F.lit(3))
     found = exact.unionByName(word)
     none = found.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(True).alias("none"))
@@ -129,10 +131,14 @@ def scope_within(inner: Column, outer: Column) -> Column:
 
 
 def collisions(intents: DataFrame) -> DataFrame:
-    """intents (intent, session, scope, lock): for each the strongest lock of other sessions on its scopes, hard or soft."""
-    other = intents.select(F.col("intent").alias("other"), F.col("session").alias("other_session"), "scope", F.when(F.col("lock") == "hard", 2).otherwise(1).alias("rank"))
-    met = intents.select("intent", "session", "scope").join(other, "scope").where("session <> other_session")
-    return met.groupBy("intent").agg(F.max("rank").alias("rank"), F.count_distinct("other").alias("others")).select("intent", F.when(F.col("rank") == 2, "blocked").otherwise("warned").alias("outcome"), "others")
+    """intents (intent, session, scope, lock): for each the strongest lock of other sessions on its scopes, hard or soft, and how often it meets their intents.
+
+    Counts of a scope and of each session in it tell both without pairing the intents of a scope.
+    """
+    own = intents.groupBy("scope", "session").agg(F.count("*").alias("n"), F.count(F.when(F.col("lock") == "hard", 1)).alias("hard"))
+    all_ = own.groupBy("scope").agg(F.sum("n").alias("all_n"), F.sum("hard").alias("all_hard"))
+    met = intents.select("intent", "session", "scope").join(own, ["scope", "session"]).join(all_, "scope").where("all_n > n")
+    return met.groupBy("intent").agg(F.when(F.max(F.col("all_hard") - F.col("hard")) > 0, "blocked").otherwise("warned").alias("outcome"), F.sum(F.col("all_n") - F.col("n")).alias("others"))
 
 
 def audit(log: DataFrame, actor: str | None = None, action: str | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:

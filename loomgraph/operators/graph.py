@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import cut
+from ..sources.store import cut, new_folder
 from .filters import impact_relations
 
 
@@ -21,26 +21,24 @@ def edges_of(relations: DataFrame, direction: str = "out", kinds=None) -> DataFr
 def reach(roots: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node, hop): what roots (root, node) reach over edges (a, b) in `depth` steps, by the least number of them.
 
-    The edges and each level are written to the checkpoint folder, so that nothing is computed twice and lost executors
-    cost only their own tasks. Without a depth it ends when a level finds nothing new.
+    The edges and each level are written to the shared folder, so that nothing is computed twice and lost executors cost
+    only their own tasks. A level reads only the edges of its frontier, and leaves out by one anti-join what the files of
+    all earlier levels hold. Without a depth it ends when a level finds nothing new.
     """
+    spark = roots.sparkSession
     edges = cut(edges) if depth is None or depth > 1 else edges
-    frontier = cut(roots.select("root", "node", F.lit(0).alias("hop")).distinct())
-    levels, hop = [frontier], 0
+    folder, hop = new_folder(spark, "reach"), 0
+    frontier = cut(roots.select("root", "node", F.lit(0).alias("hop")).distinct(), f"{folder}/0")
+    paths = [f"{folder}/0"]
     while depth is None or hop < depth:
         hop += 1
-        seen = levels[0].select("root", "node")
-        for level in levels[1:]:
-            seen = seen.unionByName(level.select("root", "node"))
-        step = frontier.join(edges, frontier.node == edges.a).select("root", F.col("b").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(hop).alias("hop")))
+        seen = spark.read.schema(frontier.schema).parquet(*paths).select("root", "node")
+        step = frontier.select("root", "node").join(edges, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(hop).alias("hop")), f"{folder}/{hop}")
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        paths.append(f"{folder}/{hop}")
+    return spark.read.schema(frontier.schema).parquet(*paths)
 
 
 def rooted(nodes: DataFrame, column: str = "id") -> DataFrame:

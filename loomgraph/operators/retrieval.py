@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine_distance
 from .filters import tokens
 
 K1, B = 1.2, 0.75
 # What a hit in each field weighs.
 FIELD_WEIGHTS = {"name": 5.0, "signature": 3.0, "doc": 2.5, "surface": 2.2, "body": 1.5, "import": 1.4, "kind": 1.0, "path": 0.0}
+# The same for files that aren't parsed, and for the words of a prose question.
+ARTIFACT_WEIGHTS = {"kind": 1.0, "mime": 1.4, "preview": 2.0}
+PROSE_WEIGHTS, EXACT_NAME = {"name": 3.0, "signature": 1.5, "file": 1.0}, 2.0
 # Weights of the signals, and what proof counts more where it is required.
 SIGNALS = {"lexical": 0.30, "semantic": 0.28, "graph": 0.18, "proof": 0.16, "provenance": 0.08}
 PROOF_BIAS = 1.35
@@ -38,14 +40,17 @@ def bm25(posts: DataFrame, queries: DataFrame, key: str, limit: int | None = Non
     return top(score, "query", [F.desc("score"), key], limit) if limit else score
 
 
-def top(rows: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(name) <= k)
+def prose_scores(entities: DataFrame, words: Column) -> DataFrame:
+    """Entities with the score of a question's words: what each weighs in the fields that have it, and more if it is the whole name."""
+    has = lambda f: F.coalesce(F.size(F.array_intersect(tokens(F.col(f)), words)), F.lit(0))
+    score = F.array_contains(words, F.lower("name")).cast("int") * EXACT_NAME
+    for field, weight in PROSE_WEIGHTS.items():
+        score = score + F.when(F.col(field).isNull(), 0.0).otherwise(has(field) * weight)
+    return entities.withColumn("score", score.cast("double"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, vec_id, distance, rank): exact cosine neighbours of a bounded set of queries (query, vector), broadcast to the rows."""
-    rows = vectors.select("vec_id", "embedding").join(F.broadcast(queries))
-    return top(rows.select("query", "vec_id", F.round(cosine_distance(F.col("embedding"), F.col("vector")), 6).alias("distance")), "query", ["distance", "vec_id"], k)
+def top(rows: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(name) <= k)
 
 
 def normalised(score: Column, group: str) -> Column:

@@ -32,7 +32,8 @@ def module_sample(entities: DataFrame, relations: DataFrame, limit: int) -> Data
     rows = entities.select("id", "name", "file").join(degrees(relations), "id", "left").select("id", "name", module_of(F.col("file")).alias("module"), F.coalesce("degree", F.lit(0)).alias("degree"))
     share = rows.agg(F.greatest(F.lit(1), F.floor(F.lit(limit * 60 // 100) / F.count_distinct("module"))).alias("share"))
     order = [F.desc("degree"), "name", "id"]
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy(*order))).join(F.broadcast(share))  # one row
+    # no module gives more than `limit` rows to either part, so the window keeps that many, before and after its shuffle
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy(*order))).where(F.col("place") <= 2 * limit).join(F.broadcast(share))  # one row
     quota = ranked.where("place <= share").orderBy("module", "place").limit(limit)
     left = quota.agg((F.lit(limit) - F.count("*")).alias("left"))
     # at most `limit` rows can fill up, so that many are ranked
@@ -76,6 +77,7 @@ def census(old: DataFrame, new: DataFrame, key: str, slip: float = 0.1) -> DataF
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """(rows, digest): order-independent: the XOR and the sum of row hashes, folded on the map side."""
-    h = F.xxhash64(*rows.columns)
-    return rows.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"))
+    """(rows, xor, total): order-independent: the XOR and the sum of 60-bit row hashes, folded on the map side."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in rows.columns])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return rows.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"))

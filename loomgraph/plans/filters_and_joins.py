@@ -89,15 +89,15 @@ def b14_export_filter(spark, d):
     return entities(spark, d).where(F.regexp_replace(F.lower("kind"), "_", "").isin("class", "function") & F.col("file").startswith("src/n1")).select("id", "kind", "file")
 
 
-@query("SELECT o_orderkey AS work, o_orderpriority AS priority, o_orderstatus AS status FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey % 50 = 3)")
+@query("SELECT o_orderkey AS work, o_orderpriority AS priority, o_orderstatus AS status FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def b15_work_filter(spark, d):
-    scopes = table(spark, d, "lineitem").where("l_partkey % 50 = 3").select(F.col("l_orderkey").alias("o_orderkey"))
+    scopes = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return table(spark, d, "orders").where("o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus = 'O'").join(scopes, "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("work"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
 
 
-@query("SELECT DISTINCT l_partkey AS target, l_returnflag AS staleness FROM lineitem WHERE l_returnflag <> 'A' AND l_partkey % 10 = 1")
+@query("SELECT DISTINCT l_partkey AS target, l_returnflag AS staleness FROM lineitem WHERE l_returnflag <> 'A'")
 def b16_annotation_filter(spark, d):
-    return table(spark, d, "lineitem").where("l_returnflag <> 'A' and l_partkey % 10 = 1").select(F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("staleness")).dropDuplicates()
+    return table(spark, d, "lineitem").where("l_returnflag <> 'A'").select(F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("staleness")).dropDuplicates()
 
 
 @query("SELECT event_id AS id, 'u' || user_id AS actor, event_type AS action, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events WHERE starts_with('u' || user_id, 'u1') AND contains(event_type, 'i') AND strftime(ts, '%Y-%m-%d %H:%M:%S') >= '2024-01-10' ORDER BY stamp DESC, id DESC LIMIT 50")
@@ -106,10 +106,10 @@ def b18_audit_filter(spark, d):
     return fl.audit(log, "u1*", "i", "2024-01-10", 50).withColumnRenamed("at", "stamp")
 
 
-@query("""WITH i AS (SELECT o_orderkey AS intent, o_custkey AS session, l_suppkey AS scope, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS rank FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND o_orderkey % 20 = 0 GROUP BY ALL)
-SELECT a.intent, CASE WHEN max(b.rank) = 2 THEN 'blocked' ELSE 'warned' END AS outcome, count(DISTINCT b.intent) AS others FROM i a JOIN i b ON a.scope = b.scope AND a.session <> b.session GROUP BY a.intent""")
+@query("""WITH i AS (SELECT o_orderkey AS intent, o_custkey AS session, l_suppkey AS scope, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS rank FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY ALL)
+SELECT a.intent, CASE WHEN max(b.rank) = 2 THEN 'blocked' ELSE 'warned' END AS outcome, count(*) AS others FROM i a JOIN i b ON a.scope = b.scope AND a.session <> b.session GROUP BY a.intent""")
 def b19_intent_collisions(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderkey % 20 = 0")
+    o = table(spark, d, "orders").where("o_orderstatus = 'P'")
     i = o.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("intent"), F.col("o_custkey").alias("session"), F.col("l_suppkey").alias("scope"), F.when(F.col("o_orderpriority") == "1-URGENT", "hard").otherwise("soft").alias("lock")).distinct()
     return fl.collisions(i)
 
@@ -163,21 +163,23 @@ def c4_incoming_of_kinds(spark, d):
     return e.join(g.cross_file_targets(e, relations(spark, d), ["Calls", "References"]), "id", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""WITH imports AS (SELECT o_orderkey AS src, o_custkey % 25 AS named, 'P' || (o_custkey % 120) AS name FROM orders WHERE o_orderkey % 7 = 0),
-defs AS (SELECT p_partkey AS entity, p_partkey % 25 AS repo, 'P' || (p_partkey % 100) AS name FROM part WHERE p_partkey % 4 = 0),
-one AS (SELECT i.src, d.repo, d.entity, 0.95 AS confidence FROM imports i JOIN defs d ON i.name = d.name AND i.named = d.repo WHERE i.src % 2 = 0),
-rest AS (SELECT * FROM imports i WHERE src % 2 = 1),
-hits AS (SELECT i.src, d.repo, d.entity, count(*) OVER (PARTITION BY i.src) AS n FROM rest i JOIN defs d ON i.name = d.name)
-SELECT src, repo, entity, confidence::DOUBLE AS confidence FROM one UNION ALL SELECT src, repo, entity, CASE WHEN n = 1 THEN 0.9 ELSE 0.5 END::DOUBLE FROM hits""")
+@query("""WITH imports AS (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 2 = 0 THEN 'r' || (o_custkey % 25) END AS named, CASE WHEN o_orderkey % 4 = 1 THEN 'r' || (o_custkey % 25) || '/x' END AS source, 'P' || o_custkey AS name FROM orders),
+defs AS (SELECT p_partkey AS entity, 'r' || (p_partkey % 25) AS repo, 'P' || (p_partkey // 3) AS name FROM part),
+hits AS (SELECT src, named, source, repo, entity FROM imports i JOIN defs d USING (name)),
+within AS (SELECT * FROM hits WHERE named IS NULL AND starts_with(source, repo || '/')),
+rest AS (SELECT *, count(*) OVER (PARTITION BY src) AS n FROM hits WHERE named IS NULL AND src NOT IN (SELECT src FROM within))
+SELECT src, repo, entity, 0.95::DOUBLE AS confidence FROM hits WHERE named = repo UNION ALL SELECT src, repo, entity, 0.8 FROM within UNION ALL SELECT src, repo, entity, CASE WHEN n = 1 THEN 0.9 ELSE 0.5 END FROM rest""")
 def c5_import_resolution(spark, d):
-    """An import that names its repository resolves there or not at all; others by name, surer if there is one hit."""
-    from pyspark.sql import Window
-
-    i = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") % 25).alias("named"), F.concat(F.lit("P"), (F.col("o_custkey") % 120).cast("string")).alias("name"))
-    t = table(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("entity"), (F.col("p_partkey") % 25).alias("repo"), F.concat(F.lit("P"), (F.col("p_partkey") % 100).cast("string")).alias("name"))
-    hits = i.join(t, "name").withColumn("n", F.count("*").over(Window.partitionBy("src")))
-    one = i.where("src % 2 = 0").join(t, "name").where("named = repo").select("src", "repo", "entity", F.lit(0.95).alias("confidence"))
-    return one.unionByName(hits.where("src % 2 = 1").select("src", "repo", "entity", F.when(F.col("n") == 1, 0.9).otherwise(0.5).alias("confidence")))
+    """An import that names its repository resolves there or not at all; one whose source lies in a repository, there; others by name, surer if there is one hit."""
+    c, repo = F.col, lambda n: F.concat(F.lit("r"), (F.col(n) % 25).cast("string"))
+    i = table(spark, d, "orders").select(c("o_orderkey").alias("src"), F.when(c("o_orderkey") % 2 == 0, repo("o_custkey")).alias("named"), F.when(c("o_orderkey") % 4 == 1, F.concat(repo("o_custkey"), F.lit("/x"))).alias("source"), F.concat(F.lit("P"), c("o_custkey").cast("string")).alias("name"))
+    t = table(spark, d, "part").select(c("p_partkey").alias("entity"), repo("p_partkey").alias("repo"), F.concat(F.lit("P"), F.floor(c("p_partkey") / 3).cast("string")).alias("name"))
+    inside = F.coalesce(c("named").isNull() & c("source").startswith(F.concat("repo", F.lit("/"))), F.lit(False))
+    hits = i.join(t, "name").withColumn("inside", inside)
+    n = hits.groupBy("src").agg(F.count("*").alias("n"), F.max("inside").alias("any"))
+    hits = hits.join(n, "src")
+    confidence = F.when(c("named") == c("repo"), 0.95).when(c("inside"), 0.8).when(c("named").isNull() & ~c("any"), F.when(c("n") == 1, 0.9).otherwise(0.5))
+    return hits.select("src", "repo", "entity", confidence.alias("confidence")).where("confidence is not null")
 
 
 @query(G + "SELECT r.id, r.src, r.dst FROM relations r LEFT JOIN entities e ON e.id = r.dst AND e.role <> 'Test' WHERE r.kind IN ('Calls', 'References') AND r.evidence > 1 AND e.id IS NULL")
@@ -186,20 +188,20 @@ def c6_unresolved_imports(spark, d):
     return relations(spark, d).where("kind in ('Calls', 'References') and evidence > 1").join(local, "dst", "left_anti").select("id", "src", "dst")
 
 
-@query("""WITH need AS (SELECT s_suppkey AS interface, p AS member FROM supplier, (VALUES (0), (1)) v(k), LATERAL (SELECT (s_suppkey * 7 + k * 13) % 100 AS p) WHERE s_suppkey < 40),
-offer AS (SELECT DISTINCT l_orderkey AS class, l_partkey % 100 AS member FROM lineitem WHERE l_orderkey % 10 = 0)
+@query("""WITH need AS (SELECT s_suppkey AS interface, s_suppkey * 7 + k * 13 AS member FROM supplier, (VALUES (0), (1)) v(k) WHERE k <= s_suppkey % 2),
+offer AS (SELECT DISTINCT l_orderkey AS class, l_partkey AS member FROM lineitem)
 SELECT interface, class, count(*) AS members FROM need JOIN offer USING (member) GROUP BY interface, class HAVING count(*) = (SELECT count(*) FROM need n WHERE n.interface = need.interface)""")
 def c7_interface_satisfaction(spark, d):
     """Relational division: classes that offer every member an interface needs."""
-    s = table(spark, d, "supplier").where("s_suppkey < 40")
-    need = s.select(F.col("s_suppkey").alias("interface"), F.explode(F.array(*[(F.col("s_suppkey") * 7 + k * 13) % 100 for k in (0, 1)])).alias("member"))
-    offer = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("class"), (F.col("l_partkey") % 100).alias("member")).distinct()
+    k = F.filter(F.array(F.lit(0), F.lit(1)), lambda k: k <= F.col("s_suppkey") % 2)
+    need = table(spark, d, "supplier").select(F.col("s_suppkey").alias("interface"), F.explode(F.transform(k, lambda k: F.col("s_suppkey") * 7 + k * 13)).alias("member"))
+    offer = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("class"), F.col("l_partkey").alias("member")).distinct()
     n = need.groupBy("interface").agg(F.count("*").alias("n"))
     return need.join(offer, "member").groupBy("interface", "class").agg(F.count("*").alias("members")).join(n, "interface").where("members = n").select("interface", "class", "members")
 
 
-@query("""WITH need AS (SELECT s_suppkey AS interface, p AS member FROM supplier, (VALUES (0), (1)) v(k), LATERAL (SELECT (s_suppkey * 7 + k * 13) % 100 AS p) WHERE s_suppkey < 40),
-offer AS (SELECT DISTINCT l_orderkey AS class, l_partkey % 100 AS member FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH need AS (SELECT s_suppkey AS interface, s_suppkey * 7 + k * 13 AS member FROM supplier, (VALUES (0), (1)) v(k) WHERE k <= s_suppkey % 2),
+offer AS (SELECT DISTINCT l_orderkey AS class, l_partkey AS member FROM lineitem),
 ok AS (SELECT interface, class FROM need JOIN offer USING (member) GROUP BY interface, class HAVING count(*) = (SELECT count(*) FROM need n WHERE n.interface = need.interface))
 SELECT interface, o_custkey AS caller, count(*) AS classes FROM ok JOIN orders ON o_orderkey = class GROUP BY ALL""")
 def i20_dispatch_callers(spark, d):
@@ -303,10 +305,10 @@ def c15_proof_slice(spark, d):
     return direct.unionByName(via).distinct().groupBy("entity").agg(F.count("*").alias("tests"))
 
 
-@query("WITH w AS (SELECT o_orderkey AS work FROM orders WHERE o_orderkey % 6 = 0), impl AS (SELECT l_orderkey AS work, l_partkey AS entity FROM lineitem WHERE l_returnflag = 'R'), scope AS (SELECT l_orderkey AS work, l_partkey AS entity FROM lineitem), e AS (SELECT DISTINCT w.work, entity FROM w JOIN impl USING (work) UNION SELECT w.work, entity FROM w JOIN scope USING (work) WHERE w.work NOT IN (SELECT work FROM impl)) SELECT work, entity FROM e WHERE entity % 3 <> 0", name="c16_work_without_proof")
+@query("WITH w AS (SELECT o_orderkey AS work FROM orders), impl AS (SELECT l_orderkey AS work, l_partkey AS entity FROM lineitem WHERE l_returnflag = 'R'), scope AS (SELECT l_orderkey AS work, l_partkey AS entity FROM lineitem), e AS (SELECT DISTINCT w.work, entity FROM w JOIN impl USING (work) UNION SELECT w.work, entity FROM w JOIN scope USING (work) WHERE w.work NOT IN (SELECT work FROM impl)) SELECT work, entity FROM e WHERE entity % 3 <> 0", name="c16_work_without_proof")
 def c16_work_without_proof(spark, d):
     line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_partkey").alias("entity"), "l_returnflag")
-    work = table(spark, d, "orders").where("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("work"))
+    work = table(spark, d, "orders").select(F.col("o_orderkey").alias("work"))
     by = line.where("l_returnflag = 'R'").select("work", "entity")
     scoped = line.join(by, "work", "left_anti").select("work", "entity")
     proven = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("entity"))
@@ -315,18 +317,16 @@ def c16_work_without_proof(spark, d):
 
 @query(E + "SELECT c.id, split_part(c.name, '::', 1) AS owner, count(*) OVER (PARTITION BY split_part(c.name, '::', 1)) AS siblings FROM entities c WHERE contains(c.name, '::')")
 def c19_declaration_members(spark, d):
-    from pyspark.sql import Window
-
-    owner = S.qualifier(F.col("name"))
-    return entities(spark, d).where("name like '%::%'").select("id", owner.alias("owner")).withColumn("siblings", F.count("*").over(Window.partitionBy("owner")))
+    members = entities(spark, d).where("name like '%::%'").select("id", S.qualifier(F.col("name")).alias("owner"))
+    return members.join(members.groupBy("owner").agg(F.count("*").alias("siblings")), "owner").select("id", "owner", "siblings")
 
 
-DEPS = "deps AS (SELECT DISTINCT c_nationkey AS repo, s_nationkey AS needs FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 50 = 0 AND c_nationkey <> s_nationkey)"
+DEPS = "deps AS (SELECT DISTINCT c_nationkey AS repo, s_nationkey AS needs FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey)"
 
 
 @query(f"WITH {DEPS} SELECT repo, count(*) AS dependencies, (SELECT count(*) FROM deps x WHERE x.needs = deps.repo) AS consumers FROM deps GROUP BY repo")
 def c20_repo_dependencies(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 0").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("repo"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("repo"))
     line = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", F.col("s_nationkey").alias("needs"))
     deps = o.join(line, F.col("o_orderkey") == F.col("l_orderkey")).where("repo <> needs").select("repo", "needs").distinct()
     out = deps.groupBy("repo").agg(F.count("*").alias("dependencies"))

@@ -58,18 +58,14 @@ def a10_compact_index(spark, d):
     return entities(spark, d).select("id", "kind", "name").join(incoming, "id", "left").select("id", "kind", "name", F.coalesce("incoming", F.lit(0)).alias("incoming"))
 
 
-PATHS = "paths AS (SELECT CASE page_id % 5 WHEN 0 THEN 'src/a' || page_id || '.py' WHEN 1 THEN 'docs/p.html' WHEN 2 THEN 'x/Cargo.toml' WHEN 3 THEN 'bin/tool' || page_id ELSE 'lib/m.go' END AS path, page_id FROM pages)"
+SOURCES_SQL = "(" + ", ".join(f"'{x}'" for x in art.SOURCES) + ")"
 
 
-def paths(spark, d):
-    p = F.col("page_id")
-    path = F.when(p % 5 == 0, F.concat(F.lit("src/a"), p.cast("string"), F.lit(".py"))).when(p % 5 == 1, "docs/p.html").when(p % 5 == 2, "x/Cargo.toml").when(p % 5 == 3, F.concat(F.lit("bin/tool"), p.cast("string"))).otherwise("lib/m.go")
-    return table(spark, d, "pages").select("page_id", path.alias("path"))
-
-
-@query(f"WITH {PATHS} SELECT CASE page_id % 5 WHEN 0 THEN 'semantic' WHEN 1 THEN 'shallow' WHEN 2 THEN 'structured' WHEN 3 THEN 'opaque' ELSE 'semantic' END AS tier, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS extension, count(*) AS files FROM paths GROUP BY ALL", name="a14_a15_coverage")
+@query(E + f"SELECT CASE WHEN regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1) IN {SOURCES_SQL} THEN 'semantic' ELSE 'opaque' END AS tier, regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1) AS extension, count(*) AS files FROM (SELECT DISTINCT file FROM entities WHERE file IS NOT NULL UNION ALL SELECT url FROM pages WHERE url IS NOT NULL) GROUP BY ALL", name="a14_a15_coverage")
 def a14_coverage(spark, d):
-    return art.coverage(paths(spark, d))
+    """Of the entities' files and of all pages."""
+    files = entities(spark, d).where("file is not null").select("file").distinct().unionByName(table(spark, d, "pages").where("url is not null").select(F.col("url").alias("file")))
+    return art.coverage(files, "file")
 
 
 @query(r"SELECT doc_id, CASE WHEN trim(regexp_replace(substr(text, 1, 120), '[ \t\n\r\f\x0b]+', ' ', 'g')) <> '' THEN trim(regexp_replace(substr(text, 1, 120), '[ \t\n\r\f\x0b]+', ' ', 'g')) END AS preview FROM documents", name="a16_text_preview")
@@ -148,16 +144,16 @@ def k12_three_way_merge(spark, d):
     return h.merge3(p.where(i % 9 > 0), ours, theirs)
 
 
-@query(E + ", files AS (SELECT file FROM entities WHERE line % 90 = 1 AND file IS NOT NULL GROUP BY file) SELECT e.file, count(*) AS entities FROM entities e JOIN files USING (file) GROUP BY e.file", name="k19_l6_reindex_scope")
+@query(E + ", files AS (SELECT file FROM entities WHERE role = 'Test' AND file IS NOT NULL GROUP BY file) SELECT e.file, count(*) AS entities FROM entities e JOIN files USING (file) GROUP BY e.file", name="k19_l6_reindex_scope")
 def k19_reindex_scope(spark, d):
     e = entities(spark, d)
-    return e.join(e.where("line % 90 = 1").select("file"), "file", "left_semi").groupBy("file").agg(F.count("*").alias("entities"))
+    return e.join(e.where("role = 'Test'").select("file"), "file", "left_semi").groupBy("file").agg(F.count("*").alias("entities"))
 
 
-@query(E + ", notes AS (SELECT 'p:' || l_partkey AS id, max(l_quantity)::INTEGER AS anchor FROM lineitem GROUP BY l_partkey) SELECT id, CASE WHEN e.id IS NULL THEN 'orphaned' WHEN anchor = 50 THEN 'fresh' ELSE 'stale' END AS staleness FROM notes LEFT JOIN (SELECT id FROM entities WHERE role <> 'Test') e USING (id)", name="k22_annotation_staleness")
+@query(E + ", notes AS (SELECT 'p:' || l_partkey AS id, max(l_quantity)::INTEGER AS anchor FROM lineitem GROUP BY l_partkey) SELECT id, CASE WHEN e.id IS NULL THEN 'orphaned' WHEN anchor = e.size % 51 THEN 'fresh' ELSE 'stale' END AS staleness FROM notes LEFT JOIN (SELECT id, size FROM entities WHERE role <> 'Test') e USING (id)", name="k22_annotation_staleness")
 def k22_annotation_staleness(spark, d):
     notes = table(spark, d, "lineitem").groupBy(F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("id")).agg(F.max("l_quantity").cast("int").alias("anchor"))
-    now = entities(spark, d).where("role <> 'Test'").select("id", F.lit(50).alias("current"))
+    now = entities(spark, d).where("role <> 'Test'").select("id", (F.col("size") % 51).alias("current"))
     return notes.join(now, "id", "left").select("id", F.when(F.col("current").isNull(), "orphaned").when(F.col("anchor") == F.col("current"), "fresh").otherwise("stale").alias("staleness"))
 
 
@@ -241,12 +237,12 @@ def a19_entry_points(spark, d):
     return art.entry_points(files).select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("page_id"), "script", "module", "symbol")
 
 
-BODIES = "old AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey % 50 AS hash, l_partkey % 5 = 0 AS guard FROM lineitem WHERE l_orderkey % 4 < 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1), new AS (SELECT id, n, hash, guard FROM old WHERE NOT (id % 4 = 1 AND n = 2) UNION ALL SELECT id, 100, 55, id % 3 = 0 FROM old WHERE id % 2 = 0 AND id % 5 > 0 GROUP BY id)"
+BODIES = "old AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey % 50 AS hash, l_partkey % 5 = 0 AS guard FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1), new AS (SELECT id, n, hash, guard FROM old WHERE NOT (id % 4 = 1 AND n = 2) UNION ALL SELECT id, 100, 55, id % 3 = 0 FROM old WHERE id % 2 = 0 AND id % 5 > 0 GROUP BY id)"
 
 
 @query(f"WITH {BODIES}, c AS (SELECT id, hash, guard, sum(side) AS d FROM (SELECT id, hash, guard, -1 AS side FROM old UNION ALL SELECT id, hash, guard, 1 FROM new) GROUP BY ALL), m AS (SELECT id, sum(greatest(d, 0)) AS added, sum(CASE WHEN guard THEN greatest(d, 0) ELSE 0 END) AS guards, sum(greatest(-d, 0)) AS removed FROM c GROUP BY id), o AS (SELECT coalesce(old.id, new.id) AS id, bool_or(old.hash IS DISTINCT FROM new.hash OR old.guard IS DISTINCT FROM new.guard) AS reordered FROM old FULL JOIN new ON old.id = new.id AND old.n = new.n GROUP BY 1) SELECT id, CASE WHEN NOT reordered THEN 'equivalent' WHEN removed = 0 AND added > 0 AND added = guards THEN 'added_narrowing_guard' WHEN added = 0 AND removed > 0 THEN 'removed_guard_or_widened' ELSE 'other' END AS shape, guards::BIGINT AS guards, removed::BIGINT AS removed FROM m JOIN o USING (id)", name="k15_change_shape")
 def k15_change_shape(spark, d):
-    line = table(spark, d, "lineitem").where("l_orderkey % 4 < 2")
+    line = table(spark, d, "lineitem")
     first = line.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("n")).agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("m"))
     old = first.select("id", "n", (F.col("m.l_partkey") % 50).alias("hash"), (F.col("m.l_partkey") % 5 == 0).alias("guard"))
     more = old.where("id % 2 = 0 and id % 5 > 0").select("id").distinct().select("id", F.lit(100).cast("long").alias("n"), F.lit(55).cast("long").alias("hash"), (F.col("id") % 3 == 0).alias("guard"))

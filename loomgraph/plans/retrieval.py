@@ -27,14 +27,14 @@ def h7_token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", S.token_estimate(F.col("text")).alias("tokens"))
 
 
-SOURCE = "'// head' || chr(10) || 'x  =  ' || n_chars || ';  /* a' || chr(10) || 'b */' || chr(10) || chr(10) || '# note' || chr(10) || ' y = ' || lang"
-NORMAL = f"array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace({SOURCE}, '(?s)/\\*.*?\\*/', '', 'g'), '(//|#)[^\\n]*', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+NORMAL = r"array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g'), '(//|#)[^\n]*', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
 
 
-@query(f"SELECT doc_id, {NORMAL} AS source, sha256({NORMAL}) AS fingerprint, CASE WHEN n_chars <= 50 THEN 0.25::DOUBLE WHEN n_chars <= 200 THEN 0.5 WHEN n_chars <= 500 THEN 0.75 ELSE 1.0 END AS stability FROM documents", name="h8_h9_fingerprint")
+@query(f"WITH n AS (SELECT doc_id, {NORMAL} AS source FROM documents), l AS (SELECT *, len(string_split(source, chr(10))) AS lines FROM n) SELECT doc_id, sha256(source) AS fingerprint, CASE WHEN lines <= 5 THEN 0.25::DOUBLE WHEN lines <= 20 THEN 0.5 WHEN lines <= 50 THEN 0.75 ELSE 1.0 END AS stability FROM l", name="h8_h9_fingerprint")
 def h8_fingerprint(spark, d):
-    text = F.concat(F.lit("// head\nx  =  "), F.col("n_chars").cast("string"), F.lit(";  /* a\nb */\n\n# note\n y = "), F.col("lang"))
-    return table(spark, d, "documents").select("doc_id", S.normalised_source(text).alias("source"), S.fingerprint(text).alias("fingerprint"), S.stability(F.col("n_chars") / 10).alias("stability"))
+    """Of the whole texts of documents."""
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", S.fingerprint(text).alias("fingerprint"), S.stability(F.size(F.split(S.normalised_source(text), "\n"))).alias("stability"))
 
 
 @query("SELECT vec_id, round(CASE WHEN list_inner_product(e, e) * list_inner_product(f, f) = 0 THEN 1 ELSE 1 - list_inner_product(e, f) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(f, f))) END, 5) AS distance FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_transform(embedding[33:64] || embedding[1:32], lambda x: x::DOUBLE) AS f FROM embeddings)", name="h11_cosine_distance")
@@ -63,7 +63,7 @@ def h16_arity_and_ids(spark, d):
 STOP = "(" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + ")"
 
 
-@query(f"WITH w AS (SELECT item_id, i, t FROM (SELECT item_id, {TOKENS.format('text')} AS ts FROM benchmark), LATERAL (SELECT unnest(ts) AS t, unnest(range(len(ts))) AS i)), f AS (SELECT item_id, t, min(i) AS i FROM w WHERE t NOT IN {STOP} AND len(t) > 2 GROUP BY ALL) SELECT item_id, string_agg(t, ' ' ORDER BY i) AS words FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i) <= 8) GROUP BY item_id", name="h17_question_tokens")
+@query(f"WITH w AS (SELECT item_id, i, t FROM (SELECT item_id, {TOKENS.format('text')} AS ts FROM benchmark), LATERAL (SELECT unnest(ts) AS t, unnest(range(len(ts))) AS i)), f AS (SELECT item_id, t, min(i) AS i FROM w WHERE t NOT IN {STOP} AND len(t) >= 2 GROUP BY ALL) SELECT item_id, string_agg(t, ' ' ORDER BY i) AS words FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i) <= 8) GROUP BY item_id", name="h17_question_tokens")
 def h17_question_tokens(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(S.question_tokens(F.col("text")), " ").alias("words")).where("words <> ''")
 
@@ -165,11 +165,23 @@ def j13_learned_rerank(spark, d):
     return rows.select("query", "id", "good", F.round(model.score(), 6).alias("score"))
 
 
-@query(E + f"SELECT q, id, score FROM (SELECT 'where is the urgent order' AS q, id, sum(CASE WHEN list_contains({TOKENS.format('name')}, t) THEN 3 ELSE 0 END + CASE WHEN list_contains({TOKENS.format('signature')}, t) THEN 1.5 ELSE 0 END)::DOUBLE AS score FROM entities, (VALUES ('urgent'), ('order')) v(t) GROUP BY id) WHERE score > 0 QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 25", name="j10_prose_fallback")
+@query(E + f"SELECT 'where is the urgent order' AS q, id, sum(CASE WHEN list_contains({TOKENS.format('name')}, t) THEN 3 ELSE 0 END + CASE WHEN lower(name) = t THEN 2 ELSE 0 END + CASE WHEN list_contains({TOKENS.format('signature')}, t) THEN 1.5 ELSE 0 END + CASE WHEN list_contains({TOKENS.format('file')}, t) THEN 1 ELSE 0 END)::DOUBLE AS score FROM entities, (VALUES ('urgent'), ('order')) v(t) GROUP BY id HAVING score > 0 QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 25", name="j10_prose_fallback")
 def j10_prose_fallback(spark, d):
     """A prose question scored by its telling words over weighted fields."""
     q = "where is the urgent order"
     words = S.question_tokens(F.lit(q))
-    hits = lambda f: F.size(F.array_intersect(S.code_tokens(F.col(f)), words))
-    scored = entities(spark, d).select(F.lit(q).alias("q"), "id", (hits("name") * 3 + hits("signature") * 1.5).cast("double").alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(25)
+    return rt.prose_scores(entities(spark, d), words).select(F.lit(q).alias("q"), "id", "score").where("score > 0").orderBy(F.desc("score"), "id").limit(25)
+
+
+ARTIFACTS_SQL = BM25_ALL.replace(BM25_ALL[: BM25_ALL.index("lens AS")], f"""posts AS (SELECT doc_id, token, sum(w) AS tf FROM (SELECT doc_id, unnest({TOKENS.format("'opaque_artifact'")}) AS token, 1.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest({TOKENS.format('source')}), 1.4 FROM documents UNION ALL SELECT doc_id, unnest({TOKENS.format('trim(substr(text, 1, 120))')}), 2.0 FROM documents) GROUP BY ALL),
+""")
+
+
+@query(f"WITH {ARTIFACTS_SQL} SELECT query, doc_id, score FROM (SELECT query, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc_id) AS n FROM bm) WHERE n <= 10", name="j2_artifact_search")
+def j2_artifact_search(spark, d):
+    """Opaque artifacts by their weighted fields: what they are, their type, and the preview of their text."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("opaque_artifact").alias("kind"), F.col("source").alias("mime"), F.trim(F.substring("text", 1, 120)).alias("preview"))
+    posts = rt.postings(docs, "doc_id", rt.ARTIFACT_WEIGHTS)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(S.code_tokens(F.col("text")))).alias("token"))
+    scores = rt.bm25(posts, asked, "doc_id").withColumn("score", F.round("score", 4))
+    return rt.top(scores, "query", [F.desc("score"), "doc_id"], 10).select("query", "doc_id", "score")

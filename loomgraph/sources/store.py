@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where none is set (tests)."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one, in one process only (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, computed once into the shared folder and read again: a cut of its lineage whose columns can be pruned."""
+    path = path or new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Conflict(RuntimeError):
@@ -35,40 +46,58 @@ class Conflict(RuntimeError):
 class Store:
     """Snapshots and deltas of one repository's table below a folder.
 
-    A generation is a number. Files of a generation are written first; a marker that is created without overwriting
-    makes them count, so of two writers at one generation one fails with Conflict and leaves no trace in reads.
+    A generation is a number. A writer puts its files into a folder of its own, then creates the generation's marker
+    without overwriting and writes the folder's name into it. So of two writers at one generation one fails with
+    Conflict, and its files are never read; a writer that fails before the marker leaves nothing that counts. A marker
+    that was created and never filled counts neither; `stale_s` seconds later the next writer takes it over.
     Reads use Spark only; the markers are small files that the driver handles through Hadoop's file system.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, path: str, stale_s: float = 600):
+        self.spark, self.path, self.stale_s = spark, path.rstrip("/"), stale_s
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def marks(self) -> dict[int, str]:
-        """Kind (snapshot or delta) by generation."""
+        """Folder (snapshot-... or delta-...) by generation."""
         folder = self._path(f"{self.path}/marks")
         if not self._fs.exists(folder):
             return {}
-        names = [s.getPath().getName().split("-") for s in self._fs.listStatus(folder)]
-        return {int(n): kind for n, kind in names}
+        found = {}
+        for s in self._fs.listStatus(folder):
+            if s.getLen() > 0:
+                stream = self._fs.open(s.getPath())
+                found[int(s.getPath().getName())] = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+        return found
 
     def generation(self) -> int:
         return max(self.marks(), default=0)
 
+    def _of(self, kind: str) -> dict[int, str]:
+        return {g: name for g, name in self.marks().items() if name.startswith(kind)}
+
+    def _claim(self, generation: int, name: str) -> None:
+        marker = self._path(f"{self.path}/marks/{generation}")
+        if self._fs.exists(marker):
+            status = self._fs.getFileStatus(marker)
+            if status.getLen() == 0 and time.time() - status.getModificationTime() / 1000 >= self.stale_s:
+                self._fs.delete(marker, False)
+        try:
+            stream = self._fs.create(marker, False)
+        except Exception as e:
+            raise Conflict(f"generation {generation} was taken") from e
+        stream.write(bytearray(name.encode()))
+        stream.close()
+
     def _save(self, df: DataFrame, expected: int, kind: str) -> int:
         if self.generation() != expected:
             raise Conflict(f"generation is {self.generation()}, not {expected}")
-        new = expected + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/{kind}/generation={new}")
-        lock = self._path(f"{self.path}/locks/{new}")
-        try:
-            self._fs.create(lock, False).close()
-        except Exception as e:
-            raise Conflict(f"generation {new} was taken") from e
-        self._fs.create(self._path(f"{self.path}/marks/{new}-{kind}"), False).close()
-        return new
+        name = f"{kind}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/data/{name}")
+        self._claim(expected + 1, name)
+        return expected + 1
 
     def save_snapshot(self, df: DataFrame, expected: int) -> int:
         return self._save(df, expected, "snapshot")
@@ -77,17 +106,19 @@ class Store:
         """df has an `op` column (added, modified, removed) beside the table's own."""
         return self._save(df, expected, "delta")
 
-    def _read(self, kind: str, generations) -> DataFrame | None:
-        paths = [f"{self.path}/{kind}/generation={g}" for g in generations]
-        return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(*paths) if paths else None
+    def _read(self, folders: dict[int, str]) -> DataFrame | None:
+        """The rows of some folders, with their generation."""
+        parts = [self.spark.read.parquet(f"{self.path}/data/{name}").withColumn("generation", F.lit(g)) for g, name in sorted(folders.items())]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def snapshot(self) -> tuple[DataFrame | None, int]:
-        g = max((g for g, kind in self.marks().items() if kind == "snapshot"), default=0)
-        return self._read("snapshot", [g] if g else []), g
+        found = self._of("snapshot")
+        g = max(found, default=0)
+        return self._read({g: found[g]} if g else {}), g
 
     def deltas(self, since: int) -> DataFrame | None:
         """Delta rows of later generations, with their generation."""
-        return self._read("delta", sorted(g for g, kind in self.marks().items() if kind == "delta" and g > since))
+        return self._read({g: name for g, name in self._of("delta").items() if g > since})
 
     def recover(self, key: str) -> DataFrame | None:
         """The newest snapshot with the later deltas applied."""
@@ -102,12 +133,12 @@ class Store:
     def clear_deltas(self) -> None:
         """Deletes deltas that the newest snapshot holds; refuses while later ones count."""
         _, g = self.snapshot()
-        old = [n for n, kind in self.marks().items() if kind == "delta"]
+        old = self._of("delta")
         if any(n > g for n in old):
             raise Conflict("deltas are newer than the snapshot")
-        for n in old:
-            self._fs.delete(self._path(f"{self.path}/delta/generation={n}"), True)
-            self._fs.delete(self._path(f"{self.path}/marks/{n}-delta"), False)
+        for n, name in old.items():
+            self._fs.delete(self._path(f"{self.path}/marks/{n}"), False)
+            self._fs.delete(self._path(f"{self.path}/data/{name}"), True)
 
 
 def overlay(base: DataFrame, session: DataFrame, key: str) -> DataFrame:

@@ -60,11 +60,6 @@ def pass_counts(batch: DataFrame) -> DataFrame:
     return batch.agg(is_("added").alias("added"), is_("modified").alias("modified"), is_("removed").alias("removed"), F.count("*").alias("events"), F.max("seq").alias("last_seq"))
 
 
-def lagged(batch: DataFrame, after: int) -> DataFrame:
-    """Whether a feed has lost rows behind a seq: without a filter its seqs are consecutive."""
-    return batch.agg((F.count_distinct("seq") < F.max("seq") - F.lit(after)).alias("lagged"))
-
-
 def sessions(feed: DataFrame, gap: str, late: str) -> DataFrame:
     """Extension: sessions of an id that end after a gap, behind a watermark; seqs and values of each."""
     timed = feed.withColumn("time", F.col("at").cast("timestamp")).withWatermark("time", late)

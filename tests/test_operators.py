@@ -82,6 +82,55 @@ def test_store_compare_and_swap(spark):
     assert store.deltas(0) is None and {tuple(r) for r in store.recover("id").collect()} == {(1, "a"), (3, "c")}
 
 
+def test_store_keeps_the_winner_of_two_writers_and_survives_crashes(spark):
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = lambda v: spark.createDataFrame([(1, v)], "id long, v string")
+    one, two = Store(spark, path), Store(spark, path)
+    two.generation = lambda: 0  # it looked before the other was done
+    assert one.save_snapshot(rows("winner"), 0) == 1
+    with pytest.raises(Conflict):
+        two.save_snapshot(rows("loser"), 0)
+    assert [r.v for r in one.recover("id").collect()] == ["winner"] and one.marks().keys() == {1}
+    # a writer dies with its files written and no marker
+    rows("dead").write.parquet(f"{path}/data/snapshot-dead")
+    assert one.save_snapshot(rows("second"), 1) == 2
+    # and one dies between a marker's creation and its content: it doesn't count, and is taken over once it is stale
+    one._fs.create(one._path(f"{path}/marks/3"), False).close()
+    assert one.generation() == 2 and [r.v for r in one.recover("id").collect()] == ["second"]
+    with pytest.raises(Conflict):
+        one.save_snapshot(rows("third"), 2)
+    assert Store(spark, path, stale_s=0).save_snapshot(rows("third"), 2) == 3 and [r.v for r in one.recover("id").collect()] == ["third"]
+
+
+def test_modules_of_paths(spark):
+    cases = {"main.c": "(root)", "src/net.c": "src", "crates/kernel/src/graph.rs": "crates/kernel", "deps/hiredis/net.c": "deps", None: "(unknown)", "": "(unknown)", "src\\modules\\vector.c": "src/modules", "./src/net.c": "src", "tests/a/b.py": "tests", "services//api/x.go": "services/api"}
+    df = spark.createDataFrame([(p, m) for p, m in cases.items()], "path string, want string")
+    assert all(r.got == r.want for r in df.select("want", S.module_of(F.col("path")).alias("got")).collect())
+
+
+def test_tiers_of_files(spark):
+    from loomgraph.operators import artifacts as art
+
+    cases = {"a/b.tsx": "semantic", "x.tfvars": "semantic", "pom.xml": "structured", "a/Gemfile": "structured", "Dockerfile.dev": "structured", ".github/workflows/ci.yml": "structured", "db/Migrations/1.sql": "structured", "q.sql": "opaque", "readme.md": "opaque", "GNUmakefile": "structured", "bin/tool": "opaque"}
+    df = spark.createDataFrame([(p, m) for p, m in cases.items()], "path string, want string")
+    assert all(r.got == r.want for r in df.select("want", art.tier(F.col("path")).alias("got")).collect())
+
+
+def test_question_tokens(spark):
+    row = spark.range(1).select(S.question_tokens(F.lit("How does my io module get the new type of a db?")).alias("t")).first()
+    assert row.t == ["io", "module", "get", "new", "type", "db"]
+
+
+def test_collisions_without_pairs(spark):
+    i = spark.createDataFrame([(1, "a", "x", "soft"), (2, "b", "x", "hard"), (3, "a", "x", "soft"), (4, "c", "y", "hard"), (2, "b", "z", "hard"), (5, "d", "z", "soft")], "intent long, session string, scope string, lock string")
+    assert {tuple(r) for r in fl.collisions(i).collect()} == {(1, "blocked", 1), (3, "blocked", 1), (2, "warned", 3), (5, "blocked", 1)}
+
+
+def test_digest_counts_equal_rows(spark):
+    one = spark.createDataFrame([(1, "a")], "id long, v string")
+    assert st.digest(one.unionByName(one).unionByName(one)).first() != st.digest(one).first()
+
+
 def test_name_tiers_fall_back_to_substrings(spark):
     e = nodes(spark, ["fooBar", "barFoo", "xfoobarx"])
     tiers = lambda p: {(r.id, r.tier) for r in fl.by_name_tiers(e, p).collect()}
