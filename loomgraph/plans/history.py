@@ -99,6 +99,14 @@ def k1_state_at(spark, d):
     return h.state_at(entity_log(spark, d), 6000)
 
 
+@query(f"WITH {LOG_SQL}, tree AS (SELECT 'docs/' || entity AS path, ord AS doc_id, op FROM (SELECT * FROM entity_log WHERE ord <= 6000 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ord DESC) = 1) WHERE op <> 'removed') SELECT path, t.doc_id AS blob, d.doc_id IS NOT NULL AS readable, length(text) AS chars, sha256(text) AS hash FROM tree t LEFT JOIN documents d USING (doc_id) WHERE starts_with(path, 'docs/u:1')", name="a21_artifacts_at_change")
+def a21_artifacts_at_change(spark, d):
+    """The artifacts below a path as of a change, with what their content is; blobs that nobody has are listed, not readable."""
+    tree = h.state_at(entity_log(spark, d), 6000).select(F.concat(F.lit("docs/"), "entity").alias("path"), F.col("ord").alias("blob"))
+    blobs = table(spark, d, "documents").select(F.col("doc_id").alias("blob"), F.lit(True).alias("there"), F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("hash"))
+    return tree.where(F.col("path").startswith("docs/u:1")).join(blobs, "blob", "left").select("path", "blob", F.coalesce("there", F.lit(False)).alias("readable"), "chars", "hash")
+
+
 @query(f"WITH {LOG_SQL} SELECT entity, ord, op, n::INTEGER AS n, total FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ord DESC) AS n, count(*) OVER (PARTITION BY entity) AS total FROM entity_log) WHERE n <= 3", name="k2_k5_f8_entity_history")
 def k2_entity_history(spark, d):
     w = Window.partitionBy("entity")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import token_estimate
 from ..operators import graph as g
+from ..operators import review as rv
 from ..sources.store import table
 from .filters_and_joins import ANCESTRY, G, INBOUND, two_heads
 from .model import CHANGES_SQL, GRAPH_SQL, entities, relations
@@ -147,13 +148,25 @@ def i15_context_pack(spark, d):
     return first.withColumn("total", F.sum("tokens").over(Window.orderBy("hop", "id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= budget)
 
 
-@query(RG + f", {bfs('SELECT id FROM entities WHERE kind = $$Interface$$ AND role = $$Generated$$', IN, 2)}, blast AS (SELECT root, count(*) AS reach FROM reached WHERE hop > 0 GROUP BY root) SELECT root AS id, 'blast_radius' AS rule, CASE WHEN reach > 20 THEN 'high' ELSE 'low' END AS severity, reach FROM blast UNION ALL SELECT id, 'public_generated', 'medium', 0 FROM entities WHERE role = 'Generated' AND visibility = 'Public'", name="i17_f3_security_findings")
+SECURITY_GRAPH = "e2 AS (SELECT id, visibility, CASE WHEN kind = 'Interface' THEN 'ApiEndpoint' WHEN kind IN ('Module', 'Package') THEN 'EventContract' ELSE kind END AS kind FROM entities), r2 AS (SELECT id, CASE WHEN kind = 'DependsOn' AND evidence > 1 THEN 'Tests' WHEN kind = 'Imports' THEN 'ConsumesContract' ELSE kind END AS kind, src, dst FROM relations)"
+INBOUND_2 = INBOUND.replace("FROM relations", "FROM r2")
+AGAIN = bfs("SELECT DISTINCT entity AS id FROM found", "SELECT DISTINCT dst, src FROM inbound", 10).replace("steps", "steps2").replace("walk", "walk2").replace("reached", "reached2")
+
+
+@query(RG + f""", {SECURITY_GRAPH}, {INBOUND_2}, tested AS (SELECT unnest([src, dst]) AS id FROM r2 WHERE kind = 'Tests'), {bfs('SELECT id FROM e2 WHERE visibility = $$Public$$', 'SELECT DISTINCT dst, src FROM inbound', 5)},
+found AS (SELECT 'high' AS severity, 'untested-api' AS category, id AS entity, 1 AS n FROM e2 WHERE kind = 'ApiEndpoint' AND id NOT IN (FROM tested)
+  UNION ALL SELECT 'low', 'orphaned-public', id, 1 FROM e2 WHERE visibility = 'Public' AND kind IN ('Function', 'Method') AND id NOT IN (FROM tested) AND id NOT IN (SELECT dst FROM r2 WHERE kind = 'Calls')
+  UNION ALL SELECT 'medium', 'high-fan-out', root, count(*) FROM reached WHERE hop > 0 GROUP BY root HAVING count(*) > 20
+  UNION ALL SELECT 'medium', 'dead-event', id, 1 FROM e2 WHERE kind = 'EventContract' AND id NOT IN (SELECT dst FROM r2 WHERE kind = 'ConsumesContract' AND src <> dst)
+  UNION ALL SELECT 'low', 'encapsulation-leak', src, count(*) FROM r2 JOIN e2 a ON a.id = src AND a.visibility = 'Public' JOIN e2 b ON b.id = dst AND b.visibility = 'Private' WHERE r2.kind = 'Calls' GROUP BY src),
+{AGAIN}
+FROM found UNION ALL SELECT 'info', 'transitive-dependency', node, count(*) FROM reached2 WHERE hop > 0 GROUP BY node""", name="i17_f3_security_findings")
 def i17_security_findings(spark, d):
-    e = entities(spark, d)
-    risky = e.where("kind = 'Interface' and role = 'Generated'").select("id")
-    blast = g.reach(g.rooted(risky), g.edges_of(relations(spark, d), "in"), 2).where("hop > 0").groupBy("root").agg(F.count("*").alias("reach"))
-    out = blast.select(F.col("root").alias("id"), F.lit("blast_radius").alias("rule"), F.when(F.col("reach") > 20, "high").otherwise("low").alias("severity"), "reach")
-    return out.unionByName(e.where("role = 'Generated' and visibility = 'Public'").select("id", F.lit("public_generated").alias("rule"), F.lit("medium").alias("severity"), F.lit(0).cast("long").alias("reach")))
+    """All rules and their spread; suppliers stand for endpoints, nations and regions for event contracts, repeated uses of a supplier for tests."""
+    k = F.col("kind")
+    e = entities(spark, d).select("id", "visibility", F.when(k == "Interface", "ApiEndpoint").when(k.isin("Module", "Package"), "EventContract").otherwise(k).alias("kind"))
+    r = relations(spark, d).select("id", F.when((k == "DependsOn") & (F.col("evidence") > 1), "Tests").when(k == "Imports", "ConsumesContract").otherwise(k).alias("kind"), "src", "dst")
+    return rv.security_findings(e, r)
 
 
 @query(RG + f", {bfs('SELECT $$s:4$$ AS id', IN, 1)} SELECT o_orderstatus AS status, count(DISTINCT node) AS entities, count(DISTINCT l_partkey) AS tests FROM reached JOIN orders ON 'o:' || o_orderkey = node JOIN lineitem ON l_orderkey = o_orderkey WHERE hop > 0 GROUP BY status", name="i18_verification_plan")

@@ -131,6 +131,19 @@ def test_digest_counts_equal_rows(spark):
     assert st.digest(one.unionByName(one).unionByName(one)).first() != st.digest(one).first()
 
 
+def test_security_findings(spark):
+    from loomgraph.operators import review as rv
+
+    ents = [("api", "ApiEndpoint", "Private"), ("api2", "ApiEndpoint", "Private"), ("f", "Function", "Public"), ("g", "Function", "Public"), ("h", "Function", "Private"), ("ev", "EventContract", "Private"), ("ev2", "EventContract", "Private"), ("hub", "Class", "Public")]
+    ents += [(f"u{i}", "Class", "Private") for i in range(21)]
+    rels = [("1", "Tests", "t", "api2"), ("2", "Calls", "f", "h"), ("3", "Calls", "h", "g"), ("4", "ConsumesContract", "f", "ev2"), ("5", "ConsumesContract", "ev", "ev")] + [(f"r{i}", "UsesType", f"u{i}", "hub") for i in range(21)]
+    e, r = spark.createDataFrame(ents, "id string, kind string, visibility string"), spark.createDataFrame(rels, "id string, kind string, src string, dst string")
+    got = {tuple(x) for x in rv.security_findings(e, r, propagate=False).collect()}
+    assert got == {("high", "untested-api", "api", 1), ("low", "orphaned-public", "f", 1), ("medium", "high-fan-out", "hub", 21), ("medium", "dead-event", "ev", 1), ("low", "encapsulation-leak", "f", 1)}
+    more = {tuple(x) for x in rv.security_findings(e, r).collect()} - got
+    assert more == {("info", "transitive-dependency", f"u{i}", 1) for i in range(21)}
+
+
 def test_name_tiers_fall_back_to_substrings(spark):
     e = nodes(spark, ["fooBar", "barFoo", "xfoobarx"])
     tiers = lambda p: {(r.id, r.tier) for r in fl.by_name_tiers(e, p).collect()}
