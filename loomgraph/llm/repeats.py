@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import CHUNK_BYTES, Fingerprints, bucket_col, bucket_of, buckets_for, pack_columns, ragged, raw, sliding_min, spans, text_col, unpack_columns, written
+from .common import CHUNK_BYTES, Fingerprints, bucket_col, bucket_of, buckets_for, mix, pack_columns, ragged, raw, sliding_min, spans, text_col, unpack_columns, written
 
 WINDOW, ANCHOR, DIGIT = 50, 24, 4
 LOW32, TOP48 = np.uint64(0xFFFFFFFF), np.uint64(16)
@@ -132,8 +132,8 @@ def ordinals(ids: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def deal(key: np.ndarray, buckets: int) -> np.ndarray:
-    """A bucket by the upper half of a 48-bit digit."""
-    return ((key >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """A bucket by a digit, mixed again: anchors are the least of several fingerprints, so most of them are small."""
+    return ((mix(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def first_pass(docs: DataFrame, buckets: int, doc_buckets: int, window: int, anchor: int) -> DataFrame:
