@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 
 def state_at(log: DataFrame, ref: int | None = None) -> DataFrame:
     """The last op of each entity up to an ordinal, without those that it removed."""
@@ -16,6 +18,46 @@ def state_at(log: DataFrame, ref: int | None = None) -> DataFrame:
     return last.where("r.op <> 'removed'").select("entity", "r.ord", "r.value", "r.note")
 
 
+def first_parents(changes: DataFrame, head: DataFrame) -> DataFrame:
+    """(change, back): head (id) and its first parents by changes (id, parent), with the steps back to each.
+
+    By doubling: a round joins the chain so far with jumps twice as long as before, so a chain of n takes log2 n rounds.
+    """
+    jump = cut(changes.where("parent is not null").select("id", F.col("parent").alias("to")))
+    chain, length = cut(head.select(F.col("id").alias("change"), F.lit(0).cast("long").alias("back"))), 1
+    while True:
+        more = cut(chain.join(jump, F.col("change") == F.col("id")).select(F.col("to").alias("change"), (F.col("back") + length).alias("back")))
+        if more.isEmpty():
+            return chain
+        chain, length = cut(chain.unionByName(more)), 2 * length
+        jump = cut(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+
+
+def resolve_at(chain: DataFrame, entity_log: DataFrame, relation_log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities (id, change), relations (id, src, dst, change) and tombstones (part, id, change) at the head of a chain.
+
+    entity_log (change, id, op) and relation_log (change, id, src, dst, op) count only along the chain; a change has one
+    op for each id. Removing an entity prunes the relations that it has then, and adding it again doesn't bring them
+    back; a change that removes an entity prunes what it adds to it, too. Relations need both ends to stay.
+    """
+    on = chain.select("change", (-F.col("back")).alias("at"))
+    e, r = cut(entity_log.join(on, "change")), relation_log.join(on, "change")
+    last = cut(e.groupBy("id").agg(F.max_by(F.struct("op", "change"), "at").alias("l")).select("id", "l.*"))
+    alive = last.where("op <> 'removed'").select("id", "change")
+    now = cut(r.groupBy("id").agg(F.max_by(F.struct("op", "change", "src", "dst", "at"), "at").alias("l")).select("id", "l.*"))
+    ends = now.where("op <> 'removed'").select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), "at", F.col("id").alias("relation"), F.lit(None).cast("struct<at:bigint,change:bigint>").alias("gone"))
+    gone = e.where("op = 'removed'").select(F.col("id").alias("node"), "at", F.lit(None).cast("string").alias("relation"), F.struct("at", "change").alias("gone"))
+    later = Window.partitionBy("node").orderBy(F.desc("at"), F.col("relation").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    pruned = ends.unionByName(gone).withColumn("next", F.last("gone", True).over(later)).where("relation is not null and next is not null")
+    pruned = cut(pruned.groupBy(F.col("relation").alias("id")).agg(F.min("next").alias("n")).select("id", F.col("n.change").alias("change")))
+    kept = now.where("op <> 'removed'").join(pruned, "id", "left_anti")
+    for end in ("src", "dst"):
+        kept = kept.join(alive.select(F.col("id").alias(end)), end, "left_semi")
+    part = lambda df, name: df.select(F.lit(name).alias("part"), "id", "change")
+    dead = part(last.where("op = 'removed'"), "entity").unionByName(part(now.where("op = 'removed'"), "relation")).unionByName(part(pruned, "relation"))
+    return alive, kept.select("id", "src", "dst", "change"), dead
+
+
 def revisions(log: DataFrame) -> DataFrame:
     """(entity, introduced, ended, value): each op but a removal holds until the entity's next one."""
     after = F.lead("ord").over(Window.partitionBy("entity").orderBy("ord"))
@@ -110,6 +152,11 @@ def semver(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(id, outcome) of tables (id, value): what a three-way merge takes, or the kind of conflict."""
+    return composed(base, ours, theirs).select("id", "outcome")
+
+
+def composed(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(id, outcome, value, survives): also the merged value, null in a conflict, and whether the id is still there; in a conflict it is."""
     o, a, b = (t.select("id", F.struct("value").alias(n)) for t, n in ((base, "o"), (ours, "a"), (theirs, "b")))
     has = lambda c: F.col(c).isNotNull()
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
@@ -118,7 +165,24 @@ def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
         .when(same("a", "o"), "take_theirs").when(same("b", "o"), "take_ours")
         .when(~has("o"), "added_both_sides").when(~has("a"), "removed_ours_changed_theirs").when(~has("b"), "changed_ours_removed_theirs").otherwise("changed_both_sides")
     )
-    return o.join(a, "id", "full_outer").join(b, "id", "full_outer").select("id", outcome.alias("outcome"))
+    taken = F.when(F.col("outcome") == "take_theirs", F.col("b")).when(F.col("outcome").isin("unchanged", "same_change", "take_ours"), F.col("a"))
+    rows = o.join(a, "id", "full_outer").join(b, "id", "full_outer").withColumn("outcome", outcome).withColumn("taken", taken)
+    return rows.select("id", "outcome", F.col("taken.value").alias("value"), (F.col("taken").isNotNull() | F.col("outcome").isin(*CONFLICTS)).alias("survives"))
+
+
+CONFLICTS = ("added_both_sides", "removed_ours_changed_theirs", "changed_ours_removed_theirs", "changed_both_sides")
+
+
+def path_collisions(artifacts: DataFrame) -> DataFrame:
+    """(path, id): distinct artifacts (id, path) that claim one path."""
+    n = artifacts.where("path is not null").groupBy("path").agg(F.count_distinct("id").alias("n")).where("n > 1").select("path")
+    return artifacts.join(n, "path", "left_semi").select("path", "id").distinct()
+
+
+def dangling(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, endpoint): ends of relations (id, src, dst) that aren't among nodes (id)."""
+    ends = relations.select("id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("endpoint"))
+    return ends.join(nodes.select(F.col("id").alias("endpoint")), "endpoint", "left_anti").select("id", "endpoint")
 
 
 def severed(edges: DataFrame, removed: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ PROOF_BIAS = 1.35
 
 
 def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """(key, token, tf): weighted term frequencies over the fields."""
-    every = F.array(*[F.struct(F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")).alias("t"), F.lit(float(w)).alias("w")) for f, w in fields.items()])
+    """(key, token, tf): weighted term frequencies over the fields; those of weight 0 aren't searched."""
+    every = F.array(*[F.struct(F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")).alias("t"), F.lit(float(w)).alias("w")) for f, w in fields.items() if w])
     rows = docs.select(key, F.explode(every).alias("f")).select(key, F.explode("f.t").alias("token"), F.col("f.w").alias("w"))
     return rows.groupBy(key, "token").agg(F.sum("w").alias("tf"))
 
@@ -40,6 +40,17 @@ def bm25(posts: DataFrame, queries: DataFrame, key: str, limit: int | None = Non
     return top(score, "query", [F.desc("score"), key], limit) if limit else score
 
 
+def unified(lexical: DataFrame, vector: DataFrame, hops: DataFrame, anchor: str, entities: DataFrame, limit: int = 50) -> DataFrame:
+    """(key, lexical, distance, hops, role): what the arms (key, lexical), (key, distance) and (key, hops) find, one row for each key.
+
+    The lexical and the vector arm give their best `limit`, the arm of hops all but the anchor. Scores aren't combined here.
+    """
+    a = lexical.orderBy(F.desc("lexical"), "key").limit(limit)
+    b = vector.orderBy("distance", "key").limit(limit)
+    found = a.join(b, "key", "full_outer").join(hops.where(F.col("key") != anchor), "key", "full_outer")
+    return found.join(entities.select(F.col("id").alias("key"), "role"), "key", "left")
+
+
 def prose_scores(entities: DataFrame, words: Column) -> DataFrame:
     """Entities with the score of a question's words: what each weighs in the fields that have it, and more if it is the whole name."""
     has = lambda f: F.coalesce(F.size(F.array_intersect(tokens(F.col(f)), words)), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import artifacts as art
 from ..operators import history as h
-from ..sources.store import Store, checkpoint_dir, overlay, table
+from ..sources.store import Store, checkpoint_dir, cut, overlay, table
 from ..streaming import feed
 from .filters_and_joins import E, G, OLD_NEW, old_new
 from .model import LOG_SQL, entities, entity_log, relations
@@ -255,3 +255,76 @@ def k15_change_shape(spark, d):
     old = first.select("id", "n", (F.col("m.l_partkey") % 50).alias("hash"), (F.col("m.l_partkey") % 5 == 0).alias("guard"))
     more = old.where("id % 2 = 0 and id % 5 > 0").select("id").distinct().select("id", F.lit(100).cast("long").alias("n"), F.lit(55).cast("long").alias("hash"), (F.col("id") % 3 == 0).alias("guard"))
     return h.change_shape(old, old.where("not (id % 4 = 1 and n = 2)").unionByName(more))
+
+
+MAINLINE = "mainline AS (SELECT event_id AS id, CASE WHEN event_id % 10 = 8 THEN event_id - 2 WHEN event_id > 0 THEN event_id - 1 END AS parent FROM events)"
+LOGS = """chain(change, back) AS (SELECT max(id) - 500, 0 FROM mainline UNION ALL SELECT parent, back + 1 FROM chain JOIN mainline ON id = change WHERE parent IS NOT NULL),
+elog AS (SELECT e.entity AS id, op, change, -back AS pos FROM entity_log e JOIN chain ON ord = change),
+users AS (SELECT count(DISTINCT user_id) AS n FROM events),
+rlog AS (SELECT 'u:' || user_id AS src, 'u:' || ((user_id + event_id % 9) % (n + 3)) AS dst, CASE WHEN event_type = 'view' THEN 'removed' ELSE 'added' END AS op, event_id AS change, -back AS pos FROM events JOIN chain ON event_id = change, users WHERE event_type IN ('purchase', 'click') OR event_type = 'view' AND event_id % 4 = 0),
+elast AS (SELECT * FROM elog QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC) = 1), rlast AS (SELECT *, src || '>' || dst AS id FROM rlog QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY pos DESC) = 1),
+pruned AS (SELECT r.id, min_by(x.change, x.pos) AS change FROM rlast r JOIN elog x ON (x.id = r.src OR x.id = r.dst) AND x.op = 'removed' AND x.pos >= r.pos WHERE r.op = 'added' GROUP BY r.id), alive AS (SELECT id FROM elast WHERE op <> 'removed')"""
+
+
+def mainline(spark, d):
+    """A history whose every tenth change is a branch of its own: (id, parent)."""
+    i = F.col("event_id")
+    return table(spark, d, "events").select(i.alias("id"), F.when(i % 10 == 8, i - 2).when(i > 0, i - 1).alias("parent"))
+
+
+def relation_log(spark, d):
+    """Relations between users that changes add (purchases, clicks) or take away (some views): (change, id, src, dst, op)."""
+    e = table(spark, d, "events")
+    n = e.agg(F.count_distinct("user_id").alias("n"))
+    rows = e.where("event_type in ('purchase', 'click') or event_type = 'view' and event_id % 4 = 0").join(F.broadcast(n))  # one row
+    user = lambda c: F.concat(F.lit("u:"), c.cast("string"))
+    src, dst = user(F.col("user_id")), user((F.col("user_id") + F.col("event_id") % 9) % (F.col("n") + 3))
+    return rows.select(F.col("event_id").alias("change"), F.concat_ws(">", src, dst).alias("id"), src.alias("src"), dst.alias("dst"), F.when(F.col("event_type") == "view", "removed").otherwise("added").alias("op"))
+
+
+@query(f"""WITH RECURSIVE {MAINLINE}, {LOG_SQL}, {LOGS}
+SELECT 'entity' AS part, id, change, false AS dead FROM elast WHERE op <> 'removed' UNION ALL SELECT 'relation', id, change, false FROM rlast WHERE op = 'added' AND id NOT IN (SELECT id FROM pruned) AND src IN (FROM alive) AND dst IN (FROM alive)
+UNION ALL SELECT 'entity', id, change, true FROM elast WHERE op = 'removed' UNION ALL SELECT 'relation', id, change, true FROM rlast WHERE op = 'removed' UNION ALL SELECT 'relation', id, change, true FROM pruned""", name="k1_replay_first_parents")
+def k1_replay(spark, d):
+    """Graph and tombstones at a change, by replay along its first parents; removed entities take their relations with them."""
+    c = mainline(spark, d)
+    chain = h.first_parents(c, c.agg((F.max("id") - 500).alias("id")))
+    log = entity_log(spark, d).select(F.col("ord").alias("change"), F.col("entity").alias("id"), "op")
+    alive, kept, dead = h.resolve_at(chain, log, relation_log(spark, d))
+    part = lambda df, name: df.select(F.lit(name).alias("part"), "id", "change", F.lit(False).alias("dead"))
+    return part(alive, "entity").unionByName(part(kept, "relation")).unionByName(dead.withColumn("dead", F.lit(True)))
+
+
+def outcome_sql(o, a, b):
+    return f"CASE WHEN {a} IS NOT DISTINCT FROM {b} THEN CASE WHEN {a} IS NOT DISTINCT FROM {o} THEN 'unchanged' ELSE 'same_change' END WHEN {a} IS NOT DISTINCT FROM {o} THEN 'take_theirs' WHEN {b} IS NOT DISTINCT FROM {o} THEN 'take_ours' WHEN {o} IS NULL THEN 'added_both_sides' WHEN {a} IS NULL THEN 'removed_ours_changed_theirs' WHEN {b} IS NULL THEN 'changed_ours_removed_theirs' ELSE 'changed_both_sides' END"
+
+
+@query(f"""WITH base AS (SELECT p_partkey AS id, 'lib/' || p_partkey AS v FROM part WHERE p_partkey % 9 > 0), ours AS (SELECT p_partkey AS id, 'lib/' || CASE WHEN p_partkey % 4 = 0 THEN 'm' || p_partkey // 8 ELSE p_partkey::VARCHAR END AS v FROM part WHERE p_partkey % 7 > 0), theirs AS (SELECT p_partkey AS id, 'lib/' || CASE WHEN p_partkey % 6 = 0 THEN 'm' || p_partkey // 9 ELSE p_partkey::VARCHAR END AS v FROM part WHERE p_partkey % 5 > 0),
+merged AS (SELECT id, {outcome_sql('o.v', 'a.v', 'b.v')} AS outcome, a.v AS av, b.v AS bv FROM base o FULL JOIN ours a USING (id) FULL JOIN theirs b USING (id)),
+taken AS (SELECT id, outcome, CASE WHEN outcome = 'take_theirs' THEN bv WHEN outcome IN ('unchanged', 'same_change', 'take_ours') THEN av END AS v FROM merged), kept AS (SELECT id FROM taken WHERE v IS NOT NULL OR outcome LIKE '%both%' OR outcome LIKE '%removed%'),
+lines AS (SELECT l_orderkey AS o, l_partkey AS p, min(l_linenumber) AS n FROM lineitem GROUP BY ALL), rb AS (FROM lines WHERE n <= 2 AND p % 9 > 0), ra AS (FROM rb WHERE p % 7 > 0), rt AS (FROM lines WHERE p % 5 > 0),
+kept_r AS (SELECT o, p FROM lines LEFT JOIN rb b USING (o, p) LEFT JOIN ra a USING (o, p) LEFT JOIN rt t USING (o, p) WHERE CASE WHEN (b.n IS NULL) = (a.n IS NULL) THEN t.n IS NOT NULL ELSE a.n IS NOT NULL END)
+SELECT outcome AS divergence, id::VARCHAR AS subject, NULL::VARCHAR AS other FROM taken WHERE outcome LIKE '%both%' OR outcome LIKE '%removed%'
+UNION ALL SELECT 'path_collision', v, id::VARCHAR FROM taken WHERE v IN (SELECT v FROM taken WHERE v IS NOT NULL GROUP BY v HAVING count(*) > 1)
+UNION ALL SELECT 'dangling_endpoint', 'o:' || o || '>p:' || p, 'p:' || p FROM kept_r WHERE p NOT IN (FROM kept)""", name="k12_merge_divergences")
+def k12_merge_divergences(spark, d):
+    """What a merge can't compose: values, paths that several artifacts claim, and relations into what neither side kept.
+
+    Each side takes the relations of what it removes with it; the other side may still add one.
+    """
+    i = F.col("p_partkey")
+    path = lambda c: F.concat(F.lit("lib/"), c)
+    moved = lambda by, n: F.when(i % by == 0, F.concat(F.lit("m"), F.floor(i / n).cast("string"))).otherwise(i.cast("string"))
+    rows = lambda gone, name: table(spark, d, "part").where(i % gone > 0).select(i.alias("id"), path(name).alias("value"))
+    merged = cut(h.composed(rows(9, i.cast("string")), rows(7, moved(4, 8)), rows(5, moved(6, 9))))
+    line = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
+    node = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    line = line.select(F.concat_ws(">", node("o:", "l_orderkey"), node("p:", "l_partkey")).alias("id"), "l_orderkey", F.col("l_partkey").alias("value"), "n")
+    old = line.where("n <= 2 and value % 9 > 0")
+    relations = h.composed(old, old.where("value % 7 > 0"), line.where("value % 5 > 0")).where("survives")
+    relations = relations.select("id", F.split("id", ">")[0].alias("src"), F.split("id", ">")[1].alias("dst"))
+    nodes = merged.where("survives").select(node("p:", "id").alias("id")).unionByName(table(spark, d, "orders").select(node("o:", "o_orderkey").alias("id")))
+    out = lambda df, name, subject, other: df.select(name.alias("divergence"), subject.cast("string").alias("subject"), other.cast("string").alias("other"))
+    parts = out(merged.where(F.col("outcome").isin(*h.CONFLICTS)), F.col("outcome"), F.col("id"), F.lit(None))
+    parts = parts.unionByName(out(h.path_collisions(merged.select("id", F.col("value").alias("path"))), F.lit("path_collision"), F.col("path"), F.col("id")))
+    return parts.unionByName(out(h.dangling(relations, nodes), F.lit("dangling_endpoint"), F.col("id"), F.col("endpoint")))

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import retrieval as rt
-from ..sources.store import table
+from ..sources.store import cut, table
 from .aggregates import CANDIDATES, candidates
+from ..operators import graph as g
+from ..operators import history as h
 from .filters_and_joins import E, TOKENS
-from .model import entities
+from .model import LOG_SQL, entities, entity_log, relations
+from .traversal import BOTH, RG, bfs
 from .registry import query
 
 STRIP = "regexp_replace(regexp_replace({0}, '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g')"
@@ -78,7 +81,7 @@ bm AS (SELECT query, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2
 def lexical(spark, d, every=True):
     """Scores of documents for the tokens of benchmark items; items are queries, in whole."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    posts = rt.postings(docs, "doc_id", {"text": 1.0, "source": 3.0})
+    posts = cut(rt.postings(docs, "doc_id", {"text": 1.0, "source": 3.0}))
     words = F.array_distinct(S.code_tokens(F.col("text")))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(words if every else F.slice(words, 1, 12)).alias("token"))
     return rt.bm25(posts, asked, "doc_id")
@@ -107,13 +110,13 @@ near AS (SELECT query, vec_id, label, distance, row_number() OVER (PARTITION BY
 
 
 def centre_search(spark, d, k):
-    """The k vectors nearest to the mean of each label: one query for each label, a set that doesn't grow with the rows."""
+    """The k vectors nearest to the mean of each label, or all with their distances: one query for each label, a set that doesn't grow with the rows."""
     v = table(spark, d, "embeddings")
     mean = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m"))
     q = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector")).select(F.col("label").alias("query"), "vector")
     rows = v.select("vec_id", "label", "embedding").join(F.broadcast(q))
     rows = rows.select("query", "vec_id", "label", F.round(S.cosine_distance(F.col("embedding"), F.col("vector")), 5).alias("distance"))
-    return rt.top(rows, "query", ["distance", "vec_id"], k)
+    return rt.top(rows, "query", ["distance", "vec_id"], k) if k else rows
 
 
 @query(f"WITH {NEAR} SELECT query, vec_id, distance, rank FROM near WHERE rank <= 10", name="j5_a13_vector_top_k")
@@ -185,3 +188,52 @@ def j2_artifact_search(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(S.code_tokens(F.col("text")))).alias("token"))
     scores = rt.bm25(posts, asked, "doc_id").withColumn("score", F.round("score", 4))
     return rt.top(scores, "query", [F.desc("score"), "doc_id"], 10).select("query", "doc_id", "score")
+
+
+FIELD_SQL = {"name": "name", "signature": "signature", "doc": "doc", "surface": "surface", "body": "body", "import": "import", "kind": "kind", "path": "file"}
+SEARCHED = f"""surfaces AS (SELECT file, string_agg(DISTINCT kind || ' ' || language, ' ') AS surface FROM entities WHERE file IS NOT NULL GROUP BY file),
+searched AS (SELECT e.*, split_part(text, chr(10), 1) AS doc, text AS body, surface, m.name AS import FROM entities e LEFT JOIN documents d ON e.id = 'p:' || d.doc_id LEFT JOIN surfaces USING (file) LEFT JOIN relations r ON r.src = e.id AND r.kind = 'Imports' LEFT JOIN entities m ON m.id = r.dst),
+posts AS (SELECT id, token, sum(w) AS tf FROM ({' UNION ALL '.join(f"SELECT id, unnest({TOKENS.format(c)}) AS token, {rt.FIELD_WEIGHTS[f]}::DOUBLE AS w FROM searched" for f, c in FIELD_SQL.items() if rt.FIELD_WEIGHTS[f])}) GROUP BY ALL),
+lens AS (SELECT id, sum(tf) AS length FROM posts GROUP BY id), stat AS (SELECT count(*) AS docs, avg(length) AS mean FROM lens),
+asked AS (SELECT DISTINCT query, unnest(ts) AS token FROM (SELECT 'b:' || item_id AS query, {TOKENS.format('text')} AS ts FROM benchmark UNION ALL SELECT 'n:' || n_nationkey, {TOKENS.format("n_name || ' urgent class'")} FROM nation)),
+dfs AS (SELECT token, count(*) AS df FROM posts GROUP BY token),
+bm AS (SELECT query, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 4) AS score FROM asked JOIN posts USING (token) JOIN dfs USING (token) JOIN lens USING (id), stat GROUP BY ALL)"""
+
+
+def searched(spark, d):
+    """Entities with the texts of all fields: a function's document gives its summary (the first line) and body, a file's kinds and languages its surface."""
+    e = entities(spark, d)
+    doc = table(spark, d, "documents").select(F.concat(F.lit("p:"), F.col("doc_id").cast("string")).alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("doc"), F.col("text").alias("body"))
+    surface = e.where("file is not null").groupBy("file").agg(F.concat_ws(" ", F.collect_set(F.concat_ws(" ", "kind", "language"))).alias("surface"))
+    imports = relations(spark, d).where("kind = 'Imports'").join(e.select(F.col("id").alias("dst"), F.col("name").alias("import")), "dst").select(F.col("src").alias("id"), "import")
+    return e.join(doc, "id", "left").join(surface, "file", "left").join(imports, "id", "left").withColumn("path", F.col("file"))
+
+
+@query(RG.replace(" RECURSIVE", "") + f", {SEARCHED} SELECT query, id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10", name="j1_weighted_fields")
+def j1_weighted_fields(spark, d):
+    """BM25 over all weighted fields of entities; benchmark items and nations ask."""
+    posts = cut(rt.postings(searched(spark, d), "id", rt.FIELD_WEIGHTS))
+    ask = lambda name, prefix, key, text: table(spark, d, name).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("query"), F.explode(S.code_tokens(text)).alias("token"))
+    asked = ask("benchmark", "b:", "item_id", F.col("text")).unionByName(ask("nation", "n:", "n_nationkey", F.concat("n_name", F.lit(" urgent class"))))
+    scores = rt.bm25(posts, asked, "id").withColumn("score", F.round("score", 4))
+    return rt.top(scores, "query", [F.desc("score"), "id"], 10).select("query", "id", "score")
+
+
+@query(f"WITH {BM25_ALL}, {LOG_SQL}, active AS (SELECT DISTINCT entity FROM (SELECT entity, op, ord, lead(ord) OVER (PARTITION BY entity ORDER BY ord) AS ended FROM entity_log) WHERE op <> 'removed' AND ord <= 6000 AND (ended IS NULL OR ended > 6000)), over AS (SELECT query, doc_id, round(score, 4) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc_id) <= 15) SELECT query, doc_id, score FROM over JOIN active ON entity = 'u:' || doc_id QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) <= 5", name="j3_c11_search_at_ref")
+def j3_search_as_of(spark, d):
+    """Three times as many hits as asked for, then those whose revision is active at the ref; without a revision none is, and fewer may stay."""
+    scores = lexical(spark, d).withColumn("score", F.round("score", 4))
+    over = rt.top(scores, "query", [F.desc("score"), "doc_id"], 15, "n")
+    active = h.active_at(h.revisions(entity_log(spark, d)), 6000).select(F.substring("entity", 3, 20).cast("long").alias("doc_id"))
+    return rt.top(over.join(active, "doc_id", "left_semi"), "query", [F.desc("score"), "doc_id"], 5, "m").select("query", "doc_id", "score")
+
+
+@query(RG + f", {BM25_ALL}, {NEAR}, {bfs('SELECT $$p:8$$ AS id', BOTH, 3)}, lexical AS (SELECT 'p:' || doc_id AS key, round(score, 4) AS lexical FROM bm WHERE query = 0 ORDER BY lexical DESC, key LIMIT 50), vector AS (SELECT 'p:' || vec_id AS key, distance FROM near WHERE query = 0 ORDER BY distance, key LIMIT 50), hops AS (SELECT node AS key, hop AS hops FROM reached WHERE node <> 'p:8') SELECT key, lexical, distance, hops, role FROM lexical FULL JOIN vector USING (key) FULL JOIN hops USING (key) LEFT JOIN entities ON id = key", name="j6_three_arms")
+def j6_three_arms(spark, d):
+    """Words of a benchmark item, vectors near a label's mean, and hops from an anchor; a document and a vector belong to the function of their number."""
+    key = lambda c: F.concat(F.lit("p:"), F.col(c).cast("string")).alias("key")
+    words = lexical(spark, d).where("query = 0").select(key("doc_id"), F.round("score", 4).alias("lexical"))
+    near = centre_search(spark, d, None).where("query = 0").select(key("vec_id"), "distance")
+    e = entities(spark, d)
+    hops = g.reach(g.rooted(e.where("id = 'p:8'").select("id")), g.edges_of(relations(spark, d), "both"), 3).select(F.col("node").alias("key"), F.col("hop").alias("hops"))
+    return rt.unified(words, near, hops, "p:8", e)
