@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut, new_folder
-from .filters import impact_relations
+from .filters import IMPACT_KINDS, impact_relations
 
 
 def edges_of(relations: DataFrame, direction: str = "out", kinds=None) -> DataFrame:
@@ -206,3 +206,36 @@ def water_fill(needs: DataFrame, budget: int) -> DataFrame:
     rows = rows.withColumn("level", F.when(level <= F.col("need"), level))
     line = F.first("level", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return rows.select("id", "need", F.least("need", F.coalesce(line, "need")).alias("granted"))
+
+
+# How many nodes and relations the search for traffic may look at.
+TRAFFIC_NODES, TRAFFIC_EDGES = 4096, 32768
+
+
+def traffic(focal: DataFrame, entities: DataFrame, relations: DataFrame, intents: DataFrame, depth: int, now) -> DataFrame:
+    """(root, intent, proximity, distance): how near intents (intent, kind, scope, expires) are to focal entities (id).
+
+    direct: a scope at most one step along outgoing dependencies away; same_file: an entity of the root's file, or that
+    file; downstream: further away. A file (kind file) is as far as the nearest entity reached in it. An intent's best
+    scope counts; expired ones are left out. Steps into unknown entities don't count. Fails beyond the budgets.
+    """
+    ids = entities.select(F.col("id").alias("b"))
+    got = reach(rooted(focal.join(entities, "id", "left_semi")), edges_of(relations, "out", IMPACT_KINDS).join(ids, "b", "left_semi").select("a", "b"), depth)
+    seen = relations.join(got.where(F.col("hop") < depth).select(F.col("node").alias("src")), "src")
+    for what, rows, most in (("node", got, TRAFFIC_NODES), ("edge", seen, TRAFFIC_EDGES)):
+        if (n := rows.select(F.lit(1)).limit(focal.count() * most + 1).count()) > focal.count() * most:
+            raise ValueError(f"traffic: {what} budget exceeded ({n})")
+    file = entities.select(F.col("id").alias("node"), "file")
+    at = got.join(file, "node")
+    own = at.where("hop = 0 and file is not null").select("root", F.col("file").alias("own"))
+    near = F.when(F.col("hop") <= 1, 0).otherwise(2)
+    row = lambda df, kind, scope, rank, distance: df.select("root", F.lit(kind).alias("kind"), F.col(scope).alias("scope"), rank.alias("rank"), distance.alias("distance"))
+    by_file = at.where("hop > 0 and file is not null").groupBy("root", "file").agg(F.min("hop").alias("hop"))
+    by_file = by_file.join(own.select("root", F.col("own").alias("file")), ["root", "file"], "left_anti")
+    targets = row(got, "entity", "node", near, F.col("hop")).unionByName(row(by_file, "file", "file", near, F.col("hop")))
+    same = F.lit(1), F.lit(0)
+    targets = targets.unionByName(row(own, "file", "own", *same)).unionByName(row(own.join(file, F.col("own") == F.col("file")), "entity", "node", *same))
+    live = intents.where(F.col("expires").isNull() | (F.col("expires") >= now)).select("intent", "kind", "scope")
+    best = live.join(targets, ["kind", "scope"]).groupBy("root", "intent").agg(F.min(F.struct("rank", "distance")).alias("b"))
+    name = F.when(F.col("b.rank") == 0, "direct").when(F.col("b.rank") == 1, "same_file").otherwise("downstream")
+    return best.select("root", "intent", name.alias("proximity"), F.col("b.distance").alias("distance"))

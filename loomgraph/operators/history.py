@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import cut
+from ..sources.store import cut, new_folder
 
 
 def state_at(log: DataFrame, ref: int | None = None) -> DataFrame:
@@ -23,13 +23,16 @@ def first_parents(changes: DataFrame, head: DataFrame) -> DataFrame:
 
     By doubling: a round joins the chain so far with jumps twice as long as before, so a chain of n takes log2 n rounds.
     """
+    spark, folder = head.sparkSession, new_folder(head.sparkSession, "chain")
     jump = cut(changes.where("parent is not null").select("id", F.col("parent").alias("to")))
-    chain, length = cut(head.select(F.col("id").alias("change"), F.lit(0).cast("long").alias("back"))), 1
+    chain, length = cut(head.select(F.col("id").alias("change"), F.lit(0).cast("long").alias("back")), f"{folder}/0"), 1
+    paths = [f"{folder}/0"]
     while True:
-        more = cut(chain.join(jump, F.col("change") == F.col("id")).select(F.col("to").alias("change"), (F.col("back") + length).alias("back")))
+        more = cut(chain.join(jump, F.col("change") == F.col("id")).select(F.col("to").alias("change"), (F.col("back") + length).alias("back")), f"{folder}/{length}")
         if more.isEmpty():
             return chain
-        chain, length = cut(chain.unionByName(more)), 2 * length
+        paths.append(f"{folder}/{length}")
+        chain, length = spark.read.schema(chain.schema).parquet(*paths), 2 * length
         jump = cut(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut
@@ -46,3 +46,82 @@ def security_findings(entities: DataFrame, relations: DataFrame, propagate: bool
     out = cut(out)
     after = reach(rooted(out.select("entity").distinct(), "entity"), steps, SPREAD).where("hop > 0").groupBy(F.col("node").alias("id")).agg(F.count("*").alias("n"))
     return out.unionByName(found(after, "info", "transitive-dependency", "n"))
+
+
+def decisions(reviews: DataFrame, findings: DataFrame) -> DataFrame:
+    """(review, status, blocking, attention) of reviews (review, approvals) and findings (review, blocking).
+
+    Blocked by a blocking finding, or by more than two others where more than one approval is needed; attention where
+    there is any finding or an approval is needed; else pass.
+    """
+    n = findings.groupBy("review").agg(F.count(F.when(F.col("blocking"), 1)).alias("blocking"), F.count(F.when(~F.col("blocking"), 1)).alias("attention"))
+    rows = reviews.join(n, "review", "left").fillna(0, ["blocking", "attention"])
+    blocked = (F.col("blocking") > 0) | (F.col("approvals") > 1) & (F.col("attention") > 2)
+    status = F.when(blocked, "blocked").when((F.col("attention") > 0) | (F.col("approvals") > 0), "needs_attention").otherwise("pass")
+    return rows.select("review", status.alias("status"), "blocking", "attention")
+
+
+def unapproved(got: DataFrame, changes: DataFrame, approvals: DataFrame, actors: DataFrame) -> DataFrame:
+    """(root, change, author): changes of an ancestry (root, node) with a parent that no human has approved.
+
+    approvals (change, actor, decision); actors (actor, kind): an actor that isn't known is no human.
+    """
+    human = approvals.where("decision = 'approved'").join(actors.where("kind = 'Human'"), "actor", "left_semi").select(F.col("change").alias("id"))
+    open_ = changes.where("parent is not null").join(human, "id", "left_anti").select(F.col("id").alias("node"), "author")
+    return got.select("root", "node").join(open_, "node").select("root", F.col("node").alias("change"), "author")
+
+
+def release_check(branches: DataFrame, states: DataFrame, proven: DataFrame, waiting: DataFrame, proof: bool = False, approval: bool = False, force: bool = False) -> DataFrame:
+    """(branch, entities, covered, missing, waiting, blockers, ok) of branches (branch, source, head, expected).
+
+    states (branch, id): entities at the source; proven (id); waiting (branch, change): unapproved changes. Blocks where
+    the number of entities isn't the expected one (null: any), coverage is below a half (unless forced), proof or an
+    approval that is asked for is missing, or the branch has moved on from the source or is gone.
+    """
+    n = states.join(proven.select("id").distinct().withColumn("hit", F.lit(1)), "id", "left").groupBy("branch").agg(F.count("*").alias("entities"), F.count("hit").alias("covered"))
+    w = waiting.groupBy("branch").agg(F.count("*").alias("waiting"))
+    rows = branches.join(n, "branch", "left").join(w, "branch", "left").fillna(0, ["entities", "covered", "waiting"])
+    rows = rows.withColumn("missing", F.col("entities") - F.col("covered"))
+    share = F.when(F.col("entities") > 0, F.col("covered") / F.col("entities")).otherwise(0.0)
+    why = [(F.col("expected") != F.col("entities"), "entity_count"), (share < 0.5, "coverage") if not force else None, (F.col("missing") > 0, "proof") if proof else None, (F.col("waiting") > 0, "approval") if approval else None, (F.col("head").isNull(), "branch_gone"), (F.col("head") != F.col("source"), "branch_moved")]
+    blockers = F.concat_ws(",", *[F.when(c, name) for c, name in filter(None, why)])
+    return rows.select("branch", "entities", "covered", "missing", "waiting", blockers.alias("blockers"), (blockers == "").alias("ok"))
+
+
+# How many audit events are looked through, how many of them an entity shows, the longest page.
+AUDIT_SCAN, AUDIT_SHOWN, PAGE = 512, 20, 200
+
+
+def provenance(history: DataFrame, approvals: DataFrame, audit: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """(entity, changes, latest, page, next_offset, approvals, audit): what is known of where each entity comes from.
+
+    history (entity, change, at), newest first, ids break ties; page: changes offset .. offset + limit (1 to PAGE), as
+    text. Approvals (change, ...) count on the latest change. Of the last AUDIT_SCAN events of audit (event, entity,
+    change, at) those of the entity or of one of its changes count, AUDIT_SHOWN at most.
+    """
+    limit = min(max(limit, 1), PAGE)
+    w = Window.partitionBy("entity")
+    rows = history.withColumn("n", F.row_number().over(w.orderBy(F.desc("at"), F.desc("change")))).withColumn("total", F.count("*").over(w))
+    on_page = (F.col("n") > offset) & (F.col("n") <= offset + limit)
+    page = rows.where((F.col("n") == 1) | on_page).groupBy("entity").agg(
+        F.max("total").alias("changes"), F.max(F.when(F.col("n") == 1, F.col("change"))).alias("latest"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(on_page, F.struct("n", "change")))), lambda x: x["change"].cast("string")), ",").alias("page"),
+    )
+    seen = audit.orderBy(F.desc("at"), F.desc("event")).limit(AUDIT_SCAN)
+    of_change = seen.where("entity is null").select("event", "change").join(history.select("entity", "change"), "change").select("entity", "event")
+    events = seen.where("entity is not null").select("entity", "event").unionByName(of_change).distinct().groupBy("entity").agg(F.least(F.count("*"), F.lit(AUDIT_SHOWN)).alias("audit"))
+    n = approvals.groupBy(F.col("change").alias("latest")).agg(F.count("*").alias("approvals"))
+    after = F.when(F.col("changes") > offset + limit, F.lit(offset + limit)).cast("long")
+    return page.join(n, "latest", "left").join(events, "entity", "left").fillna(0, ["approvals", "audit"]).select("entity", "changes", "latest", "page", after.alias("next_offset"), "approvals", F.col("audit").cast("long").alias("audit"))
+
+
+def review_records(reviews: DataFrame, decisions: DataFrame, notes: DataFrame, discussions: DataFrame, assigned: DataFrame, state: str | None = None) -> DataFrame:
+    """reviews (review, created) with their state, the counts of all that belongs to them (each with review), and current reviewers; newest first.
+
+    decisions (review, state, at, id): the latest one's state, in lower case, is the review's; null before any.
+    """
+    count = lambda df, name: df.groupBy("review").agg(F.count("*").alias(name))
+    last = decisions.groupBy("review").agg(F.count("*").alias("decisions"), F.lower(F.max_by("state", F.struct("at", "id"))).alias("state"))
+    rows = reviews.join(last, "review", "left").join(count(notes, "notes"), "review", "left").join(count(discussions, "discussions"), "review", "left").join(count(assigned, "reviewers"), "review", "left")
+    rows = rows.fillna(0, ["decisions", "notes", "discussions", "reviewers"])
+    return (rows.where(F.col("state") == state) if state else rows).orderBy(F.desc("created"), "review")

@@ -8,11 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import artifacts as art
+from ..operators import graph as g
 from ..operators import history as h
+from ..operators import review as rv
 from ..sources.store import Store, checkpoint_dir, cut, overlay, table
 from ..streaming import feed
-from .filters_and_joins import E, G, OLD_NEW, old_new
-from .model import LOG_SQL, entities, entity_log, relations
+from .filters_and_joins import ANCESTRY, E, G, OLD_NEW, g6_current_assignments, old_new, two_heads
+from .model import CHANGES_SQL, LOG_SQL, entities, entity_log, relations
 from .registry import query
 
 STORE_SQL = """base AS (SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS balance FROM customer WHERE c_custkey % 5 > 0),
@@ -328,3 +330,70 @@ def k12_merge_divergences(spark, d):
     parts = out(merged.where(F.col("outcome").isin(*h.CONFLICTS)), F.col("outcome"), F.col("id"), F.lit(None))
     parts = parts.unionByName(out(h.path_collisions(merged.select("id", F.col("value").alias("path"))), F.lit("path_collision"), F.col("path"), F.col("id")))
     return parts.unionByName(out(h.dangling(relations, nodes), F.lit("dangling_endpoint"), F.col("id"), F.col("endpoint")))
+
+
+APPROVALS = "approvals AS (SELECT event_id // 3 AS change, user_id AS actor, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('purchase', 'view')), humans AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 1), waiting AS (SELECT root, node AS change, author FROM anc JOIN changes ON id = node WHERE parent IS NOT NULL AND node NOT IN (SELECT change FROM approvals WHERE ok AND actor IN (FROM humans)))"
+
+
+def approvals_and_actors(spark, d):
+    e = table(spark, d, "events")
+    a = e.where("event_type in ('purchase', 'view')").select(F.floor(F.col("event_id") / 3).alias("change"), F.col("user_id").alias("actor"), F.when(F.col("event_type") == "purchase", "approved").otherwise("rejected").alias("decision"))
+    actors = e.where("user_id % 3 < 2").select(F.col("user_id").alias("actor"), F.when(F.col("user_id") % 3 == 1, "Human").otherwise("Agent").alias("kind")).distinct()
+    return a, actors
+
+
+@query(f"WITH RECURSIVE {CHANGES_SQL}, {ANCESTRY}, {APPROVALS} SELECT root, change, author FROM waiting", name="c14_human_approvals")
+def c14_human_approvals(spark, d):
+    """Changes behind two heads that no human has approved; agents and unknown actors don't count."""
+    c, heads = two_heads(spark, d)
+    return rv.unapproved(g.ancestry(heads, c), c, *approvals_and_actors(spark, d))
+
+
+@query(f"""WITH RECURSIVE {CHANGES_SQL}, {LOG_SQL}, {ANCESTRY}, {APPROVALS}, state AS (SELECT root, entity FROM (SELECT root, entity, op FROM entity_log JOIN heads ON ord <= node QUALIFY row_number() OVER (PARTITION BY root, entity ORDER BY ord DESC) = 1) WHERE op <> 'removed'),
+proven AS (SELECT DISTINCT 'u:' || user_id AS entity FROM events WHERE event_type = 'click' AND value > 50), n AS (SELECT root AS branch, count(*) AS entities, count(p.entity) AS covered FROM state LEFT JOIN proven p USING (entity) GROUP BY root), w AS (SELECT root AS branch, count(*) AS waiting FROM waiting GROUP BY root)
+SELECT branch, entities, covered, entities - covered AS missing, coalesce(waiting, 0) AS waiting, blockers, blockers = '' AS ok FROM (SELECT *, concat_ws(',', CASE WHEN covered / entities < 0.5 THEN 'coverage' END, CASE WHEN entities > covered THEN 'proof' END, CASE WHEN waiting > 0 THEN 'approval' END, CASE WHEN branch = 'right' THEN 'branch_moved' END) AS blockers FROM n LEFT JOIN w USING (branch))""", name="k21_release_gate")
+def k21_release_gate(spark, d):
+    """Two branches, of which one has moved on: entities at the source, their proof, and approvals."""
+    c, heads = two_heads(spark, d)
+    log = entity_log(spark, d).join(F.broadcast(heads), F.col("ord") <= F.col("node"))  # two rows
+    state = log.groupBy(F.col("root").alias("branch"), F.col("entity").alias("id")).agg(F.max_by("op", "ord").alias("op")).where("op <> 'removed'").select("branch", "id")
+    proven = table(spark, d, "events").where("event_type = 'click' and value > 50").select(F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("id"))
+    waiting = rv.unapproved(g.ancestry(heads, c), c, *approvals_and_actors(spark, d)).withColumnRenamed("root", "branch")
+    branches = heads.select(F.col("root").alias("branch"), F.col("node").alias("source"), F.when(F.col("root") == "right", F.col("node") + 1).otherwise(F.col("node")).alias("head"), F.lit(None).cast("long").alias("expected"))
+    return rv.release_check(branches, state, proven, waiting, proof=True, approval=True)
+
+
+@query("SELECT o_orderkey AS review, CASE WHEN coalesce(blocking, 0) > 0 OR o_orderkey % 3 > 1 AND coalesce(attention, 0) > 2 THEN 'blocked' WHEN coalesce(attention, 0) > 0 OR o_orderkey % 3 > 0 THEN 'needs_attention' ELSE 'pass' END AS status, coalesce(blocking, 0) AS blocking, coalesce(attention, 0) AS attention FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_discount > 0.08) AS blocking, count(*) FILTER (l_discount <= 0.08) AS attention FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey", name="d16_gate_decision")
+def d16_gate_decision(spark, d):
+    """Orders as reviews, returned lines as their findings."""
+    reviews = table(spark, d, "orders").select(F.col("o_orderkey").alias("review"), (F.col("o_orderkey") % 3).alias("approvals"))
+    findings = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("review"), (F.col("l_discount") > 0.08).alias("blocking"))
+    return rv.decisions(reviews, findings)
+
+
+@query("""WITH h AS (SELECT 'u:' || user_id AS entity, event_id AS change, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY user_id) AS changes FROM events),
+pages AS (SELECT entity, changes, max(CASE WHEN n = 1 THEN change END) AS latest, coalesce(string_agg(change, ',' ORDER BY n) FILTER (n > 5 AND n <= 25), '') AS page FROM h GROUP BY ALL),
+seen AS (SELECT event_id AS event, CASE WHEN event_id % 2 = 0 THEN 'u:' || user_id END AS entity, event_id // 2 AS change FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 512),
+a AS (SELECT entity, least(count(DISTINCT event), 20) AS audit FROM (SELECT entity, event FROM seen WHERE entity IS NOT NULL UNION ALL SELECT h.entity, event FROM seen JOIN h USING (change) WHERE seen.entity IS NULL) GROUP BY entity),
+ok AS (SELECT event_id // 3 AS latest, count(*) AS approvals FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1)
+SELECT entity, changes, latest, page, CASE WHEN changes > 25 THEN 25 END::BIGINT AS next_offset, coalesce(approvals, 0) AS approvals, coalesce(audit, 0) AS audit FROM pages LEFT JOIN ok USING (latest) LEFT JOIN a USING (entity)""", name="k20_provenance")
+def k20_provenance(spark, d):
+    """Every user's second page of changes, approvals of the latest one, and audit events of the user or of a change."""
+    e = table(spark, d, "events")
+    user = F.concat(F.lit("u:"), F.col("user_id").cast("string"))
+    history = e.select(user.alias("entity"), F.col("event_id").alias("change"), F.col("ts").alias("at"))
+    audit = e.where("event_type = 'error'").select(F.col("event_id").alias("event"), F.when(F.col("event_id") % 2 == 0, user).alias("entity"), F.floor(F.col("event_id") / 2).alias("change"), F.col("ts").alias("at"))
+    return rv.provenance(history, approvals_and_actors(spark, d)[0], audit, 5, 20)
+
+
+@query("""WITH e AS (SELECT event_id % 500 AS review, * FROM events), off AS (SELECT DISTINCT review, user_id % 10 AS k FROM e WHERE event_type = 'error'),
+assigned AS (SELECT review, count(DISTINCT user_id) AS reviewers FROM e WHERE event_type = 'click' AND (review, user_id % 10) NOT IN (SELECT (review, k) FROM off) GROUP BY review),
+r AS (SELECT review, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created, lower(max_by(CASE WHEN value > 30 THEN 'Approved' ELSE 'NeedsWork' END, (ts, event_id)) FILTER (event_type = 'purchase')) AS state, count(*) FILTER (event_type = 'purchase') AS decisions, count(*) FILTER (event_type = 'view') AS notes, count(*) FILTER (event_type = 'signup') AS discussions FROM e GROUP BY review)
+SELECT review, created, state, decisions, notes, discussions, coalesce(reviewers, 0) AS reviewers FROM r LEFT JOIN assigned USING (review) WHERE state = 'needswork'""", name="b17_k26_review_list")
+def k26_review_list(spark, d):
+    """Reviews that need work, with what belongs to each and who reviews it now."""
+    e = table(spark, d, "events").withColumn("review", F.col("event_id") % 500)
+    of = lambda t: e.where(F.col("event_type") == t)
+    decided = of("purchase").select("review", F.when(F.col("value") > 30, "Approved").otherwise("NeedsWork").alias("state"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    reviews = e.groupBy("review").agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("created"))
+    return rv.review_records(reviews, decided, of("view"), of("signup"), g6_current_assignments(spark, d), "needswork").select("review", "created", "state", "decisions", "notes", "discussions", "reviewers")

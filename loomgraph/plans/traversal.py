@@ -9,7 +9,7 @@ from ..functions.scalars import token_estimate
 from ..operators import graph as g
 from ..operators import review as rv
 from ..sources.store import table
-from .filters_and_joins import ANCESTRY, G, INBOUND, two_heads
+from .filters_and_joins import ANCESTRY, G, IMPACT, INBOUND, two_heads
 from .model import CHANGES_SQL, GRAPH_SQL, entities, relations
 from .registry import query
 
@@ -195,3 +195,27 @@ def i16_water_fill(spark, d):
     got = g.reach(g.rooted(e.where("id in ('o:30', 'o:44', 'c:5')").select("id")), g.edges_of(relations(spark, d)), 2)
     needs = got.join(e.select(F.col("id").alias("node"), "signature"), "node").groupBy(F.col("root").alias("id")).agg(F.sum(token_estimate(F.col("signature"))).alias("need"))
     return g.water_fill(needs, 150)
+
+
+DEPENDENT = f"SELECT DISTINCT src, dst FROM relations WHERE kind IN {IMPACT} AND dst IN (SELECT id FROM entities)"
+
+
+@query(RG + f""", {bfs('SELECT $$o:11$$ AS id UNION ALL SELECT $$c:7$$', DEPENDENT, 3)},
+intents AS (SELECT o_orderkey AS intent, 'entity' AS kind, 'p:' || l_partkey AS scope, o_orderdate AS opened FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, 'entity', 'o:' || o_orderkey, o_orderdate FROM orders UNION ALL SELECT o_orderkey, 'file', 'src/n' || (o_custkey % 25) || '/customers.py', o_orderdate FROM orders WHERE o_orderpriority = '2-HIGH'),
+live AS (SELECT DISTINCT intent, kind, scope FROM intents WHERE opened >= TIMESTAMP '1996-01-01'),
+own AS (SELECT root, file AS own FROM reached JOIN entities ON id = node WHERE hop = 0 AND file IS NOT NULL),
+files AS (SELECT root, file, min(hop) AS hop FROM reached JOIN entities ON id = node WHERE hop > 0 AND file IS NOT NULL GROUP BY ALL),
+scored AS (SELECT r.root, intent, CASE WHEN hop <= 1 THEN 0 ELSE 2 END AS rank, hop AS distance FROM live JOIN reached r ON kind = 'entity' AND scope = node
+  UNION ALL SELECT o.root, intent, 1, 0 FROM live JOIN entities e ON live.kind = 'entity' AND scope = e.id JOIN own o ON o.own = e.file
+  UNION ALL SELECT f.root, intent, CASE WHEN hop <= 1 THEN 0 ELSE 2 END, hop FROM live JOIN files f ON kind = 'file' AND scope = f.file LEFT JOIN own o ON o.root = f.root WHERE o.own IS DISTINCT FROM f.file
+  UNION ALL SELECT o.root, intent, 1, 0 FROM live JOIN own o ON kind = 'file' AND scope = o.own)
+SELECT root, intent, CASE rank WHEN 0 THEN 'direct' WHEN 1 THEN 'same_file' ELSE 'downstream' END AS proximity, distance::INTEGER AS distance FROM scored QUALIFY row_number() OVER (PARTITION BY root, intent ORDER BY rank, distance) = 1""", name="i8_scoped_traffic")
+def i8_scoped_traffic(spark, d):
+    """Orders as intents: urgent ones on their parts, all on themselves, high ones on a file; those of before 1996 have expired."""
+    o = table(spark, d, "orders")
+    row = lambda df, kind, scope: df.select(F.col("o_orderkey").alias("intent"), F.lit(kind).alias("kind"), scope.alias("scope"), F.col("o_orderdate").alias("expires"))
+    urgent = o.where("o_orderpriority = '1-URGENT'").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    intents = row(urgent, "entity", F.concat(F.lit("p:"), F.col("l_partkey").cast("string"))).unionByName(row(o, "entity", F.concat(F.lit("o:"), F.col("o_orderkey").cast("string"))))
+    intents = intents.unionByName(row(o.where("o_orderpriority = '2-HIGH'"), "file", F.concat(F.lit("src/n"), (F.col("o_custkey") % 25).cast("string"), F.lit("/customers.py"))))
+    e = entities(spark, d)
+    return g.traffic(e.where("id in ('o:11', 'c:7')").select("id"), e, relations(spark, d), intents, 3, F.lit("1996-01-01").cast("timestamp_ntz"))
