@@ -21,19 +21,28 @@ def state_at(log: DataFrame, ref: int | None = None) -> DataFrame:
 def first_parents(changes: DataFrame, head: DataFrame) -> DataFrame:
     """(change, back): head (id) and its first parents by changes (id, parent), with the steps back to each.
 
-    By doubling: a round joins the chain so far with jumps twice as long as before, so a chain of n takes log2 n rounds.
+    A round takes up to three jumps from each change so far, and makes the next round's jumps four times as long, so a
+    chain of n takes log4 n rounds of joins, each written to the shared folder.
     """
     spark, folder = head.sparkSession, new_folder(head.sparkSession, "chain")
+
+    def jumps(rows, start, n):
+        """rows with to1 .. ton: where one to n jumps from a column lead, null beyond the chain's beginning."""
+        for i in range(1, n + 1):
+            rows = rows.join(jump.select(F.col("id").alias(start if i == 1 else f"to{i - 1}"), F.col("to").alias(f"to{i}")), start if i == 1 else f"to{i - 1}", "left")
+        return rows
+
     jump = cut(changes.where("parent is not null").select("id", F.col("parent").alias("to")))
     chain, length = cut(head.select(F.col("id").alias("change"), F.lit(0).cast("long").alias("back")), f"{folder}/0"), 1
     paths = [f"{folder}/0"]
     while True:
-        more = cut(chain.join(jump, F.col("change") == F.col("id")).select(F.col("to").alias("change"), (F.col("back") + length).alias("back")), f"{folder}/{length}")
+        steps = F.array(*[F.struct(F.col(f"to{i}").alias("change"), (F.col("back") + i * length).alias("back")) for i in (1, 2, 3)])
+        more = cut(jumps(chain, "change", 3).select(F.explode(steps).alias("s")).select("s.*").where("change is not null"), f"{folder}/{length}")
         if more.isEmpty():
             return chain
         paths.append(f"{folder}/{length}")
-        chain, length = spark.read.schema(chain.schema).parquet(*paths), 2 * length
-        jump = cut(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+        chain, length = spark.read.schema(chain.schema).parquet(*paths), 4 * length
+        jump = cut(jumps(jump.select("id"), "id", 4).where("to4 is not null").select("id", F.col("to4").alias("to")))
 
 
 def resolve_at(chain: DataFrame, entity_log: DataFrame, relation_log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

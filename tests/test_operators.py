@@ -10,6 +10,7 @@ from loomgraph.operators import filters as fl
 from loomgraph.operators import graph as g
 from loomgraph.operators import history as h
 from loomgraph.operators import retrieval as rt
+from loomgraph.operators import review as rv
 from loomgraph.operators import stats as st
 from loomgraph.sources.store import Conflict, Store, checkpoint_dir
 from loomgraph.streaming import feed
@@ -181,3 +182,65 @@ def test_sessions_stream(spark):
     df = spark.createDataFrame(rows, "seq long, id string, type string, value double, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
     out = feed.replayed(spark, df, 1, lambda s: feed.sessions(s, "10 minutes", "1 hour").select("id", "events", "value"))
     assert ("a", 2, 3.0) in {tuple(r) for r in out.collect()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 16, 17, 40])
+def test_first_parents_of_chains_of_any_length(spark, n):
+    changes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(50)], "id long, parent long")
+    got = h.first_parents(changes, spark.createDataFrame([(n - 1,)], "id long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, n - 1 - i) for i in range(n)]
+
+
+def test_replay_prunes_relations_of_removed_entities(spark):
+    chain = spark.createDataFrame([(i, 9 - i) for i in range(10) if i != 5], "change long, back long")
+    e = [(0, "a", "added"), (1, "b", "added"), (2, "c", "added"), (4, "b", "removed"), (5, "c", "removed"), (6, "b", "added")]
+    r = [(2, "ab", "a", "b", "added"), (3, "ac", "a", "c", "added"), (7, "bc", "b", "c", "added"), (8, "ax", "a", "x", "added"), (3, "cc", "c", "c", "added"), (8, "cc", "c", "c", "removed"), (4, "bb", "b", "b", "added")]
+    alive, kept, dead = h.resolve_at(chain, spark.createDataFrame(e, "change long, id string, op string"), spark.createDataFrame(r, "change long, id string, src string, dst string, op string"))
+    assert {tuple(x) for x in alive.collect()} == {("a", 0), ("b", 6), ("c", 2)}  # change 5 is on a branch
+    assert {x.id for x in kept.collect()} == {"ac", "bc"}  # ab stays away when b returns, x isn't known
+    assert {tuple(x) for x in dead.collect()} == {("relation", "ab", 4), ("relation", "bb", 4), ("relation", "cc", 8)}
+
+
+def test_merge_divergences(spark):
+    t = lambda rows: spark.createDataFrame(rows, "id string, value string")
+    got = h.composed(t([("a", "1"), ("b", "1"), ("c", "1")]), t([("a", "2"), ("b", "1")]), t([("a", "1"), ("c", "3"), ("d", "2")]))
+    assert {tuple(r) for r in got.collect()} == {("a", "take_ours", "2", True), ("b", "take_theirs", None, False), ("c", "removed_ours_changed_theirs", None, True), ("d", "take_theirs", "2", True)}
+    paths = h.path_collisions(got.select("id", F.col("value").alias("path")))
+    assert {tuple(r) for r in paths.collect()} == {("2", "a"), ("2", "d")}
+    ends = h.dangling(edges(spark, ["ab", "aa", "xb"]), got.where("survives").select("id"))
+    assert {tuple(r) for r in ends.collect()} == {("ab", "b"), ("xb", "x"), ("xb", "b")}
+
+
+def test_traffic_takes_the_strongest_scope(spark):
+    e = spark.createDataFrame([(i, "Function", i, f, "Source") for i, f in (("a", "f1"), ("b", "f2"), ("c", "f3"), ("s", "f1"), ("z", None))], ENT)
+    r = edges(spark, ["ab", "bc", "as", "cx"], "Calls").unionByName(edges(spark, ["az"], "Contains"))
+    rows = [(1, "entity", "a"), (2, "entity", "b"), (3, "entity", "c"), (4, "file", "f1"), (4, "file", "f3"), (5, "file", "f3"), (6, "entity", "z"), (7, "entity", "s"), (8, "file", "f2")]
+    intents = spark.createDataFrame(rows, "intent long, kind string, scope string").withColumn("expires", F.lit(None).cast("date"))
+    gone = spark.createDataFrame([(9, "entity", "a")], "intent long, kind string, scope string").withColumn("expires", F.lit("2020-01-01").cast("date"))
+    got = g.traffic(spark.createDataFrame([("a",)], "id string"), e, r, intents.unionByName(gone), 3, F.lit("2024-01-01").cast("date"))
+    want = {(1, "direct", 0), (2, "direct", 1), (3, "downstream", 2), (4, "same_file", 0), (5, "downstream", 2), (7, "direct", 1), (8, "direct", 1)}
+    assert {(x.intent, x.proximity, x.distance) for x in got.collect()} == want
+
+
+def test_gate_decisions(spark):
+    reviews = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 1), (5, 0)], "review long, approvals long")
+    findings = spark.createDataFrame([(3, False)] * 3 + [(4, False)] * 3 + [(5, True)], "review long, blocking boolean")
+    assert {r.review: r.status for r in rv.decisions(reviews, findings).collect()} == {1: "pass", 2: "needs_attention", 3: "blocked", 4: "needs_attention", 5: "blocked"}
+
+
+def test_release_check_names_what_blocks(spark):
+    rows = [("a", 1, 1, None), ("b", 1, 2, 2), ("c", 1, None, 1)]
+    branches = spark.createDataFrame(rows, "branch string, source long, head long, expected long")
+    states = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 3), ("b", 4)], "branch string, id long")
+    waiting = spark.createDataFrame([("b", 7)], "branch string, change long")
+    check = lambda **k: {r.branch: r.blockers for r in rv.release_check(branches, states, spark.createDataFrame([(1,)], "id long"), waiting, **k).collect()}
+    assert check() == {"a": "", "b": "entity_count,coverage,branch_moved", "c": "entity_count,coverage,branch_gone"}
+    assert check(proof=True, approval=True, force=True) == {"a": "proof", "b": "entity_count,proof,approval,branch_moved", "c": "entity_count,branch_gone"}
+
+
+def test_unapproved_needs_a_known_human(spark):
+    changes = spark.createDataFrame([(0, None, "x"), (1, 0, "x"), (2, 1, "y"), (3, 2, "y")], "id long, parent long, author string")
+    got = spark.createDataFrame([("h", i) for i in range(4)], "root string, node long")
+    approvals = spark.createDataFrame([(1, "ann", "approved"), (2, "bot", "approved"), (2, "ann", "rejected"), (3, "who", "approved")], "change long, actor string, decision string")
+    actors = spark.createDataFrame([("ann", "Human"), ("bot", "Agent")], "actor string, kind string")
+    assert {r.change for r in rv.unapproved(got, changes, approvals, actors).collect()} == {2, 3}
