@@ -184,7 +184,7 @@ ARTIFACTS_SQL = BM25_ALL.replace(BM25_ALL[: BM25_ALL.index("lens AS")], f"""post
 def j2_artifact_search(spark, d):
     """Opaque artifacts by their weighted fields: what they are, their type, and the preview of their text."""
     docs = table(spark, d, "documents").select("doc_id", F.lit("opaque_artifact").alias("kind"), F.col("source").alias("mime"), F.trim(F.substring("text", 1, 120)).alias("preview"))
-    posts = rt.postings(docs, "doc_id", rt.ARTIFACT_WEIGHTS)
+    posts = cut(rt.postings(docs, "doc_id", rt.ARTIFACT_WEIGHTS))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(S.code_tokens(F.col("text")))).alias("token"))
     scores = rt.bm25(posts, asked, "doc_id").withColumn("score", F.round("score", 4))
     return rt.top(scores, "query", [F.desc("score"), "doc_id"], 10).select("query", "doc_id", "score")
