@@ -24,20 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import raw, spans, text_col, written
-from .pretoken import Pieces
+from .pretoken import Pieces, starts
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Tokens:
-    def __init__(self, path: str):
+    """Ids of the `tokenizers` library. split: where texts may be cut so that the ids of the parts are those of the whole."""
+
+    def __init__(self, path: str, split=starts):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
-        self.pieces = Pieces(self.encode)
+        self.pieces = Pieces(self.encode, split=split)
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
@@ -56,8 +58,8 @@ class Tokens:
 
 
 @cache
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, split=starts) -> Tokens:
+    return Tokens(path, split)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -74,14 +74,23 @@ def starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[begin]
 
 
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions where documents and words start; a word runs to the next, with the ASCII white space behind it."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    begin = ~space
+    begin[1:] &= space[:-1]
+    begin[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(begin)
+
+
 class Pieces:
     """Ids of distinct pieces of text, kept for the life of a worker up to `limit` pieces; encode(pieces) gives each one's ids.
 
-    Pieces are found by fingerprints and compared by their bytes.
+    Pieces start where split(data, offsets) says; they are found by fingerprints and compared by their bytes.
     """
 
-    def __init__(self, encode, limit: int = 1_000_000):
-        self.encode, self.limit, self.prints = encode, limit, Fingerprints(11)
+    def __init__(self, encode, limit: int = 1_000_000, split=starts):
+        self.encode, self.limit, self.split, self.prints = encode, limit, split, Fingerprints(11)
         self.clear()
 
     def clear(self) -> None:
@@ -92,7 +101,7 @@ class Pieces:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents in order, number of ids up to each document's end, from 0)."""
-        begin = starts(data, offsets)
+        begin = self.split(data, offsets)
         stop = np.append(begin[1:], len(data))
         prefix = self.prints.prefix(data)
         got, at, back = np.unique(self.prints.of(prefix, begin, stop) ^ (stop - begin).astype(np.uint64), return_index=True, return_inverse=True)

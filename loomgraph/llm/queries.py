@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, language_id, licences, motion_jpeg, ngram_join, packing, repeats, top_k, url_filter
+from . import byte_bpe, html_text, language_id, licences, motion_jpeg, ngram_join, packing, repeats, token_files, top_k, url_filter
 from .common import table
 
 
@@ -46,5 +46,9 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op2_html_text, op3_motion_jpeg, op4_url_filter, op5_repeats, op6_top_k, op7_byte_bpe, op8_language_id, op9_ngram_join, op10_packing)}
+def op13_token_files(spark, sf_dir):
+    return token_files.write_and_read(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licences, op2_html_text, op3_motion_jpeg, op4_url_filter, op5_repeats, op6_top_k, op7_byte_bpe, op8_language_id, op9_ngram_join, op10_packing, op13_token_files)}
 ORACLES = {"op1_licences": licences.ORACLE, "op4_url_filter": url_filter.ORACLE, "op6_top_k": top_k.ORACLE}
