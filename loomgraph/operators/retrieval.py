@@ -25,13 +25,15 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     return rows.groupBy(key, "token").agg(F.sum("w").alias("tf"))
 
 
-def bm25(posts: DataFrame, queries: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+def bm25(posts: DataFrame, queries: DataFrame, key: str, limit: int | None = None, length: DataFrame | None = None, total: DataFrame | None = None) -> DataFrame:
     """(query, key, score): queries (query, token); k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only postings of query tokens take part in the join; lengths and document frequencies come from all postings.
+    Only postings of query tokens take part in the join. Lengths (key, length) and their number and mean (docs, mean; one
+    row) come from all postings unless they are given; then posts need hold those of the queries' tokens only.
     """
-    length = posts.groupBy(key).agg(F.sum("tf").alias("length"))
-    total = length.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    if length is None:
+        length = posts.groupBy(key).agg(F.sum("tf").alias("length"))
+        total = length.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     hits = posts.join(queries.select("token").distinct(), "token", "left_semi")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     rows = queries.distinct().join(hits, "token").join(df, "token").join(length, key).join(F.broadcast(total))  # one row

@@ -86,12 +86,12 @@ def d13_hub_filter(spark, d):
 WORDS = "list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: t <> ''))"
 
 
-@query(f"SELECT token, count(*) AS df FROM (SELECT unnest({WORDS}) AS token FROM documents) GROUP BY token HAVING count(*) >= 5")
+@query(f"SELECT token, count(*) AS df FROM (SELECT unnest({WORDS}) AS token FROM documents) GROUP BY token")
 def d14_document_frequency(spark, d):
     from ..operators.filters import tokens
 
     words = table(spark, d, "documents").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("df")).where("df >= 5")
+    return words.groupBy("token").agg(F.count("*").alias("df"))
 
 
 @query("""WITH o AS (SELECT l_suppkey AS key, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 AND l_suppkey % 9 > 0 GROUP BY 1), n AS (SELECT l_suppkey AS key, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 1 AND l_suppkey % 8 > 0 GROUP BY 1), b AS (SELECT coalesce(o.key, n.key) AS key, coalesce(o.n, 0) AS before, coalesce(n.n, 0) AS after FROM o FULL JOIN n ON o.key = n.key)

@@ -12,7 +12,7 @@ from ..operators import graph as g
 from ..operators import history as h
 from ..operators import review as rv
 from ..sources.store import Store, checkpoint_dir, cut, overlay, table
-from ..streaming import feed
+from ..streaming import feed, incremental
 from .filters_and_joins import ANCESTRY, E, G, OLD_NEW, g6_current_assignments, old_new, two_heads
 from .model import CHANGES_SQL, LOG_SQL, entities, entity_log, relations
 from .registry import query
@@ -230,6 +230,26 @@ def l4_feed_pass_counts(spark, d):
     return feed.replayed(spark, feed_rows(spark, d), 1, lambda s: s.select("seq", "type")).transform(feed.pass_counts)
 
 
+TREE_SQL = "tree AS (SELECT source, file, entry FROM (SELECT 's' || (event_id % 4) AS source, 'u:' || user_id AS file, arg_max(floor(value / 10)::BIGINT, event_id) AS entry, arg_max(event_type, event_id) AS type FROM events GROUP BY ALL) WHERE type <> 'error')"
+
+
+@query(f"WITH {TREE_SQL} SELECT source, file, entry, unnest(range(entry % 3 + 1))::INTEGER AS part FROM tree", name="l5_l6_incremental")
+def l5_incremental(spark, d):
+    """Parts of files kept in step with a feed in three batches, of which one source loses frames: the same as deriving all from the last tree."""
+    base = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    rows = feed_rows(spark, d).select(F.concat(F.lit("s"), (F.col("seq") % 4).cast("string")).alias("source"), (F.floor(F.col("seq") / 4) + 1).alias("n"), F.col("id").alias("file"), "type", F.floor(F.col("value") / 10).cast("long").alias("entry"), F.col("seq").alias("ord"))
+    last = rows.groupBy("source", "file").agg(F.max_by(F.struct("type", "entry"), "ord").alias("l")).where("l.type <> 'removed'").select("source", "file", "l.entry")
+    tree, early = cut(last), rows.where("ord < 100").groupBy("source", "file").agg(F.max_by("entry", "ord").alias("entry"))
+    frames = rows.where("not (source = 's1' and n between 60 and 90)")
+    frames.repartitionByRange(3, "ord").select("source", F.col("n").alias("seq"), "file", "type").write.parquet(f"{base}/in")
+    now = [early]
+    derived = incremental.Derived(spark, f"{base}/table", lambda: now[0], lambda files: files.select("source", "file", "entry", F.explode(F.sequence(F.lit(0), (F.col("entry") % 3).cast("int"))).alias("part")))
+    derived.start()
+    now[0] = tree
+    incremental.keep_up(spark.readStream.schema(incremental.FRAMES).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), derived, f"{base}/state")
+    return derived.rows().select("source", "file", "entry", "part")
+
+
 @query(G + "SELECT to_json({'id': id, 'kind': kind, 'file': file}) AS node FROM entities WHERE kind IN ('Module', 'Interface')", name="a22_graph_export_json")
 def a22_graph_export_json(spark, d):
     return entities(spark, d).where("kind in ('Module', 'Interface')").select(F.to_json(F.struct("id", "kind", "file"), {"ignoreNullFields": "false"}).alias("node"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import retrieval as rt
-from ..sources.store import cut, table
+from ..sources import text_index
+from ..sources.store import checkpoint_dir, table
 from .aggregates import CANDIDATES, candidates
 from ..operators import graph as g
 from ..operators import history as h
@@ -78,13 +82,25 @@ dfs AS (SELECT token, count(*) AS df FROM posts GROUP BY token),
 bm AS (SELECT query, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM asked JOIN posts USING (token) JOIN dfs USING (token) JOIN lens USING (doc_id), stat GROUP BY ALL)"""
 
 
-def lexical(spark, d, every=True):
+DOCUMENT_FIELDS = {"text": 1.0, "source": 3.0}
+
+
+def index_of(spark, d, name, key, docs, fields):
+    """The index of a table's documents in the shared folder: later queries of the session find the one that the first has built."""
+    return text_index.current(spark, f"{checkpoint_dir(spark)}/text-{name}-{hashlib.sha256(d.encode()).hexdigest()[:16]}", key, docs, fields)
+
+
+def documents_index(spark, d):
+    return index_of(spark, d, "documents", "doc_id", table(spark, d, "documents").select("doc_id", "text", "source"), DOCUMENT_FIELDS)
+
+
+def benchmark_tokens(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(S.code_tokens(F.col("text")))).alias("token"))
+
+
+def lexical(spark, d):
     """Scores of documents for the tokens of benchmark items; items are queries, in whole."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    posts = cut(rt.postings(docs, "doc_id", {"text": 1.0, "source": 3.0}))
-    words = F.array_distinct(S.code_tokens(F.col("text")))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(words if every else F.slice(words, 1, 12)).alias("token"))
-    return rt.bm25(posts, asked, "doc_id")
+    return documents_index(spark, d).search(benchmark_tokens(spark, d))
 
 
 BM25_ALL = BM25.replace("[1:12]", "")
@@ -96,13 +112,25 @@ def j1_bm25(spark, d):
     return rt.top(scores, "query", [F.desc("score"), "doc_id"], 10).select("query", "doc_id", "score")
 
 
-@query(f"WITH {BM25_ALL}, over AS (SELECT query, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc_id) AS n FROM bm QUALIFY n <= 15), live AS (SELECT o.*, quality FROM over o JOIN (SELECT DISTINCT doc_id, quality FROM labels) USING (doc_id) WHERE quality = 1) SELECT query, doc_id, score, quality::INTEGER AS quality FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n) AS m FROM live) WHERE m <= 5", name="j3_j4_search_at_ref")
-def j3_search_at_ref(spark, d):
-    """Three times as many hits as asked for; those that aren't active, or that nothing is known about, leave; fewer may stay."""
-    scores = lexical(spark, d).withColumn("score", F.round("score", 4))
-    over = rt.top(scores, "query", [F.desc("score"), "doc_id"], 15, "n")
-    live = over.join(table(spark, d, "labels").where("quality = 1").select("doc_id", "quality").distinct(), "doc_id")
-    return rt.top(live, "query", ["n"], 5, "m").select("query", "doc_id", "score", "quality")
+CHANGED_SQL = BM25_ALL.replace("FROM documents", "FROM kept")
+
+
+@query(f"WITH kept AS (SELECT * FROM documents WHERE doc_id % 13 > 0), {CHANGED_SQL} SELECT query, doc_id, score FROM (SELECT query, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc_id) AS n FROM bm) WHERE n <= 10", name="a12_index_commits")
+def a12_index_commits(spark, d):
+    """An index of what the documents were (a part with other texts, a part not yet there), a commit of what changed since, and one of removals; opened anew for the search."""
+    docs, path, key = table(spark, d, "documents").select("doc_id", "text", "source"), f"{checkpoint_dir(spark)}/text-{uuid.uuid4().hex}", F.col("doc_id")
+    index = text_index.TextIndex(spark, path, "doc_id", 16)
+    index.rebuild(docs.where(key % 17 > 0).withColumn("text", F.when(key % 11 == 0, F.reverse("text")).otherwise(F.col("text"))), DOCUMENT_FIELDS, "before")
+    index.commit(docs.where((key % 17 == 0) | (key % 11 == 0)), docs.where("false"), DOCUMENT_FIELDS, "changed")
+    index.commit(docs.where("false"), docs.where(key % 13 == 0), DOCUMENT_FIELDS, "removed")
+    scores = text_index.TextIndex(spark, path, "doc_id", read_only=True).search(benchmark_tokens(spark, d)).withColumn("score", F.round("score", 4))
+    return rt.top(scores, "query", [F.desc("score"), "doc_id"], 10).select("query", "doc_id", "score")
+
+
+@query(f"WITH {BM25_ALL} SELECT query AS term, min(coalesce(df, 0)) AS df FROM asked LEFT JOIN dfs USING (token) GROUP BY query", name="d14_rarest_token")
+def d14_rarest_token(spark, d):
+    """In how many documents a benchmark item's rarest token occurs."""
+    return documents_index(spark, d).frequencies(benchmark_tokens(spark, d).withColumnRenamed("query", "term"))
 
 
 NEAR = """centre AS (SELECT label AS query, list(m ORDER BY i) AS q FROM (SELECT label, i, round(avg(x), 6) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL) GROUP BY label),
@@ -184,9 +212,8 @@ ARTIFACTS_SQL = BM25_ALL.replace(BM25_ALL[: BM25_ALL.index("lens AS")], f"""post
 def j2_artifact_search(spark, d):
     """Opaque artifacts by their weighted fields: what they are, their type, and the preview of their text."""
     docs = table(spark, d, "documents").select("doc_id", F.lit("opaque_artifact").alias("kind"), F.col("source").alias("mime"), F.trim(F.substring("text", 1, 120)).alias("preview"))
-    posts = cut(rt.postings(docs, "doc_id", rt.ARTIFACT_WEIGHTS))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(S.code_tokens(F.col("text")))).alias("token"))
-    scores = rt.bm25(posts, asked, "doc_id").withColumn("score", F.round("score", 4))
+    found = index_of(spark, d, "artifacts", "doc_id", docs, rt.ARTIFACT_WEIGHTS).search(benchmark_tokens(spark, d))
+    scores = found.withColumn("score", F.round("score", 4))
     return rt.top(scores, "query", [F.desc("score"), "doc_id"], 10).select("query", "doc_id", "score")
 
 
@@ -212,10 +239,10 @@ def searched(spark, d):
 @query(RG.replace(" RECURSIVE", "") + f", {SEARCHED} SELECT query, id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10", name="j1_weighted_fields")
 def j1_weighted_fields(spark, d):
     """BM25 over all weighted fields of entities; benchmark items and nations ask."""
-    posts = cut(rt.postings(searched(spark, d), "id", rt.FIELD_WEIGHTS))
+    index = index_of(spark, d, "entities", "id", searched(spark, d).select("id", *rt.FIELD_WEIGHTS), rt.FIELD_WEIGHTS)
     ask = lambda name, prefix, key, text: table(spark, d, name).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("query"), F.explode(S.code_tokens(text)).alias("token"))
     asked = ask("benchmark", "b:", "item_id", F.col("text")).unionByName(ask("nation", "n:", "n_nationkey", F.concat("n_name", F.lit(" urgent class"))))
-    scores = rt.bm25(posts, asked, "id").withColumn("score", F.round("score", 4))
+    scores = index.search(asked).withColumn("score", F.round("score", 4))
     return rt.top(scores, "query", [F.desc("score"), "id"], 10).select("query", "id", "score")
 
 

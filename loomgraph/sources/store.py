@@ -49,8 +49,11 @@ class Store:
     A generation is a number. A writer puts its files into a folder of its own, then creates the generation's marker
     without overwriting and writes the folder's name into it. So of two writers at one generation one fails with
     Conflict, and its files are never read; a writer that fails before the marker leaves nothing that counts. A marker
-    that was created and never filled counts neither; `stale_s` seconds later the next writer takes it over.
-    Reads use Spark only; the markers are small files that the driver handles through Hadoop's file system.
+    that was created and never filled counts neither; `stale_s` seconds later the next writer creates another one of the
+    same generation beside it. The first that is filled counts, so a writer fills its own within half of that time or
+    fails. Markers are never deleted to be taken over. Reads use Spark only; the markers are small files that the driver
+    handles through Hadoop's file system, which must be able to create a file only if there is none (HDFS and local
+    folders are; object stores need a committer or conditional writes for that).
     """
 
     def __init__(self, spark: SparkSession, path: str, stale_s: float = 600):
@@ -67,10 +70,17 @@ class Store:
         found = {}
         for s in self._fs.listStatus(folder):
             if s.getLen() > 0:
-                stream = self._fs.open(s.getPath())
-                found[int(s.getPath().getName())] = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-        return found
+                generation, _, attempt = s.getPath().getName().partition(".")
+                found[int(generation), int(attempt or 0)] = s.getPath()
+        first = {}
+        for (generation, _), path in sorted(found.items(), key=lambda f: f[0], reverse=True):
+            first[generation] = path
+        out = {}
+        for generation, path in first.items():
+            stream = self._fs.open(path)
+            out[generation] = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+        return out
 
     def generation(self) -> int:
         return max(self.marks(), default=0)
@@ -79,15 +89,20 @@ class Store:
         return {g: name for g, name in self.marks().items() if name.startswith(kind)}
 
     def _claim(self, generation: int, name: str) -> None:
-        marker = self._path(f"{self.path}/marks/{generation}")
-        if self._fs.exists(marker):
-            status = self._fs.getFileStatus(marker)
-            if status.getLen() == 0 and time.time() - status.getModificationTime() / 1000 >= self.stale_s:
-                self._fs.delete(marker, False)
-        try:
-            stream = self._fs.create(marker, False)
-        except Exception as e:
-            raise Conflict(f"generation {generation} was taken") from e
+        attempt = 0
+        while True:
+            marker = self._path(f"{self.path}/marks/{generation}" + (f".{attempt}" if attempt else ""))
+            try:
+                stream, began = self._fs.create(marker, False), time.time()
+                break
+            except Exception as e:
+                status = self._fs.getFileStatus(marker) if self._fs.exists(marker) else None
+                if status is None or status.getLen() > 0 or time.time() - status.getModificationTime() / 1000 < self.stale_s:
+                    raise Conflict(f"generation {generation} was taken") from e
+                attempt += 1
+        if generation in self.marks() or self.stale_s and time.time() - began > self.stale_s / 2:
+            stream.close()
+            raise Conflict(f"generation {generation} was taken")
         stream.write(bytearray(name.encode()))
         stream.close()
 
@@ -137,7 +152,8 @@ class Store:
         if any(n > g for n in old):
             raise Conflict("deltas are newer than the snapshot")
         for n, name in old.items():
-            self._fs.delete(self._path(f"{self.path}/marks/{n}"), False)
+            for s in self._fs.globStatus(self._path(f"{self.path}/marks/{n}{{,.*}}")):
+                self._fs.delete(s.getPath(), False)
             self._fs.delete(self._path(f"{self.path}/data/{name}"), True)
 
 
