@@ -1,4 +1,4 @@
-"""Lexical and vector retrieval, fusion, relevance metrics and learned re-ranking."""
+"""Lexical and vector retrieval, fusion and relevance metrics."""
 
 from __future__ import annotations
 
@@ -114,42 +114,3 @@ def tune(rows: DataFrame, grades: DataFrame, grid: list[dict[str, float]], k: in
     scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("config", "query").orderBy(F.desc("score"), "id"))).join(grades, ["query", "id"])
     by = scored.select(F.concat_ws(":", "config", "query").alias("query"), "rank", "grade")
     return relevance(by, k).groupBy(F.split("query", ":")[0].cast("int").alias("config")).agg(F.round(F.avg("ndcg"), 6).alias("ndcg")).orderBy(F.desc("ndcg"), "config")
-
-
-class Stumps:
-    """Gradient-boosted decision stumps for re-ranking: (feature, threshold, low, high) each, and a base in log-odds."""
-
-    def __init__(self, base: float, stumps: list[tuple[str, float, float, float]]):
-        self.base, self.stumps = base, stumps
-
-    def score(self) -> Column:
-        """The probability as one expression of the feature columns."""
-        total = F.lit(self.base)
-        for feature, at, low, high in self.stumps:
-            total = total + F.when(F.col(feature) <= at, F.lit(low)).otherwise(F.lit(high))
-        return 1 / (1 + F.exp(-total))
-
-    @classmethod
-    def fit(cls, rows: DataFrame, features: list[str], label: str, rounds: int = 5, rate: float = 0.3, cuts: int = 10) -> Stumps:
-        """Least-squares boosting on quantile thresholds; each round is one aggregation of sums for every split."""
-        from math import log
-
-        first = rows.agg(F.avg(F.col(label).cast("double")).alias("p"), *[F.percentile_approx(f, [i / (cuts + 1) for i in range(1, cuts + 1)], 10000).alias(f) for f in features]).first()
-        if first.p is None:
-            return cls(0.0, [])
-        p = min(max(first.p, 1e-6), 1 - 1e-6)
-        model = cls(log(p / (1 - p)), [])
-        splits = [(f, at) for f in features for at in sorted(set(first[f] or []))]
-        for _ in range(rounds):
-            graded = rows.withColumn("_g", F.col(label).cast("double") - model.score())
-            sums = graded.agg(F.count("*").alias("n"), F.sum("_g").alias("g"), *[x for i, (f, at) in enumerate(splits) for x in (F.count(F.when(F.col(f) <= at, 1)).alias(f"n{i}"), F.coalesce(F.sum(F.when(F.col(f) <= at, F.col("_g"))), F.lit(0.0)).alias(f"g{i}"))]).first()
-            gain, best = 0.0, None
-            for i, (f, at) in enumerate(splits):
-                n, g = sums[f"n{i}"], sums[f"g{i}"]
-                m, h = sums.n - n, sums.g - g
-                if n and m and (now := g * g / n + h * h / m - sums.g * sums.g / sums.n) > gain + 1e-12:
-                    gain, best = now, (f, float(at), rate * 4 * g / n, rate * 4 * h / m)
-            if best is None:
-                break
-            model.stumps.append(best)
-        return model

@@ -18,7 +18,7 @@ def test_runs(spark, sf_dir, name):
 
 
 def test_learned_rerank_learns(spark, sf_dir):
-    rows = QUERIES["j13_j14_learned_rerank"](spark, sf_dir).collect()
+    rows = QUERIES["j14_boosted_trees"](spark, sf_dir).collect()
     right = sum((r.score > 0.5) == bool(r.good) for r in rows)
     assert right / len(rows) > max(0.75, sum(not r.good for r in rows) / len(rows) - 0.02)
 
