@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import retrieval as rt
-from ..sources import text_index
+from ..sources import text_index, vector_index
 from ..sources.store import checkpoint_dir, table
 from .aggregates import CANDIDATES, candidates
 from ..operators import graph as g
@@ -138,12 +138,16 @@ NEAR = """centre AS (SELECT label AS query, list(m ORDER BY i) AS q FROM (SELECT
 near AS (SELECT query, vec_id, label, distance, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id)::INTEGER AS rank FROM (SELECT query, vec_id, label, round(1 - list_inner_product(list_transform(embedding, lambda x: x::DOUBLE), q) / (sqrt(list_inner_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) * sqrt(list_inner_product(q, q))), 5) AS distance FROM embeddings, centre))"""
 
 
+def centres(v):
+    """(query, vector): the mean of each label's vectors."""
+    mean = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m"))
+    return mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector")).select(F.col("label").alias("query"), "vector")
+
+
 def centre_search(spark, d, k):
     """The k vectors nearest to the mean of each label, or all with their distances: one query for each label, a set that doesn't grow with the rows."""
     v = table(spark, d, "embeddings")
-    mean = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m"))
-    q = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector")).select(F.col("label").alias("query"), "vector")
-    rows = v.select("vec_id", "label", "embedding").join(F.broadcast(q))
+    rows = v.select("vec_id", "label", "embedding").join(F.broadcast(centres(v)))
     rows = rows.select("query", "vec_id", "label", F.round(S.cosine_distance(F.col("embedding"), F.col("vector")), 5).alias("distance"))
     return rt.top(rows, "query", ["distance", "vec_id"], k) if k else rows
 
@@ -153,14 +157,15 @@ def j5_vector_top_k(spark, d):
     return centre_search(spark, d, 10).select("query", "vec_id", "distance", "rank")
 
 
-@query("""WITH a AS (SELECT o_custkey AS query, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS lexical FROM orders), b AS (SELECT o_custkey AS query, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS vector FROM orders WHERE o_orderstatus <> 'P')
-SELECT query, id, x.lexical::INTEGER AS lexical, y.vector::INTEGER AS vector FROM (SELECT * FROM a WHERE lexical <= 3) x FULL JOIN (SELECT * FROM b WHERE vector <= 3) y USING (query, id)""", name="j6_g1_unified_retrieve")
-def j6_unified_retrieve(spark, d):
-    """Arms of retrieval side by side, one row for each key."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderdate", "o_orderstatus")
-    a = rt.top(o, "query", [F.desc("o_totalprice"), "id"], 3, "lexical").select("query", "id", "lexical")
-    b = rt.top(o.where("o_orderstatus <> 'P'"), "query", [F.desc("o_orderdate"), "id"], 3, "vector").select("query", "id", "vector")
-    return a.join(b, ["query", "id"], "full_outer")
+@query(f"WITH {NEAR} SELECT query, vec_id, distance, rank FROM near WHERE rank <= 10", name="a13_vector_index")
+def a13_vector_index(spark, d):
+    """The same as by looking at all vectors, from an index that is built, opened and searched cell by cell."""
+    v = table(spark, d, "embeddings")
+    root, path = text_index.fingerprint(v.select("vec_id", "embedding")), f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    index = vector_index.VectorIndex(spark, path)
+    index.build(v.select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vector")), "given", root)
+    found = vector_index.VectorIndex(spark, path).open("given", root, 64).search(centres(v), 10)
+    return found.select("query", F.col("key").alias("vec_id"), "distance", "rank")
 
 
 @query(f"WITH {NEAR}, r AS (SELECT query::VARCHAR AS query, rank, CASE WHEN label = query THEN 3 WHEN label % 3 = query % 3 THEN 1 ELSE 0 END AS grade FROM near WHERE rank <= 30), i AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, rank) AS ideal FROM r), s AS (SELECT query, sum(CASE WHEN rank <= 10 THEN (2 ** grade - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= 10 THEN (2 ** grade - 1) / log2(ideal + 1) ELSE 0 END) AS best, min(CASE WHEN grade >= 2 THEN rank END) AS first, count(*) FILTER (grade >= 2 AND rank <= 10) AS hits, count(*) FILTER (grade >= 2) AS relevant FROM i GROUP BY query) SELECT query, round(CASE WHEN best > 0 THEN dcg / best ELSE 0 END, 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS mrr, round(hits / 10, 6) AS precision, round(CASE WHEN relevant > 0 THEN hits / relevant ELSE 0 END, 6) AS recall FROM s", name="j16_relevance_metrics")

@@ -111,6 +111,10 @@ class Store:
             raise Conflict(f"generation is {self.generation()}, not {expected}")
         name = f"{kind}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/data/{name}")
+        return self.publish(name, expected)
+
+    def publish(self, name: str, expected: int) -> int:
+        """Makes a folder below data/, already written, the generation after the expected one."""
         self._claim(expected + 1, name)
         return expected + 1
 

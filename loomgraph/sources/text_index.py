@@ -85,7 +85,7 @@ class TextIndex:
         new = self._table(name, "lengths").agg(F.count("*").alias("docs"), F.sum("length").alias("total")).first()
         stats = [(docs + new.docs, total + (new.total or 0.0), root, self.buckets, self.kind)]
         self.spark.createDataFrame(stats, STATS).coalesce(1).write.parquet(f"{folder}/stats")
-        self.store._claim(self.generation + 1, name)
+        self.store.publish(name, self.generation)
         self.refresh()
 
     def rebuild(self, docs: DataFrame, fields: dict[str, float], root: str = "") -> None:
