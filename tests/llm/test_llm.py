@@ -257,6 +257,26 @@ def test_trust_spreads(spark, tmp_path):
     assert {r.page_id: r.asDict() for r in url_filter.judge(df).collect()} == want
 
 
+def test_one_verdict_whatever_the_number_of_referrers(spark):
+    """A host that links to a blocked one only, with and without a trusted host's link, and many others that link there too."""
+    for others in (0, 1, 50):
+        pages = [(1, "http://bad.net/", ""), (2, "http://x.org/fr/a", '<a href="http://friend.com/">'), (3, "http://friend.com/", '<a href="http://bad.net/">'), (4, "http://foe.com/", '<a href="http://bad.net/">')]
+        pages += [(10 + i, f"http://o{i}.com/", '<a href="http://bad.net/">') for i in range(others)]
+        got = {r.host: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert {h: got[h].verdict for h in ("bad.net", "x.org", "friend.com", "foe.com")} == {"bad.net": "block", "x.org": "allow", "friend.com": "allow", "foe.com": "block"}
+        assert got["friend.com"].mass == got["friend.com"].good_mass == got["foe.com"].mass == 1 and got["foe.com"].good_mass == 0
+
+
+def test_rules_of_one_length_and_long_urls(spark):
+    rules = (("allow", "b.com/x/"), ("block", "com/x/yy/"), ("allow", "a.com/x/"), ("block", "com/"))
+    pages = [(1, "http://a.com/x/yy/z"), (2, "http://a.b.com/x/yy"), (3, "http://a.com/" + "y" * 100_000), (4, "http://" + "h" * 100_000 + ".com/"), (None, "http://a.com/x/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame([(i, u, None) for i, u in pages], "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: ("com/x/yy/", "block"), 2: ("b.com/x/", "allow"), 3: ("com/", "block"), 4: ("com/", "block"), None: ("a.com/x/", "allow")}
+    ties = (("allow", "b.a.com/"), ("block", "a.com/xy"))
+    tied = spark.createDataFrame([(1, "http://b.a.com/xyz", None)], "page_id long, url string, html string")
+    assert [(r.rule, r.verdict) for r in url_filter.judge(tied, ties).collect()] == [("a.com/xy", "block")]
+
+
 # 5 repeats
 
 
