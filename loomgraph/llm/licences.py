@@ -1,7 +1,7 @@
 """Operator 1 [native]: licence scan by canonical digests.
 
-A text is made canonical: lower case; copyright lines leave (with a year, or short ones without), and so does a line that
-reserves all rights, if there is more; every run of other characters than letters and digits is one space; equivalent spellings become one (licence/license, authorise/authorize, favour/favor, labelling/labeling,
+A text is made canonical: lower case; copyright lines leave (with a year, or short ones without), as does a notice that
+runs into the terms or is wrapped before them, and a line that reserves all rights, if there is more; every run of other characters than letters and digits is one space; equivalent spellings become one (licence/license, authorise/authorize, favour/favor, labelling/labeling,
 acknowledgement/acknowledgment, owner/holder, whilst/while, sub-license, non-commercial). Spelling rules work on word
 ends of any word; both sides of the comparison pass through them. Entire texts are hash-joined by their SHA-256 to the
 digests of known licences; that side is a fixed list and is broadcast. So that short notices inside a document are
@@ -14,6 +14,7 @@ rows; other columns are not read. Only SQL functions work on the rows.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,12 +83,21 @@ DIGESTS = (
     ("LGPL-2.1", "5dce766b4e29f335e7549b88187a3f569e1fa746581b37e75541bf59e1e3b258"),
     ("LGPL-3.0", "35e5d974a8212b3f9c8443711419341c089421e7e83036e3a03c620d52388172"),
     ("MPL-1.1", "8a2fadd8b0f8200dfb8f823e50bbd61857e6b4eda80652df9f45fc4b2855d2be"),
+    ("MPL-1.1", "93948bc4b479cbcce7049afc430ca008fa114fbcd60d3621972b73f690e2257e"),
     ("MPL-2.0", "d3929ffce090e16529f985f979bcf99bd663dd66ac7683124314b7ccc7093a64"),
     ("CC0-1.0", "9a96d4de22d3909633285aaded7417e629b1f4701bb15e0d94c49dda91e5cac5"),
+    ("GFDL-1.2", "3c1eb6634d615a130dfe1fd3e5701876240e8354ac73cb73ec40183c5d810683"),
+    ("GFDL-1.3", "84d1a4cc8dce4d0a52346a25b674599664229d3b0d244b7a1720d9bd29fb9fcb"),
     ("Unlicense", "3ea79017bacc7f6cea976a19e7bacdea54beda4c271299d4ac63f3127e8df094"),
 )
 # Patterns (of both Java and RE2) and what takes their place, in this order.
-DATED_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|spdx-filecopyrighttext)[^\n]*(19|20)[0-9][0-9][^\n]*"
+NOTICE = r"(?:spdx-filecopyrighttext|copyright|©|\(c\))[^\n]{0,40}?(?:19|20)[0-9][0-9]"
+OPENING = r"(permission is hereby granted, free of charge|permission to use, copy, modify|redistribution and use in source and binary forms|this software is provided 'as-is', without)"
+# A notice right before the terms, on one line with them or wrapped over up to three; the terms' first words stay, and so does a line that reserves all rights.
+HEAD = NOTICE + r"[^\n]{0,200}?(?:\n[^\n]{1,120}?){0,2}?(\n[ \t]*all rights reserved[^\n]{0,5})?[ \t\r\n]*" + OPENING
+# Lines with a year.
+DATED_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|spdx-filecopyrighttext)[^\n]{0,200}(19|20)[0-9][0-9][^\n]{0,300}$"
+MARKS = ("copyright", "(c)", "©")
 # Lines without a year, of Java only: short ones that no prose goes on with; "(c)" alone also marks items of a list.
 PROSE = r"(?:holders?|owners?|ownership|notices?|licen[cs]e[sd]?|laws?|and|or|in|is|of|to|on|as|for|under|that|which|may|shall|are|was|has|from|over|with|treaty|treaties|protections?|infringements?|interests?|act|statements?|claims?|information|permissions?|status|terms?|rights?|works?|materials?|disclaimers?)(?![\p{L}\p{N}])"
 COPYRIGHT_LINE = (
@@ -114,7 +124,10 @@ RULES = (
 
 def lines_of(text: Column) -> Column:
     """The text in canonical spelling, its line feeds kept."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(text), DATED_LINE, "\n"), COPYRIGHT_LINE, "\n")
+    text = F.lower(text)
+    marked = reduce(lambda a, b: a | b, [text.contains(m) for m in MARKS])
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, HEAD, "\n$1\n$2"), "(?d)" + DATED_LINE, "\n"), COPYRIGHT_LINE, "\n")
+    text = F.when(marked, bare).otherwise(text)
     for pattern, by in RULES:
         text = F.regexp_replace(text, pattern, by)
     return text
@@ -152,7 +165,8 @@ def scan(docs: DataFrame, more=DIGESTS) -> DataFrame:
 
 
 def _sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{DATED_LINE}', chr(10), 'g')".replace("\\n", "\\n")
+    head = HEAD.replace("'", "''")
+    out = f"regexp_replace(regexp_replace(lower({text}), '{head}', chr(10) || '\\1' || chr(10) || '\\2', 'g'), '{DATED_LINE}', chr(10), 'g')"
     for pattern, by in RULES:
         out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
     return out

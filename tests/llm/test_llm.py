@@ -71,6 +71,28 @@ def test_licences_of_copyright_lines_without_a_year(spark):
     assert got[51].digest != hashlib.sha256(b"").hexdigest()
 
 
+def test_licences_on_one_line_and_under_wrapped_notices(spark):
+    flat = lambda t: " ".join(t.split())
+    bsd = licences.BSD_HEAD + licences.BSD_END
+    cases = [
+        ("Copyright (c) 2020 X. " + flat(licences.MIT_TERMS), "MIT"), ("MIT License Copyright (c) 2020 John Doe " + flat(licences.MIT_TERMS), "MIT"), ("Copyright (c) 2020\nJohn Doe <a@b.org>\n\n" + licences.MIT_TERMS, "MIT"),
+        ("Copyright (c) 2020 The very long name of X and\n   contributors\n\n" + licences.MIT_TERMS, "MIT"), ("Copyright © 1999, X and others " + flat(licences.ISC_TERMS), "ISC"), ("Copyright 2001 A\nCopyright 2002-2005 B,\n  C and D\n" + bsd, "BSD-2-Clause"), ("(c) 2003 Z\n" + licences.ZLIB_TERMS, "Zlib"),
+        ("A story about copyright. " + flat(licences.MIT_TERMS), None), ("Copyright (c) 2020 X. " + "word " * 100 + flat(licences.MIT_TERMS), None), ("Copyright (c) 2020 X. " + "word " * 100, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + [(None, licences.MIT_TERMS), (0, licences.MIT_TERMS)], "doc_id long, text string")
+    got = [(r.doc_id, r.license, r.digest) for r in licences.scan(df).collect()]
+    assert {i: x for i, x, _ in got[: len(cases)] if i is not None} == {i: want for i, (_, want) in enumerate(cases)}
+    assert sorted(x for i, x, _ in got if not i) == ["MIT"] * 3  # null and repeated ids are judged like others
+    assert got[len(cases) - 1][2] != hashlib.sha256(b"").hexdigest()  # a long line isn't a copyright line
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [[i, t] for i, (t, _) in enumerate(cases)])
+    rel = con.sql(licences.ORACLE)
+    assert {r[0]: r[rel.columns.index("license")] for r in rel.fetchall()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_licences_under_usual_heads(spark):
     bullets = lambda t: re.sub(r"(?m)^[0-9]\. ", "  * ", t)
     bsd2, bsd3 = licences.BSD_HEAD + licences.BSD_END, licences.BSD_HEAD + licences.BSD_THIRD + licences.BSD_END
