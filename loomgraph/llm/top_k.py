@@ -7,8 +7,8 @@ current k-th score leaves. Leaves are visited best bound first in waves of 1, 2,
 raises the k-th score for the next. The k-th score is shared between shards too: first every query searches its own
 shard, and the others start from what that found.
 
-Queries are a stated set (ids divisible by `every`); they travel in blocks of QUERIES and stream past a shard's tree in
-a join, so a task holds one tree and one block. Components are floor(scale * x) as doubles. Floating-point products, with
+Queries are a stated set (ids divisible by `every`); they travel in blocks of QUERIES. A shard's tree and TOGETHER of
+these blocks meet in a cogroup, so that a tree goes along once for as many blocks, and a task holds no more than that. Components are floor(scale * x) as doubles. Floating-point products, with
 their error allowed for, only tell what cannot be among the k best; scores are 64-bit integers, and those beyond their
 range count as its end. Ties go to the smaller id. A query leaves out its own row; other rows of its id are candidates.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import width, written
 
-LEAF, QUERIES, SHARD_ROWS = 64, 1024, 20_000
+LEAF, QUERIES, SHARD_ROWS, TOGETHER = 64, 1024, 20_000, 32
 LOW, HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 FOUND = "row long, query_id long, vec_id long, score long"
 
@@ -152,23 +152,21 @@ def gather(key, t):
 
 
 def answers(k: int, own: bool):
-    """Searches each row's tree for each row's queries: own, those of the tree's shard; else all others."""
-
-    def run(batches):
-        last, held = None, None
-        for b in batches:
-            for i in range(b.num_rows):
-                key = (b.column("shard")[i].as_py(), b.column("size")[i].as_py())
-                if key != last:
-                    last, held = key, pickle.loads(b.column("tree")[i].as_buffer())
-                tree, x, ids, rows = held
-                q, q_rows, q_ids, shard, least = pickle.loads(b.column("asked")[i].as_buffer())
-                pick = np.flatnonzero((shard == key[0]) == own)
+    """Searches a tree for blocks of queries: own, those of the tree's shard; else all others."""
+
+    def run(key, trees, asked):
+        out = [pa.table([pa.array([], pa.int64())] * 4, ["row", "query_id", "vec_id", "score"])]
+        if trees.num_rows:
+            tree, x, ids, rows = pickle.loads(trees["tree"][0].as_buffer())
+            for block in asked["asked"]:
+                q, q_rows, q_ids, shard, least = pickle.loads(block.as_buffer())
+                pick = np.flatnonzero((shard == key[0].as_py()) == own)
                 best = Best(len(pick), k, least[pick])
                 search(tree, x, ids, rows, q[pick], q_rows[pick], best)
                 n, j = np.nonzero(best.id != HIGH)
                 cols = (q_rows[pick[n]], q_ids[pick[n]], best.id[n, j], best.score[n, j])
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["row", "query_id", "vec_id", "score"])
+                out.append(pa.table([pa.array(c, pa.int64()) for c in cols], ["row", "query_id", "vec_id", "score"]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -191,7 +189,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -
         packed = queries.groupBy("size", "block", *(["shard"] if own else [])).applyInArrow(gather, "shard int, block int, size int, asked binary")
         if not own:
             packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        return trees.join(packed, ["shard", "size"]).select("shard", "size", "tree", "asked").mapInArrow(answers(k, own), FOUND)
+        packed = packed.withColumn("chunk", F.floor(F.col("block") / TOGETHER).cast("int"))
+        planted = trees.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((-(-blocks // shards) if own else blocks) // TOGETHER))))
+        return planted.groupBy("shard", "size", "chunk").cogroup(packed.groupBy("shard", "size", "chunk")).applyInArrow(answers(k, own), FOUND)
 
     first = written(ask(asked.withColumn("least", F.lit(int(LOW))), F.pmod(F.xxhash64("row"), F.lit(-(-blocks // shards))).cast("int"), True), "own")
     least = first.groupBy("row").agg(F.min("score").alias("low"), F.count("*").alias("n")).select("row", F.when(F.col("n") == k, F.col("low")).alias("low"))
