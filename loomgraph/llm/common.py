@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Bytes of text in a bucket of documents, which one task holds at once.
 BUCKET_BYTES = 4 << 20
+#: What a row takes beside its text.
+ROW_BYTES = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,15 +144,19 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (ids ^ (ids >> 17)) % buckets
 
 
-def bucket_col(name: str, buckets: int, other: str | None = None):
-    """A bucket for an integer id; null counts as 0, or is dealt out by a hash of another column."""
-    c = F.coalesce(F.col(name).cast("long"), F.xxhash64(other) if other else F.lit(0))
+def bucket_col(name: str, buckets: int):
+    """A bucket for an integer id; null counts as 0."""
+    c = F.coalesce(F.col(name).cast("long"), F.lit(0))
     return F.pmod(c.bitwiseXOR(F.shiftright(c, 17)), F.lit(buckets)).cast("int")
 
 
-def buckets_for(docs: DataFrame, size: int = BUCKET_BYTES) -> int:
-    """Buckets of some `size` bytes of text each, at least one for each partition that the session asks for; odd."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def buckets_for(docs: DataFrame, size: int = BUCKET_BYTES, rest=()) -> int:
+    """Buckets of some `size` bytes each, at least one for each partition that the session asks for; odd.
+
+    A row counts as its text, ROW_BYTES, and its strings among the columns rest, which go along with it.
+    """
+    strings = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in rest]
+    total = docs.agg(F.sum(sum(strings, F.octet_length("text") + ROW_BYTES).cast("long"))).first()[0] or 0
     return max(width(docs.sparkSession), -(-total // size)) | 1
 
 

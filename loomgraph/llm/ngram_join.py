@@ -454,9 +454,8 @@ def verify(docs: DataFrame, pairs: DataFrame, buckets: int, n: int, tenths: int,
 def join(docs: DataFrame, n: int = 3, tenths: int = 90, salt_rows: int = SALT_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link where 100 * intersection >= tenths * union."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col(docs).alias("text"))
-    buckets = buckets_for(held)
-    held = held.withColumn("bucket", bucket_col("doc_id", buckets, "text"))
-    first = sizes_and_counts(held, n)
+    buckets, first = buckets_for(held), sizes_and_counts(held, n)
+    held = held.where("doc_id is not null").withColumn("bucket", bucket_col("doc_id", buckets))
     levels, frequent = token_levels(first)
     stars = written(star_pairs(held, levels, frequent, 2 * buckets + 1, n, tenths, salt_rows), "stars")
     sketches = first.where("slice is null and doc_id is not null").select("doc_id", "size", F.col("blob").alias("sketch"))

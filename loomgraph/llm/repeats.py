@@ -411,9 +411,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     kept is the remaining text without the characters that a cut has split.
     """
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col(docs).alias("text"), *([F.struct(F.lit(None).cast("int").alias("_"), *[docs[c] for c in rest]).alias("rest")] if rest is not None else []))
-    doc_buckets = buckets_for(held)
+    unnamed, held = held.where("doc_id is null"), held.where("doc_id is not null")
+    doc_buckets = buckets_for(held, rest=[f"rest.`{c}`" for c in rest or () if docs.schema[c].dataType.simpleString() == "string"])
     buckets = 2 * doc_buckets + 1
-    held = held.withColumn("bucket", bucket_col("doc_id", doc_buckets, "text"))
+    held = held.withColumn("bucket", bucket_col("doc_id", doc_buckets))
     found = written(first_pass(held, buckets, doc_buckets, window, anchor), "anchors")
     windows = second_pass(held, found.where(F.col("kind") == OPEN), hot_anchors(found), buckets, doc_buckets, window, anchor)
 
@@ -438,4 +439,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if rest is not None:
         schema = schema.add("kept", "string").add("rest", held.schema["rest"].dataType)
-    return held.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(finish, schema)
+    whole = [F.lit(None).cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
+    unnamed = unnamed.select(*whole, *([F.col("text").alias("kept"), "rest"] if rest is not None else []))
+    return held.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(finish, schema).unionByName(unnamed)
