@@ -18,9 +18,11 @@ def edges_of(relations: DataFrame, direction: str = "out", kinds=None) -> DataFr
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
 
-def reach(roots: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+def reach(roots: DataFrame, edges: DataFrame, depth: int | None = None, most: int | None = None) -> DataFrame:
     """(root, node, hop): what roots (root, node) reach over edges (a, b) in `depth` steps, by the least number of them.
 
+    A root that has reached more than `most` nodes goes no further.
+
     The edges and each level are written to the shared folder, so that nothing is computed twice and lost executors cost
     only their own tasks. A level reads only the edges of its frontier, and leaves out by one anti-join what the files of
     all earlier levels hold. Without a depth it ends when a level finds nothing new.
@@ -38,6 +40,9 @@ def reach(roots: DataFrame, edges: DataFrame, depth: int | None = None) -> DataF
         if frontier.isEmpty():
             break
         paths.append(f"{folder}/{hop}")
+        if most is not None:
+            full = spark.read.schema(frontier.schema).parquet(*paths).groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root")
+            frontier = frontier.join(full, "root", "left_anti")
     return spark.read.schema(frontier.schema).parquet(*paths)
 
 
@@ -188,6 +193,78 @@ def ahead_behind(got: DataFrame, left: str, right: str) -> DataFrame:
     return ahead.join(F.broadcast(b.join(a, "node", "left_anti").agg(F.count("*").alias("behind"))))  # one row each
 
 
+# Fixed value: how many changes of either side a comparison looks through.
+COMPARED = 10_000
+
+
+def compare(pairs: DataFrame, changes: DataFrame, most: int = COMPARED) -> DataFrame:
+    """(pair, ahead, behind, base, bases, refusal) of pairs (pair, base, head) of changes (id, parent, merged).
+
+    ahead: what the head reaches and the base doesn't, behind the reverse; base: the common ancestor that no other common
+    one has before it. Refused, without these numbers: history_too_deep if a side reaches more than `most` changes,
+    no_common_ancestor, ambiguous_merge_base if there are several (bases of them). A side stops growing once it is too deep.
+    """
+    steps = cut(changes.select(F.col("id").alias("a"), F.explode(F.array("parent", "merged")).alias("b")).where("b is not null").distinct())
+    side = lambda name: pairs.select(F.concat_ws("|", F.lit(name), F.col("pair").cast("string")).alias("root"), F.col(name).alias("node"))
+    got = reach(side("base").unionByName(side("head")), steps, most=most).select(F.substring("root", 1, 4).alias("side"), F.substring("root", 6, 1 << 20).alias("pair"), "node")
+    both = cut(got.groupBy("pair", "node").agg(F.max(F.col("side") == "base").alias("in_base"), F.max(F.col("side") == "head").alias("in_head")))
+    count = lambda *c: F.count(F.when(F.expr(" and ".join(c)), 1))
+    n = both.groupBy("pair").agg(count("in_base").alias("n_base"), count("in_head").alias("n_head"), count("in_head", "not in_base").alias("ahead"), count("in_base", "not in_head").alias("behind"), count("in_base", "in_head").alias("common"))
+    common = both.where("in_base and in_head").select("pair", "node")
+    covered = common.join(steps, F.col("node") == F.col("a")).select("pair", F.col("b").alias("node")).distinct()
+    best = common.join(covered, ["pair", "node"], "left_anti").groupBy("pair").agg(F.min("node").alias("one"), F.count("*").alias("bases"))
+    rows = pairs.select(F.col("pair").cast("string").alias("pair")).join(n, "pair").join(best, "pair", "left").fillna(0, ["bases"])
+    refusal = F.when(F.greatest("n_base", "n_head") > most, "history_too_deep").when(F.col("common") == 0, "no_common_ancestor").when(F.col("bases") > 1, "ambiguous_merge_base")
+    known = lambda c: F.when(F.col("refusal").isNull(), F.col(c))
+    return rows.withColumn("refusal", refusal).select("pair", known("ahead").alias("ahead"), known("behind").alias("behind"), known("one").alias("base"), F.when(F.coalesce("refusal", F.lit("")) != "history_too_deep", F.col("bases")).alias("bases"), "refusal")
+
+
+def impact_at(starts: DataFrame, alive: DataFrame, kept: DataFrame, severed: DataFrame, depth: int) -> DataFrame:
+    """(root, node, hop): entities alive at a ref that depend on starts (id) there.
+
+    kept (src, dst): relations at the ref; severed (src, dst): those that ended with the removal of dst, over which what
+    a removed entity breaks stays in reach. A start may be removed itself.
+    """
+    inbound = lambda rows: rows.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    gone = inbound(severed).join(alive.select(F.col("id").alias("a")), "a", "left_anti").select("a", "b")
+    got = reach(rooted(starts), inbound(kept).unionByName(gone).distinct(), depth)
+    return got.where("hop > 0").join(alive.select(F.col("id").alias("node")), "node", "left_semi").select("root", "node", "hop")
+
+
+def wide(roots: DataFrame, edges: DataFrame, depth: int, most: int) -> DataFrame:
+    """(root, n): roots (id) from which more than `most` other nodes are reached over edges (a, b) in `depth` steps; n is at most `most` + 1.
+
+    A node keeps most + 2 of its edges: that is enough to tell, and a root stops growing once it has that many. So what
+    is written is bounded by the number of roots, whatever the shape of the graph.
+    """
+    few = edges.where("a <> b").withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("n") <= most + 2).select("a", "b")
+    got = reach(rooted(roots), few, depth, most + 1).where("hop > 0")
+    return got.groupBy("root").agg(F.least(F.count("*"), F.lit(most + 1)).alias("n")).where(F.col("n") > most)
+
+
+def spread(sources: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(node, hop): nodes that another node of sources (id) reaches over edges (a, b), with the least number of steps.
+
+    Each node keeps its two nearest sources, itself among them if it is one; more can't matter to any other node. So
+    rows are at most two for each node.
+    """
+    spark, folder = sources.sparkSession, new_folder(sources.sparkSession, "spread")
+    edges = cut(edges.distinct())
+    level = cut(sources.select(F.col("id").alias("node"), F.col("id").alias("source"), F.lit(0).alias("hop")).distinct(), f"{folder}/0")
+    paths = [f"{folder}/0"]
+    for hop in range(1, depth + 1):
+        held = spark.read.schema(level.schema).parquet(*paths)
+        full = held.groupBy("node").agg(F.collect_set("source").alias("sources"))  # two at most
+        step = level.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "source").distinct().join(full, "node", "left")
+        step = step.where(F.col("sources").isNull() | (F.size("sources") < 2) & ~F.array_contains("sources", F.col("source")))
+        step = step.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("source"))).where(F.col("n") <= 2 - F.coalesce(F.size("sources"), F.lit(0)))
+        level = cut(step.select("node", "source", F.lit(hop).alias("hop")), f"{folder}/{hop}")
+        if level.isEmpty():
+            break
+        paths.append(f"{folder}/{hop}")
+    return spark.read.schema(level.schema).parquet(*paths).where("node <> source").groupBy("node").agg(F.min("hop").alias("hop"))
+
+
 def closed(rows: DataFrame, need: str) -> DataFrame:
     """Rows (id, need, ...) whose needed row survives as well, until nothing changes; a null need is met."""
     n = rows.count()

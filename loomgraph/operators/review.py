@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import cut
 from .filters import impact_relations
-from .graph import reach, rooted
+from .graph import spread, wide
 
 # How deep and wide a public entity's dependents may be, and how deep findings spread.
 DEEP, WIDE, SPREAD = 5, 20, 10
@@ -17,9 +17,10 @@ def security_findings(entities: DataFrame, relations: DataFrame, propagate: bool
     """(severity, category, entity, n) of entities (id, kind, visibility) and relations (id, kind, src, dst).
 
     untested-api: endpoints that no Tests relation touches; orphaned-public: public functions and methods without calls
-    or tests; high-fan-out: public entities with more than WIDE dependents within DEEP steps, n of them; dead-event:
-    event contracts that nothing else consumes; encapsulation-leak: public entities that call private ones, n times;
-    transitive-dependency: what depends on an entity found so far within SPREAD steps, on n of them.
+    or tests; high-fan-out: public entities with more than WIDE dependents within DEEP steps (n: WIDE + 1, as no more are
+    looked for); dead-event: event contracts that nothing else consumes; encapsulation-leak: public entities that call
+    private ones, n times; transitive-dependency: what depends on another entity found so far within SPREAD steps, the
+    nearest n steps away.
     """
     tested = relations.where("kind = 'Tests'").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     called = relations.where("kind = 'Calls'").select(F.col("dst").alias("id")).distinct()
@@ -30,7 +31,7 @@ def security_findings(entities: DataFrame, relations: DataFrame, propagate: bool
     def found(rows, severity, category, n=None):
         return rows.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col("id").alias("entity"), (F.col(n) if n else F.lit(1)).cast("long").alias("n"))
 
-    fan = reach(rooted(public), steps, DEEP).where("hop > 0").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > WIDE)
+    fan = wide(public, steps, DEEP, WIDE).withColumnRenamed("root", "id")
     private = entities.where("visibility = 'Private'").select(F.col("id").alias("dst"))
     leaks = relations.where("kind = 'Calls'").join(private, "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).join(public, "id", "left_semi")
     out = found(entities.where("kind = 'ApiEndpoint'").join(tested, "id", "left_anti"), "high", "untested-api")
@@ -44,8 +45,8 @@ def security_findings(entities: DataFrame, relations: DataFrame, propagate: bool
     if not propagate:
         return out
     out = cut(out)
-    after = reach(rooted(out.select("entity").distinct(), "entity"), steps, SPREAD).where("hop > 0").groupBy(F.col("node").alias("id")).agg(F.count("*").alias("n"))
-    return out.unionByName(found(after, "info", "transitive-dependency", "n"))
+    after = spread(out.select(F.col("entity").alias("id")).distinct(), steps, SPREAD)
+    return out.unionByName(found(after.select(F.col("node").alias("id"), "hop"), "info", "transitive-dependency", "hop"))
 
 
 def decisions(reviews: DataFrame, findings: DataFrame) -> DataFrame:
@@ -71,21 +72,29 @@ def unapproved(got: DataFrame, changes: DataFrame, approvals: DataFrame, actors:
     return got.select("root", "node").join(open_, "node").select("root", F.col("node").alias("change"), "author")
 
 
-def release_check(branches: DataFrame, states: DataFrame, proven: DataFrame, waiting: DataFrame, proof: bool = False, approval: bool = False, force: bool = False) -> DataFrame:
-    """(branch, entities, covered, missing, waiting, blockers, ok) of branches (branch, source, head, expected).
+def release_coverage(branches: DataFrame, states: DataFrame) -> DataFrame:
+    """(branch, entities, covered, missing, share): what is proven of the entities at the very source of a release.
 
-    states (branch, id): entities at the source; proven (id); waiting (branch, change): unapproved changes. Blocks where
-    the number of entities isn't the expected one (null: any), coverage is below a half (unless forced), proof or an
-    approval that is asked for is missing, or the branch has moved on from the source or is gone.
+    No verification run is bound to a source yet, so none of its entities counts as covered; an empty source lacks
+    nothing and has a share of 1.
+    """
+    n = states.groupBy("branch").agg(F.count("*").alias("entities"))
+    rows = branches.select("branch").join(n, "branch", "left").fillna(0, ["entities"])
+    return rows.select("branch", "entities", F.lit(0).cast("long").alias("covered"), F.col("entities").alias("missing"), F.when(F.col("entities") > 0, 0.0).otherwise(1.0).alias("share"))
+
+
+def release_check(branches: DataFrame, states: DataFrame, waiting: DataFrame, proof: bool = False, approval: bool = False, force: bool = False) -> DataFrame:
+    """(branch, entities, covered, missing, share, waiting, blockers, ok) of branches (branch, source, head, expected).
+
+    states (branch, id): entities at the source; waiting (branch, change): unapproved changes. Blocks where the number of
+    entities isn't the expected one (null: any), coverage is below a half (unless forced), proof or an approval that is
+    asked for is missing, or the branch has moved on from the source or is gone.
     """
-    n = states.join(proven.select("id").distinct().withColumn("hit", F.lit(1)), "id", "left").groupBy("branch").agg(F.count("*").alias("entities"), F.count("hit").alias("covered"))
     w = waiting.groupBy("branch").agg(F.count("*").alias("waiting"))
-    rows = branches.join(n, "branch", "left").join(w, "branch", "left").fillna(0, ["entities", "covered", "waiting"])
-    rows = rows.withColumn("missing", F.col("entities") - F.col("covered"))
-    share = F.when(F.col("entities") > 0, F.col("covered") / F.col("entities")).otherwise(0.0)
-    why = [(F.col("expected") != F.col("entities"), "entity_count"), (share < 0.5, "coverage") if not force else None, (F.col("missing") > 0, "proof") if proof else None, (F.col("waiting") > 0, "approval") if approval else None, (F.col("head").isNull(), "branch_gone"), (F.col("head") != F.col("source"), "branch_moved")]
+    rows = branches.join(release_coverage(branches, states), "branch").join(w, "branch", "left").fillna(0, ["waiting"])
+    why = [(F.col("expected") != F.col("entities"), "entity_count"), (F.col("share") < 0.5, "coverage") if not force else None, (F.col("missing") > 0, "proof") if proof else None, (F.col("waiting") > 0, "approval") if approval else None, (F.col("head").isNull(), "branch_gone"), (F.col("head") != F.col("source"), "branch_moved")]
     blockers = F.concat_ws(",", *[F.when(c, name) for c, name in filter(None, why)])
-    return rows.select("branch", "entities", "covered", "missing", "waiting", blockers.alias("blockers"), (blockers == "").alias("ok"))
+    return rows.select("branch", "entities", "covered", "missing", "share", "waiting", blockers.alias("blockers"), (blockers == "").alias("ok"))
 
 
 # How many audit events are looked through, how many of them an entity shows, the longest page.

@@ -351,6 +351,32 @@ def g3_merge_base(spark, d):
     return g.merge_base(g.ancestry(heads, c), c, "left", "right").select(F.col("node").alias("base"))
 
 
+FOREST = "forest AS (SELECT event_id AS id, CASE WHEN event_id > 5 THEN (event_id // 6) * 3 + event_id % 3 WHEN event_id > 2 THEN event_id - 3 END AS parent, CASE WHEN event_id > 40 AND event_id % 10 = 0 THEN (event_id // 9) * 3 + event_id % 3 WHEN event_id > 40 AND event_id % 70 = 35 THEN (event_id // 12) * 3 + (event_id + 1) % 3 END AS merged FROM events), pairs AS (SELECT event_id AS pair, event_id // 2 AS base, event_id AS head FROM events WHERE event_id % 25 = 24 UNION ALL SELECT -event_id, event_id // 5, event_id FROM events WHERE event_id % 40 = 0 AND event_id > 0)"
+
+
+def forest(spark, d):
+    """Histories of three beginnings, some merged crosswise."""
+    i = F.col("event_id")
+    thirds = lambda n, k: F.floor(i / n).cast("long") * 3 + (i + k) % 3
+    merged = F.when((i > 40) & (i % 10 == 0), thirds(9, 0)).when((i > 40) & (i % 70 == 35), thirds(12, 1))
+    return table(spark, d, "events").select(i.alias("id"), F.when(i > 5, thirds(6, 0)).when(i > 2, i - 3).alias("parent"), merged.alias("merged"))
+
+
+@query(f"""WITH RECURSIVE {FOREST}, steps(a, b) AS (SELECT id, parent FROM forest WHERE parent IS NOT NULL UNION SELECT id, merged FROM forest WHERE merged IS NOT NULL),
+anc(pair, side, node) AS (SELECT pair, unnest(['base', 'head']), unnest([base, head]) FROM pairs UNION SELECT pair, side, b FROM anc JOIN steps ON a = node),
+sides AS (SELECT pair, node, bool_or(side = 'base') AS ib, bool_or(side = 'head') AS ih FROM anc GROUP BY ALL), n AS (SELECT pair, count(*) FILTER (ib) AS nb, count(*) FILTER (ih) AS nh, count(*) FILTER (ih AND NOT ib) AS ahead, count(*) FILTER (ib AND NOT ih) AS behind, count(*) FILTER (ib AND ih) AS common FROM sides GROUP BY pair),
+best AS (SELECT pair, min(node) AS one, count(*) AS bases FROM sides s WHERE ib AND ih AND NOT EXISTS (SELECT 1 FROM sides t JOIN steps ON a = t.node WHERE t.pair = s.pair AND t.ib AND t.ih AND b = s.node) GROUP BY pair),
+r AS (SELECT *, CASE WHEN greatest(nb, nh) > 40 THEN 'history_too_deep' WHEN common = 0 THEN 'no_common_ancestor' WHEN bases > 1 THEN 'ambiguous_merge_base' END AS refusal FROM n LEFT JOIN best USING (pair))
+SELECT pair::VARCHAR AS pair, CASE WHEN refusal IS NULL THEN ahead END AS ahead, CASE WHEN refusal IS NULL THEN behind END AS behind, CASE WHEN refusal IS NULL THEN one END AS base, CASE WHEN refusal IS DISTINCT FROM 'history_too_deep' THEN coalesce(bases, 0) END AS bases, refusal FROM r""", name="g2_g3_i10_compare")
+def g3_compare(spark, d):
+    """Distances and merge bases of many pairs, with refusals: histories that share nothing, that are too deep, or that cross."""
+    i = F.col("event_id")
+    e = table(spark, d, "events")
+    pairs = e.where(i % 25 == 24).select(i.alias("pair"), F.floor(i / 2).cast("long").alias("base"), i.alias("head"))
+    pairs = pairs.unionByName(e.where((i % 40 == 0) & (i > 0)).select((-i).alias("pair"), F.floor(i / 5).cast("long").alias("base"), i.alias("head")))
+    return g.compare(pairs, forest(spark, d), most=40)
+
+
 @query(E + f", t AS (SELECT id, name, unnest({TOKENS.format('name')}) AS token FROM entities), hit AS (SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY id) AS n FROM (SELECT DISTINCT token, id FROM t WHERE token IN ('red', 'widget', 'urgent', 'nation'))) SELECT id, count(*) AS tokens FROM hit WHERE n <= 400 GROUP BY id")
 def g4_token_union(spark, d):
     from ..operators.retrieval import top

@@ -190,12 +190,6 @@ def k26_review_records(spark, d):
     return c.groupBy("conv_id").agg(n("user").alias("asked"), n("assistant").alias("answered"), F.max("turn").alias("last_turn"), F.max_by("role", F.col("turn") * 1000 + F.length("role")).alias("last_role"))
 
 
-@query("SELECT o_orderstatus AS release, count(*) AS changes, round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0 END), 6) AS proven, CASE WHEN avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0 END) >= 0.2 THEN 'pass' ELSE 'hold' END AS gate FROM orders GROUP BY o_orderstatus", name="k21_d6_release_check")
-def k21_release_check(spark, d):
-    share = F.avg(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0))
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("release")).agg(F.count("*").alias("changes"), F.round(share, 6).alias("proven"), F.when(share >= 0.2, "pass").otherwise("hold").alias("gate"))
-
-
 @query("SELECT user_id AS session, sum(CASE WHEN ts + INTERVAL 12 HOUR < TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END)::BIGINT AS expired, count(*) AS intents FROM events GROUP BY user_id", name="l7_lease_expiry")
 def l7_lease_expiry(spark, d):
     gone = F.col("ts") + F.expr("INTERVAL 12 HOURS") < F.lit("2024-01-15").cast("timestamp_ntz")
@@ -370,17 +364,41 @@ def c14_human_approvals(spark, d):
 
 
 @query(f"""WITH RECURSIVE {CHANGES_SQL}, {LOG_SQL}, {ANCESTRY}, {APPROVALS}, state AS (SELECT root, entity FROM (SELECT root, entity, op FROM entity_log JOIN heads ON ord <= node QUALIFY row_number() OVER (PARTITION BY root, entity ORDER BY ord DESC) = 1) WHERE op <> 'removed'),
-proven AS (SELECT DISTINCT 'u:' || user_id AS entity FROM events WHERE event_type = 'click' AND value > 50), n AS (SELECT root AS branch, count(*) AS entities, count(p.entity) AS covered FROM state LEFT JOIN proven p USING (entity) GROUP BY root), w AS (SELECT root AS branch, count(*) AS waiting FROM waiting GROUP BY root)
-SELECT branch, entities, covered, entities - covered AS missing, coalesce(waiting, 0) AS waiting, blockers, blockers = '' AS ok FROM (SELECT *, concat_ws(',', CASE WHEN covered / entities < 0.5 THEN 'coverage' END, CASE WHEN entities > covered THEN 'proof' END, CASE WHEN waiting > 0 THEN 'approval' END, CASE WHEN branch = 'right' THEN 'branch_moved' END) AS blockers FROM n LEFT JOIN w USING (branch))""", name="k21_release_gate")
+empty AS (SELECT 'empty' AS branch), n AS (SELECT root AS branch, count(*) AS entities FROM state GROUP BY root UNION ALL SELECT branch, 0 FROM empty), w AS (SELECT root AS branch, count(*) AS waiting FROM waiting GROUP BY root)
+SELECT branch, entities, 0::BIGINT AS covered, entities AS missing, CASE WHEN entities > 0 THEN 0.0::DOUBLE ELSE 1 END AS share, coalesce(waiting, 0) AS waiting, blockers, blockers = '' AS ok FROM (SELECT *, concat_ws(',', CASE WHEN entities > 0 THEN 'coverage' END, CASE WHEN entities > 0 THEN 'proof' END, CASE WHEN waiting > 0 THEN 'approval' END, CASE WHEN branch = 'right' THEN 'branch_moved' END) AS blockers FROM n LEFT JOIN w USING (branch))""", name="d6_k21_release_gate")
 def k21_release_gate(spark, d):
-    """Two branches, of which one has moved on: entities at the source, their proof, and approvals."""
+    """Two branches, of which one has moved on, and one whose source is empty: entities at the source, their proof, and approvals."""
     c, heads = two_heads(spark, d)
     log = entity_log(spark, d).join(F.broadcast(heads), F.col("ord") <= F.col("node"))  # two rows
     state = log.groupBy(F.col("root").alias("branch"), F.col("entity").alias("id")).agg(F.max_by("op", "ord").alias("op")).where("op <> 'removed'").select("branch", "id")
-    proven = table(spark, d, "events").where("event_type = 'click' and value > 50").select(F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("id"))
     waiting = rv.unapproved(g.ancestry(heads, c), c, *approvals_and_actors(spark, d)).withColumnRenamed("root", "branch")
     branches = heads.select(F.col("root").alias("branch"), F.col("node").alias("source"), F.when(F.col("root") == "right", F.col("node") + 1).otherwise(F.col("node")).alias("head"), F.lit(None).cast("long").alias("expected"))
-    return rv.release_check(branches, state, proven, waiting, proof=True, approval=True)
+    branches = branches.unionByName(spark.createDataFrame([("empty", -1, -1, None)], branches.schema))
+    return rv.release_check(branches, state, waiting, proof=True, approval=True)
+
+
+# Graphs at two refs: 500 and 4,000 changes before the last one.
+AT = lambda n, name: LOGS.replace("max(id) - 500", f"max(id) - {n}").replace("chain", f"chain{name}").replace("elog", f"elog{name}").replace("rlog", f"rlog{name}").replace("elast", f"elast{name}").replace("rlast", f"rlast{name}").replace("pruned", f"pruned{name}").replace("alive", f"alive{name}").replace("users AS", f"users{name} AS").replace(", users WHERE", f", users{name} WHERE")
+IMPACT_AT = lambda name: f"""kept{name} AS (SELECT src, dst FROM rlast{name} WHERE op = 'added' AND id NOT IN (SELECT id FROM pruned{name}) AND src IN (FROM alive{name}) AND dst IN (FROM alive{name})),
+cut{name} AS (SELECT r.src, r.dst FROM (SELECT id, change FROM rlast{name} WHERE op = 'removed' UNION ALL SELECT id, change FROM pruned{name}) t JOIN rlast{name} r USING (id) JOIN elast{name} e ON e.id = r.dst AND e.op = 'removed' AND e.change = t.change),
+back{name}(a, b) AS (SELECT dst, src FROM kept{name} UNION SELECT dst, src FROM cut{name}), walk{name}(root, node, hop) AS (SELECT 'u:' || user_id, 'u:' || user_id, 0 FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 5 = 0) UNION SELECT root, b, hop + 1 FROM walk{name} JOIN back{name} ON a = node WHERE hop < 3)"""
+
+
+@query(f"""WITH RECURSIVE {MAINLINE}, {LOG_SQL}, {AT(500, '1')}, {IMPACT_AT('1')}, {AT(700, '2')}, {IMPACT_AT('2')}
+SELECT 'late' AS ref, root, node, min(hop)::INTEGER AS hop FROM walk1 WHERE node <> root AND node IN (FROM alive1) GROUP BY ALL UNION ALL SELECT 'early', root, node, min(hop)::INTEGER FROM walk2 WHERE node <> root AND node IN (FROM alive2) GROUP BY ALL""", name="k16_c12_impact_at_refs")
+def k16_impact_at_refs(spark, d):
+    """What every fifth user touches at two refs, over relations there and those that a removal severed."""
+    c, out = mainline(spark, d), None
+    log, rlog = entity_log(spark, d).select(F.col("ord").alias("change"), F.col("entity").alias("id"), "op"), relation_log(spark, d)
+    starts = table(spark, d, "events").where("user_id % 5 = 0").select(F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("id")).distinct()
+    for name, back in (("late", 500), ("early", 700)):
+        alive, kept, dead = (cut(x) for x in h.resolve_at(h.first_parents(c, c.agg((F.max("id") - back).alias("id"))), log, rlog))
+        ends = rlog.select("id", "src", "dst").distinct()
+        gone = dead.where("part = 'entity'").select(F.col("id").alias("node"), F.col("change").alias("ended"))
+        severed = h.severed(dead.where("part = 'relation'").select("id", F.col("change").alias("ended")).join(ends, "id").select("id", "src", "dst", "ended"), gone)
+        got = g.impact_at(starts, alive, kept, severed, 3).withColumn("ref", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out.select("ref", "root", "node", "hop")
 
 
 @query("SELECT o_orderkey AS review, CASE WHEN coalesce(blocking, 0) > 0 OR o_orderkey % 3 > 1 AND coalesce(attention, 0) > 2 THEN 'blocked' WHEN coalesce(attention, 0) > 0 OR o_orderkey % 3 > 0 THEN 'needs_attention' ELSE 'pass' END AS status, coalesce(blocking, 0) AS blocking, coalesce(attention, 0) AS attention FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_discount > 0.08) AS blocking, count(*) FILTER (l_discount <= 0.08) AS attention FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey", name="d16_gate_decision")

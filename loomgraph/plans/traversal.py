@@ -156,11 +156,11 @@ AGAIN = bfs("SELECT DISTINCT entity AS id FROM found", "SELECT DISTINCT dst, src
 @query(RG + f""", {SECURITY_GRAPH}, {INBOUND_2}, tested AS (SELECT unnest([src, dst]) AS id FROM r2 WHERE kind = 'Tests'), {bfs('SELECT id FROM e2 WHERE visibility = $$Public$$', 'SELECT DISTINCT dst, src FROM inbound', 5)},
 found AS (SELECT 'high' AS severity, 'untested-api' AS category, id AS entity, 1 AS n FROM e2 WHERE kind = 'ApiEndpoint' AND id NOT IN (FROM tested)
   UNION ALL SELECT 'low', 'orphaned-public', id, 1 FROM e2 WHERE visibility = 'Public' AND kind IN ('Function', 'Method') AND id NOT IN (FROM tested) AND id NOT IN (SELECT dst FROM r2 WHERE kind = 'Calls')
-  UNION ALL SELECT 'medium', 'high-fan-out', root, count(*) FROM reached WHERE hop > 0 GROUP BY root HAVING count(*) > 20
+  UNION ALL SELECT 'medium', 'high-fan-out', root, 21 FROM reached WHERE hop > 0 GROUP BY root HAVING count(*) > 20
   UNION ALL SELECT 'medium', 'dead-event', id, 1 FROM e2 WHERE kind = 'EventContract' AND id NOT IN (SELECT dst FROM r2 WHERE kind = 'ConsumesContract' AND src <> dst)
   UNION ALL SELECT 'low', 'encapsulation-leak', src, count(*) FROM r2 JOIN e2 a ON a.id = src AND a.visibility = 'Public' JOIN e2 b ON b.id = dst AND b.visibility = 'Private' WHERE r2.kind = 'Calls' GROUP BY src),
 {AGAIN}
-FROM found UNION ALL SELECT 'info', 'transitive-dependency', node, count(*) FROM reached2 WHERE hop > 0 GROUP BY node""", name="i17_f3_security_findings")
+FROM found UNION ALL SELECT 'info', 'transitive-dependency', node, min(hop) FROM reached2 WHERE hop > 0 GROUP BY node""", name="i17_f3_security_findings")
 def i17_security_findings(spark, d):
     """All rules and their spread; suppliers stand for endpoints, nations and regions for event contracts, repeated uses of a supplier for tests."""
     k = F.col("kind")

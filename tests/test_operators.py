@@ -233,9 +233,48 @@ def test_release_check_names_what_blocks(spark):
     branches = spark.createDataFrame(rows, "branch string, source long, head long, expected long")
     states = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 3), ("b", 4)], "branch string, id long")
     waiting = spark.createDataFrame([("b", 7)], "branch string, change long")
-    check = lambda **k: {r.branch: r.blockers for r in rv.release_check(branches, states, spark.createDataFrame([(1,)], "id long"), waiting, **k).collect()}
-    assert check() == {"a": "", "b": "entity_count,coverage,branch_moved", "c": "entity_count,coverage,branch_gone"}
+    check = lambda **k: {r.branch: r.blockers for r in rv.release_check(branches, states, waiting, **k).collect()}
+    # nothing of a source is proven yet, and an empty one lacks nothing
+    assert check() == {"a": "coverage", "b": "entity_count,coverage,branch_moved", "c": "entity_count,branch_gone"}
+    assert check(force=True) == {"a": "", "b": "entity_count,branch_moved", "c": "entity_count,branch_gone"}
     assert check(proof=True, approval=True, force=True) == {"a": "proof", "b": "entity_count,proof,approval,branch_moved", "c": "entity_count,branch_gone"}
+    assert {(r.branch, r.entities, r.covered, r.missing, r.share) for r in rv.release_coverage(branches, states).collect()} == {("a", 2, 0, 2, 0.0), ("b", 3, 0, 3, 0.0), ("c", 0, 0, 0, 1.0)}
+
+
+def test_compare_refuses(spark):
+    rows = [(1, None, None), (2, 1, None), (3, 1, None), (4, 2, 3), (5, 3, 2), (6, 4, None), (10, None, None), (11, 10, None)] + [(100 + i, 99 + i if i else None, None) for i in range(30)]
+    changes = spark.createDataFrame(rows, "id long, parent long, merged long")
+    pairs = spark.createDataFrame([("line", 2, 6), ("same", 6, 6), ("cross", 4, 5), ("apart", 6, 11), ("deep", 129, 101), ("back", 6, 1)], "pair string, base long, head long")
+    got = {r["pair"]: tuple(r)[1:] for r in g.compare(pairs, changes, most=20).collect()}
+    assert got == {"line": (3, 0, 2, 1, None), "same": (0, 0, 6, 1, None), "cross": (None, None, None, 2, "ambiguous_merge_base"), "apart": (None, None, None, 0, "no_common_ancestor"), "deep": (None, None, None, None, "history_too_deep"), "back": (0, 4, 1, 1, None)}
+    assert g.reach(spark.createDataFrame([("r", 129)], "root string, node long"), changes.selectExpr("id as a", "parent as b").where("b is not null"), most=20).count() == 21
+
+
+def test_spread_and_wide_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(90)} | {(50, i) for i in range(50)} | {(59, 50)})
+    df = spark.createDataFrame(edges, "a long, b long")
+    ids = spark.createDataFrame([(i,) for i in range(60)], "id long")
+    for depth, most in ((1, 3), (2, 5), (3, 20)):
+        every = {(r.root, r.node): r.hop for r in g.reach(g.rooted(ids), df, depth).collect()}
+        n = {i: sum(1 for (a, b) in every if a == i != b) for i in range(60)}
+        assert {(r.root, r.n) for r in g.wide(ids, df, depth, most).collect()} == {(i, most + 1) for i in n if n[i] > most}
+        for sources in ({1, 2, 3, 50}, set(range(0, 60, 3)), {7}):
+            want = {}
+            for (a, b), hop in every.items():
+                if a in sources and a != b:
+                    want[b] = min(hop, want.get(b, 99))
+            assert {r.node: r.hop for r in g.spread(ids.where(ids.id.isin(*sources)), df, depth).collect()} == want
+
+
+def test_impact_at_a_ref_follows_what_a_removal_severed(spark):
+    alive = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    kept, severed = spark.createDataFrame([("c", "b"), ("d", "c")], "src string, dst string"), spark.createDataFrame([("b", "x"), ("y", "x"), ("d", "a")], "src string, dst string")
+    starts = spark.createDataFrame([("x",), ("b",), ("a",)], "id string")
+    got = {(r.root, r.node, r.hop) for r in g.impact_at(starts, alive, kept, severed, 2).collect()}
+    assert got == {("x", "b", 1), ("x", "c", 2), ("b", "c", 1), ("b", "d", 2)}  # a is alive, so what was severed from it doesn't count
 
 
 def test_unapproved_needs_a_known_human(spark):
