@@ -73,6 +73,34 @@ def expand(seeds: DataFrame, entities: DataFrame, relations: DataFrame, depth: i
     return nodes, touched.distinct()
 
 
+# The kinds of nodes that a relation may join.
+NODE_KINDS = ("entity", "artifact", "test", "contract", "work", "annotation", "external")
+
+
+def typed(kind, key):
+    """A node of one of the kinds, as one value."""
+    return F.concat_ws(":", kind, key.cast("string"))
+
+
+def traverse(starts: DataFrame, relations: DataFrame, nodes: DataFrame, depth: int, kinds=None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (root, kind, id, hop, known) and relations (root, relation) around starts (kind, id), in both directions.
+
+    relations (id, kind, src_kind, src, dst_kind, dst) join nodes of NODE_KINDS; external references are nodes like others, so
+    what a graph points at beyond itself stays in the result. nodes (kind, id): those that are recorded; others that
+    a relation names are reported with known false, and gone through all the same. A relation counts once it touches a node
+    that was expanded.
+    """
+    some = relations.where(F.col("kind").isin(*kinds)) if kinds else relations
+    steps = some.select("id", typed(F.col("src_kind"), F.col("src")).alias("a"), typed(F.col("dst_kind"), F.col("dst")).alias("b"))
+    steps = cut(steps.unionByName(steps.select("id", F.col("b").alias("a"), F.col("a").alias("b"))))
+    root = typed(F.col("kind"), F.col("id"))
+    got = reach(starts.select(root.alias("root"), root.alias("node")), steps.select("a", "b").distinct(), depth)
+    touched = got.where(F.col("hop") < depth).select("root", F.col("node").alias("a")).join(steps.select("a", F.col("id").alias("relation")), "a").select("root", "relation").distinct()
+    recorded = nodes.select(typed(F.col("kind"), F.col("id")).alias("node"), F.lit(True).alias("known")).distinct()
+    out = got.join(recorded, "node", "left").select("root", F.substring_index("node", ":", 1).alias("kind"), F.expr("substr(node, instr(node, ':') + 1)").alias("id"), "hop", F.coalesce("known", F.lit(False)).alias("known"))
+    return out, touched
+
+
 def downstream(start: DataFrame, entities: DataFrame, relations: DataFrame, depth: int) -> DataFrame:
     """(root, node, hop): entities that depend on a start along incoming relations; the start itself isn't among them."""
     got = reach(rooted(start), edges_of(relations, "in"), depth)
