@@ -74,12 +74,16 @@ def page(rows: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     return got.withColumn("next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit)).cast("long"))
 
 
-def lexical_lookup(entities: DataFrame, literal: str, limit: int = 20, around: int = 80) -> DataFrame:
-    """Entities in which a literal occurs, letter case aside: the first field that has it and an excerpt around it."""
+# The fields of a whole entity in which a literal is looked for, in this order.
+WHOLE_FIELDS = ("name", "signature", "doc_summary", "body_preview", "file_import_context", "file_surface_context")
+
+
+def lexical_lookup(entities: DataFrame, literal: str, limit: int = 20, around: int = 80, fields=LEXICAL_FIELDS) -> DataFrame:
+    """Entities in which a literal occurs, letter case aside: the first field that has it and an excerpt around it. Of modules and packages only name and signature count."""
     literal = literal.lower()
     inside = lambda f: F.coalesce(F.instr(F.lower(F.col(f)), literal) > 0, F.lit(False)) & ((F.lit(f in ("name", "signature"))) | ~F.col("kind").isin("Module", "Package"))
     field, text = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for f in reversed(LEXICAL_FIELDS):
+    for f in reversed(fields):
         field, text = F.when(inside(f), F.lit(f)).otherwise(field), F.when(inside(f), F.col(f)).otherwise(text)
     hit = entities.withColumn("field", field).withColumn("text", text).where("field is not null")
     at = F.instr(F.lower("text"), literal)
@@ -141,12 +145,67 @@ def collisions(intents: DataFrame) -> DataFrame:
     return met.groupBy("intent").agg(F.when(F.max(F.col("all_hard") - F.col("hard")) > 0, "blocked").otherwise("warned").alias("outcome"), F.sum(F.col("all_n") - F.col("n")).alias("others"))
 
 
-def audit(log: DataFrame, actor: str | None = None, action: str | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:
-    """log (id, actor, action, at): an actor ending in * is a prefix; action is contained; since compares as text."""
+def audit(log: DataFrame, actor: str | None = None, action: str | None = None, since: str | None = None, limit: int | None = None, scope: str | None = None) -> DataFrame:
+    """log (id, actor, action, at, scope): an actor ending in * is a prefix; action and scope are contained, events without a scope have none; since compares as text."""
     if actor:
         log = log.where(F.col("actor").startswith(actor[:-1]) if actor.endswith("*") else F.col("actor") == actor)
     if action:
         log = log.where(F.col("action").contains(action))
     if since:
         log = log.where(F.col("at") >= since)
+    if scope:
+        log = log.where(F.col("scope").contains(scope))
     return log.orderBy(F.desc("at"), F.desc("id")).limit(limit) if limit else log
+
+
+def bare(name: Column) -> Column:
+    """What follows the last `.` or `::`."""
+    return F.regexp_extract(name, r"([^:.]*)$", 1)
+
+
+def dotted(file: Column) -> Column:
+    """A path as a module: separators to dots, without its extension; a package's __init__ is the package."""
+    path = F.regexp_replace(F.regexp_replace(F.translate(file, "\\", "/"), r"\.[^./]*$", ""), "/", ".")
+    return F.regexp_replace(path, r"\.__init__$", "")
+
+
+# Names that a file's launch runs.
+LAUNCHED = ("main", "__main__", "Main")
+
+
+def entry_points(entities: DataFrame, declared: DataFrame) -> DataFrame:
+    """Entities (id) that a manifest declares: declared (symbol, module, file).
+
+    A symbol names an entity of its name, or of its last part if either is qualified; without one only a conventional entry
+    point is meant. The module must name the entity's file (whole, or its end at a dot), or else the file must (whole, or
+    its end at a slash); a declaration with neither binds nothing. Rows meet by the last part of module or file.
+    """
+    e = entities.where("file is not null").select("id", "name", bare(F.col("name")).alias("leaf"), F.translate("file", "\\", "/").alias("path"), dotted(F.col("file")).alias("module_path"))
+    d = declared.select("symbol", F.nullif(F.trim(F.regexp_replace(F.trim("module"), r"^\.+|\.+$", "")), F.lit("")).alias("module"), F.nullif(F.regexp_replace(F.translate(F.trim("file"), "\\", "/"), r"^(\./)+", ""), F.lit("")).alias("declared"))
+    d = d.withColumn("tail", F.coalesce(F.element_at(F.split("module", r"\."), -1), dotted(F.element_at(F.split("declared", "/"), -1)))).where("tail is not null").distinct()
+    both = e.withColumn("tail", F.element_at(F.split("module_path", r"\."), -1)).join(d, "tail")
+    by_name = (F.col("symbol") == F.col("name")) | (bare(F.col("symbol")) == F.col("leaf")) & (F.col("symbol").contains(".") | F.col("name").contains(".") | F.col("name").contains("::"))
+    by_module = (F.col("module_path") == F.col("module")) | F.col("module_path").endswith(F.concat(F.lit("."), "module"))
+    by_file = (F.col("path") == F.col("declared")) | F.col("path").endswith(F.concat(F.lit("/"), "declared"))
+    named = F.when(F.col("symbol").isNull(), F.col("leaf").isin(*LAUNCHED)).otherwise(by_name)
+    return both.where(named & F.when(F.col("module").isNotNull(), by_module).otherwise(by_file)).select("id").distinct()
+
+
+def unresolved_imports(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, src, dst, imported, source) of relations (id, kind, src, dst, import_source, token) into what isn't defined here.
+
+    Calls and References count if their source is known, they say where they import from, and the last part of their token
+    is an identifier. A target is foreign if nobody knows it, or if its role is External and it has no file.
+    """
+    local = entities.where("role <> 'External' or file is not null").select(F.col("id").alias("dst"))
+    rows = relations.where(F.col("kind").isin("Calls", "References") & (F.coalesce("import_source", F.lit("")) != ""))
+    rows = rows.withColumn("imported", F.trim(bare(F.col("token")))).where(F.col("imported").rlike(r"^[\p{L}\p{N}_]+$"))
+    return rows.join(local, "dst", "left_anti").join(entities.select(F.col("id").alias("src")), "src", "left_semi").select("id", "src", "dst", "imported", F.col("import_source").alias("source"))
+
+
+def satisfied(required: DataFrame, offered: DataFrame) -> DataFrame:
+    """(interface, class, members): classes (class, member, arity) that offer every member of an interface (interface, member, arity) with its arity; an interface without members is satisfied by none."""
+    need = required.distinct()
+    n = need.groupBy("interface").agg(F.count("*").alias("n"))
+    got = need.join(offered.distinct(), ["member", "arity"]).groupBy("interface", "class").agg(F.count("*").alias("members"))
+    return got.join(n, "interface").where("members = n").select("interface", "class", "members")

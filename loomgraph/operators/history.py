@@ -225,3 +225,19 @@ def change_shape(old: DataFrame, new: DataFrame) -> DataFrame:
     order = sides.groupBy("id", "n").agg(F.sum(F.col("side") * F.xxhash64("hash", "guard").cast("decimal(38,0)")).alias("d")).groupBy("id").agg(F.max(F.col("d") != 0).alias("reordered"))
     shape = F.when(~F.col("reordered"), "equivalent").when((F.col("removed") == 0) & (F.col("added") > 0) & (F.col("added") == F.col("guards")), "added_narrowing_guard").when((F.col("added") == 0) & (F.col("removed") > 0), "removed_guard_or_widened").otherwise("other")
     return moved.join(order, "id").select("id", shape.alias("shape"), F.col("guards").cast("long").alias("guards"), F.col("removed").cast("long").alias("removed"))
+
+
+def semantic_diff(old: DataFrame, new: DataFrame, key: str, semantic: list[str], other: list[str], files: list[str] | None = None, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Changes (key, file, change) and, in one row, how many edits of other columns alone were suppressed.
+
+    Rows have a file; with files or ids (key) only those in a file on either side, or with an id, are compared.
+    """
+    side = lambda df, n: df.select(key, F.struct(*semantic).alias(f"{n}s"), F.struct(*other).alias(f"{n}o"), F.col("file").alias(f"{n}f"))
+    rows = side(old, "a").join(side(new, "b"), key, "full_outer")
+    rows = rows.where(F.coalesce(F.col("af").isin(files), F.lit(False)) | F.coalesce(F.col("bf").isin(files), F.lit(False))) if files is not None else rows
+    rows = rows.join(ids.select(key).distinct(), key, "left_semi") if ids is not None else rows
+    change = (
+        F.when(F.col("as").isNull(), "added").when(F.col("bs").isNull(), "removed").when(~F.col("as").eqNullSafe(F.col("bs")), "modified").when(~F.col("ao").eqNullSafe(F.col("bo")), "suppressed")
+    )
+    rows = rows.withColumn("change", change)
+    return rows.where("change <> 'suppressed'").select(key, F.coalesce("bf", "af").alias("file"), "change"), rows.agg(F.count(F.when(F.col("change") == "suppressed", 1)).alias("suppressed"))

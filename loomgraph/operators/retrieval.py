@@ -80,6 +80,36 @@ def rrf(ranks: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
     return ranks.groupBy("query", "id").agg(F.sum(w.otherwise(1.0) / (k + F.col("rank"))).alias("score"))
 
 
+def signals_of(hits: DataFrame) -> DataFrame:
+    """hits (query, id, bm25, distance, graph, proof, provenance; null: not found so) as the five signals of rank_candidates.
+
+    Lexical and graph scores count by the largest of their query, distances as 1 less themselves, the others between 0 and 1.
+    """
+    by_most = lambda c: F.coalesce(normalised(F.coalesce(F.col(c), F.lit(0.0)), "query"), F.lit(0.0))
+    given = lambda c: F.coalesce(c, F.lit(0.0))  # noqa: E731  (greatest and least pass over nulls)
+    near = F.greatest(F.lit(0.0), given(1 - F.col("distance")))
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), given(F.col(c)))).alias(c)
+    return hits.select("query", "id", by_most("bm25").alias("lexical"), near.alias("semantic"), by_most("graph").alias("graph"), unit("proof"), unit("provenance"))
+
+
+# What each signal weighs where files are located.
+LOCATE = {"traceback": 1.0, "search": 2.0, "multihop": 1.4, "test": 1.0, "snippet": 0.8, "import": 1.2, "error": 1.0, "embedding": 1.5, "cochange": 1.0, "projection": 5.0}
+
+
+def locate(scores: DataFrame, k: int = 60, limit: int | None = None) -> DataFrame:
+    """Candidates of ten signals, fused: scores (query, id, signal, score).
+
+    (query, id, each signal's share of the fused score, whether it is there, signals, fused, rank): the features that a
+    learned ranker takes. A signal ranks its candidates by score, ids break ties; a share is weight / (k + rank).
+    """
+    place = F.row_number().over(Window.partitionBy("query", "signal").orderBy(F.desc("score"), "id"))
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in LOCATE.items() for x in pair]), F.col("signal"))
+    rows = scores.where(F.col("signal").isin(*LOCATE)).withColumn("share", weight / (k + place))
+    share = lambda s: F.coalesce(F.max(F.when(F.col("signal") == s, F.col("share"))), F.lit(0.0))
+    wide = rows.groupBy("query", "id").agg(*[share(s).alias(f"{s}_score") for s in LOCATE], *[(share(s) > 0).cast("int").alias(f"{s}_present") for s in LOCATE], F.count_distinct("signal").cast("int").alias("signals"), F.round(F.sum("share"), 9).alias("fused"))
+    return top(wide, "query", [F.desc("fused"), "id"], limit or 1 << 30)
+
+
 def rank_candidates(rows: DataFrame, limit: int = 20, proof: bool = False) -> DataFrame:
     """rows (query, id, lexical, semantic, graph, proof, provenance), each in 0..1: weighted score, explanation and rank."""
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))

@@ -134,3 +134,34 @@ def review_records(reviews: DataFrame, decisions: DataFrame, notes: DataFrame, d
     rows = reviews.join(last, "review", "left").join(count(notes, "notes"), "review", "left").join(count(discussions, "discussions"), "review", "left").join(count(assigned, "reviewers"), "review", "left")
     rows = rows.fillna(0, ["decisions", "notes", "discussions", "reviewers"])
     return (rows.where(F.col("state") == state) if state else rows).orderBy(F.desc("created"), "review")
+
+
+def proof_coverage(subjects: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: total, covered, ratio, runs, with_any_run, trusted of subjects (id) and runs (id, status).
+
+    A subject is covered by a passing run. Without any run of whatever status the number says nothing of the subjects
+    (trusted is false). Nothing has a ratio of 0.
+    """
+    seen = runs.groupBy("id").agg(F.count("*").alias("runs"), F.max((F.col("status") == "passing").cast("int")).alias("ok"))
+    rows = subjects.select("id").distinct().join(seen, "id", "left").agg(F.count("*").alias("total"), F.count(F.when(F.col("ok") == 1, 1)).alias("covered"), F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"), F.count("runs").alias("with_any_run"))
+    return rows.select("total", "covered", F.round(F.when(F.col("total") > 0, F.col("covered") / F.col("total")).otherwise(0.0), 6).alias("ratio"), "runs", "with_any_run", (F.col("runs") > 0).alias("trusted"))
+
+
+def verification_plan(starts: DataFrame, impacted: DataFrame, tests: DataFrame, work: DataFrame, verifies: DataFrame, runs: DataFrame) -> DataFrame:
+    """(root, part, id, status): what to run for starts (id) and what that proves; impacted (root, node).
+
+    tests (entity, test), work (entity, work), verifies (work, test), runs (test, at, status). test: tests of the start and of
+    what it touches, direct or through work on them, with the status of the latest run (null before any). entity: the
+    start, and what has tests among these. work: what one of these tests verifies.
+    """
+    scope = cut(impacted.select("root", "node").unionByName(starts.select(F.col("id").alias("root"), F.col("id").alias("node"))).distinct())
+    on = scope.join(work.withColumnRenamed("entity", "node"), "node").distinct()
+    direct = scope.join(tests.withColumnRenamed("entity", "node"), "node").select("root", "node", "test")
+    chosen = cut(direct.unionByName(on.join(verifies, "work").select("root", "node", "test")).distinct())
+    last = runs.groupBy("test").agg(F.max_by("status", "at").alias("status"))
+    none = F.lit(None).cast("string")
+    out = chosen.select("root", "test").distinct().join(last, "test", "left").select("root", F.lit("test").alias("part"), F.col("test").cast("string").alias("id"), "status")
+    proved = chosen.select("root", F.col("node").alias("id")).unionByName(starts.select(F.col("id").alias("root"), "id")).distinct()
+    out = out.unionByName(proved.select("root", F.lit("entity").alias("part"), F.col("id").cast("string").alias("id"), none.alias("status")))
+    done = on.join(verifies, "work").join(chosen.select("root", "test").distinct(), ["root", "test"], "left_semi").select("root", "work").distinct()
+    return out.unionByName(done.select("root", F.lit("work").alias("part"), F.col("work").cast("string").alias("id"), none.alias("status")))
