@@ -73,3 +73,52 @@ def entry_points(files: DataFrame) -> DataFrame:
     script = F.regexp_extract("l", pair, 1)
     cargo = cargo.select("path", script.alias("script"), F.coalesce(blank(F.regexp_extract("l", pair, 2)), F.concat(F.lit("src/bin/"), script, F.lit(".rs"))).alias("module"), F.lit("main").alias("symbol"))
     return py.unionByName(npm).unionByName(cargo)
+
+
+#: Words in a source file that start other programs, and those that open a comment line.
+STARTS = ("spawn", "execFile", "execa", "subprocess", "Command::new", "exec.Command")
+COMMENT = r"^\s*(?://|#|\*)"
+
+
+def detected(files: DataFrame, registry: list[str], owner: str, packages: dict[str, str], ports: dict[int, str]) -> DataFrame:
+    """(repo, name, provider, source) of files (repo, path, text): what a repository needs beyond its manifests, each once.
+
+    dockerfile: images of an owner that are built on. compose: such images, and builds of known projects. ci: repositories
+    of the owner that a workflow checks out. protocol: packages (package: repository) that Rust and TypeScript import.
+    subprocess: known repositories that a file names as a program, if it starts any. http: known services (port: service)
+    on local ports, comment lines aside. registry: known repositories, a list of a known size.
+    """
+    base, line = F.substring_index("path", "/", -1), lambda text: F.explode(F.split(text, "\n"))
+    lines = files.select("repo", "path", base.alias("base"), line(F.col("text")).alias("line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s", " ")))
+    known = lambda c: c.isin(*registry)
+    plain = lambda c: F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", "")
+    tail = lambda c: F.substring_index(F.substring_index(c, "/", -1), ":", 1)
+
+    def row(df, prefix, name, provider, source):
+        return df.select("repo", F.concat(F.lit(prefix), name).alias("name"), provider.alias("provider"), F.lit(source).alias("source"))
+
+    image = F.regexp_extract("line", r"^FROM +([^ ]+)", 1)
+    out = row(lines.where(F.col("base").startswith("Dockerfile") & image.contains(owner)), "docker:", tail(image), tail(image), "dockerfile")
+    compose = lines.where(F.col("base").startswith("docker-compose") & F.col("base").endswith(".yml"))
+    image = plain(F.regexp_extract("line", r"^image:(.*)$", 1))
+    out = out.unionByName(row(compose.where(image.contains(owner)), "compose:", tail(image), tail(image), "compose"))
+    built = F.substring_index(F.regexp_replace(plain(F.regexp_extract("line", r"^build:(.*)$", 1)), "/+$", ""), "/", -1)
+    out = out.unionByName(row(compose.where(known(built)), "compose-build:", built, built, "compose"))
+    step = r"(?m)uses:[^\n]*actions/checkout[^\n]*\n(?:[ \t]*(?![ \t]|-|repository:)[^\n]+\n)*[ \t]*repository:([^\n]*)"
+    flows = files.where(F.col("path").rlike(r"(^|/)\.github/workflows/[^/]*\.yml$"))
+    target = flows.select("repo", F.explode(F.regexp_extract_all("text", F.lit(step), F.lit(1))).alias("t")).withColumn("t", plain(F.col("t"))).where(F.col("t").contains(owner))
+    out = out.unionByName(row(target, "ci:", F.substring_index("t", "/", -1), F.substring_index("t", "/", -1), "ci"))
+
+    used = F.coalesce(F.nullif(F.regexp_extract("line", r"^use +([A-Za-z0-9_]+)::", 1), F.lit("")), F.nullif(F.regexp_extract("line", "^(?:import|export)\\b.*\\bfrom +[\"']([^\"']+)[\"']", 1), F.lit("")))
+    provider = F.element_at(F.create_map(*[F.lit(x) for pair in packages.items() for x in pair]), used)
+    out = out.unionByName(row(lines.where(F.col("base").rlike(r"\.(rs|ts)$")).withColumn("used", used).withColumn("by", provider).where("by is not null"), "import:", F.col("used"), F.col("by"), "protocol"))
+    text, starts = F.col("text"), F.lit(False)
+    for word in STARTS:
+        starts = starts | text.contains(word)
+    named = lambda r: text.contains(f'"{r}"') | text.contains(f"'{r}'") | text.contains(f'"{r} ') | text.contains(f"'{r} ") | text.contains(r.upper().replace("-", "_") + "_BINARY")
+    found = files.where(starts).select("repo", F.explode(F.filter(F.array(*[F.when(named(r), F.lit(r)) for r in registry]), lambda x: x.isNotNull())).alias("r"))
+    out = out.unionByName(row(found, "bin:", F.col("r"), F.col("r"), "subprocess"))
+    local = lines.where(~F.col("line").rlike(COMMENT)).select("repo", F.explode(F.regexp_extract_all("line", F.lit(r"(?:localhost|127\.0\.0\.1):([0-9]+)"), F.lit(1))).alias("port"))
+    service = F.element_at(F.create_map(*[F.lit(x) for p, s in ports.items() for x in (str(p), s)]), F.col("port"))
+    out = out.unionByName(row(local.withColumn("by", service).where(known(F.col("by"))), "http:localhost:", F.col("port"), F.col("by"), "http"))
+    return out.distinct()

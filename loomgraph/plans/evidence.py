@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import artifacts as art
 from ..operators import filters as fl
 from ..operators import graph as g
 from ..operators import history as h
@@ -161,3 +162,35 @@ def k6_semantic_diff(spark, d):
         rows = rows.select(F.lit(part).alias("part"), "change", "file", "n")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# Words of the documents as known repositories, packages and services.
+REGISTRY = ["the", "and", "der", "und", "la", "que", "de", "los"]
+PACKAGES, PORTS = {w: f"{w}-repo" for w in ("the", "and", "de", "la", "to", "in")}, {8000 + i: w for i, w in enumerate([*REGISTRY, "other"])}
+#: By number of the document: the path of a file, and each word as a line of it.
+FILES = (("Dockerfile.dev", "FROM acme/$1:1"), ("docker-compose.yml", "build: './svc/$1/'"), (".github/workflows/ci.yml", "- uses: actions/checkout@v4\n  with:\n    repository: acme/$1"), ("src/main.rs", "use $1::x;"), ("src/run.py", "subprocess.run(['$1'])"), ("src/net.ts", "get('localhost:800$1')"))
+WORDS_SQL = "w AS (SELECT source AS repo, doc_id % 6 AS k, unnest(list_filter(string_split_regex(text, '[ \\t\\n\\f\\r]+'), lambda x: x <> '')) AS word FROM documents)"
+TAIL_SQL = "split_part(string_split(word, '/')[-1], ':', 1)"
+LIST = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+@query(f"""WITH {WORDS_SQL}, found AS (SELECT repo, 'docker:' || {TAIL_SQL} AS name, {TAIL_SQL} AS provider, 'dockerfile' AS source FROM w WHERE k = 0 UNION SELECT repo, 'compose-build:' || word, word, 'compose' FROM w WHERE k = 1 AND word IN {LIST(REGISTRY)}
+  UNION SELECT repo, 'ci:' || string_split(word, '/')[-1], string_split(word, '/')[-1], 'ci' FROM (SELECT repo, k, regexp_replace(word, '["'']+$', '') AS word FROM w) WHERE k = 2 UNION SELECT repo, 'import:' || word, word || '-repo', 'protocol' FROM w WHERE k = 3 AND word IN {LIST(PACKAGES)}
+  UNION SELECT repo, 'bin:' || word, word, 'subprocess' FROM w WHERE k = 4 AND word IN {LIST(REGISTRY)} UNION SELECT repo, 'http:localhost:800' || d, list_extract({REGISTRY}, d::INTEGER + 1), 'http' FROM (SELECT repo, regexp_extract(word, '^[0-9]+') AS d FROM w WHERE k = 5) WHERE d IN ('0', '1', '2', '3', '4', '5', '6', '7')) SELECT * FROM found""", name="a18_detected_dependencies")
+def a18_detected_dependencies(spark, d):
+    """Infrastructure, workflows, imports, programs and local services in files that hold every word of the documents."""
+    doc, text = F.col("doc_id") % 6, F.lit(None).cast("string")
+    path = F.lit(None).cast("string")
+    for k, (name, line) in enumerate(FILES):
+        text = F.when(doc == k, F.regexp_replace("text", r"([^ \t\n\f\r]+)[ \t\n\f\r]*", line + "\n")).otherwise(text)
+        path = F.when(doc == k, F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("/" + name))).otherwise(path)
+    files = table(spark, d, "documents").where("text is not null").select(F.col("source").alias("repo"), path.alias("path"), text.alias("text"))
+    return art.detected(files, REGISTRY, "acme", PACKAGES, PORTS)
+
+
+@query(f"WITH {WORDS_SQL.replace('doc_id % 6 AS k', 'doc_id AS k')} SELECT DISTINCT k AS doc_id, word AS script, 'pkg.' || word AS module, 'main' AS symbol FROM w WHERE regexp_matches(word, '^[A-Za-z0-9_.-]+$')", name="a19_scripts_of_manifests")
+def a19_scripts_of_manifests(spark, d):
+    """Scripts that manifests declare, of which each holds every word of a document."""
+    lines = F.regexp_replace("text", r"([^ \t\n\f\r]+)[ \t\n\f\r]*", '$1 = "pkg.$1:main"\n')
+    files = table(spark, d, "documents").where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit("/pyproject.toml")).alias("path"), F.concat(F.lit("[project.scripts]\n"), lines, F.lit("[tool.x]\n")).alias("text"))
+    return art.entry_points(files).select(F.substring_index("path", "/", 1).cast("long").alias("doc_id"), "script", "module", "symbol").distinct()
