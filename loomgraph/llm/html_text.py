@@ -16,12 +16,14 @@ largest sum in them, if half of it (of reader comments a tenth) is more than any
 the core is searched in what is left. There, what is around an article or main is no core, and sums in them count 16
 times, unless an element beside them has a larger sum.
 
-The text is that of the outermost article or main around the core, or else of the core. Without an article or main,
-elements beside the path from the core to the body count as well if their density reaches the threshold: the least
+The text is that of the outermost article or main around the core, or else of the core. Density chooses within it, too:
+paragraphs left out by a class or id come back if their own density is at least half the mean density of the core's
+children and less than half of them are links, and elements that are links alone, three at least, go below that. Other
+outermost articles of the page count as well if their sum is at least half the core's article's. Without an article or
+main, elements beside the path from the core to the body count if their density reaches the threshold: the least
 density on that path, but no less than half and no more than three quarters of the mean density of the core's children
 (large elements are denser than single paragraphs). So do headings before the core. Lists of links alone, three at
-least, below that threshold count nowhere but in an article or main. A page without any text
-outside the left-out elements gives an empty text.
+least, below that threshold count nowhere. A page without any text outside the left-out elements gives an empty text.
 
 Character references are decoded, white space inside a block becomes one space (a `br` is white space), blocks are
 trimmed and joined in page order by one line feed. Null html gives an empty text, other columns may be null; repeated
@@ -234,15 +236,57 @@ def size_up(root: Node, out: int = SOFT) -> list[Node]:
     return order
 
 
+def density(n: Node, share: float) -> float:
+    if not n.chars:
+        return 0.0
+    t, lc, lt = max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
+    base = log(log(n.chars / max(n.chars - n.link_chars, 1) * lc + share * n.chars + e))
+    return max(n.chars / t * log(max(n.chars / lc * t / lt, 1.0)) / max(base, 1e-9), 0.0)
+
+
 def densities(order: list[Node], body: Node) -> None:
     share = body.link_chars / max(body.chars, 1)
     for n in order:
-        if n.chars:
-            t, lc, lt = max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
-            base = log(log(n.chars / max(n.chars - n.link_chars, 1) * lc + share * n.chars + e))
-            n.density = max(n.chars / t * log(max(n.chars / lc * t / lt, 1.0)) / max(base, 1e-9), 0.0)
-            if n.parent is not None:
-                n.parent.sum += n.density
+        n.density = density(n, share)
+        if n.parent is not None:
+            n.parent.sum += n.density
+
+
+def inside(node: Node) -> list[Node]:
+    """The element and all below it that is not left out, in page order."""
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        out.append(n)
+        stack += [k for k in reversed(n.kids) if type(k) is Node and not k.out]
+    return out
+
+
+def sums_below(node: Node) -> float:
+    """The largest sum in an element."""
+    return max(n.sum for n in inside(node))
+
+
+def links_alone(n: Node) -> bool:
+    return n.link_tags > 2 and n.chars == n.link_chars and n.name in BLOCK
+
+
+def take_back(node: Node, least: float, body: Node) -> None:
+    """Paragraphs of an article that a class or id has left out and whose density speaks for them."""
+    share = body.link_chars / max(body.chars, 1)
+    for up in inside(node):
+        for n in up.kids:
+            if type(n) is Node and n.out == SOFT and n.name == "p":
+                alone = Node(n.name, None, 0)
+                alone.kids = n.kids
+                held = [(k, k.parent) for k in n.kids if type(k) is Node]
+                for k, _ in held:
+                    k.parent = alone
+                size_up(alone)
+                for k, parent in held:
+                    k.parent = parent
+                if alone.chars > 2 * alone.link_chars and density(alone, share) >= least:
+                    n.out, n.density = 0, density(alone, share)
 
 
 def blocks(node: Node, keep, out: list[str]) -> None:
@@ -298,11 +342,15 @@ def main_text(html: str) -> str:
     path = list(around(core))
     marked = [n for n in path if n.name in ("article", "main")]
     out: list[str] = []
+    kids = [k.density for k in core.kids if type(k) is Node and k.density]
     if marked:  # the page says where its article is
-        blocks(marked[-1], lambda n: True, out)
+        half, best = sum(kids) / len(kids) / 2 if kids else 0.0, sums_below(marked[-1])
+        for n in order:
+            if n.name in ("article", "main") and not any(u.name in ("article", "main") for u in around(n.parent)) and (n is marked[-1] or n.chars > 2 * n.link_chars and sums_below(n) >= best / 2):
+                take_back(n, half, body)
+                blocks(n, lambda k: not links_alone(k) or k.density >= half, out)
         return "\n".join(out)
     on_path = {id(n) for n in path}
-    kids = [k.density for k in core.kids if type(k) is Node and k.density]
     mean, least = sum(kids) / len(kids) if kids else 0.0, min((n.density for n in path if n.name not in ("html", "#root")), default=0.0)
     least = min(max(least, mean / 2), mean * 3 / 4)
     after = False  # whether the core has begun: nothing behind it is its heading
@@ -312,7 +360,7 @@ def main_text(html: str) -> str:
         if id(n) in on_path:
             after = after or n is core
             return True
-        if n.density < least and n.link_tags > 2 and n.chars == n.link_chars and n.name in BLOCK:
+        if n.density < least and links_alone(n):
             return False
         return id(n.parent) not in on_path or n.parent is core or n.density >= least or not after and n.name in HEADINGS
 

@@ -187,6 +187,24 @@ def test_html_pages(spark, sf_dir):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_density_chooses_within_and_between_articles():
+    words = lambda n, w="word": " ".join([w] * n)
+    prose, other = words(60), words(55, "other")
+    links = "".join(f'<a href="/{i}">link {i}</a>' for i in range(5))
+    page = lambda body: f"<html><body><nav>{links}</nav>{body}<footer>foot</footer></body></html>"
+    # prose with a telling class comes back, a short or linked one doesn't
+    assert html_text.main_text(page(f'<article><p>{prose}</p><p class="related">{other}</p><p class="related">see also</p><p class="share">{links}</p></article>')) == prose + "\n" + other
+    # a box of links in an article goes though nothing names it
+    assert html_text.main_text(page(f"<article><p>{prose}</p><div>{links}</div><p>{other}</p></article>")) == prose + "\n" + other
+    # two articles of a kind count both, a teaser doesn't
+    assert html_text.main_text(page(f"<article><p>{prose}</p><p>{other}</p></article><article><p>{other}</p><p>{prose}</p></article><article><p>teaser</p></article>")) == "\n".join((prose, other, other, prose))
+    assert html_text.main_text(page(f'<main><article><p>{prose}</p></article></main><article class="comment"><p>{other}</p></article>')) == prose
+    # without density all of this would be different
+    everything = lambda html: (root := html_text.parse(html), out := [], html_text.blocks(root, lambda n: True, out))[1]
+    assert "link 0link 1" in "".join(everything(page(f"<article><p>{prose}</p><div>{links}</div></article>")))
+
+
+
 # 3 motion JPEG
 
 
