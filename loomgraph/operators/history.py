@@ -45,7 +45,27 @@ def first_parents(changes: DataFrame, head: DataFrame) -> DataFrame:
         jump = cut(jumps(jump.select("id"), "id", 4).where("to4 is not null").select("id", F.col("to4").alias("to")))
 
 
-def resolve_at(chain: DataFrame, entity_log: DataFrame, relation_log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def next_removals(ends: DataFrame, gone: DataFrame, span: int) -> DataFrame:
+    """ends (node, at, ...) with next (at, change): the first removal of gone (node, at, change) of their node at their time or later.
+
+    Time is cut into spans, so that no task holds more of a very common node than one span of it; what comes in later
+    spans is known from the first removal of each.
+    """
+    cell = F.floor(F.col("at") / span).alias("cell")
+    gone = gone.select("node", "at", F.struct("at", "change").alias("next"), cell)
+    ends = ends.withColumn("cell", cell)
+    columns = [c for c in ends.columns if c not in ("node", "at", "cell")]
+    row = F.struct(*columns).alias("end")
+    here = Window.partitionBy("node", "cell").orderBy(F.desc("at"), F.col("end").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = ends.select("node", "at", "cell", row).withColumn("next", F.lit(None).cast(gone.schema["next"].dataType)).unionByName(gone.withColumn("end", F.lit(None).cast(ends.select(row).schema["end"].dataType)))
+    own = both.withColumn("own", F.last("next", True).over(here)).where("end is not null")
+    first = both.groupBy("node", "cell").agg(F.min("next").alias("first"))
+    after = first.withColumn("after", F.last("first", True).over(Window.partitionBy("node").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1))).where("after is not null").select("node", "cell", "after")
+    found = own.join(after, ["node", "cell"], "left")
+    return found.select("node", "at", "end.*", F.coalesce("own", "after").alias("next"))
+
+
+def resolve_at(chain: DataFrame, entity_log: DataFrame, relation_log: DataFrame, span: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities (id, change), relations (id, src, dst, change) and tombstones (part, id, change) at the head of a chain.
 
     entity_log (change, id, op) and relation_log (change, id, src, dst, op) count only along the chain; a change has one
@@ -57,10 +77,9 @@ def resolve_at(chain: DataFrame, entity_log: DataFrame, relation_log: DataFrame)
     last = cut(e.groupBy("id").agg(F.max_by(F.struct("op", "change"), "at").alias("l")).select("id", "l.*"))
     alive = last.where("op <> 'removed'").select("id", "change")
     now = cut(r.groupBy("id").agg(F.max_by(F.struct("op", "change", "src", "dst", "at"), "at").alias("l")).select("id", "l.*"))
-    ends = now.where("op <> 'removed'").select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), "at", F.col("id").alias("relation"), F.lit(None).cast("struct<at:bigint,change:bigint>").alias("gone"))
-    gone = e.where("op = 'removed'").select(F.col("id").alias("node"), "at", F.lit(None).cast("string").alias("relation"), F.struct("at", "change").alias("gone"))
-    later = Window.partitionBy("node").orderBy(F.desc("at"), F.col("relation").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    pruned = ends.unionByName(gone).withColumn("next", F.last("gone", True).over(later)).where("relation is not null and next is not null")
+    ends = now.where("op <> 'removed'").select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), "at", F.col("id").alias("relation"))
+    gone = e.where("op = 'removed'").select(F.col("id").alias("node"), "at", "change")
+    pruned = next_removals(ends, gone, span).where("next is not null")
     pruned = cut(pruned.groupBy(F.col("relation").alias("id")).agg(F.min("next").alias("n")).select("id", F.col("n.change").alias("change")))
     kept = now.where("op <> 'removed'").join(pruned, "id", "left_anti")
     for end in ("src", "dst"):

@@ -228,6 +228,18 @@ def test_gate_decisions(spark):
     assert {r.review: r.status for r in rv.decisions(reviews, findings).collect()} == {1: "pass", 2: "needs_attention", 3: "blocked", 4: "needs_attention", 5: "blocked"}
 
 
+def test_next_removals_in_spans(spark):
+    import random
+
+    rng = random.Random(2)
+    ends = [(rng.choice("ab"), -rng.randrange(60), i) for i in range(80)]
+    gone = [(n, -t, 1000 + t) for n in "ab" for t in rng.sample(range(60), 8)]
+    df = spark.createDataFrame(ends, "node string, at long, relation int"), spark.createDataFrame(gone, "node string, at long, change long")
+    want = {r: min(((t, c) for m, t, c in gone if m == n and t >= at), default=None) for n, at, r in ends}
+    for span in (1, 7, 1000):
+        assert {r.relation: r.next and tuple(r.next) for r in h.next_removals(*df, span).collect()} == want
+
+
 def test_release_check_names_what_blocks(spark):
     rows = [("a", 1, 1, None), ("b", 1, 2, 2), ("c", 1, None, 1)]
     branches = spark.createDataFrame(rows, "branch string, source long, head long, expected long")
