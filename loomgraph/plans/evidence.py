@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import artifacts as art
@@ -10,11 +12,15 @@ from ..operators import graph as g
 from ..operators import history as h
 from ..operators import retrieval as rt
 from ..operators import review as rv
-from ..sources.store import table
+from ..functions import scalars as S
+from ..sources import compact
+from ..sources.store import checkpoint_dir, table
 from .aggregates import CANDIDATES, SCORE, candidates
 from .filters_and_joins import E, G
-from .model import entities, relations
+from .history import STORE_SQL, filled_store
+from .model import CHANGES_SQL, LOG_SQL, changes, entities, entity_log, relations
 from .registry import query
+from .retrieval import BM25_ALL, NORMAL, lexical
 from .traversal import IN, RG, bfs
 
 COVERED = lambda name, subjects, runs: f"SELECT '{name}' AS scope, count(*) AS total, count(*) FILTER (ok) AS covered, round(coalesce(count(*) FILTER (ok) / nullif(count(*), 0), 0), 6) AS ratio, coalesce(sum(n), 0)::BIGINT AS runs, count(n) AS with_any_run, coalesce(sum(n), 0) > 0 AS trusted FROM ({subjects}) LEFT JOIN (SELECT id, count(*) AS n, bool_or(status = 'passing') AS ok FROM ({runs}) GROUP BY id) USING (id)"
@@ -194,3 +200,58 @@ def a19_scripts_of_manifests(spark, d):
     lines = F.regexp_replace("text", r"([^ \t\n\f\r]+)[ \t\n\f\r]*", '$1 = "pkg.$1:main"\n')
     files = table(spark, d, "documents").where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit("/pyproject.toml")).alias("path"), F.concat(F.lit("[project.scripts]\n"), lines, F.lit("[tool.x]\n")).alias("text"))
     return art.entry_points(files).select(F.substring_index("path", "/", 1).cast("long").alias("doc_id"), "script", "module", "symbol").distinct()
+
+
+@query(f"WITH {STORE_SQL}, last AS (SELECT * FROM (FROM d1 UNION ALL FROM d2) QUALIFY row_number() OVER (PARTITION BY id ORDER BY gen DESC) = 1), rows AS (SELECT id, balance FROM base WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, balance FROM last WHERE op <> 'removed') SELECT id, round(balance, 2) AS balance, 1::BIGINT AS folders FROM rows", name="a5_cleared_deltas")
+def a5_cleared_deltas(spark, d):
+    """The table after its deltas were folded into a snapshot and cleared: only that snapshot and the first one are left."""
+    store = filled_store(spark, d)
+    generation = store.save_snapshot(store.recover("id"), store.generation())
+    store.clear_deltas()
+    return store.recover("id").select("id", F.round("balance", 2).alias("balance"), F.lit(len([g for g in store.marks() if g > 1 and g <= generation])).cast("long").alias("folders"))
+
+
+@query(G + "SELECT id, kind, name, file, coalesce(i, 0) AS incoming, coalesce(o, 0) AS outgoing FROM entities LEFT JOIN (SELECT dst AS id, count(DISTINCT src) AS i FROM relations GROUP BY dst) USING (id) LEFT JOIN (SELECT src AS id, count(DISTINCT dst) AS o FROM relations GROUP BY src) USING (id)", name="a10_saved_index")
+def a10_saved_index(spark, d):
+    """The compact index, saved, and opened again by its checksum."""
+    path, rows = f"{checkpoint_dir(spark)}/compact-{uuid.uuid4().hex}", compact.build(entities(spark, d), relations(spark, d))
+    compact.save(rows, path)
+    return compact.load(spark, path, rows.schema)
+
+
+@query(f"WITH n AS (SELECT doc_id, sha256({NORMAL}) AS now, doc_id % 7 = 0 AS edited, doc_id % 11 = 0 AS gone FROM documents), old AS (SELECT doc_id, sha256({NORMAL}) AS was FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' x' WHEN doc_id % 5 = 0 THEN text || '   ' || chr(10) || '// note' ELSE text END AS text FROM documents)) SELECT doc_id, CASE WHEN gone THEN 'orphaned' WHEN was = now THEN 'fresh' ELSE 'stale' END AS staleness FROM old JOIN n USING (doc_id)", name="k22_staleness_by_fingerprint")
+def k22_staleness(spark, d):
+    """Annotations anchored to what documents were: only edits of their content make them stale, comments and white space don't."""
+    docs, i, text = table(spark, d, "documents"), F.col("doc_id"), F.col("text")
+    was = F.when(i % 7 == 0, F.concat(text, F.lit(" x"))).when(i % 5 == 0, F.concat(text, F.lit("   \n// note"))).otherwise(text)
+    notes = docs.select("doc_id", S.fingerprint(was).alias("was"))
+    now = docs.where(i % 11 > 0).select("doc_id", S.fingerprint(text).alias("now"))
+    return notes.join(now, "doc_id", "left").select("doc_id", F.when(F.col("now").isNull(), "orphaned").when(F.col("was").eqNullSafe(F.col("now")), "fresh").otherwise("stale").alias("staleness"))
+
+
+@query("WITH a AS (SELECT event_id // 3 AS change, user_id AS actor, CASE event_type WHEN 'purchase' THEN 'approved' ELSE 'rejected' END AS decision FROM events WHERE event_type IN ('purchase', 'view')), who AS (SELECT DISTINCT user_id AS actor, CASE WHEN user_id % 3 = 1 THEN 'Human' ELSE 'Agent' END AS kind FROM events WHERE user_id % 3 < 2), g AS (SELECT user_id AS actor, min(user_id % 10) AS principal FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT change, actor, coalesce(kind, 'Unknown') AS kind, decision, principal, count(*) AS n FROM a LEFT JOIN who USING (actor) LEFT JOIN g USING (actor) GROUP BY ALL", name="k25_approvals_by_change")
+def k25_approvals_by_change(spark, d):
+    """Who approved or rejected each change, what kind of actor that is, and on whose behalf."""
+    from .history import approvals_and_actors
+
+    a, who = approvals_and_actors(spark, d)
+    behalf = table(spark, d, "events").where("event_type = 'signup'").groupBy(F.col("user_id").alias("actor")).agg(F.min(F.col("user_id") % 10).alias("principal"))
+    rows = a.join(who, "actor", "left").join(behalf, "actor", "left").fillna("Unknown", ["kind"])
+    return rows.groupBy("change", "actor", "kind", "decision", "principal").agg(F.count("*").alias("n"))
+
+
+@query(f'''WITH {LOG_SQL}, {CHANGES_SQL}, b AS (SELECT entity, ord, value FROM (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS n FROM entity_log WHERE op <> 'removed' WINDOW w AS (PARTITION BY entity ORDER BY ord)) WHERE n = 1 OR before <> value) SELECT entity, ord AS change, value, author, strftime("at", '%Y-%m-%d %H:%M:%S') AS stamp, parent FROM b JOIN changes ON id = ord''', name="k4_blame_with_changes")
+def k4_blame_with_changes(spark, d):
+    """Each revision that changed an entity's value, with its change's author, time and parent."""
+    log, c = entity_log(spark, d), changes(spark, d)
+    ref = log.agg(F.max("ord").alias("m")).first().m or 0
+    b = h.blame(log, ref).select("entity", F.col("ord").alias("id"), "value")
+    return b.join(c, "id").select("entity", F.col("id").alias("change"), "value", "author", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "parent")
+
+
+@query(E + f", {BM25_ALL} SELECT query, doc_id, score, role FROM (SELECT query, doc_id, round(score, 4) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc_id) <= 10) LEFT JOIN entities ON id = 'p:' || doc_id", name="j4_hits_with_roles")
+def j4_hits_with_roles(spark, d):
+    """Search hits with the role of the entity that each document belongs to; scores and order stay, hits without one too."""
+    hits = rt.top(lexical(spark, d).withColumn("score", F.round("score", 4)), "query", [F.desc("score"), "doc_id"], 10)
+    roles = entities(spark, d).where("kind = 'Function'").select(F.substring("id", 3, 20).cast("long").alias("doc_id"), "role")
+    return hits.join(roles, "doc_id", "left").select("query", "doc_id", "score", "role")

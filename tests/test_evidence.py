@@ -147,3 +147,31 @@ def test_verification_plan(spark):
     make = lambda cols, *r: spark.createDataFrame(list(r), cols)
     plan = rv.verification_plan(make("id string", ("s",)), make("root string, node string", ("s", "i"), ("s", "idle")), make("entity string, test string", ("s", "t1"), ("i", "t2")), make("entity string, work string", ("i", "w1"), ("idle", "w2")), make("work string, test string", ("w1", "t3"), ("w2", "t9x")), make("test string, at int, status string", ("t1", 1, "failing"), ("t1", 2, "passing")))
     assert {tuple(r) for r in plan.collect()} == {("s", "test", "t1", "passing"), ("s", "test", "t2", None), ("s", "test", "t3", None), ("s", "test", "t9x", None), ("s", "entity", "s", None), ("s", "entity", "i", None), ("s", "entity", "idle", None), ("s", "work", "w1", None), ("s", "work", "w2", None)}
+
+
+def test_saved_index_is_checked(spark):
+    from loomgraph.sources import compact
+
+    e = spark.createDataFrame([("a", "Class", "A", "f"), ("b", "Class", "B", None)], "id string, kind string, name string, file string")
+    r = spark.createDataFrame([("a", "b"), ("a", "b"), ("x", "b"), ("b", "a")], "src string, dst string")
+    path, built = f"{checkpoint_dir(spark)}/compact-{uuid.uuid4().hex}", compact.build(e, r)
+    compact.save(built, path)
+    got = compact.load(spark, path, built.schema)
+    assert {(x.id, x.incoming, x.outgoing) for x in got.collect()} == {("a", 1, 1), ("b", 2, 1)}
+    folder = Store(spark, path).marks()[1]
+    got.where("id = 'a'").write.mode("append").parquet(f"{path}/data/{folder}/rows")
+    with pytest.raises(compact.Damaged):
+        compact.load(spark, path, built.schema)
+
+
+def test_dependencies_beyond_manifests(spark):
+    from loomgraph.operators.artifacts import detected
+
+    flow = "jobs:\n  - uses: actions/checkout@v4\n    with:\n      repository: acme/tools\n  - uses: actions/checkout@v4\n  - run: x\n    repository: acme/not-this\n  - uses: other/step\n    repository: acme/nor-this\n"
+    files = [
+        ("r", "Dockerfile", "FROM acme/base:1 AS b\nFROM other/x\n  FROM ghcr.io/acme/app\nRUN FROM acme/no"), ("r", "deploy/docker-compose.dev.yml", "image: 'acme/db:2'\nimage: x/y\nbuild: ./svc/api/\nbuild: ./svc/unknown"), ("r", ".github/workflows/ci.yml", flow),
+        ("r", "src/lib.rs", "use core_model::X;\nuse other::Y;\n// use core_model::Z;"), ("r", "a.ts", "import {a} from '@acme/ui'\nconst x = 'from core_model'"), ("r", "run.py", "subprocess.run(['api', 'x'])"), ("r", "no.py", "x = ['api']"), ("r", "net.go", "get(\"localhost:8001\")\n# 127.0.0.1:8002\nget('127.0.0.1:8009')\n"),
+    ]
+    df = spark.createDataFrame(files, "repo string, path string, text string")
+    got = {(x.name, x.provider, x.source) for x in detected(df, ["api", "web"], "acme", {"core_model": "core", "@acme/ui": "ui"}, {8001: "web", 8002: "api", 8009: "gone"}).collect()}
+    assert got == {("docker:base", "base", "dockerfile"), ("docker:app", "app", "dockerfile"), ("compose:db", "db", "compose"), ("compose-build:api", "api", "compose"), ("ci:tools", "tools", "ci"), ("import:core_model", "core", "protocol"), ("import:@acme/ui", "ui", "protocol"), ("bin:api", "api", "subprocess"), ("http:localhost:8001", "web", "http")}
