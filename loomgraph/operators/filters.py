@@ -178,17 +178,23 @@ def entry_points(entities: DataFrame, declared: DataFrame) -> DataFrame:
 
     A symbol names an entity of its name, or of its last part if either is qualified; without one only a conventional entry
     point is meant. The module must name the entity's file (whole, or its end at a dot), or else the file must (whole, or
-    its end at a slash); a declaration with neither binds nothing. Rows meet by the last part of module or file.
+    its end at a slash); a declaration with neither binds nothing. Rows meet by equal values alone: each side has a row for
+    each way in which it may be named and for each end of its path.
     """
-    e = entities.where("file is not null").select("id", "name", bare(F.col("name")).alias("leaf"), F.translate("file", "\\", "/").alias("path"), dotted(F.col("file")).alias("module_path"))
+    name = F.col("name")
+    way = lambda how, what: F.concat(F.lit(how + ":"), what)
+    only = lambda *ways: F.filter(F.array(*ways), lambda w: w.isNotNull())
+    qualified, leaf = name.contains(".") | name.contains("::"), bare(name)
+    names = only(way("whole", name), F.when(qualified, way("leaf of qualified", leaf)).otherwise(way("leaf", leaf)), F.when(leaf.isin(*LAUNCHED), way("launched", F.lit(""))))
+    e = entities.where("file is not null and name is not null").repartition("id").select("id", F.explode(names).alias("called"), dotted(F.col("file")).alias("module"), F.translate("file", "\\", "/").alias("file"))
+    end = lambda c, sep: e.select("id", "called", c, F.explode(F.sequence(F.lit(1), F.length(c) - F.length(F.translate(c, sep, "")) + 1)).alias("n")).select("id", "called", way(c, F.expr(f"substring_index({c}, '{sep}', -n)")).alias("place"))
+    e = end("module", ".").unionByName(end("file", "/"))
     d = declared.select("symbol", F.nullif(F.trim(F.regexp_replace(F.trim("module"), r"^\.+|\.+$", "")), F.lit("")).alias("module"), F.nullif(F.regexp_replace(F.translate(F.trim("file"), "\\", "/"), r"^(\./)+", ""), F.lit("")).alias("declared"))
-    d = d.withColumn("tail", F.coalesce(F.element_at(F.split("module", r"\."), -1), dotted(F.element_at(F.split("declared", "/"), -1)))).where("tail is not null").distinct()
-    both = e.withColumn("tail", F.element_at(F.split("module_path", r"\."), -1)).join(d, "tail")
-    by_name = (F.col("symbol") == F.col("name")) | (bare(F.col("symbol")) == F.col("leaf")) & (F.col("symbol").contains(".") | F.col("name").contains(".") | F.col("name").contains("::"))
-    by_module = (F.col("module_path") == F.col("module")) | F.col("module_path").endswith(F.concat(F.lit("."), "module"))
-    by_file = (F.col("path") == F.col("declared")) | F.col("path").endswith(F.concat(F.lit("/"), "declared"))
-    named = F.when(F.col("symbol").isNull(), F.col("leaf").isin(*LAUNCHED)).otherwise(by_name)
-    return both.where(named & F.when(F.col("module").isNotNull(), by_module).otherwise(by_file)).select("id").distinct()
+    d = d.where("module is not null or declared is not null")
+    symbol = F.col("symbol")
+    ways = F.when(symbol.isNull(), F.array(way("launched", F.lit("")))).otherwise(only(way("whole", symbol), way("leaf of qualified", bare(symbol)), F.when(symbol.contains("."), way("leaf", bare(symbol)))))
+    d = d.select(F.explode(ways).alias("called"), F.when(F.col("module").isNotNull(), way("module", F.col("module"))).otherwise(way("file", F.col("declared"))).alias("place")).distinct()
+    return e.join(d, ["called", "place"], "left_semi").select("id").distinct()
 
 
 def unresolved_imports(entities: DataFrame, relations: DataFrame) -> DataFrame:

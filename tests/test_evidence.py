@@ -114,6 +114,14 @@ def test_entry_points(spark):
     assert {r.id for r in fl.entry_points(e, d).collect()} == {1, 2, 3, 4}
 
 
+def test_entry_points_take_whole_ends_of_paths(spark):
+    e = spark.createDataFrame([(1, "main", "a/b.tar.rs"), (2, "run", "nk/cli/__init__.py"), (3, "run", "nk/xcli.py"), (4, "run", "nk/cli.py")], "id long, name string, file string")
+    d = spark.createDataFrame([(None, None, "b.tar.rs"), ("x.run", None, "cli/__init__.py"), ("m.run", "cli", None)], "symbol string, module string, file string")
+    assert {r.id for r in fl.entry_points(e, d).collect()} == {1, 2, 4}
+    plan = fl.entry_points(e, d)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "endswith" not in plan  # rows meet by equal values, not by trying all of a file's name
+
+
 def test_unresolved_imports_and_arity(spark):
     e = spark.createDataFrame([("a", "Source", "f"), ("v", "External", "third_party/f"), ("x", "External", None)], "id string, role string, file string")
     r = [("1", "Calls", "a", "x", "crate", "p::q.get"), ("2", "Calls", "a", "v", "crate", "g"), ("3", "Calls", "a", "nobody", "crate", "g"), ("4", "Calls", "a", "x", "", "g"), ("5", "Calls", "a", "x", None, "g"), ("6", "Calls", "a", "x", "c", "<a/b>"), ("7", "Imports", "a", "x", "c", "g"), ("8", "References", "z", "x", "c", "g"), ("9", "References", "a", "x", "c", None)]
