@@ -122,6 +122,15 @@ def test_entry_points_take_whole_ends_of_paths(spark):
     assert "endswith" not in plan  # rows meet by equal values, not by trying all of a file's name
 
 
+def test_satisfaction_spreads_equal_needs_last(spark):
+    need = spark.createDataFrame([(i, m, 0) for i in (1, 2, 3) for m in "mn"] + [(4, "m", 0)], "interface int, member string, arity int")
+    offer = spark.createDataFrame([("A", "m", 0), ("A", "n", 0), ("B", "m", 0)], "class string, member string, arity int")
+    got = fl.satisfied(need, offer)
+    assert {tuple(r) for r in got.collect()} == {(1, "A", 2), (2, "A", 2), (3, "A", 2), (4, "A", 1), (4, "B", 1)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Project") and plan.split("\n")[1].lstrip("+- ").startswith("Join")
+
+
 def test_unresolved_imports_and_arity(spark):
     e = spark.createDataFrame([("a", "Source", "f"), ("v", "External", "third_party/f"), ("x", "External", None)], "id string, role string, file string")
     r = [("1", "Calls", "a", "x", "crate", "p::q.get"), ("2", "Calls", "a", "v", "crate", "g"), ("3", "Calls", "a", "nobody", "crate", "g"), ("4", "Calls", "a", "x", "", "g"), ("5", "Calls", "a", "x", None, "g"), ("6", "Calls", "a", "x", "c", "<a/b>"), ("7", "Imports", "a", "x", "c", "g"), ("8", "References", "z", "x", "c", "g"), ("9", "References", "a", "x", "c", None)]
