@@ -317,18 +317,19 @@ def water_fill(needs: DataFrame, budget: int) -> DataFrame:
 TRAFFIC_NODES, TRAFFIC_EDGES = 4096, 32768
 
 
-def traffic(focal: DataFrame, entities: DataFrame, relations: DataFrame, intents: DataFrame, depth: int, now) -> DataFrame:
+def traffic(focal: DataFrame, entities: DataFrame, relations: DataFrame, intents: DataFrame, depth: int, now, nodes: int | None = TRAFFIC_NODES, edges: int | None = TRAFFIC_EDGES) -> DataFrame:
     """(root, intent, proximity, distance): how near intents (intent, kind, scope, expires) are to focal entities (id).
 
     direct: a scope at most one step along outgoing dependencies away; same_file: an entity of the root's file, or that
     file; downstream: further away. A file (kind file) is as far as the nearest entity reached in it. An intent's best
-    scope counts; expired ones are left out. Steps into unknown entities don't count. Fails beyond the budgets.
+    scope counts; expired ones are left out. Steps into unknown entities don't count. Fails where a root needs more nodes,
+    or all relations out of them, than the budgets on the average; without budgets (None) it looks at all there is.
     """
     ids = entities.select(F.col("id").alias("b"))
     got = reach(rooted(focal.join(entities, "id", "left_semi")), edges_of(relations, "out", IMPACT_KINDS).join(ids, "b", "left_semi").select("a", "b"), depth)
     seen = relations.join(got.where(F.col("hop") < depth).select(F.col("node").alias("src")), "src")
-    for what, rows, most in (("node", got, TRAFFIC_NODES), ("edge", seen, TRAFFIC_EDGES)):
-        if (n := rows.select(F.lit(1)).limit(focal.count() * most + 1).count()) > focal.count() * most:
+    for what, rows, most in (("node", got, nodes), ("edge", seen, edges)):
+        if most is not None and (n := rows.select(F.lit(1)).limit(focal.count() * most + 1).count()) > focal.count() * most:
             raise ValueError(f"traffic: {what} budget exceeded ({n})")
     file = entities.select(F.col("id").alias("node"), "file")
     at = got.join(file, "node")

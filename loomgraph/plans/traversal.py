@@ -211,11 +211,11 @@ scored AS (SELECT r.root, intent, CASE WHEN hop <= 1 THEN 0 ELSE 2 END AS rank,
   UNION ALL SELECT o.root, intent, 1, 0 FROM live JOIN own o ON kind = 'file' AND scope = o.own)
 SELECT root, intent, CASE rank WHEN 0 THEN 'direct' WHEN 1 THEN 'same_file' ELSE 'downstream' END AS proximity, distance::INTEGER AS distance FROM scored QUALIFY row_number() OVER (PARTITION BY root, intent ORDER BY rank, distance) = 1""", name="i8_scoped_traffic")
 def i8_scoped_traffic(spark, d):
-    """Orders as intents: urgent ones on their parts, all on themselves, high ones on a file; those of before 1996 have expired."""
+    """Orders as intents: urgent ones on their parts, all on themselves, high ones on a file; those of before 1996 have expired. Whole tables have no budget."""
     o = table(spark, d, "orders")
     row = lambda df, kind, scope: df.select(F.col("o_orderkey").alias("intent"), F.lit(kind).alias("kind"), scope.alias("scope"), F.col("o_orderdate").alias("expires"))
     urgent = o.where("o_orderpriority = '1-URGENT'").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     intents = row(urgent, "entity", F.concat(F.lit("p:"), F.col("l_partkey").cast("string"))).unionByName(row(o, "entity", F.concat(F.lit("o:"), F.col("o_orderkey").cast("string"))))
     intents = intents.unionByName(row(o.where("o_orderpriority = '2-HIGH'"), "file", F.concat(F.lit("src/n"), (F.col("o_custkey") % 25).cast("string"), F.lit("/customers.py"))))
     e = entities(spark, d)
-    return g.traffic(e.where("id in ('o:11', 'c:7')").select("id"), e, relations(spark, d), intents, 3, F.lit("1996-01-01").cast("timestamp_ntz"))
+    return g.traffic(e.where("id in ('o:11', 'c:7')").select("id"), e, relations(spark, d), intents, 3, F.lit("1996-01-01").cast("timestamp_ntz"), nodes=None, edges=None)

@@ -222,6 +222,16 @@ def test_traffic_takes_the_strongest_scope(spark):
     assert {(x.intent, x.proximity, x.distance) for x in got.collect()} == want
 
 
+def test_traffic_without_budgets_looks_at_all(spark):
+    e = spark.createDataFrame([(i, "Function", i, "f", "Source") for i in "abc"], ENT)
+    r = edges(spark, ["ab", "ac"], "Calls")
+    intents = spark.createDataFrame([(1, "entity", "b")], "intent long, kind string, scope string").withColumn("expires", F.lit(None).cast("date"))
+    run = lambda **most: g.traffic(spark.createDataFrame([("a",)], "id string"), e, r, intents, 3, F.lit("2024-01-01").cast("date"), **most).collect()
+    with pytest.raises(ValueError):
+        run(edges=1)
+    assert [(x.intent, x.proximity, x.distance) for x in run(nodes=None, edges=None)] == [(1, "direct", 1)]
+
+
 def test_gate_decisions(spark):
     reviews = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 1), (5, 0)], "review long, approvals long")
     findings = spark.createDataFrame([(3, False)] * 3 + [(4, False)] * 3 + [(5, True)], "review long, blocking boolean")
