@@ -216,11 +216,10 @@ def dangling(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.join(nodes.select(F.col("id").alias("endpoint")), "endpoint", "left_anti").select("id", "endpoint")
 
 
-def severed(edges: DataFrame, removed: DataFrame) -> DataFrame:
-    """edges (id, src, dst, ended) that ended with the removal (node, ended) of one of their ends."""
-    a = edges.join(removed.select(F.col("node").alias("src"), "ended"), ["src", "ended"], "left_semi")
-    b = edges.join(removed.select(F.col("node").alias("dst"), "ended"), ["dst", "ended"], "left_semi")
-    return a.select(*edges.columns).unionByName(b.select(*edges.columns)).distinct()
+def severed(edges: DataFrame, removed: DataFrame, ends: tuple[str, ...] = ("src", "dst")) -> DataFrame:
+    """edges (id, src, dst, ended) that ended with the removal (node, ended) of one of their ends, of those named."""
+    found = [edges.join(removed.select(F.col("node").alias(end), "ended"), [end, "ended"], "left_semi").select(*edges.columns) for end in ends]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def reversions(log: DataFrame, window: int = 250) -> DataFrame:

@@ -395,7 +395,7 @@ def k16_impact_at_refs(spark, d):
         alive, kept, dead = (cut(x) for x in h.resolve_at(h.first_parents(c, c.agg((F.max("id") - back).alias("id"))), log, rlog))
         ends = rlog.select("id", "src", "dst").distinct()
         gone = dead.where("part = 'entity'").select(F.col("id").alias("node"), F.col("change").alias("ended"))
-        severed = h.severed(dead.where("part = 'relation'").select("id", F.col("change").alias("ended")).join(ends, "id").select("id", "src", "dst", "ended"), gone)
+        severed = h.severed(dead.where("part = 'relation'").select("id", F.col("change").alias("ended")).join(ends, "id").select("id", "src", "dst", "ended"), gone, ("dst",))
         got = g.impact_at(starts, alive, kept, severed, 3).withColumn("ref", F.lit(name))
         out = got if out is None else out.unionByName(got)
     return out.select("ref", "root", "node", "hop")

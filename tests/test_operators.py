@@ -299,6 +299,13 @@ def test_impact_at_a_ref_follows_what_a_removal_severed(spark):
     assert got == {("x", "b", 1), ("x", "c", 2), ("b", "c", 1), ("b", "d", 2)}  # a is alive, so what was severed from it doesn't count
 
 
+def test_severed_by_one_end(spark):
+    ended = spark.createDataFrame([("1", "a", "x", 5), ("2", "x", "a", 5), ("3", "a", "x", 6)], "id string, src string, dst string, ended long")
+    gone = spark.createDataFrame([("x", 5)], "node string, ended long")
+    assert {r.id for r in h.severed(ended, gone, ("dst",)).collect()} == {"1"}
+    assert {r.id for r in h.severed(ended, gone).collect()} == {"1", "2"}
+
+
 def test_unapproved_needs_a_known_human(spark):
     changes = spark.createDataFrame([(0, None, "x"), (1, 0, "x"), (2, 1, "y"), (3, 2, "y")], "id long, parent long, author string")
     got = spark.createDataFrame([("h", i) for i in range(4)], "root string, node long")
