@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import cut
 from .filters import impact_relations
-from .graph import spread, wide
+from .graph import reach, rooted
 
 # How deep and wide a public entity's dependents may be, and how deep findings spread.
 DEEP, WIDE, SPREAD = 5, 20, 10
@@ -17,10 +17,9 @@ def security_findings(entities: DataFrame, relations: DataFrame, propagate: bool
     """(severity, category, entity, n) of entities (id, kind, visibility) and relations (id, kind, src, dst).
 
     untested-api: endpoints that no Tests relation touches; orphaned-public: public functions and methods without calls
-    or tests; high-fan-out: public entities with more than WIDE dependents within DEEP steps (n: WIDE + 1, as no more are
-    looked for); dead-event: event contracts that nothing else consumes; encapsulation-leak: public entities that call
-    private ones, n times; transitive-dependency: what depends on another entity found so far within SPREAD steps, the
-    nearest n steps away.
+    or tests; high-fan-out: public entities with more than WIDE dependents within DEEP steps, n of them; dead-event: event
+    contracts that nothing else consumes; encapsulation-leak: public entities that call private ones, n times;
+    transitive-dependency: what depends on n other entities found so far within SPREAD steps.
     """
     tested = relations.where("kind = 'Tests'").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     called = relations.where("kind = 'Calls'").select(F.col("dst").alias("id")).distinct()
@@ -31,7 +30,7 @@ def security_findings(entities: DataFrame, relations: DataFrame, propagate: bool
     def found(rows, severity, category, n=None):
         return rows.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col("id").alias("entity"), (F.col(n) if n else F.lit(1)).cast("long").alias("n"))
 
-    fan = wide(public, steps, DEEP, WIDE).withColumnRenamed("root", "id")
+    fan = reach(rooted(public), steps, DEEP).where("hop > 0").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > WIDE)
     private = entities.where("visibility = 'Private'").select(F.col("id").alias("dst"))
     leaks = relations.where("kind = 'Calls'").join(private, "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).join(public, "id", "left_semi")
     out = found(entities.where("kind = 'ApiEndpoint'").join(tested, "id", "left_anti"), "high", "untested-api")
@@ -45,8 +44,8 @@ def security_findings(entities: DataFrame, relations: DataFrame, propagate: bool
     if not propagate:
         return out
     out = cut(out)
-    after = spread(out.select(F.col("entity").alias("id")).distinct(), steps, SPREAD)
-    return out.unionByName(found(after.select(F.col("node").alias("id"), "hop"), "info", "transitive-dependency", "hop"))
+    after = reach(rooted(out.select("entity").distinct(), "entity"), steps, SPREAD).where("hop > 0").groupBy(F.col("node").alias("id")).agg(F.count("*").alias("n"))
+    return out.unionByName(found(after, "info", "transitive-dependency", "n"))
 
 
 def decisions(reviews: DataFrame, findings: DataFrame) -> DataFrame:

@@ -145,6 +145,14 @@ def test_security_findings(spark):
     assert more == {("info", "transitive-dependency", f"u{i}", 1) for i in range(21)}
 
 
+def test_security_findings_count_all(spark):
+    ents = [("hub", "Class", "Public"), ("hub2", "Class", "Public")] + [(f"u{i}", "Class", "Private") for i in range(25)]
+    rels = [(f"{hub}{i}", "UsesType", f"u{i}", hub) for i in range(25) for hub in ("hub", "hub2")]
+    e, r = spark.createDataFrame(ents, "id string, kind string, visibility string"), spark.createDataFrame(rels, "id string, kind string, src string, dst string")
+    want = {("medium", "high-fan-out", h, 25) for h in ("hub", "hub2")} | {("info", "transitive-dependency", f"u{i}", 2) for i in range(25)}
+    assert {tuple(x) for x in rv.security_findings(e, r).collect()} == want
+
+
 def test_name_tiers_fall_back_to_substrings(spark):
     e = nodes(spark, ["fooBar", "barFoo", "xfoobarx"])
     tiers = lambda p: {(r.id, r.tier) for r in fl.by_name_tiers(e, p).collect()}
