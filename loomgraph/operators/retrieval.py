@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .filters import tokens
 
 K1, B = 1.2, 0.75
+#: Up to how many pairs of a query and a token go to every task; more meet the postings in a shuffle.
+ASKED = 500_000
 # What a hit in each field weighs.
 FIELD_WEIGHTS = {"name": 5.0, "signature": 3.0, "doc": 2.5, "surface": 2.2, "body": 1.5, "import": 1.4, "kind": 1.0, "path": 0.0}
 # The same for files that aren't parsed, and for the words of a prose question.
@@ -29,16 +31,22 @@ def bm25(posts: DataFrame, queries: DataFrame, key: str, limit: int | None = Non
     """(query, key, score): queries (query, token); k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
     Only postings of query tokens take part in the join. Lengths (key, length) and their number and mean (docs, mean; one
-    row) come from all postings unless they are given; then posts need hold those of the queries' tokens only.
+    row) come from all postings unless they are given; then posts need hold those of the queries' tokens only. A posting's
+    points are told before it meets the queries, of which a bounded number of pairs goes to all tasks.
     """
     if length is None:
         length = posts.groupBy(key).agg(F.sum("tf").alias("length"))
         total = length.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     hits = posts.join(queries.select("token").distinct(), "token", "left_semi")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    rows = queries.distinct().join(hits, "token").join(df, "token").join(length, key).join(F.broadcast(total))  # one row
+    rows = hits.join(df, "token").join(length, key).join(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = rows.groupBy("query", key).agg(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("score"))
+    points = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    rows, asked = rows.select("token", key, points.alias("points")), queries.select("query", "token").distinct()
+    if asked.limit(ASKED + 1).count() <= ASKED:
+        # postings are dealt out by document, once for all queries; what they make with the queries isn't shuffled
+        rows, asked = rows.repartition(key), F.broadcast(asked)
+    score = rows.join(asked, "token").groupBy("query", key).agg(F.sum("points").alias("score"))
     return top(score, "query", [F.desc("score"), key], limit) if limit else score
 
 

@@ -1,5 +1,6 @@
 """The persisted text index: commits, reopening, pruning, frequencies."""
 
+import re
 import uuid
 
 import pytest
@@ -73,3 +74,13 @@ def test_frequencies_and_empty_index(spark):
     assert current(spark, path, "id", frame(spark, []), FIELDS).documents == 0
     assert TextIndex(spark, path).search(asked(spark, a="alpha")).count() == 0
     assert fingerprint(docs) == fingerprint(docs.orderBy(F.desc("id"))) != fingerprint(docs.where("id < 3"))
+
+
+def test_scoring_shuffles_postings_alone(spark, monkeypatch):
+    docs = frame(spark, [(i, f"parseNode{i % 3}", f"walk tree {i}") for i in range(20)])
+    queries = asked(spark, a="parse node1 tree", b="walk 7")
+    found = rt.bm25(rt.postings(docs, "id", FIELDS), queries, "id")
+    assert not re.search(r"hashpartitioning\(query#\d+, id#", found._jdf.queryExecution().executedPlan().toString())
+    want = scores(found)
+    monkeypatch.setattr(rt, "ASKED", 0)
+    assert scores(rt.bm25(rt.postings(docs, "id", FIELDS), queries, "id")) == pytest.approx(want) and want
