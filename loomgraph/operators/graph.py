@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import cut, new_folder
+from ..sources.store import cut, dealt, new_folder
 from .filters import IMPACT_KINDS, impact_relations
 
 
@@ -15,7 +15,7 @@ def edges_of(relations: DataFrame, direction: str = "out", kinds=None) -> DataFr
         relations = relations.where(F.col("kind").isin(*kinds))
     out = relations.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     back = relations.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction].transform(dealt, "a", "b").distinct()
 
 
 def reach(roots: DataFrame, edges: DataFrame, depth: int | None = None, most: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import module_of
+from ..sources.store import dealt, rows_read
 
 
 def histogram(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,11 +21,17 @@ def overview(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def degrees(relations: DataFrame, kinds=None) -> DataFrame:
-    """(id, degree) over distinct undirected links of one kind."""
+    """(id, degree) over distinct undirected links of one kind; a node's are counted as they come, not held."""
     if kinds:
         relations = relations.where(F.col("kind").isin(*kinds))
-    links = relations.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "kind").distinct()
-    return links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    n = rows_read(relations)
+    links = dealt(relations.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "kind"), "a", "b", rows=n).distinct()
+    return dealt(links.select(F.explode(F.array("a", "b")).alias("id")), "id", rows=n).groupBy("id").agg(F.count("*").alias("degree"))
+
+
+def partners(relations: DataFrame, end: str, other: str, name: str) -> DataFrame:
+    """(id, name): with how many distinct `other` ends each node is an `end` of relations."""
+    return dealt(relations.select(end, other), end, other).groupBy(F.col(end).alias("id")).agg(F.count_distinct(other).alias(name))
 
 
 def module_sample(entities: DataFrame, relations: DataFrame, limit: int) -> DataFrame:

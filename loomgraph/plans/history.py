@@ -11,6 +11,7 @@ from ..operators import artifacts as art
 from ..operators import graph as g
 from ..operators import history as h
 from ..operators import review as rv
+from ..operators import stats as st
 from ..sources.store import Store, checkpoint_dir, cut, overlay, table
 from ..streaming import feed, incremental
 from .filters_and_joins import ANCESTRY, E, G, OLD_NEW, g6_current_assignments, old_new, two_heads
@@ -56,7 +57,7 @@ def a8_session_overlay(spark, d):
 
 @query(G + "SELECT id, kind, name, coalesce(n, 0) AS incoming FROM entities LEFT JOIN (SELECT dst AS id, count(DISTINCT src) AS n FROM relations GROUP BY dst) USING (id)", name="a10_compact_index")
 def a10_compact_index(spark, d):
-    incoming = relations(spark, d).groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("incoming"))
+    incoming = st.partners(relations(spark, d), "dst", "src", "incoming")
     return entities(spark, d).select("id", "kind", "name").join(incoming, "id", "left").select("id", "kind", "name", F.coalesce("incoming", F.lit(0)).alias("incoming"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import table
+from ..sources.store import dealt, table
 
 ENTITY = ("id", "kind", "name", "language", "file", "role", "visibility", "line", "signature", "size")
 
@@ -44,7 +44,7 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
         lit = lambda v: v if not isinstance(v, (int, float)) else F.lit(v)
         return df.select(F.concat(F.lit(kind + ":"), src, F.lit(">"), dst).alias("id"), F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"), lit(confidence).cast("double").alias("confidence"), F.lit(origin).alias("origin"), lit(evidence).cast("long").alias("evidence"))
 
-    line = table(spark, d, "lineitem")
+    line = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_discount"), "l_orderkey")
     seen = lambda key: line.groupBy("l_orderkey", key).agg(F.max("l_discount").alias("discount"), F.count("*").alias("n"))
     conf = F.round(1 - F.col("discount"), 2)
     out = rows(seen("l_partkey"), "Calls", ("o:", "l_orderkey"), ("p:", "l_partkey"), conf, "Parsed", F.col("n"))

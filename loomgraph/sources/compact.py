@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.stats import digest
+from ..operators.stats import digest, partners
 from .store import Store
 
 COLUMNS = ("id", "kind", "name", "file", "incoming", "outgoing")
@@ -18,8 +18,7 @@ class Damaged(ValueError):
 
 
 def build(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    count = lambda end, other, name: relations.groupBy(F.col(end).alias("id")).agg(F.count_distinct(other).alias(name))
-    rows = entities.join(count("dst", "src", "incoming"), "id", "left").join(count("src", "dst", "outgoing"), "id", "left")
+    rows = entities.join(partners(relations, "dst", "src", "incoming"), "id", "left").join(partners(relations, "src", "dst", "outgoing"), "id", "left")
     return rows.fillna(0, ["incoming", "outgoing"]).select(*COLUMNS)
 
 

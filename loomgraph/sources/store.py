@@ -7,10 +7,14 @@ import tempfile
 import time
 import uuid
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: About how many rows of what is read a task gets where it holds its rows in memory.
+TASK_ROWS = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +43,20 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_read(df: DataFrame) -> int:
+    """Rows in the Parquet files below df, from their footers."""
+    files = [unquote(f) for f in df.inputFiles()]
+    return df.sparkSession.read.schema("unread int").parquet(*files).count() if files else 0
+
+
+def dealt(df: DataFrame, *columns: str, rows: int | None = None, each: int | None = None) -> DataFrame:
+    """df dealt out by columns to so many tasks that each gets about `each` rows of what is read, or of `rows`; AQE merges none of them.
+
+    An aggregate or a sort by these columns then holds as much in a task whatever the input.
+    """
+    return df.repartition(max(1, -(-(rows_read(df) if rows is None else rows) // (each or TASK_ROWS))), *columns)
+
+
 class Conflict(RuntimeError):
     """Another writer has moved the generation on."""
 

@@ -320,3 +320,18 @@ def test_unapproved_needs_a_known_human(spark):
     approvals = spark.createDataFrame([(1, "ann", "approved"), (2, "bot", "approved"), (2, "ann", "rejected"), (3, "who", "approved")], "change long, actor string, decision string")
     actors = spark.createDataFrame([("ann", "Human"), ("bot", "Agent")], "actor string, kind string")
     assert {r.change for r in rv.unapproved(got, changes, approvals, actors).collect()} == {2, 3}
+
+
+def test_what_is_dealt_out_does_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from loomgraph.operators import stats as st
+    from loomgraph.sources import store
+
+    path = str(tmp_path / "some edges")
+    edges(spark, ["ab", "bc", "cb", "ac", "ca", "aa"]).repartition(3).write.parquet(path)
+    some = spark.read.parquet(path)
+    assert store.rows_read(some.unionByName(some)) == 6 and store.rows_read(spark.range(3)) == 0
+    monkeypatch.setattr(store, "TASK_ROWS", 2)
+    parts = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for got, want in ((st.degrees(some), {("a", 2), ("b", 2), ("c", 2)}), (st.partners(some, "dst", "src", "n"), {("a", 2), ("b", 2), ("c", 2)}), (g.edges_of(some), {("a", "b"), ("b", "c"), ("c", "b"), ("a", "c"), ("c", "a"), ("a", "a")})):
+        assert ", 3), REPARTITION_BY_NUM" in parts(got)
+        assert {tuple(r) for r in got.select(got.columns[:2]).collect()} == want
