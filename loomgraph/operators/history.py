@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import cut, new_folder
+from ..sources.store import TASK_ROWS, cut, new_folder
 
 
 def state_at(log: DataFrame, ref: int | None = None) -> DataFrame:
@@ -18,31 +20,79 @@ def state_at(log: DataFrame, ref: int | None = None) -> DataFrame:
     return last.where("r.op <> 'removed'").select("entity", "r.ord", "r.value", "r.note")
 
 
-def first_parents(changes: DataFrame, head: DataFrame) -> DataFrame:
+def _ways(rows: pd.DataFrame) -> pd.DataFrame:
+    """rows (block, id, to) of one block, each with `exit`, the first node outside that it leads to, and the steps there."""
+    rows = rows.sort_values("id", ignore_index=True)
+    ids, to = rows["id"].to_numpy(), rows["to"].to_numpy()
+    at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+    inside = ids[at] == to
+    last, steps = np.where(inside, at, np.arange(len(ids))), inside.astype("int64")
+    for _ in range(len(ids).bit_length()):
+        steps, last = steps + steps[last], last[last]
+    if inside[last].any():
+        raise ValueError("a change is among its own first parents")
+    return rows.assign(exit=to[last], steps=steps + 1)
+
+
+def _between(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    """(change, back): what starts (block, id, back) pass within their block, themselves aside."""
+    to = dict(zip(rows["id"], rows["to"], strict=True)) if len(starts) else {}
+    out = []
+    for change, back in zip(starts["id"], starts["back"], strict=True):
+        change, back = to.get(change), back + 1
+        while change in to:
+            out.append((change, back))
+            change, back = to[change], back + 1
+    return pd.DataFrame(out, columns=["change", "back"])
+
+
+def first_parents(changes: DataFrame, head: DataFrame, block: int = TASK_ROWS) -> DataFrame:
     """(change, back): head (id) and its first parents by changes (id, parent), with the steps back to each.
 
+    Changes lie in blocks by id. Each block tells where its changes leave it, so that the chain is first found from block
+    to block, then filled in within each. As parents mostly are near, few ways lead from block to block and a chain moves
+    each change a fixed number of times; where parents are anywhere, all lead to other blocks and only the doubling is left.
+    """
+    kind = changes.schema["id"].dataType.simpleString()
+    rows = changes.where("parent is not null").select("id", F.col("parent").cast(kind).alias("to"))
+    n = max(1, -(-rows.count() // block))
+    rows = rows.repartitionByRange(n, "id").select(F.spark_partition_id().alias("block"), "id", "to")
+    ways = cut(rows.mapInPandas(lambda parts: (_ways(p) for p in [pd.concat([x for x in parts if len(x)] or [pd.DataFrame()])] if len(p)), f"block int, id {kind}, to {kind}, exit {kind}, steps long"))
+    ends = cut(ways.select(F.col("exit").alias("id")).distinct().unionByName(head.select("id")).distinct())
+    chain = _doubled(ways.join(ends, "id", "left_semi").select("id", F.col("exit").alias("to"), F.col("steps").alias("long")), head)
+    starts = cut(ways.select("block", "id").join(chain.select(F.col("change").alias("id"), "back"), "id"))
+    # a block has about as many rows as a task takes
+    inner = ways.select("block", "id", "to").groupBy("block").cogroup(starts.groupBy("block")).applyInPandas(_between, f"change {kind}, back long")
+    return cut(chain.unionByName(inner))
+
+
+def _doubled(ways: DataFrame, head: DataFrame) -> DataFrame:
+    """(change, back): head (id) and all that ways (id, to, long: how many steps) lead to from there.
+
     A round takes up to three jumps from each change so far, and makes the next round's jumps four times as long, so a
     chain of n takes log4 n rounds of joins, each written to the shared folder.
     """
     spark, folder = head.sparkSession, new_folder(head.sparkSession, "chain")
 
     def jumps(rows, start, n):
-        """rows with to1 .. ton: where one to n jumps from a column lead, null beyond the chain's beginning."""
+        """rows with to1 .. ton and long1 .. longn: where one to n jumps from a column lead, null beyond the chain's beginning."""
         for i in range(1, n + 1):
-            rows = rows.join(jump.select(F.col("id").alias(start if i == 1 else f"to{i - 1}"), F.col("to").alias(f"to{i}")), start if i == 1 else f"to{i - 1}", "left")
+            before = start if i == 1 else f"to{i - 1}"
+            rows = rows.join(jump.select(F.col("id").alias(before), F.col("to").alias(f"to{i}"), F.col("long").alias(f"long{i}")), before, "left")
         return rows
 
-    jump = cut(changes.where("parent is not null").select("id", F.col("parent").alias("to")))
+    far = lambda n: reduce(lambda a, b: a + b, [F.col(f"long{i}") for i in range(1, n + 1)])
+    jump = cut(ways)
     chain, length = cut(head.select(F.col("id").alias("change"), F.lit(0).cast("long").alias("back")), f"{folder}/0"), 1
     paths = [f"{folder}/0"]
     while True:
-        steps = F.array(*[F.struct(F.col(f"to{i}").alias("change"), (F.col("back") + i * length).alias("back")) for i in (1, 2, 3)])
+        steps = F.array(*[F.struct(F.col(f"to{i}").alias("change"), (F.col("back") + far(i)).alias("back")) for i in (1, 2, 3)])
         more = cut(jumps(chain, "change", 3).select(F.explode(steps).alias("s")).select("s.*").where("change is not null"), f"{folder}/{length}")
         if more.isEmpty():
             return chain
         paths.append(f"{folder}/{length}")
         chain, length = spark.read.schema(chain.schema).parquet(*paths), 4 * length
-        jump = cut(jumps(jump.select("id"), "id", 4).where("to4 is not null").select("id", F.col("to4").alias("to")))
+        jump = cut(jumps(jump.select("id"), "id", 4).where("to4 is not null").select("id", F.col("to4").alias("to"), far(4).alias("long")))
 
 
 def next_removals(ends: DataFrame, gone: DataFrame, span: int) -> DataFrame:

@@ -199,6 +199,34 @@ def test_first_parents_of_chains_of_any_length(spark, n):
     assert sorted(tuple(r) for r in got.collect()) == [(i, n - 1 - i) for i in range(n)]
 
 
+@pytest.mark.parametrize("block", [7, 100])
+def test_first_parents_from_block_to_block(spark, block, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    ids = list(range(60))
+    for near in (True, False):  # parents are near by id, or anywhere; the first names one that isn't recorded
+        if not near:
+            rng.shuffle(ids)
+        parent = {ids[i]: ids[max(0, i - rng.choice((1, 1, 2)))] if i else 1000 for i in range(60)}
+        want, at = [], ids[55]
+        while at is not None:
+            want.append((at, len(want)))
+            at = parent.get(at)
+        rounds, doubled = [], h._doubled
+        monkeypatch.setattr(h, "_doubled", lambda ways, head: rounds.append(ways.count()) or doubled(ways, head))
+        got = h.first_parents(spark.createDataFrame(list(parent.items()), "id long, parent long"), spark.createDataFrame([(ids[55],)], "id long"), block)
+        assert sorted((r.back, r.change) for r in got.collect()) == [(b, c) for c, b in want]
+        monkeypatch.undo()
+        if near:  # only changes at the blocks' edges are left to doubling
+            assert rounds[0] <= 3 * (60 // block + 1)
+
+
+def test_first_parents_end_on_cycles(spark):
+    with pytest.raises(Exception, match="own first parents"):
+        h.first_parents(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"), spark.createDataFrame([(1,)], "id long"))
+
+
 def test_replay_prunes_relations_of_removed_entities(spark):
     chain = spark.createDataFrame([(i, 9 - i) for i in range(10) if i != 5], "change long, back long")
     e = [(0, "a", "added"), (1, "b", "added"), (2, "c", "added"), (4, "b", "removed"), (5, "c", "removed"), (6, "b", "added")]
