@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import dealt
 from .filters import tokens
 
 K1, B = 1.2, 0.75
 #: Up to how many pairs of a query and a token go to every task; more meet the postings in a shuffle.
 ASKED = 500_000
+#: About how many postings that meet a query a task gets, each query counted.
+MET = 1_000_000
 # What a hit in each field weighs.
 FIELD_WEIGHTS = {"name": 5.0, "signature": 3.0, "doc": 2.5, "surface": 2.2, "body": 1.5, "import": 1.4, "kind": 1.0, "path": 0.0}
 # The same for files that aren't parsed, and for the words of a prose question.
@@ -45,7 +48,8 @@ def bm25(posts: DataFrame, queries: DataFrame, key: str, limit: int | None = Non
     rows, asked = rows.select("token", key, points.alias("points")), queries.select("query", "token").distinct()
     if asked.limit(ASKED + 1).count() <= ASKED:
         # postings are dealt out by document, once for all queries; what they make with the queries isn't shuffled
-        rows, asked = rows.repartition(key), F.broadcast(asked)
+        met = df.join(asked.groupBy("token").agg(F.count("*").alias("n")), "token").agg(F.sum(F.col("df") * F.col("n")).alias("n")).first().n
+        rows, asked = dealt(rows, key, rows=met or 0, each=MET), F.broadcast(asked)
     score = rows.join(asked, "token").groupBy("query", key).agg(F.sum("points").alias("score"))
     return top(score, "query", [F.desc("score"), key], limit) if limit else score
 

@@ -84,3 +84,13 @@ def test_scoring_shuffles_postings_alone(spark, monkeypatch):
     want = scores(found)
     monkeypatch.setattr(rt, "ASKED", 0)
     assert scores(rt.bm25(rt.postings(docs, "id", FIELDS), queries, "id")) == pytest.approx(want) and want
+
+
+def test_scoring_bounds_what_a_task_meets(spark, monkeypatch):
+    docs = frame(spark, [(i, f"parseNode{i % 3}", f"walk tree {i}") for i in range(20)])
+    queries = asked(spark, a="parse tree", b="parse")  # 20 documents have each, so 60 meetings
+    want = scores(rt.bm25(rt.postings(docs, "id", FIELDS), queries, "id"))
+    monkeypatch.setattr(rt, "MET", 7)
+    found = rt.bm25(rt.postings(docs, "id", FIELDS), queries, "id")
+    assert re.search(r"hashpartitioning\(id#\w+, 9\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
+    assert scores(found) == pytest.approx(want) and want
