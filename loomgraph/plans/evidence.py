@@ -14,7 +14,7 @@ from ..operators import retrieval as rt
 from ..operators import review as rv
 from ..functions import scalars as S
 from ..sources import compact
-from ..sources.store import checkpoint_dir, table
+from ..sources.store import checkpoint_dir, dealt, rows_read, table
 from .aggregates import CANDIDATES, SCORE, candidates
 from .filters_and_joins import E, G
 from .history import STORE_SQL, filled_store
@@ -79,10 +79,13 @@ SHARES = "CASE signal " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in rt
 @query(f"WITH {ORDERS_SQL}, s AS ({' UNION ALL '.join(f'SELECT query, id, $${k}$$ AS signal, {v}::DOUBLE AS score FROM f WHERE {c}' for k, (c, v) in TEN.items())}), r AS (SELECT *, {SHARES} AS share FROM s), w AS (SELECT query, id, {', '.join(f'round(coalesce(max(share) FILTER (signal = $${k}$$), 0), 9) AS {k}_score, coalesce(max(share) FILTER (signal = $${k}$$), 0) > 0 AS {k}_there' for k in rt.LOCATE)}, count(DISTINCT signal)::INTEGER AS signals, round(sum(share), 9) AS fused FROM r GROUP BY query, id) SELECT query, id, {', '.join(f'{k}_score, {k}_there::INTEGER AS {k}_present' for k in rt.LOCATE)}, signals, fused, (row_number() OVER (PARTITION BY query ORDER BY fused DESC, id))::INTEGER AS rank FROM w", name="j11_ten_signals")
 def j11_ten_signals(spark, d):
     """Every customer's orders located by ten signals: their shares, their presence, the fused score and the rank."""
-    line = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("lines"), F.count_distinct("l_suppkey").cast("double").alias("suppliers"), F.count(F.when(F.col("l_returnflag") == "R", 1)).cast("double").alias("returned"), F.sum("l_quantity").cast("double").alias("quantity"), (-F.min("l_linenumber")).cast("double").alias("first_line"))
-    o = table(spark, d, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey")).withColumns({"query": F.col("o_custkey"), "id": F.col("o_orderkey"), "price": F.round("o_totalprice").cast("double"), "urgent": F.col("o_orderpriority") == "1-URGENT"})
+    line = table(spark, d, "lineitem")
+    n = rows_read(line)
+    line = dealt(line.select("l_orderkey", "l_suppkey", "l_returnflag", "l_quantity", "l_linenumber"), "l_orderkey", rows=n).groupBy("l_orderkey").agg(F.count("*").cast("double").alias("lines"), F.count_distinct("l_suppkey").cast("double").alias("suppliers"), F.count(F.when(F.col("l_returnflag") == "R", 1)).cast("double").alias("returned"), F.sum("l_quantity").cast("double").alias("quantity"), (-F.min("l_linenumber")).cast("double").alias("first_line"))
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), "o_orderkey", rows=n).join(line, F.col("o_orderkey") == F.col("l_orderkey")).withColumns({"query": F.col("o_custkey"), "id": F.col("o_orderkey"), "price": F.round("o_totalprice").cast("double"), "urgent": F.col("o_orderpriority") == "1-URGENT"})
     every = F.array(*[F.when(F.expr(c), F.struct(F.lit(k).alias("signal"), F.expr(v).cast("double").alias("score"))) for k, (c, v) in TEN.items()])
-    scores = o.select("query", "id", F.explode(F.filter(every, lambda s: s.isNotNull())).alias("s")).select("query", "id", "s.*")
+    # by query before the signals: all of rt.locate is by query
+    scores = dealt(o.select("query", "id", every.alias("every")), "query", rows=n).select("query", "id", F.explode(F.filter("every", lambda s: s.isNotNull())).alias("s")).select("query", "id", "s.*")
     found = rt.locate(scores)
     return found.select("query", "id", *[F.round(f"{k}_score", 9).alias(f"{k}_score") for k in rt.LOCATE], *[f"{k}_present" for k in rt.LOCATE], "signals", "fused", "rank")
 

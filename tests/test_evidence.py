@@ -192,3 +192,12 @@ def test_dependencies_beyond_manifests(spark):
     df = spark.createDataFrame(files, "repo string, path string, text string")
     got = {(x.name, x.provider, x.source) for x in detected(df, ["api", "web"], "acme", {"core_model": "core", "@acme/ui": "ui"}, {8001: "web", 8002: "api", 8009: "gone"}).collect()}
     assert got == {("docker:base", "base", "dockerfile"), ("docker:app", "app", "dockerfile"), ("compose:db", "db", "compose"), ("compose-build:api", "api", "compose"), ("ci:tools", "tools", "ci"), ("import:core_model", "core", "protocol"), ("import:@acme/ui", "ui", "protocol"), ("bin:api", "api", "subprocess"), ("http:localhost:8001", "web", "http")}
+
+
+def test_ten_signals_are_dealt_out_once_by_query(spark, sf_dir):
+    from loomgraph.plans import QUERIES
+
+    plan = QUERIES["j11_ten_signals"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # lines, orders, and all signals by query; on small tables each is one partition
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line and "BroadcastExchange" not in line]
+    assert len(exchanges) == 3 and all("REPARTITION_BY_NUM" in line for line in exchanges)
