@@ -18,17 +18,18 @@ def edges_of(relations: DataFrame, direction: str = "out", kinds=None) -> DataFr
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction].transform(dealt, "a", "b").distinct()
 
 
-def reach(roots: DataFrame, edges: DataFrame, depth: int | None = None, most: int | None = None) -> DataFrame:
+def reach(roots: DataFrame, edges: DataFrame, depth: int | None = None, most: int | None = None, stored: bool = False) -> DataFrame:
     """(root, node, hop): what roots (root, node) reach over edges (a, b) in `depth` steps, by the least number of them.
 
     A root that has reached more than `most` nodes goes no further.
 
     The edges and each level are written to the shared folder, so that nothing is computed twice and lost executors cost
     only their own tasks. A level reads only the edges of its frontier, and leaves out by one anti-join what the files of
-    all earlier levels hold. Without a depth it ends when a level finds nothing new.
+    all earlier levels hold. Without a depth it ends when a level finds nothing new. Edges that are `stored` already, some
+    perhaps several times, aren't written again.
     """
     spark = roots.sparkSession
-    edges = cut(edges) if depth is None or depth > 1 else edges
+    edges = cut(edges) if not stored and (depth is None or depth > 1) else edges
     folder, hop = new_folder(spark, "reach"), 0
     frontier = cut(roots.select("root", "node", F.lit(0).alias("hop")).distinct(), f"{folder}/0")
     paths = [f"{folder}/0"]
@@ -91,12 +92,13 @@ def traverse(starts: DataFrame, relations: DataFrame, nodes: DataFrame, depth: i
     that was expanded.
     """
     some = relations.where(F.col("kind").isin(*kinds)) if kinds else relations
-    steps = some.select("id", typed(F.col("src_kind"), F.col("src")).alias("a"), typed(F.col("dst_kind"), F.col("dst")).alias("b"))
-    steps = cut(steps.unionByName(steps.select("id", F.col("b").alias("a"), F.col("a").alias("b"))))
+    steps = cut(some.select("id", typed(F.col("src_kind"), F.col("src")).alias("a"), typed(F.col("dst_kind"), F.col("dst")).alias("b")))  # once for both directions
+    steps = steps.unionByName(steps.select("id", F.col("b").alias("a"), F.col("a").alias("b")))
     root = typed(F.col("kind"), F.col("id"))
-    got = reach(starts.select(root.alias("root"), root.alias("node")), steps.select("a", "b").distinct(), depth)
-    touched = got.where(F.col("hop") < depth).select("root", F.col("node").alias("a")).join(steps.select("a", F.col("id").alias("relation")), "a").select("root", "relation").distinct()
-    recorded = nodes.select(typed(F.col("kind"), F.col("id")).alias("node"), F.lit(True).alias("known")).distinct()
+    got = reach(starts.select(root.alias("root"), root.alias("node")), steps.select("a", "b"), depth, stored=True)
+    passed = cut(got.where(F.col("hop") < depth).select("root", F.col("node").alias("a")))  # mostly far fewer than those at the last level
+    touched = passed.join(steps.select("a", F.col("id").alias("relation")), "a").select("root", "relation").distinct()
+    recorded = nodes.select(typed(F.col("kind"), F.col("id")).alias("node")).join(got.select("node"), "node", "left_semi").distinct().withColumn("known", F.lit(True))
     out = got.join(recorded, "node", "left").select("root", F.substring_index("node", ":", 1).alias("kind"), F.expr("substr(node, instr(node, ':') + 1)").alias("id"), "hop", F.coalesce("known", F.lit(False)).alias("known"))
     return out, touched
 

@@ -363,3 +363,14 @@ def test_what_is_dealt_out_does_not_grow_with_the_input(spark, tmp_path, monkeyp
     for got, want in ((st.degrees(some), {("a", 2), ("b", 2), ("c", 2)}), (st.partners(some, "dst", "src", "n"), {("a", 2), ("b", 2), ("c", 2)}), (g.edges_of(some), {("a", "b"), ("b", "c"), ("c", "b"), ("a", "c"), ("c", "a"), ("a", "a")})):
         assert ", 3), REPARTITION_BY_NUM" in parts(got)
         assert {tuple(r) for r in got.select(got.columns[:2]).collect()} == want
+
+
+def test_traversal_writes_each_relation_once(spark, monkeypatch):
+    rows = [(f"{a}{b}", "Calls", "entity", a, "entity", b) for a, b in ("ab", "bc", "cd", "xa")]
+    r = spark.createDataFrame(rows, "id string, kind string, src_kind string, src string, dst_kind string, dst string")
+    written, cut = [], g.cut
+    monkeypatch.setattr(g, "cut", lambda df, path=None: written.append(df.columns) or cut(df, path))
+    found, touched = g.traverse(spark.createDataFrame([("entity", "a")], "kind string, id string"), r, spark.createDataFrame([("entity", x) for x in "abcd"], "kind string, id string"), 2)
+    assert {(x.id, x.hop, x.known) for x in found.collect()} == {("a", 0, True), ("b", 1, True), ("c", 2, True), ("x", 1, False)}
+    assert {x.relation for x in touched.collect()} == {"ab", "bc", "xa"}
+    assert ["a", "b"] not in written and written.count(["id", "a", "b"]) == 1
