@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +79,8 @@ def entry_points(files: DataFrame) -> DataFrame:
 
 
 #: Words in a source file that start other programs, and those that open a comment line.
-STARTS = ("spawn", "execFile", "execa", "subprocess", "Command::new", "exec.Command")
-COMMENT = r"^\s*(?://|#|\*)"
+STARTS, EXECS = ("spawn", "subprocess", "Command::new"), ("execFile", "execa", "exec.Command")
+COMMENT = r"(?://|#|\*)"
 
 
 def detected(files: DataFrame, registry: list[str], owner: str, packages: dict[str, str], ports: dict[int, str]) -> DataFrame:
@@ -88,37 +91,39 @@ def detected(files: DataFrame, registry: list[str], owner: str, packages: dict[s
     subprocess: known repositories that a file names as a program, if it starts any. http: known services (port: service)
     on local ports, comment lines aside. registry: known repositories, a list of a known size.
     """
-    base, line = F.substring_index("path", "/", -1), lambda text: F.explode(F.split(text, "\n"))
-    lines = files.select("repo", "path", base.alias("base"), line(F.col("text")).alias("line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s", " ")))
-    known = lambda c: c.isin(*registry)
-    plain = lambda c: F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", "")
-    tail = lambda c: F.substring_index(F.substring_index(c, "/", -1), ":", 1)
-
-    def row(df, prefix, name, provider, source):
-        return df.select("repo", F.concat(F.lit(prefix), name).alias("name"), provider.alias("provider"), F.lit(source).alias("source"))
-
-    image = F.regexp_extract("line", r"^FROM +([^ ]+)", 1)
-    out = row(lines.where(F.col("base").startswith("Dockerfile") & image.contains(owner)), "docker:", tail(image), tail(image), "dockerfile")
-    compose = lines.where(F.col("base").startswith("docker-compose") & F.col("base").endswith(".yml"))
-    image = plain(F.regexp_extract("line", r"^image:(.*)$", 1))
-    out = out.unionByName(row(compose.where(image.contains(owner)), "compose:", tail(image), tail(image), "compose"))
-    built = F.substring_index(F.regexp_replace(plain(F.regexp_extract("line", r"^build:(.*)$", 1)), "/+$", ""), "/", -1)
-    out = out.unionByName(row(compose.where(known(built)), "compose-build:", built, built, "compose"))
+    text, base = F.col("text"), F.substring_index("path", "/", -1)
+    last = lambda x: F.substring_index(x, "/", -1)
+    tail = lambda x: F.substring_index(last(x), ":", 1)
+    spaces = lambda x: F.regexp_replace(x, r"\s", " ")
+    plain = lambda x: F.regexp_replace(F.trim(x), "^[\"']+|[\"']+$", "")
+    # What an entry of a compose file says; nothing if one of the rarer ends of a line is within it.
+    entry = lambda x: plain(F.regexp_extract(F.trim(spaces(x)), "^(.*)$", 1))
+    owned = lambda x: x.contains(owner)
+    one_of = lambda names: lambda x: x.isin(*names)
+    # Each pattern goes through a text once and takes what lies within a line; what a file says again says nothing new.
+    every = lambda *patterns: F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(x), F.lit(1)) for x in patterns]))
+    blank = r"[ \t\x0B\f\r]"
+    begin = rf"(?md)^{blank}*"
+    imports = (rf"{begin}use{blank}+([A-Za-z0-9_]+)::", rf"{begin}(?:import|export)\b[^\n\x85\u2028\u2029]*\bfrom{blank}+[\"']([^\"'\n]+)[\"']")
     step = r"(?m)uses:[^\n]*actions/checkout[^\n]*\n(?:[ \t]*(?![ \t]|-|repository:)[^\n]+\n)*[ \t]*repository:([^\n]*)"
-    flows = files.where(F.col("path").rlike(r"(^|/)\.github/workflows/[^/]*\.yml$"))
-    target = flows.select("repo", F.explode(F.regexp_extract_all("text", F.lit(step), F.lit(1))).alias("t")).withColumn("t", plain(F.col("t"))).where(F.col("t").contains(owner))
-    out = out.unionByName(row(target, "ci:", F.substring_index("t", "/", -1), F.substring_index("t", "/", -1), "ci"))
-
-    used = F.coalesce(F.nullif(F.regexp_extract("line", r"^use +([A-Za-z0-9_]+)::", 1), F.lit("")), F.nullif(F.regexp_extract("line", "^(?:import|export)\\b.*\\bfrom +[\"']([^\"']+)[\"']", 1), F.lit("")))
-    provider = F.element_at(F.create_map(*[F.lit(x) for pair in packages.items() for x in pair]), used)
-    out = out.unionByName(row(lines.where(F.col("base").rlike(r"\.(rs|ts)$")).withColumn("used", used).withColumn("by", provider).where("by is not null"), "import:", F.col("used"), F.col("by"), "protocol"))
-    text, starts = F.col("text"), F.lit(False)
-    for word in STARTS:
-        starts = starts | text.contains(word)
-    named = lambda r: text.contains(f'"{r}"') | text.contains(f"'{r}'") | text.contains(f'"{r} ') | text.contains(f"'{r} ") | text.contains(r.upper().replace("-", "_") + "_BINARY")
-    found = files.where(starts).select("repo", F.explode(F.filter(F.array(*[F.when(named(r), F.lit(r)) for r in registry]), lambda x: x.isNotNull())).alias("r"))
-    out = out.unionByName(row(found, "bin:", F.col("r"), F.col("r"), "subprocess"))
-    local = lines.where(~F.col("line").rlike(COMMENT)).select("repo", F.explode(F.regexp_extract_all("line", F.lit(r"(?:localhost|127\.0\.0\.1):([0-9]+)"), F.lit(1))).alias("port"))
-    service = F.element_at(F.create_map(*[F.lit(x) for p, s in ports.items() for x in (str(p), s)]), F.col("port"))
-    out = out.unionByName(row(local.withColumn("by", service).where(known(F.col("by"))), "http:localhost:", F.col("port"), F.col("by"), "http"))
-    return out.distinct()
+    port = rf"{begin}{COMMENT}[^\n]*|(?:localhost|127\.0\.0\.1):([0-9]+)"
+    has = lambda words: reduce(or_, [text.contains(w) for w in words])
+    named = lambda r: has([f'"{r}"', f"'{r}'", f'"{r} ', f"'{r} ", r.upper().replace("-", "_") + "_BINARY"])
+    compose, served = base.startswith("docker-compose") & base.endswith(".yml"), [str(p) for p, s in ports.items() if s in registry]
+    keys = {
+        "docker:": F.when(base.startswith("Dockerfile"), F.transform(F.filter(every(rf"{begin}FROM{blank}+(\S+)"), owned), tail)),
+        "compose:": F.when(compose, F.transform(F.filter(F.transform(every(rf"{begin}image:([^\n]*)"), entry), owned), tail)),
+        "compose-build:": F.when(compose, F.filter(F.transform(every(rf"{begin}build:([^\n]*)"), lambda x: last(F.regexp_replace(entry(x), "/+$", ""))), one_of(registry))),
+        "ci:": F.when(F.col("path").rlike(r"(^|/)\.github/workflows/[^/]*\.yml$"), F.transform(F.filter(F.transform(every(step), plain), owned), last)),
+        "import:": F.when(base.rlike(r"\.(rs|ts)$"), F.filter(F.transform(every(*imports), spaces), one_of(packages))),
+        "bin:": F.when(has(STARTS) | text.contains("exec") & has(EXECS), F.array_compact(F.array(*[F.when(named(r), F.lit(r)) for r in registry]))),
+        "http:localhost:": F.when(has(["localhost:", "127.0.0.1:"]), F.filter(every(port), one_of(served))),
+    }
+    # The inner generator hands a text on as a column, so that nothing repeats the expression that makes it.
+    found = files.select("repo", "path", F.explode(F.array("text")).alias("text")).select("repo", F.inline(F.array(*[F.struct(F.lit(p).alias("prefix"), k.alias("keys")) for p, k in keys.items()])))
+    # A prefix and a key say all the rest, so nothing else is shuffled.
+    found, prefix, key = found.select("repo", "prefix", F.explode("keys").alias("key")).distinct(), F.col("prefix"), F.col("key")
+    by = lambda pairs, x: F.element_at(F.create_map(*[F.lit(str(v)) for pair in pairs.items() for v in pair]), x)
+    provider = F.when(prefix == "import:", by(packages, key)).when(prefix == "http:localhost:", by(ports, key)).otherwise(key)
+    source = by({"docker:": "dockerfile", "compose:": "compose", "compose-build:": "compose", "ci:": "ci", "import:": "protocol", "bin:": "subprocess", "http:localhost:": "http"}, prefix)
+    return found.select("repo", F.concat(prefix, key).alias("name"), provider.alias("provider"), source.alias("source"))

@@ -194,6 +194,40 @@ def test_dependencies_beyond_manifests(spark):
     assert got == {("docker:base", "base", "dockerfile"), ("docker:app", "app", "dockerfile"), ("compose:db", "db", "compose"), ("compose-build:api", "api", "compose"), ("ci:tools", "tools", "ci"), ("import:core_model", "core", "protocol"), ("import:@acme/ui", "ui", "protocol"), ("bin:api", "api", "subprocess"), ("http:localhost:8001", "web", "http")}
 
 
+def test_text_of_a_file_is_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.artifacts import detected
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(path):
+        made.add(1)
+        return {"Dockerfile": "FROM acme/a", "run.py": "subprocess.run(['api'])"}.get(path, "get('localhost:8001')")
+
+    paths = ["Dockerfile", "docker-compose.yml", ".github/workflows/ci.yml", "main.rs", "run.py", "net.ts"]
+    df = spark.createDataFrame([("r", p) for p in paths], "repo string, path string").withColumn("text", text("path"))
+    got = {x.name for x in detected(df, ["api"], "acme", {"core": "core-repo"}, {8001: "api"}).collect()}
+    assert got == {"docker:a", "bin:api", "http:localhost:8001"} and made.value == len(paths)
+
+
+def test_lines_of_files_with_odd_blanks(spark):
+    from loomgraph.operators.artifacts import detected
+
+    files = [
+        ("r", "Dockerfile.ts", "\tFROM\t acme/a:1\r\nFROM acme/a:2\nFROM  \nacme/no\r\nuse core::X;\r\n \x0buse\tcore::Y;\nimport x from 'u\ti'\nimport x\x85from 'core'\n"),
+        ("r", "docker-compose.yml", "\timage:\t\"acme/d:1\" \r\nbuild: ./x/api//\t\nimage: acme/\u2028e\nimage: acme/f\u2028\nbuild:\nweb"),
+        ("r", "n.txt", " \t// localhost:8001\n\r# 127.0.0.1:8001\n* localhost:8001\nx // localhost:8002 127.0.0.1:8003\nlocalhost:\n8001"), ("r", None, "localhost:8004"), ("r", "run.py", None), (None, "b.py", "execa 'api' 'web\nAPI_GATE_BINARY"),
+    ]
+    df = spark.createDataFrame(files, "repo string, path string, text string")
+    got = sorted(tuple(x) for x in detected(df.coalesce(1), ["api", "web", "api-gate"], "acme", {"core": "c", "u i": "ui"}, {8001: "api", 8002: "web", 8003: "gone", 8004: "api"}).fillna("-").collect())
+    assert got == [
+        ("-", "bin:api", "api", "subprocess"), ("-", "bin:api-gate", "api-gate", "subprocess"), ("r", "compose-build:api", "api", "compose"), ("r", "compose:d", "d", "compose"), ("r", "compose:f", "f", "compose"), ("r", "docker:a", "a", "dockerfile"),
+        ("r", "http:localhost:8002", "web", "http"), ("r", "http:localhost:8004", "api", "http"), ("r", "import:core", "c", "protocol"), ("r", "import:u i", "ui", "protocol"),
+    ]
+
+
 def test_ten_signals_are_dealt_out_once_by_query(spark, sf_dir):
     from loomgraph.plans import QUERIES
 
