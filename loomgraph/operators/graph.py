@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import cut, dealt, new_folder
+from ..sources.store import bucketed, cut, dealt, new_folder, rows_read
 from .filters import IMPACT_KINDS, impact_relations
 
 
@@ -295,6 +295,50 @@ def spread(sources: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return spark.read.schema(level.schema).parquet(*paths).where("node <> source").groupBy("node").agg(F.min("hop").alias("hop"))
 
 
+#: About how many steps a task gets where they lie in buckets.
+STEP_ROWS = 1_000_000
+
+
+class Dependents:
+    """How many nodes each root (id) reaches over edges (a, b) in up to `depth` steps, and from how many roots each node is reached.
+
+    Edges lie in buckets by where they begin, so only what meets them is shuffled. Most nodes are ends, which nothing goes
+    on from. A root whose edges all lead to ends reaches just these: its edges are counted as they lie. Only the others,
+    upper roots, are followed, and over edges between nodes that go on; their pairs (root, node, hop) are stored, those
+    with ends in one step after the rest.
+    """
+
+    def __init__(self, edges: DataFrame, roots: DataFrame, depth: int):
+        edges = edges.where("a is not null and not (a <=> b)")
+        n = rows_read(edges)
+        edges = dealt(edges, "b", rows=n, each=STEP_ROWS).distinct()
+        goes_on = dealt(edges.select(F.col("a").alias("b")).distinct(), "b", rows=n, each=STEP_ROWS).withColumn("more", F.lit(True))  # as the edges, so that these don't move for it
+        self.edges = bucketed(edges.join(goes_on, "b", "left").select("a", "b", F.coalesce("more", F.lit(False)).alias("more")), "a", n, STEP_ROWS)
+        inner = cut(self.edges.where("more").select("a", "b"))
+        self.upper = cut(inner.select("a").distinct())
+        self.plain = self.edges.join(self.upper, "a", "left_anti").select("a", "b")
+        roots = roots.join(self.upper, F.col("id") == F.col("a")).select("id").distinct()
+        near = reach(rooted(roots), inner, depth, stored=True)
+        last = near.where(F.col("hop") < depth).select("root", F.col("node").alias("a"), "hop")
+        ends = self.edges.where("not more").select("a", "b")
+        met = last.groupBy("a").agg(F.count("*").alias("roots")).join(ends.groupBy("a").agg(F.count("*").alias("ends")), "a").agg(F.sum(F.col("roots") * F.col("ends")).alias("n")).first().n
+        far = dealt(last.join(ends, "a").select("root", F.col("b").alias("node"), (F.col("hop") + 1).alias("hop")), "node", rows=met or 0, each=STEP_ROWS)
+        self.pairs = near.where("hop > 0").unionByName(cut(far.groupBy("root", "node").agg(F.min("hop").alias("hop"))))
+
+    def of_roots(self, depth: int) -> DataFrame:
+        """(id, n): nodes that a root reaches in `depth` steps; nodes that aren't roots may be among them."""
+        n = F.count("*").alias("n")
+        far = self.pairs.where(F.col("hop") <= depth).groupBy(F.col("root").alias("id")).agg(n)
+        return self.plain.groupBy(F.col("a").alias("id")).agg(n).unionByName(far)
+
+    def of_nodes(self, roots: DataFrame, depth: int) -> DataFrame:
+        """(id, n): from how many of some of the roots (id, each once) a node is reached in `depth` steps."""
+        upper = cut(roots.join(self.upper, F.col("id") == F.col("a")).select(F.col("id").alias("root")))
+        far = self.pairs.where(F.col("hop") <= depth).join(upper, "root", "left_semi").select(F.col("node").alias("id"))
+        near = self.plain.join(roots.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+        return far.unionByName(near).groupBy("id").agg(F.count("*").alias("n"))
+
+
 def closed(rows: DataFrame, need: str) -> DataFrame:
     """Rows (id, need, ...) whose needed row survives as well, until nothing changes; a null need is met."""
     n = rows.count()

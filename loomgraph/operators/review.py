@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut
-from .filters import impact_relations
-from .graph import reach, rooted
+from .filters import impact_steps
+from .graph import Dependents
 
 # How deep and wide a public entity's dependents may be, and how deep findings spread.
 DEEP, WIDE, SPREAD = 5, 20, 10
@@ -21,30 +21,31 @@ def security_findings(entities: DataFrame, relations: DataFrame, propagate: bool
     contracts that nothing else consumes; encapsulation-leak: public entities that call private ones, n times;
     transitive-dependency: what depends on n other entities found so far within SPREAD steps.
     """
+    relations = cut(relations.select("kind", "src", "dst"))
     tested = relations.where("kind = 'Tests'").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     called = relations.where("kind = 'Calls'").select(F.col("dst").alias("id")).distinct()
     consumed = relations.where("kind = 'ConsumesContract' and src <> dst").select(F.col("dst").alias("id")).distinct()
     public = entities.where("visibility = 'Public'").select("id", "kind")
-    steps = cut(impact_relations(relations).select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct())
 
     def found(rows, severity, category, n=None):
         return rows.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col("id").alias("entity"), (F.col(n) if n else F.lit(1)).cast("long").alias("n"))
 
-    fan = reach(rooted(public), steps, DEEP).where("hop > 0").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > WIDE)
     private = entities.where("visibility = 'Private'").select(F.col("id").alias("dst"))
     leaks = relations.where("kind = 'Calls'").join(private, "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).join(public, "id", "left_semi")
     out = found(entities.where("kind = 'ApiEndpoint'").join(tested, "id", "left_anti"), "high", "untested-api")
     for rows in (
         found(public.where("kind in ('Function', 'Method')").join(called, "id", "left_anti").join(tested, "id", "left_anti"), "low", "orphaned-public"),
-        found(fan, "medium", "high-fan-out", "n"),
         found(entities.where("kind = 'EventContract'").join(consumed, "id", "left_anti"), "medium", "dead-event"),
         found(leaks, "low", "encapsulation-leak", "n"),
     ):
         out = out.unionByName(rows)
+    out = cut(out)
+    dependents = Dependents(impact_steps(relations), public.select("id").unionByName(out.select(F.col("entity").alias("id"))), max(DEEP, SPREAD))
+    fan = dependents.of_roots(DEEP).where(F.col("n") > WIDE).join(public, "id", "left_semi")
+    out = out.unionByName(cut(found(fan, "medium", "high-fan-out", "n")))
     if not propagate:
         return out
-    out = cut(out)
-    after = reach(rooted(out.select("entity").distinct(), "entity"), steps, SPREAD).where("hop > 0").groupBy(F.col("node").alias("id")).agg(F.count("*").alias("n"))
+    after = dependents.of_nodes(out.select(F.col("entity").alias("id")).distinct(), SPREAD)
     return out.unionByName(found(after, "info", "transitive-dependency", "n"))
 
 

@@ -8,7 +8,7 @@ changes: id, first and second parent, author, at
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import dealt, table
@@ -61,6 +61,20 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+#: The first letters of ids.
+PREFIXES = "rnscpo"
+
+
+def numbered(id) -> Column:
+    """The id of an entity as one number, which is less to move than its text: eight times its key and the place of its prefix."""
+    return F.substring(id, 3, 20).cast("long") * 8 + F.instr(F.lit(PREFIXES), F.substring(id, 1, 1))
+
+
+def named(number) -> Column:
+    """The id that a number stands for."""
+    return F.concat(F.substring(F.lit(PREFIXES), F.col(number).bitwiseAND(7).cast("int"), F.lit(1)), F.lit(":"), F.shiftright(number, 3).cast("string"))
+
+
 def entity_log(spark: SparkSession, d: str) -> DataFrame:
     op = F.when(F.col("event_type") == "signup", "added").when(F.col("event_type") == "error", "removed").otherwise("modified")
     return table(spark, d, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("entity"), op.alias("op"), F.floor(F.col("value") / 10).cast("long").alias("value"), F.col("event_type").alias("note"))

@@ -10,7 +10,7 @@ from ..operators import graph as g
 from ..operators import review as rv
 from ..sources.store import table
 from .filters_and_joins import ANCESTRY, G, IMPACT, INBOUND, two_heads
-from .model import CHANGES_SQL, GRAPH_SQL, entities, relations
+from .model import CHANGES_SQL, GRAPH_SQL, entities, named, numbered, relations
 from .registry import query
 
 RG = f"WITH RECURSIVE {GRAPH_SQL}\n"
@@ -164,9 +164,9 @@ FROM found UNION ALL SELECT 'info', 'transitive-dependency', node, count(*) FROM
 def i17_security_findings(spark, d):
     """All rules and their spread; suppliers stand for endpoints, nations and regions for event contracts, repeated uses of a supplier for tests."""
     k = F.col("kind")
-    e = entities(spark, d).select("id", "visibility", F.when(k == "Interface", "ApiEndpoint").when(k.isin("Module", "Package"), "EventContract").otherwise(k).alias("kind"))
-    r = relations(spark, d).select("id", F.when((k == "DependsOn") & (F.col("evidence") > 1), "Tests").when(k == "Imports", "ConsumesContract").otherwise(k).alias("kind"), "src", "dst")
-    return rv.security_findings(e, r)
+    e = entities(spark, d).select(numbered("id").alias("id"), "visibility", F.when(k == "Interface", "ApiEndpoint").when(k.isin("Module", "Package"), "EventContract").otherwise(k).alias("kind"))
+    r = relations(spark, d).select("id", F.when((k == "DependsOn") & (F.col("evidence") > 1), "Tests").when(k == "Imports", "ConsumesContract").otherwise(k).alias("kind"), numbered("src").alias("src"), numbered("dst").alias("dst"))
+    return rv.security_findings(e, r).select("severity", "category", named("entity").alias("entity"), "n")
 
 
 @query(RG + f", {bfs('SELECT $$s:4$$ AS id', IN, 1)} SELECT o_orderstatus AS status, count(DISTINCT node) AS entities, count(DISTINCT l_partkey) AS tests FROM reached JOIN orders ON 'o:' || o_orderkey = node JOIN lineitem ON l_orderkey = o_orderkey WHERE hop > 0 GROUP BY status", name="i18_verification_plan")

@@ -153,6 +153,62 @@ def test_security_findings_count_all(spark):
     assert {tuple(x) for x in rv.security_findings(e, r).collect()} == want
 
 
+def test_security_findings_store_no_pairs_of_roots_with_ends(spark, monkeypatch):
+    from loomgraph.operators import review as rv
+
+    ents = [("hub", "Class", "Public"), ("hub2", "Class", "Public")] + [(f"u{i}", "Class", "Private") for i in range(25)]
+    rels = [(f"{hub}{i}", "UsesType", f"u{i}", hub) for i in range(25) for hub in ("hub", "hub2")]
+    e, r = spark.createDataFrame(ents, "id string, kind string, visibility string"), spark.createDataFrame(rels, "id string, kind string, src string, dst string")
+    pairs, cut = [], g.cut
+
+    def counted(df, path=None):
+        got = cut(df, path)
+        pairs.extend([got.count()] if "root" in got.columns and "node" in got.columns else [])
+        return got
+
+    monkeypatch.setattr(g, "cut", counted)
+    assert rv.security_findings(e, r).count() == 27
+    assert sum(pairs) == 0  # their edges tell it
+
+
+def test_dependents_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    for n, tails in ((30, 25), (12, 60)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n + 5)] + [(rng.randrange(n), 100 + rng.randrange(tails)) for _ in range(2 * tails)] + [(3, 3), (4, None), (5, None), (None, 6)]
+        df = spark.createDataFrame(edges + edges[:9], "a long, b long")
+        to = {}
+        for a, b in edges:
+            to.setdefault(a, set()).add(b)
+
+        def hops(root, depth):
+            seen, level = {root}, {root}
+            for _ in range(depth):
+                level = {b for a in level if a is not None for b in to.get(a, ())} - seen
+                seen |= level
+            return seen - {root}
+
+        every, some = set(range(0, n + 9)), set(range(0, n, 3)) | {101}
+        for most, depth in ((1, 1), (5, 2), (5, 5)):
+            d = g.Dependents(df, spark.createDataFrame([(i,) for i in every], "id long"), most)
+            got = {x.id: x.n for x in d.of_roots(depth).collect()}
+            assert got == {i: len(hops(i, depth)) for i in every if hops(i, depth)}
+            want = {}
+            for i in some:
+                for b in hops(i, depth):
+                    want[b] = want.get(b, 0) + 1
+            assert {x.id: x.n for x in d.of_nodes(spark.createDataFrame([(i,) for i in some], "id long"), depth).collect()} == want
+
+
+def test_numbers_stand_for_ids(spark, sf_dir):
+    from loomgraph.plans.model import entities, named, numbered
+
+    ids = entities(spark, sf_dir).select("id", numbered("id").alias("n")).select("id", "n", named("n").alias("again"))
+    assert ids.where("id <> again or again is null").count() == 0 and ids.select("n").distinct().count() == ids.count()
+    assert spark.sql("SELECT 'o:-5' AS id").select(numbered("id").alias("n")).select(named("n")).first()[0] == "o:-5"
+
+
 def test_name_tiers_fall_back_to_substrings(spark):
     e = nodes(spark, ["fooBar", "barFoo", "xfoobarx"])
     tiers = lambda p: {(r.id, r.tier) for r in fl.by_name_tiers(e, p).collect()}
