@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import token_estimate
-from .graph import edges_of, reach, rooted, routes
+from .graph import reach, rooted, routes, steps_of
 
 # Budgets by name, and the sections in their order.
 BUDGETS = {"small": 8_000, "medium": 16_000, "large": 32_000}
@@ -22,7 +22,7 @@ def context_pack(focal: DataFrame, entities: DataFrame, relations: DataFrame, ex
     that no longer fits ends the pack. entities (id, kind, name, signature, body).
     """
     most = (BUDGETS[budget] if isinstance(budget, str) else budget) - reserve
-    got = reach(rooted(focal.join(entities, "id", "left_semi")), edges_of(relations), depth).join(entities.withColumnRenamed("id", "node"), "node")
+    got = reach(rooted(focal.join(entities, "id", "left_semi")), steps_of(relations), depth, stored=True).join(entities.withColumnRenamed("id", "node"), "node")
     section = F.when(F.col("hop") == 0, "focal").when(F.col("hop") == 1, "dependency_signature").otherwise("transitive")
     text = F.when(F.col("hop") == 0, F.coalesce("body", "signature")).when(F.col("hop") == 1, F.col("signature")).otherwise(F.concat_ws(" ", "kind", "name"))
     own = got.select("root", section.alias("section"), F.col("node").alias("id"), "hop", text.alias("text"))

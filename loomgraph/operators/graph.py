@@ -18,6 +18,16 @@ def edges_of(relations: DataFrame, direction: str = "out", kinds=None) -> DataFr
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction].transform(dealt, "a", "b").distinct()
 
 
+def steps_of(relations: DataFrame, direction: str = "out", kinds=None) -> DataFrame:
+    """The steps of edges_of for reach, to be given as stored: written once for both directions, not dealt out to be made distinct, as reach meets a node once anyway."""
+    if kinds:
+        relations = relations.where(F.col("kind").isin(*kinds))
+    rows = cut(relations.select("src", "dst"))
+    out = rows.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    back = rows.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+
+
 def reach(roots: DataFrame, edges: DataFrame, depth: int | None = None, most: int | None = None, stored: bool = False) -> DataFrame:
     """(root, node, hop): what roots (root, node) reach over edges (a, b) in `depth` steps, by the least number of them.
 
@@ -57,7 +67,7 @@ def neighbourhood(start: DataFrame, entities: DataFrame, relations: DataFrame, d
     A node beyond the entities is expanded, not returned; relations out of nodes at the last level aren't reported.
     """
     known = start.join(entities, "id", "left_semi")
-    got = reach(rooted(known), edges_of(relations), depth)
+    got = reach(rooted(known), steps_of(relations), depth, stored=True)
     nodes = got.join(entities.select(F.col("id").alias("node")), "node", "left_semi")
     passed = got.where(F.col("hop") < depth).select("root", F.col("node").alias("src"))
     return nodes, relations.join(passed, "src")
@@ -66,7 +76,7 @@ def neighbourhood(start: DataFrame, entities: DataFrame, relations: DataFrame, d
 def expand(seeds: DataFrame, entities: DataFrame, relations: DataFrame, depth: int, kinds=None) -> tuple[DataFrame, DataFrame]:
     """Both directions from several seeds at once; relations once each."""
     known = seeds.join(entities, "id", "left_semi").select(F.lit("all").alias("root"), F.col("id").alias("node"))
-    got = reach(known, edges_of(relations, "both", kinds), depth)
+    got = reach(known, steps_of(relations, "both", kinds), depth, stored=True)
     nodes = got.join(entities.select(F.col("id").alias("node")), "node", "left_semi")
     passed = got.where(F.col("hop") < depth).select("node")
     some = relations.where(F.col("kind").isin(*kinds)) if kinds else relations
@@ -105,7 +115,7 @@ def traverse(starts: DataFrame, relations: DataFrame, nodes: DataFrame, depth: i
 
 def downstream(start: DataFrame, entities: DataFrame, relations: DataFrame, depth: int) -> DataFrame:
     """(root, node, hop): entities that depend on a start along incoming relations; the start itself isn't among them."""
-    got = reach(rooted(start), edges_of(relations, "in"), depth)
+    got = reach(rooted(start), steps_of(relations, "in"), depth, stored=True)
     return got.where("hop > 0").join(entities.select(F.col("id").alias("node")), "node", "left_semi")
 
 

@@ -30,7 +30,7 @@ SOME_SUPPLIERS = "SELECT id FROM entities WHERE kind = 'Interface'"
 def i1_bfs_neighbourhood(spark, d):
     e = entities(spark, d)
     _, rel = g.neighbourhood(e.where("kind = 'Method' and line = 5").select("id"), e, relations(spark, d), 2)
-    hops = g.reach(g.rooted(e.where("kind = 'Method' and line = 5").select("id")), g.edges_of(relations(spark, d)), 1).select("root", F.col("node").alias("src"), "hop")
+    hops = g.reach(g.rooted(e.where("kind = 'Method' and line = 5").select("id")), g.steps_of(relations(spark, d)), 1, stored=True).select("root", F.col("node").alias("src"), "hop")
     return rel.join(hops, ["root", "src"]).groupBy("root", "hop").agg(F.count("*").alias("relations"), F.sum("evidence").alias("evidence"))
 
 
@@ -57,7 +57,7 @@ def i4_impact_of_many_roots(spark, d):
 @query(RG + f", {bfs('SELECT $$n:7$$ AS id', BOTH, 3)} SELECT hop, count(*) AS nodes FROM reached GROUP BY hop", name="i5_hop_distances")
 def i5_hop_distances(spark, d):
     start = entities(spark, d).where("id = 'n:7'").select("id")
-    return g.reach(g.rooted(start), g.edges_of(relations(spark, d), "both"), 3).groupBy("hop").agg(F.count("*").alias("nodes"))
+    return g.reach(g.rooted(start), g.steps_of(relations(spark, d), "both"), 3, stored=True).groupBy("hop").agg(F.count("*").alias("nodes"))
 
 
 POINTS = " ".join(f"WHEN kind IN ({', '.join(repr(k) for k in kinds)}) THEN {n}" for n, kinds in g.RELATION_POINTS)
@@ -92,7 +92,7 @@ def i7_federated_impact(spark, d):
 @query(RG + f", {bfs('SELECT $$o:11$$ AS id', OUT, 2)}, intents AS (SELECT o_orderkey AS intent, 'p:' || l_partkey AS scope FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL), direct AS (SELECT intent, min(CASE WHEN hop <= 1 THEN hop ELSE 3 END)::INTEGER AS rank FROM intents JOIN reached ON node = scope GROUP BY intent) SELECT intent, CASE rank WHEN 0 THEN 'direct' WHEN 1 THEN 'direct' ELSE 'downstream' END AS proximity FROM direct", name="i8_traffic_proximity")
 def i8_traffic_proximity(spark, d):
     start = entities(spark, d).where("id = 'o:11'").select("id")
-    got = g.reach(g.rooted(start), g.edges_of(relations(spark, d)), 2).select(F.col("node").alias("scope"), "hop")
+    got = g.reach(g.rooted(start), g.steps_of(relations(spark, d)), 2, stored=True).select(F.col("node").alias("scope"), "hop")
     urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
     intents = urgent.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("intent"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("scope")).distinct()
     near = intents.join(got, "scope").groupBy("intent").agg(F.min("hop").alias("hop"))
@@ -142,7 +142,7 @@ def i15_context_pack(spark, d):
     Only `budget` rows can fit, as each takes a token at least, so the running sum is over a bounded top of the order.
     """
     e, budget = entities(spark, d), 120
-    got = g.reach(g.rooted(e.where("id = 'o:30'").select("id")), g.edges_of(relations(spark, d)), 2)
+    got = g.reach(g.rooted(e.where("id = 'o:30'").select("id")), g.steps_of(relations(spark, d)), 2, stored=True)
     cost = got.join(e.select(F.col("id").alias("node"), "signature"), "node").select(F.col("node").alias("id"), "hop", token_estimate(F.col("signature")).alias("tokens"))
     first = cost.orderBy("hop", "id").limit(budget)
     return first.withColumn("total", F.sum("tokens").over(Window.orderBy("hop", "id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= budget)
@@ -192,7 +192,7 @@ def i19_closed_records(spark, d):
 def i16_water_fill(spark, d):
     """A token budget shared between several focal entities by what their neighbourhoods need."""
     e = entities(spark, d)
-    got = g.reach(g.rooted(e.where("id in ('o:30', 'o:44', 'c:5')").select("id")), g.edges_of(relations(spark, d)), 2)
+    got = g.reach(g.rooted(e.where("id in ('o:30', 'o:44', 'c:5')").select("id")), g.steps_of(relations(spark, d)), 2, stored=True)
     needs = got.join(e.select(F.col("id").alias("node"), "signature"), "node").groupBy(F.col("root").alias("id")).agg(F.sum(token_estimate(F.col("signature"))).alias("need"))
     return g.water_fill(needs, 150)
 

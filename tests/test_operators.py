@@ -430,3 +430,15 @@ def test_traversal_writes_each_relation_once(spark, monkeypatch):
     assert {(x.id, x.hop, x.known) for x in found.collect()} == {("a", 0, True), ("b", 1, True), ("c", 2, True), ("x", 1, False)}
     assert {x.relation for x in touched.collect()} == {"ab", "bc", "xa"}
     assert ["a", "b"] not in written and written.count(["id", "a", "b"]) == 1
+
+
+def test_reach_from_relations_writes_each_once(spark, monkeypatch):
+    r = spark.createDataFrame([("1", "Calls", "a", "b"), ("2", "Imports", "a", "b"), ("3", "Calls", "b", "c"), ("4", "Calls", "d", "c"), ("5", "Calls", "x", "a")], "id string, kind string, src string, dst string")
+    e = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    written, cut = [], g.cut
+    monkeypatch.setattr(g, "cut", lambda df, path=None: written.append(df.columns) or cut(df, path))
+    seeds = spark.createDataFrame([("a",)], "id string")
+    found, touched = g.expand(seeds, e, r, 2)
+    assert {(x.node, x.hop) for x in found.collect()} == {("a", 0), ("b", 1), ("c", 2)} and {x.id for x in touched.collect()} == {"1", "2", "3", "5"}
+    assert {(x.node, x.hop) for x in g.downstream(spark.createDataFrame([("c",)], "id string"), e, r, 2).collect()} == {("b", 1), ("d", 1), ("a", 2)}
+    assert written.count(["src", "dst"]) == 2 and ["a", "b"] not in written  # one for each of the two calls
