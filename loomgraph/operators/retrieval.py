@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import dealt
+from ..sources.store import cut, dealt
 from .filters import tokens
 
 K1, B = 1.2, 0.75
@@ -54,6 +54,18 @@ def bm25(posts: DataFrame, queries: DataFrame, key: str, limit: int | None = Non
     return top(score, "query", [F.desc("score"), key], limit) if limit else score
 
 
+def scan(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    """bm25 of queries (query, token) in one pass over documents without an index, for queries too few to be worth one: only their tokens' postings are shuffled, and a length for each document."""
+    every = F.array(*[F.struct(F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")).alias("t"), F.lit(float(w)).alias("w")) for f, w in fields.items() if w])
+    rows = docs.select(key, every.alias("every"))
+    length = F.aggregate("every", F.lit(0.0), lambda n, f: n + F.size(f["t"]) * f["w"])  # stands beside the tokens as the empty one, which no text has
+    rows = rows.select(key, F.explode(F.concat("every", F.array(F.struct(F.array(F.lit("")).alias("t"), length.alias("w"))))).alias("f")).select(key, F.explode("f.t").alias("token"), F.col("f.w").alias("w"))
+    wanted = queries.select("token").unionByName(queries.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+    found = cut(rows.join(wanted, "token", "left_semi").groupBy(key, "token").agg(F.sum("w").alias("tf")))
+    length = found.where("token = '' and tf > 0").select(key, F.col("tf").alias("length"))
+    return bm25(found.where("token <> ''"), queries, key, length=length, total=length.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")))
+
+
 def unified(lexical: DataFrame, vector: DataFrame, hops: DataFrame, anchor: str, entities: DataFrame, limit: int = 50) -> DataFrame:
     """(key, lexical, distance, hops, role): what the arms (key, lexical), (key, distance) and (key, hops) find, one row for each key.
 

@@ -150,6 +150,17 @@ def test_signals_and_locate(spark):
     assert found.keys() == {1, 2} and found[2]["rank"] == 1 and found[2].signals == 2 and found[1].search_score == 2 / 61 and found[2].projection_present == 1 and found[1].projection_score == 0.0
 
 
+def test_scan_finds_what_all_postings_tell(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red bolt red", "web"), (2, "blue bolt", None), (3, None, "web red"), (4, "...", ""), (5, "nut " * 40, "x")], "doc_id long, text string, source string")
+    asked = spark.createDataFrame([(0, "red"), (0, "web"), (0, "absent"), (7, "bolt"), (7, "red")], "query int, token string")
+    fields, stored, cut = {"text": 1.0, "source": 3.0}, [], rt.cut
+    monkeypatch.setattr(rt, "cut", lambda df, path=None: stored.append(cut(df, path)) or stored[-1])
+    near = lambda df: {(x["query"], x.doc_id, round(x.score, 9)) for x in df.collect()}
+    want = near(rt.bm25(rt.postings(docs, "doc_id", fields), asked, "doc_id"))
+    assert near(rt.scan(docs, asked, "doc_id", fields)) == want and len(want) == 5
+    assert {x.token for x in stored[0].collect()} == {"", "red", "web", "bolt"}
+
+
 def test_coverage_trust_and_semantic_diff(spark):
     ids, runs = spark.createDataFrame([(1,), (2,), (3,)], "id long"), spark.createDataFrame([(1, "passing"), (1, "failing"), (2, "failing"), (9, "passing")], "id long, status string")
     assert tuple(rv.proof_coverage(ids, runs).first()) == (3, 1, 0.333333, 3, 2, True)
