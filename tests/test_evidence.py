@@ -131,6 +131,15 @@ def test_satisfaction_spreads_equal_needs_last(spark):
     assert plan.lstrip().startswith("Project") and plan.split("\n")[1].lstrip("+- ").startswith("Join")
 
 
+def test_satisfaction_shuffles_what_is_offered_once(spark):
+    need = spark.createDataFrame([(i, m, i % 2) for i in range(6) for m in "mn"], "interface int, member string, arity int")
+    offer = spark.createDataFrame([(c, m, c % 3) for c in range(9) for m in ("mn" if c % 2 else "m")] + [(1, "m", 1)], "class int, member string, arity int")
+    got = fl.satisfied(need, offer)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan
+    assert {tuple(r) for r in got.collect()} == {(i, c, 2) for i in range(6) for c in range(1, 9, 2) if i % 2 == c % 3}
+
+
 def test_unresolved_imports_and_arity(spark):
     e = spark.createDataFrame([("a", "Source", "f"), ("v", "External", "third_party/f"), ("x", "External", None)], "id string, role string, file string")
     r = [("1", "Calls", "a", "x", "crate", "p::q.get"), ("2", "Calls", "a", "v", "crate", "g"), ("3", "Calls", "a", "nobody", "crate", "g"), ("4", "Calls", "a", "x", "", "g"), ("5", "Calls", "a", "x", None, "g"), ("6", "Calls", "a", "x", "c", "<a/b>"), ("7", "Imports", "a", "x", "c", "g"), ("8", "References", "z", "x", "c", "g"), ("9", "References", "a", "x", "c", None)]
